@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize
 
 # Honorifics by gender, given names by script and gender, syllables of made-up names.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н", "κύριος")
@@ -43,7 +43,8 @@ _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1
 _PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])"
 _PERSON = r"(?<![\p{L}\p{N}-])(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True)) + rf")\.? {_NAME}(?: {_NAME})?"
 _ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])"
-_ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[\p{L}_~+/!.-]{0,64}[0-9])[\p{L}\p{N}_~+/!.-]{6,}(?<![.!])"
+_ASSIGNMENT = r"(?<!\p{L})(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
+_ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.-]{0,64}[0-9])[\p{L}\p{N}_~+/!.-]{5,}[\p{L}\p{N}]"
 #: Everything that is replaced, in the order of preference at one place.
 PATTERN = "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON))
 
@@ -71,8 +72,11 @@ def _segment(kind: Column, value: Column) -> Column:
     return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
 
 
-def segments(text: Column) -> Column:
-    """A text as its parts in order, (kind, value); kind is null for what stays. A person is the honorific, given name and surname."""
+def with_segments(df: DataFrame) -> DataFrame:
+    """``df`` with _parts, its text's parts in order as (kind, value); kind is null for what stays.
+
+    A person is the honorific, given name and surname, an assignment its name and its value.
+    """
     plain = lambda v: _segment(F.lit(None), v)
 
     def of(m: Column) -> Column:
@@ -80,16 +84,18 @@ def segments(text: Column) -> Column:
         head = F.regexp_extract(m, r"^\S+ ", 0)
         names = F.split(m.substr(F.length(head) + 1, F.length(m)), " ")
         person = F.when(F.size(names) == 2, F.array(plain(head), _segment(F.concat(F.lit("given_"), gender), names[0]), plain(F.lit(" ")), _segment(F.lit("surname"), F.try_element_at(names, F.lit(2))))).otherwise(F.array(plain(head), _segment(F.lit("surname"), names[0])))
-        kind = (
-            F.when(m.contains("@") & m.rlike(_EMAIL), "email").when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
-            .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban").when(m.rlike(r"^[(+]|^[0-9]{3}[.-]"), "phone").when(m.rlike(rf"^(?:{_CARD})$"), "card").when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "access_key").when(~m.rlike(rf"^(?:{_PERSON})$"), "assigned")
+        name = F.regexp_extract(m, _ASSIGNMENT, 0)
+        assigned = F.array(plain(name), _segment(F.lit("assigned"), m.substr(F.length(name) + 1, F.length(m))))
+        one = lambda kind: F.array(_segment(F.lit(kind), m))
+        return (
+            F.when(m.rlike(rf"^(?:{_PERSON})$"), person).when(m.rlike(rf"^(?:{_ASSIGNED})$"), assigned).when(m.contains("@"), one("email")).when(m.rlike(r"^[0-9a-fA-F]{32,}$"), one("secret"))
+            .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), one("ssn")).when(m.rlike(r"^(?:AKIA|ASIA)"), one("access_key"))
+            .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^[0-9]{3}[.-]"), one("phone")).otherwise(one("card"))
         )
-        return F.when(kind.isNotNull(), F.array(_segment(kind, m))).otherwise(person)
 
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    gaps = F.split(text, PATTERN, -1)
-    inner = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(F.array(plain(g)), of(m))))
-    return F.concat(inner, F.array(plain(F.element_at(gaps, -1))))
+    df = df.withColumns({"_found": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), "_gaps": F.split("text", PATTERN, -1)})
+    inner = F.flatten(F.zip_with(F.slice("_gaps", 1, F.size("_gaps") - 1), "_found", lambda g, m: F.concat(F.array(plain(g)), of(m))))
+    return df.withColumn("_parts", F.concat(inner, F.array(plain(F.element_at("_gaps", -1))))).drop("_gaps", "_found")
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -114,41 +120,43 @@ def _pick(items: tuple[str, ...], b: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), b % len(items) + 1)
 
 
-def _luhn(digits: Column) -> Column:
-    """Whether a number's digits pass the check of payment cards."""
-    d = F.reverse(F.regexp_replace(digits, "[^0-9]", ""))
-    total = F.aggregate(F.transform(F.split(d, ""), lambda c, k: F.when(k % 2 == 0, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c.cast("int") > 4, 9).otherwise(0))), F.lit(0), lambda a, x: a + x)
-    return total % 10 == 0
+def _check_sum(number: Column) -> Column:
+    """The sum that is 0 for numbers with the check digit of payment cards, modulo 10."""
+    digits = F.split(F.reverse(F.regexp_replace(number, "[^0-9]", "")), "")
+    value = lambda c, k: F.try_element_at(F.array(*map(F.lit, (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 10 * (k % 2) + 1)
+    return F.aggregate(F.transform(digits, value), F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The draw number ``attempt`` for a value: same kind, length and signs (addresses: same form); names keep gender and script."""
+def with_surrogates(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (kind, value, attempt) with the draw of that number as surrogate: same kind, length and signs (IP addresses:
+    same form); names keep gender and script, card numbers whether they pass their check, phones their country."""
+    kind, value, attempt, stream = F.col("kind"), F.col("value"), F.col("attempt"), F.col("_stream")
     seed = F.concat_ws("\x1f", F.lit(key), kind, F.lower(value), attempt.cast("string"))
-    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512))
     byte = lambda k: _byte(stream, F.lit(k))
     script = F.when(value.rlike("[А-яЁё]"), "cyrillic").when(value.rlike("[Α-Ωα-ωά-ώ]"), "greek").otherwise("latin")
-    ip = F.concat_ws(".", *[(byte(k) % 254 + 1).cast("string") for k in range(4)])
     start = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(2)).when(kind == "access_key", F.lit(4)).otherwise(F.lit(0))
-    local = F.substring_index(value, ".", -1)
+    tail = F.when(kind == "email", F.substring_index(value, ".", -1)).otherwise(F.lit(""))
+    drawn = df.withColumns({"_stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)), "_tail": tail})
+    drawn = drawn.withColumn("_body", F.concat(_spelled(value.substr(F.lit(1), F.length(value) - F.length("_tail")), stream, start), F.col("_tail")))
+
+    headless = F.concat(F.col("_body").substr(F.lit(1), F.length("_body") - 1), F.lit("0"))
+    card = F.when(_check_sum(value) == 0, F.concat(F.col("_body").substr(F.lit(1), F.length("_body") - 1), ((10 - _check_sum(headless)) % 10).cast("string"))).otherwise(F.col("_body"))
+    ip = F.concat_ws(".", *[(byte(k) % 254 + 1).cast("string") for k in range(4)])
     hexed = F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(c.rlike("[A-F]"), F.lit("ABCDEF").substr(_byte(stream, k) % 6 + 1, F.lit(1))).otherwise(F.lit("0123456789abcdef").substr(_byte(stream, k) % 16 + 1, F.lit(1)))), "")
-    email = F.concat(_spelled(value.substr(F.lit(1), F.length(value) - F.length(local)), stream, F.lit(0)), local)
-    body = _spelled(value, stream, start)
-    # a card number that passes the check gets the last digit that makes its surrogate pass
-    checked = F.when((kind == "card") & _luhn(value), F.coalesce(*[F.when(_luhn(F.concat(body.substr(F.lit(1), F.length(body) - 1), F.lit(str(d)))), F.concat(body.substr(F.lit(1), F.length(body) - 1), F.lit(str(d)))) for d in range(10)])).otherwise(body)
 
     def family(s: str) -> Column:
-        made = F.array_join(F.transform(F.sequence(F.lit(0), 3 + F.least(F.lit(20), F.floor(attempt / 4).cast("int"))), lambda k: _pick(SYLLABLES[s], _byte(stream, k))), "")
-        return F.initcap(made)
+        size = 3 + F.least(F.lit(20), F.floor(attempt / 4).cast("int"))
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), size), lambda k: _pick(SYLLABLES[s], _byte(stream, k))), ""))
 
     def given(s: str) -> Column:
-        def of(g: str) -> Column:
-            ends = {"male": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "female": {"latin": "a", "cyrillic": "а", "greek": "α"}, "either": {}}[g].get(s, "")
-            return F.when(attempt < 3, _pick(GIVEN[s, g], byte(5))).otherwise(F.concat(family(s), F.lit(ends)))
-
+        ends = {"male": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "female": {"latin": "a", "cyrillic": "а", "greek": "α"}, "either": {}}
+        of = lambda g: F.when(attempt < 3, _pick(GIVEN[s, g], byte(5))).otherwise(F.concat(family(s), F.lit(ends[g].get(s, ""))))
         return F.when(kind == "given_male", of("male")).when(kind == "given_female", of("female")).otherwise(of("either"))
 
     by_script = lambda f: F.when(script == "cyrillic", f("cyrillic")).when(script == "greek", f("greek")).otherwise(f("latin"))
-    return F.when(kind == "ip", ip).when((kind == "secret") | ((kind == "assigned") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), hexed).when(kind == "email", email).when(kind == "surname", by_script(family)).when(kind.startswith("given_"), by_script(given)).otherwise(checked)
+    in_hex = (kind == "secret") | ((kind == "assigned") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    out = F.when(kind == "ip", ip).when(in_hex, hexed).when(kind == "card", card).when(kind == "surname", by_script(family)).when(kind.startswith("given_"), by_script(given)).otherwise(F.col("_body"))
+    return drawn.withColumn("surrogate", out).drop("_stream", "_tail", "_body")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -157,17 +165,20 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     Who loses a collision draws again, in rounds until none is left. The smallest value of a surrogate keeps it, so the
     result depends on the set of entities and the key alone.
     """
-    drawn = materialize(entities.select("kind", "value", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("value"), F.lit(0), key).alias("surrogate")))
+    entities = materialize(entities.select("kind", "value"))
+    real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+    drawn, settled = materialize(with_surrogates(entities.withColumn("attempt", F.lit(0)), key)), None
     for _ in range(ROUNDS):
-        own = materialize(drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n")))
-        real = drawn.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        checked = drawn.join(own, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+        every = drawn.withColumn("new", F.lit(True)) if settled is None else settled.withColumn("new", F.lit(False)).unionByName(drawn.withColumn("new", F.lit(True)))
+        own = materialize(every.groupBy("kind", "surrogate").agg(F.min(F.struct("new", "value")).getField("value").alias("owner")))
         lost = (F.col("owner") != F.col("value")) | F.col("real").isNotNull()
-        checked = materialize(checked.select("kind", "value", (F.col("attempt") + lost.cast("int")).alias("attempt"), F.col("surrogate"), lost.alias("lost")))
-        if checked.where("lost").isEmpty():
-            return checked.select("kind", "value", "surrogate")
-        again = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
-        drawn = materialize(checked.select("kind", "value", "attempt", F.when(F.col("lost"), again).otherwise(F.col("surrogate")).alias("surrogate")))
+        checked = materialize(drawn.join(own, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").select("kind", "value", "attempt", "surrogate", lost.alias("lost")))
+        kept = checked.where("not lost").drop("lost")
+        settled = kept if settled is None else settled.unionByName(kept)
+        again = checked.where("lost").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        if again.isEmpty():
+            return settled.select("kind", "value", "surrogate")
+        drawn = materialize(with_surrogates(again, key))
     raise ValueError("too many entities of one format for distinct surrogates")
 
 
@@ -183,14 +194,14 @@ def replace_private(docs: DataFrame, key: str = "gridwright") -> DataFrame:
     docs = docs.select(*columns)
     has = has_private(F.col("text"))
     key_of = F.sha2("text", 256).alias("_text")
-    private = F.array_distinct(F.filter(segments(text_or_empty()), lambda s: s["kind"].isNotNull()))
-    found = docs.where(has).groupBy(key_of).agg(F.min("text").alias("text")).select("_text", private.alias("entities"))
-    found = materialize(found.select("_text", F.explode("entities").alias("e")).select("_text", "e.kind", "e.value"))
+    found = with_segments(docs.where(has).groupBy(key_of).agg(F.min("text").alias("text")))
+    private = F.array_distinct(F.filter("_parts", lambda s: s["kind"].isNotNull()))
+    found = materialize(found.select("_text", F.explode(private).alias("e")).select("_text", "e.kind", "e.value"))
     drawn = materialize(surrogates(found.select("kind", "value").distinct(), key))
     entry = F.struct(F.concat_ws("\x1f", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
     maps = materialize(found.join(drawn, ["kind", "value"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(entry)).alias("_map")))
-    parts = segments(F.col("text"))
-    swapped = F.array_join(F.transform(parts, lambda s: F.when(s["kind"].isNull(), s["value"]).otherwise(F.try_element_at(F.col("_map"), F.concat_ws("\x1f", s["kind"], s["value"])))), "")
-    number = F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).cast("long")
-    touched = docs.where(has).withColumn("_text", F.sha2("text", 256)).join(maps, "_text").withColumns({"n_private": number, "text": swapped})
+    swapped = F.array_join(F.transform("_parts", lambda s: F.when(s["kind"].isNull(), s["value"]).otherwise(F.try_element_at(F.col("_map"), F.concat_ws("\x1f", s["kind"], s["value"])))), "")
+    touched = with_segments(docs.where(has).withColumn("_text", F.sha2("text", 256)).join(maps, "_text"))
+    number = F.size(F.filter("_parts", lambda s: s["kind"].isNotNull())).cast("long")
+    touched = touched.withColumn("n_private", number).withColumn("text", swapped)
     return docs.where(~has).withColumn("n_private", F.lit(0).cast("long")).unionByName(touched.select(*columns, "n_private"))
