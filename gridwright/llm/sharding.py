@@ -86,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         start[s] = start.get(s, 0) + c.n
     planned = F.broadcast(docs.sparkSession.createDataFrame(plan, "cell int, shard int, start long, salts int"))
     dealt = sized.join(planned, "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts").cast("int"))
-    parts = dealt.groupBy("cell", "salt").agg(F.count("*").alias("n")).where("salt > 0 or n > 1")
+    parts = dealt.groupBy("cell", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("cell").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     # only large cells have parts to add up: at most SALTS / LARGE rows
     parts = F.broadcast(parts.join(planned.where("salts > 1").select("cell"), "cell").select("cell", "salt", before.alias("before")))

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .quality import held_out_column
 
-#: Confirmed toxic texts and unlabelled texts that the model is fitted on at most, and features of one text that the driver gets at most.
-POSITIVE_ROWS, UNLABELLED_ROWS, TEXT_FEATURES = 4_000, 8_000, 1_500
+#: Confirmed toxic texts and unlabelled texts that the model is fitted on at most.
+POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
 #: Features kept at most, texts that a feature must be in, prefixes of words that are features, in bytes.
 VOCABULARY, LEAST_TEXTS, PREFIXES = 30_000, 4, (4, 5, 6)
 #: Steps, step size, weight decay, and the slack and strength of the correction of a negative risk.
@@ -53,23 +54,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> Model:
+def fit(index: dict[bytes, int], positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Minimise prior * R+_P + max(0, R-_U - prior * R-_P) of the logistic loss over presence of features.
 
-    Where the second part, the risk on negatives, falls below its slack, the step goes against it instead,
-    as non-negative learning does. Without positives the score is near 0 everywhere.
+    Texts are the numbers of their features. Where the second part, the risk on negatives, falls below its slack, the
+    step goes against it instead, as non-negative learning does. Without positives the score is near 0 everywhere.
     """
-    seen = Counter(f for t in positive for f in t)
-    around = Counter(f for t in unlabelled for f in t)
-    known = [f for f, n in seen.items() if n >= LEAST_TEXTS]
-    known.sort(key=lambda f: (-abs(np.log((seen[f] + 1) / (len(positive) + 2)) - np.log((around[f] + 1) / (len(unlabelled) + 2))), f))
-    index = {f: k for k, f in enumerate(known[:VOCABULARY])}
     weight, bias = np.zeros(len(index)), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     if not positive or not unlabelled or not index:
         return Model(index, weight, bias - 4 * (not positive))
-    texts = [[index[f] for f in t if f in index] for t in (*positive, *unlabelled)]
-    n = np.array([len(t) for t in texts])
-    at, row = np.concatenate([np.array(t, np.int64) for t in texts]), np.repeat(np.arange(len(texts)), n)
+    texts = [*positive, *unlabelled]
+    at, row = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     p = len(positive)
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -108,20 +103,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     others = ids.orderBy(*by).limit(UNLABELLED_ROWS).select("doc_id", F.lit(0).alias("y"))
     wanted = F.broadcast(confirmed.union(others))  # at most POSITIVE_ROWS + UNLABELLED_ROWS
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [b"\n".join(sorted(words_of(t.as_py()), key=hash_of)[:TEXT_FEATURES]) for t in b.column(1).cast(pa.binary())]
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["y", "x"])
+            yield pa.record_batch([b.column(0), pa.array([b"\n".join(words_of(t.as_py())) for t in b.column(1).cast(pa.binary())], pa.binary())], names=["y", "words"])
 
-    got = docs.select("doc_id", "text").join(wanted, "doc_id").select("y", "text").mapInArrow(features, "y int, x binary").toPandas().sort_values(["y", "x"])
-    sets = [[features_of(set(x.split(b"\n")) - {b""}) for x in got["x"][got["y"] == k]] for k in (1, 0)]
-    return fit(sets[0], sets[1], prior)
-
-
-def hash_of(word: bytes) -> int:
-    import zlib
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for y, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                seen[y].update(features_of(set(text.as_py().split(b"\n")) - {b""}))
+            every = list(seen[0] | seen[1])
+            yield pa.record_batch([pa.array(every, pa.binary()), *(pa.array([seen[y][f] for f in every], pa.int64()) for y in (1, 0))], names=["feature", "p", "u"])
+
+    sample = materialize(docs.select("doc_id", "text").join(wanted, "doc_id").select("y", "text").mapInArrow(words, "y int, words binary"))
+    n_p, n_u = (sample.where(f"y = {y}").count() for y in (1, 0))
+    tally = sample.mapInArrow(counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_TEXTS)
+    contrast = F.abs(F.log((F.col("p") + 1) / (n_p + 2)) - F.log((F.col("u") + 1) / (n_u + 2)))
+    index = {bytes(r[0]): k for k, r in enumerate(tally.orderBy(contrast.desc(), "feature").select("feature").limit(VOCABULARY).collect())}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(index[f] for f in features_of(set(t.as_py().split(b"\n"))) if f in index) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([np.array(x, "<u4").tobytes() for x in found], pa.binary())], names=["y", "x"])
 
-    return zlib.crc32(word)
+    got = sample.mapInArrow(numbers, "y int, x binary").toPandas().sort_values(["y", "x"])
+    texts = [[np.frombuffer(x, "<u4") for x in got["x"][got["y"] == y]] for y in (1, 0)]
+    return fit(index, texts[0], texts[1], prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
