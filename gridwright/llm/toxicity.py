@@ -16,8 +16,8 @@ from .quality import held_out_column
 
 #: Confirmed toxic texts and unlabelled texts that the model is fitted on at most.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
-#: Features kept at most, texts that a feature must be in, prefixes of words that are features, in bytes.
-VOCABULARY, LEAST_TEXTS, PREFIXES = 30_000, 4, (4, 5, 6)
+#: Features kept at most, toxic texts that a feature must be in, log ratio to the unlabelled at least, prefixes that are features, in bytes.
+VOCABULARY, LEAST_TEXTS, LEAST_CONTRAST, PREFIXES = 4_000, 4, 0.7, (4, 5, 6)
 #: Steps, step size, weight decay, and the slack and strength of the correction of a negative risk.
 STEPS, RATE, DECAY, SLACK, STRENGTH = 300, 0.05, 1e-4, 0.0, 1.0
 
@@ -58,7 +58,8 @@ def fit(index: dict[bytes, int], positive: list[np.ndarray], unlabelled: list[np
     """Minimise prior * R+_P + max(0, R-_U - prior * R-_P) of the logistic loss over presence of features.
 
     Texts are the numbers of their features. Where the second part, the risk on negatives, falls below its slack, the
-    step goes against it instead, as non-negative learning does. Without positives the score is near 0 everywhere.
+    step goes against it instead, as non-negative learning does. The result is the mean of the second half of the
+    steps, as single ones go to and fro. Without positives the score is near 0 everywhere.
     """
     weight, bias = np.zeros(len(index)), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     if not positive or not unlabelled or not index:
@@ -67,6 +68,7 @@ def fit(index: dict[bytes, int], positive: list[np.ndarray], unlabelled: list[np
     at, row = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     p = len(positive)
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
+    mean, mean_bias, averaged = np.zeros_like(weight), 0.0, 0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(row, weights=weight[at], minlength=len(texts))
@@ -81,9 +83,12 @@ def fit(index: dict[bytes, int], positive: list[np.ndarray], unlabelled: list[np
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
-        weight = weight - RATE * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        bias -= RATE * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    return Model(index, weight, float(bias))
+        rate = RATE * np.sqrt(1 - step / (STEPS + 1))
+        weight = weight - rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+        bias -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
+        if 2 * step > STEPS:
+            mean, mean_bias, averaged = mean + weight, mean_bias + bias, averaged + 1
+    return Model(index, mean / averaged, float(mean_bias / averaged))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -118,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = materialize(docs.select("doc_id", "text").join(wanted, "doc_id").select("y", "text").mapInArrow(words, "y int, words binary"))
     n_p, n_u = (sample.where(f"y = {y}").count() for y in (1, 0))
     tally = sample.mapInArrow(counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_TEXTS)
-    contrast = F.abs(F.log((F.col("p") + 1) / (n_p + 2)) - F.log((F.col("u") + 1) / (n_u + 2)))
-    index = {bytes(r[0]): k for k, r in enumerate(tally.orderBy(contrast.desc(), "feature").select("feature").limit(VOCABULARY).collect())}
+    contrast = F.log((F.col("p") + 1) / (n_p + 2)) - F.log((F.col("u") + 1) / (n_u + 2))
+    index = {bytes(r[0]): k for k, r in enumerate(tally.where(contrast >= LEAST_CONTRAST).orderBy((contrast * F.col("p")).desc(), "feature").select("feature").limit(VOCABULARY).collect())}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
