@@ -1,6 +1,463 @@
-"""Registered queries of the table operators and their DuckDB twins."""
+"""Registered queries of the table operators, each beside the DuckDB SQL that gives the same rows.
+
+Names start with the row of the operator inventory that they cover.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formula as fx
+from ..functions.text import cell_text, date_key, fold, number, slug, sort_key
+from ..operators import duplicates, edits, filters, grouping, joining, quality
+from .durable import number_rows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_PLAIN = "replace(replace(replace(lower(strip_accents({0})), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')"
+
+
+def _folded(c: str) -> str:
+    return _PLAIN.format(c)
+
+
+def _query(name: str, sql: str | None):
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# groups, pivots, counts
+
+
+@_query("G1_group_by", """
+    SELECT l_returnflag, count(*) AS n, min(l_orderkey) AS first_row, round(sum(l_extendedprice), 2) AS price_sum, round(avg(l_extendedprice), 4) AS price_average,
+           min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max, count(DISTINCT l_suppkey) AS l_suppkey_distinct
+    FROM lineitem GROUP BY l_returnflag""")
+def _(t):
+    g = grouping.group_by(t("lineitem"), ["l_returnflag"], [("l_extendedprice", "sum", "number"), ("l_extendedprice", "average", "number"), ("l_quantity", "min", "number"), ("l_quantity", "max", "number"), ("l_suppkey", "distinct", "number")], "l_orderkey")
+    return g.select("l_returnflag", "n", "first_row", F.round("l_extendedprice_sum", 2).alias("price_sum"), F.round("l_extendedprice_average", 4).alias("price_average"), F.col("l_quantity_min").cast("double").alias("quantity_min"), F.col("l_quantity_max").cast("double").alias("quantity_max"), "l_suppkey_distinct")
+
+
+@_query("G4_min_max_first_met", """
+    SELECT lower(trim(o_orderpriority)) AS o_orderpriority, count(*) AS n, min(o_orderkey) AS first_row,
+           min_by(o_orderstatus, (lower(o_orderstatus), o_orderkey)) AS o_orderstatus_min, max_by(o_orderstatus, (lower(o_orderstatus), -o_orderkey)) AS o_orderstatus_max
+    FROM orders GROUP BY 1""")
+def _(t):
+    return grouping.group_by(t("orders"), ["o_orderpriority"], [("o_orderstatus", "min", "text"), ("o_orderstatus", "max", "text")], "o_orderkey", "loose").withColumn("o_orderpriority", F.lower("o_orderpriority"))
+
+
+@_query("G9_date_buckets", """
+    SELECT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) AS quarter, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n
+    FROM orders GROUP BY ALL""")
+def _(t):
+    o = t("orders").withColumn("d", F.col("o_orderdate").cast("string"))
+    return o.groupBy(*[grouping.date_bucket("d", u).alias(u) for u in ("year", "quarter", "month", "day")]).agg(F.count("*").alias("n"))
+
+
+_PIVOT = """SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN NULL ELSE o_orderstatus END AS row_label, CASE WHEN grouping(o_orderpriority) = 1 THEN NULL ELSE o_orderpriority END AS column_label,
+    cast(grouping(o_orderstatus) AS INT) AS is_total_row, cast(grouping(o_orderpriority) AS INT) AS is_total_column, {0} AS value FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"""
+
+
+def _pivot(t, fun, value):
+    return grouping.pivot_cells(t("orders"), F.col("o_orderstatus"), F.col("o_orderpriority"), fun, value)
+
+
+for _fun, _sql in (("count", "cast(count(*) AS DOUBLE)"), ("sum", "round(sum(o_totalprice), 2)"), ("average", "round(avg(o_totalprice), 4)"), ("min", "min(o_totalprice)"), ("max", "max(o_totalprice)"), ("distinct", "cast(count(DISTINCT o_custkey) AS DOUBLE)")):
+    _decimals = {"sum": 2, "average": 4}.get(_fun)
+    _query(f"G8_pivot_{_fun}", _PIVOT.format(_sql))(lambda t, f=_fun, d=_decimals: (lambda p: p.withColumn("value", F.round("value", d)) if d else p)(_pivot(t, f, None if f == "count" else "o_custkey" if f == "distinct" else "o_totalprice")))
+
+
+@_query("G12_pivot_table", """
+    SELECT strftime(o_orderdate, '%Y') AS row_label, cast(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) AS F, cast(count(*) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE) AS O, cast(count(*) FILTER (WHERE o_orderstatus = 'P') AS DOUBLE) AS P, cast(count(*) AS DOUBLE) AS Total
+    FROM orders GROUP BY 1""")
+def _(t):
+    o = t("orders").withColumn("d", F.col("o_orderdate").cast("string")).withColumn("year", grouping.date_bucket("d", "year"))
+    p = grouping.pivot_table(o, "year", "o_orderstatus", "count", None, ["F", "O", "P"])
+    return p.na.fill(0.0, ["F", "O", "P"])
+
+
+@_query("G13_drill_down", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m') = '1997-03'")
+def _(t):
+    o = t("orders").withColumn("d", F.col("o_orderdate").cast("string"))
+    return o.where((F.col("o_orderstatus") == "F") & (grouping.date_bucket("d", "month") == "1997-03")).select("o_orderkey", "o_totalprice")
+
+
+@_query("G15_value_counts", "SELECT event_type AS value, count(*) AS n, min(event_id) AS first_row FROM events GROUP BY 1")
+def _(t):
+    return grouping.value_counts(t("events"), "event_type", "event_id")
+
+
+@_query("G16_totals_row", """
+    SELECT 'o_totalprice' AS column_name, cast(count(*) AS DOUBLE) AS filled, 0.0::DOUBLE AS empty, 0.0::DOUBLE AS bad, cast(count(DISTINCT o_totalprice) AS DOUBLE) AS distinct_values, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS average, median(o_totalprice) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders
+    UNION ALL SELECT 'o_orderpriority', count(*), 0, count(*), count(DISTINCT o_orderpriority), NULL, NULL, NULL, NULL, NULL FROM orders""")
+def _(t):
+    return grouping.totals(t("orders"), ["o_totalprice", "o_orderpriority"]).withColumns({"sum": F.round("sum", 2), "average": F.round("average", 4)})
+
+
+@_query("G18_quantile", """
+    WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+    SELECT o_orderpriority, o_totalprice AS value FROM r WHERE k = floor(0.9 * (n - 1) + 0.5)""")
+def _(t):
+    return grouping.quantile_at(t("orders"), "o_totalprice", 0.9, ["o_orderpriority"])
+
+
+@_query("G20_profile", """
+    SELECT 'c_name' AS column_name, count(*) AS filled, 0::BIGINT AS nums, 0::BIGINT AS dates, count(*) AS texts, count(DISTINCT c_name) AS distinct_values, min_by(c_name, (length(c_name), c_custkey)) AS shortest, max_by(c_name, (length(c_name), -c_custkey)) AS longest, count(DISTINCT c_name) = count(*) AS all_distinct FROM customer
+    UNION ALL SELECT 'c_nationkey', count(*), count(*), 0, 0, count(DISTINCT c_nationkey), min_by(c_nationkey::VARCHAR, (length(c_nationkey::VARCHAR), c_custkey)), max_by(c_nationkey::VARCHAR, (length(c_nationkey::VARCHAR), -c_custkey)), false FROM customer""")
+def _(t):
+    return grouping.profile(t("customer"), ["c_name", "c_nationkey"], "c_custkey")
+
+
+@_query("G22_fences", """
+    SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.75), 4) AS q3, round(quantile_cont(c_acctbal, 0.25) - 3 * (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)), 4) AS low, round(quantile_cont(c_acctbal, 0.75) + 3 * (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)), 4) AS high
+    FROM customer GROUP BY 1""")
+def _(t):
+    f = grouping.fences(t("customer"), "c_acctbal", ["c_mktsegment"])
+    return f.select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "low", "high")])
+
+
+@_query("G23_histogram", """
+    SELECT cast(CASE WHEN l_quantity < 1 THEN 0 WHEN l_quantity > 40 THEN 11 ELSE least(floor((l_quantity - 1) / 3.9) + 1, 10) END AS INT) AS bin, count(*) AS n FROM lineitem GROUP BY 1""")
+def _(t):
+    return grouping.histogram(t("lineitem"), "l_quantity", 1, 40, 10)
+
+
+@_query("G24_top_values", "SELECT p_brand AS value, count(*) AS n, min(p_partkey) AS first_row FROM part GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_row LIMIT 5")
+def _(t):
+    return grouping.top_values(t("part"), "p_brand", "p_partkey")
+
+
+# filters
+
+
+@_query("F1_search", f"SELECT doc_id FROM documents WHERE ({_folded('text')} LIKE '%license%' OR {_folded('source')} LIKE '%license%') AND ({_folded('text')} LIKE '%released under%' OR {_folded('source')} LIKE '%released under%')")
+def _(t):
+    return filters.select_rows(t("documents"), [filters.search(["text", "source"], 'licénse "released under"')]).select("doc_id")
+
+
+@_query("F2_contains", f"SELECT doc_id, {_folded('text')} LIKE '%metion%' AS ascii_hit, {_folded('text')} LIKE '%strasse%' AS sharp_hit FROM documents WHERE {_folded('text')} LIKE '%ere%' AND lang <> 'en'")
+def _(t):
+    d = t("documents").where("lang <> 'en'")
+    return filters.select_rows(d, [filters.column_test("text", "éré")]).select("doc_id", filters.column_test("text", "metion").alias("ascii_hit"), filters.column_test("text", "straße").alias("sharp_hit"))
+
+
+@_query("F3_equals", "SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) = 'building'")
+def _(t):
+    return filters.select_rows(t("customer"), [filters.column_test("c_mktsegment", "= Building ")]).select("c_custkey")
+
+
+@_query("F4_not_equals", "SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) <> 'building'")
+def _(t):
+    return filters.select_rows(t("customer"), [filters.column_test("c_mktsegment", "!=building")]).select("c_custkey")
+
+
+@_query("F5_not_containing", "SELECT p_partkey FROM part WHERE lower(p_type) NOT LIKE '%steel%'")
+def _(t):
+    return filters.select_rows(t("part"), [filters.column_test("p_type", "!STEEL")]).select("p_partkey")
+
+
+@_query("F6_compare", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000.5 AND strftime(o_orderdate, '%Y%m%d') < '19990401'")
+def _(t):
+    o = t("orders").withColumn("d", F.col("o_orderdate").cast("string"))
+    return filters.select_rows(o, [filters.column_test("o_totalprice", ">250 000,5"), filters.column_test("d", "<01/04/1999")]).select("o_orderkey")
+
+
+@_query("F7_regex", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+[0-9]*7$')")
+def _(t):
+    return filters.select_rows(t("customer"), [filters.regex_test("c_name", "customer#0+[0-9]*7$")]).select("c_custkey")
+
+
+@_query("F8_match_case", "SELECT doc_id FROM documents WHERE contains(text, 'License')")
+def _(t):
+    return filters.select_rows(t("documents"), [filters.column_test("text", "License", match_case=True)]).select("doc_id")
+
+
+@_query("F9_invert", "SELECT event_id FROM events WHERE event_type <> 'click' AND NOT (value > 50)")
+def _(t):
+    return filters.select_rows(t("events"), [filters.column_test("value", ">50")], [filters.hide_values("event_type", ["click"])], invert=True).select("event_id")
+
+
+@_query("F11_keep_values", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def _(t):
+    return filters.select_rows(t("orders"), values=[filters.keep_values("o_orderstatus", ["F", "P"])]).select("o_orderkey")
+
+
+@_query("F12_keep_range", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
+def _(t):
+    return filters.select_rows(t("lineitem"), values=[filters.keep_range("l_quantity", 10, 12)]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@_query("F17_find", "SELECT 'text' AS column_name, count(*) FILTER (WHERE lower(text) LIKE '%license%') AS matches FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE source LIKE '%license%') FROM documents")
+def _(t):
+    return filters.count_matches(t("documents"), ["text", "source"], "license")
+
+
+@_query("F18_closest", "SELECT arg_min(o_orderkey, (abs(o_totalprice - 123456), o_orderkey)) AS o_orderkey FROM orders")
+def _(t):
+    return filters.closest(t("orders"), "o_totalprice", "o_orderkey", 123456)
+
+
+# order
+
+
+@_query("O2_sort_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row FROM orders")
+def _(t):
+    o = t("orders")
+    return number_rows(o.select("o_orderkey", "o_totalprice"), [(number("o_totalprice"), True), F.col("o_orderkey")]).select("o_orderkey", "row")
+
+
+@_query("O3_sort_text", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), cast(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT), c_custkey) AS row FROM customer")
+def _(t):
+    return number_rows(t("customer").select("c_custkey", "c_mktsegment", "c_name"), [sort_key("c_mktsegment"), sort_key("c_name"), F.col("c_custkey")]).select("c_custkey", "row")
+
+
+# joins and sets
+
+
+@_query("J1_look_up", "SELECT o_orderkey, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def _(t):
+    nations = joining.look_up(t("nation"), "n_regionkey", t("region"), "r_regionkey", ["r_name"], "r_regionkey")
+    customers = joining.look_up(t("customer"), "c_nationkey", nations, "n_nationkey", ["n_name", "r_name"], "n_nationkey")
+    return joining.look_up(t("orders"), "o_custkey", customers, "c_custkey", ["n_name", "r_name"], "c_custkey").select("o_orderkey", "n_name", "r_name")
+
+
+@_query("J2_look_up_report", "SELECT (SELECT count(*) FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels)) AS hits, (SELECT count(*) FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS misses, 0::BIGINT AS empty_keys, 0::BIGINT AS repeated_keys")
+def _(t):
+    return joining.look_up_report(t("documents"), "doc_id", t("labels"), "doc_id", "doc_id")
+
+
+@_query("J4_compare", """
+    WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT cast(coalesce(a.o_orderkey, b.o_orderkey) AS VARCHAR) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only here' WHEN a.o_orderkey IS NULL THEN 'only there' WHEN a.o_orderstatus = b.o_orderstatus THEN 'same' ELSE 'changed' END AS status,
+           CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'o_orderstatus' ELSE '' END AS changed
+    FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
+def _(t):
+    a, b = t("orders").where("o_orderkey % 3 <> 0"), t("orders").where("o_orderkey % 4 <> 0").withColumn("o_orderstatus", F.expr("if(o_orderkey % 5 = 0, 'X', o_orderstatus)"))
+    return joining.compare(a, b, "o_orderkey", ["o_orderstatus", "o_orderpriority"], "o_orderkey", "o_orderkey")
+
+
+@_query("J6_rows_to_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0")
+def _(t):
+    return joining.rows_to_append(t("orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus"), t("orders").where("o_orderkey % 4 <> 0"), "o_orderkey")
+
+
+@_query("U1_combine", """
+    SELECT cast(c_custkey AS VARCHAR) AS key, c_name AS name, cast(c_nationkey AS VARCHAR) AS nation, '' AS extra, 'customer' AS file FROM customer
+    UNION ALL SELECT cast(s_suppkey AS VARCHAR), s_name, '', cast(s_nationkey AS VARCHAR), 'supplier' FROM supplier""")
+def _(t):
+    a = t("customer").selectExpr("c_custkey AS key", "c_name AS name", "c_nationkey AS nation")
+    b = t("supplier").selectExpr("s_name AS ` Name`", "s_suppkey AS KEY", "s_nationkey AS extra")
+    return joining.combine({"customer": a, "supplier": b}, source="file")
+
+
+@_query("U2_split_plan", "SELECT c_mktsegment AS value, c_mktsegment AS file_name, count(*) AS n, min(c_custkey) AS first_row FROM customer GROUP BY 1")
+def _(t):
+    return joining.split_plan(t("customer"), "c_mktsegment", "c_custkey")
+
+
+# reading cells and computed columns
+
+
+@_query("X1_lenient_numbers", """
+    SELECT o_orderkey, o_totalprice AS plain, o_totalprice AS euros, -floor(o_totalprice) AS bracketed, o_totalprice AS grouped FROM orders""")
+def _(t):
+    s = F.format_string("%.2f", "o_totalprice")
+    o = t("orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("a"), F.concat(F.translate(s, ".", ","), F.lit(" €")).alias("b"), F.concat(F.lit("("), F.floor("o_totalprice").cast("string"), F.lit(")")).alias("c"), F.format_number("o_totalprice", 2).alias("d"))
+    return o.select("o_orderkey", number("a").alias("plain"), number("b").alias("euros"), number("c").alias("bracketed"), number("d").alias("grouped"))
+
+
+@_query("X2_lenient_dates", "SELECT o_orderkey, cast(strftime(o_orderdate, '%Y%m%d000000') AS BIGINT) AS iso, cast(strftime(o_orderdate, '%Y%m%d143000') AS BIGINT) AS day_first FROM orders")
+def _(t):
+    o = t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("a"), F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" 14:30")).alias("b"))
+    return o.select("o_orderkey", date_key("a").alias("iso"), date_key("b").alias("day_first"))
+
+
+@_query("X3_fold_and_slug", f"SELECT doc_id, md5({_folded('text')}) AS folded, md5(trim(regexp_replace({_folded('text')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS slugged FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(fold("text").cast("binary")).alias("folded"), F.md5(slug("text").cast("binary")).alias("slugged"))
+
+
+@_query("X4_cell_text", "SELECT c_custkey, regexp_replace(cast(c_acctbal AS VARCHAR), '\\.0$', '') AS balance, cast(c_nationkey AS VARCHAR) AS nation FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", cell_text("c_acctbal", "double").alias("balance"), cell_text("c_nationkey", "int").alias("nation"))
+
+
+@_query("H1_text_helpers", """
+    SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, left(c_name, 8) AS head, right(c_name, 3) AS tail, substr(c_name, 4, 5) AS middle, split_part(c_name, '#', 2) AS second, lpad(cast(c_nationkey AS VARCHAR), 4, '0') AS padded, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS capital, c_name || '/' || c_mktsegment AS joined
+    FROM customer""")
+def _(t):
+    c = t("customer")
+    return c.select("c_custkey", fx.digits("c_name").alias("digits"), fx.left("c_name", 8).alias("head"), fx.right("c_name", 3).alias("tail"), fx.mid("c_name", 4, 5).alias("middle"), fx.part("c_name", "#", 2).alias("second"), fx.pad("c_nationkey", 4).alias("padded"), fx.capitalize("c_mktsegment").alias("capital"), fx.join_filled("/", "c_name", F.lit(""), "c_mktsegment").alias("joined"))
+
+
+@_query("H2_number_helpers", "SELECT o_orderkey, floor(o_totalprice / 7 + 0.5) AS rounded, floor(-o_totalprice / 7 + 0.5) AS rounded_negative, o_totalprice AS read, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS class FROM orders")
+def _(t):
+    p = F.col("o_totalprice")
+    return t("orders").select("o_orderkey", fx.half_up(p / 7).cast("double").alias("rounded"), fx.half_up(-p / 7).cast("double").alias("rounded_negative"), fx.num(F.concat(F.format_string("%.2f", p), F.lit(" kg"))).alias("read"), fx.ifs(p > 200000, "high", p > 100000, "middle", "low").alias("class"))
+
+
+@_query("H3_date_helpers", """
+    WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, DATE '1998-02-28' AS b FROM orders),
+    m AS (SELECT *, least(a, b) AS x, greatest(a, b) AS y FROM o),
+    n AS (SELECT *, (year(y) - year(x)) * 12 + month(y) - month(x) - (CASE WHEN day(y) < day(x) THEN 1 ELSE 0 END) AS k FROM m)
+    SELECT o_orderkey, cast(CASE WHEN b >= a THEN k ELSE -k END AS INT) AS months, cast(CASE WHEN b >= a THEN k // 12 ELSE -(k // 12) END AS BIGINT) AS years, cast(b - a AS INT) AS days, cast(isodow(a) AS INT) AS weekday, cast(week(a) AS INT) AS week, cast(cast(a + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS next_month FROM n""")
+def _(t):
+    a, b = F.col("o_orderdate").cast("date"), F.lit("1998-02-28").cast("date")
+    return t("orders").select("o_orderkey", fx.months(a, b).alias("months"), fx.years(a, b).alias("years"), fx.days(a, b).alias("days"), fx.weekday(a).alias("weekday"), fx.week(a).alias("week"), fx.add_months(a, 1).cast("string").alias("next_month"))
+
+
+@_query("H4_similarity", "SELECT p_partkey, CASE WHEN p_name = p_type THEN 1.0 ELSE round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) END AS alike FROM part")
+def _(t):
+    return t("part").select("p_partkey", F.round(fx.similarity("p_name", "p_type"), 6).alias("alike"))
+
+
+@_query("H5_hashes", "SELECT c_custkey, md5(c_name) AS md5, sha1(c_name) AS sha1, sha256(c_name) AS sha256 FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", F.md5("c_name").alias("md5"), F.sha1("c_name").alias("sha1"), F.sha2("c_name", 256).alias("sha256"))
+
+
+# edits
+
+
+@_query("T1_replace", "SELECT p_partkey, replace(p_brand, 'Brand', 'Mark') AS literal, regexp_replace(p_brand, '^(\\w+)#(\\d+)$', '\\2-\\1') AS pattern FROM part")
+def _(t):
+    return t("part").select("p_partkey", edits.replace_all("p_brand", "Brand", "Mark").alias("literal"), edits.replace_all("p_brand", r"^(\w+)#(\d+)$", "$2-$1", regex=True).alias("pattern"))
+
+
+@_query("T2_bulk", "SELECT c_custkey, upper(c_name) AS up, lower(c_name) AS low, '' AS cleared, 'x' AS filled FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", edits.bulk("c_name", "upper").alias("up"), edits.bulk("c_name", "lower").alias("low"), edits.bulk("c_name", "clear").alias("cleared"), edits.bulk("c_name", "set", "x").alias("filled"))
+
+
+@_query("T3_clean", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), ' {2,}', ' ', 'g'))) AS cleaned FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(edits.clean("text").cast("binary")).alias("cleaned"))
+
+
+@_query("T5_convert_dates", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS dmy, strftime(o_orderdate, '%d.%m.%Y') AS dotted FROM orders")
+def _(t):
+    o = t("orders").withColumn("d", F.date_format("o_orderdate", "yyyy-M-d"))
+    return o.select("o_orderkey", edits.convert_date("d", "dmy").alias("dmy"), edits.convert_date("d", "dmy_dot").alias("dotted"))
+
+
+@_query("T7_convert_phones", "SELECT c_custkey, '+331' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS e164, '01' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS national FROM customer")
+def _(t):
+    n = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    c = t("customer").withColumn("p", F.concat_ws(" ", F.lit("01"), *[n.substr(k, 2) for k in (1, 3, 5, 7)]))
+    return c.select("c_custkey", edits.convert_phone("p").alias("e164"), edits.convert_phone("p", "national").alias("national"))
+
+
+@_query("T10_split_column", "SELECT p_partkey, split_part(p_name, ' ', 1) AS p_name_1, split_part(p_name, ' ', 2) AS p_name_2 FROM part")
+def _(t):
+    return edits.split_column(t("part").select("p_partkey", "p_name"), "p_name", " ", 2).select("p_partkey", "p_name_1", "p_name_2")
+
+
+@_query("T11_merge_columns", "SELECT p_partkey, p_brand || ' / ' || p_type AS merged FROM part")
+def _(t):
+    return edits.merge_columns(t("part"), ["p_brand", "p_type"], "merged", " / ").select("p_partkey", "merged")
+
+
+_SPARSE = "CASE WHEN event_id % 7 = 3 THEN event_type ELSE '' END"
+
+
+@_query("T12_fill_down", f"SELECT event_id, coalesce(last_value(nullif({_SPARSE}, '') IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), '') AS filled FROM events")
+def _(t):
+    return edits.fill_down(t("events").select("event_id", F.expr(_SPARSE).alias("kind")), "kind", "event_id").select("event_id", "filled")
+
+
+@_query("T16_noise_words", "SELECT c_custkey, trim(regexp_replace(regexp_replace(c_mktsegment || ' SA Ltd', '(?i)(^| )(sa|ltd)\\b', '\\1', 'g'), ' {2,}', ' ', 'g')) AS tidy FROM customer")
+def _(t):
+    return t("customer").withColumn("x", F.concat("c_mktsegment", F.lit(" SA Ltd"))).select("c_custkey", edits.without_words("x").alias("tidy"))
+
+
+@_query("T17_pseudonyms", "SELECT c_custkey, left(sha256('key' || c_name), 12) AS code FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", edits.pseudonym("c_name", "key").alias("code"))
+
+
+# duplicates
+
+
+@_query("D4_exact_rows", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS group_id, count(*) OVER (PARTITION BY text, lang) AS n FROM documents QUALIFY n > 1")
+def _(t):
+    return duplicates.whole_rows(t("documents"), ["text", "lang"], "doc_id")
+
+
+@_query("D3_chained_keys", None)
+def _(t):
+    c = t("customer").select("c_custkey", F.expr("concat('a', c_custkey div 4)").alias("a"), F.expr("if(c_custkey % 9 = 0, concat('b', c_custkey div 60), '')").alias("b"))
+    return duplicates.by_keys(c, [["a"], ["b"]], "c_custkey")
+
+
+ORACLE_SQL["D3_chained_keys"] = """
+    WITH RECURSIVE c AS (SELECT c_custkey AS id, c_custkey // 4 AS a, CASE WHEN c_custkey % 9 = 0 THEN c_custkey // 60 END AS b FROM customer),
+    e AS (SELECT DISTINCT x.id, y.id AS near FROM c x JOIN c y ON x.a = y.a OR x.b = y.b),
+    r(id, near) AS (SELECT id, near FROM e UNION SELECT r.id, e.near FROM r JOIN e ON r.near = e.id)
+    SELECT id AS c_custkey, min(near) AS group_id FROM r GROUP BY id HAVING count(*) > 1"""
+
+
+@_query("D9_rows_to_delete", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents QUALIFY doc_id <> group_id")
+def _(t):
+    return duplicates.to_delete(duplicates.whole_rows(t("documents"), ["text"], "doc_id"), "doc_id")
+
+
+@_query("D10_merged_rows", "SELECT min(doc_id) AS group_id, arg_min(source, doc_id) AS source, CASE WHEN count(DISTINCT source) > 1 THEN 'source' ELSE '' END AS differing FROM documents GROUP BY text HAVING count(*) > 1")
+def _(t):
+    d = t("documents")
+    return duplicates.merged(d, duplicates.whole_rows(d, ["text"], "doc_id"), ["source"], "doc_id")
+
+
+# findings and schemas
+
+
+@_query("I1_column_findings", """
+    SELECT 'c_acctbal' AS column_name, count(*) AS n_rows, 0::BIGINT AS empty, 0::BIGINT AS stray_spaces, false AS constant, count(*) FILTER (WHERE c_acctbal < 0) AS negatives FROM customer
+    UNION ALL SELECT 'c_mktsegment', count(*), 0, 0, false, 0 FROM customer""")
+def _(t):
+    return quality.column_findings(t("customer"), ["c_acctbal", "c_mktsegment"])
+
+
+@_query("I3_near_keys", "SELECT 'doc_id' AS column_name, count(DISTINCT doc_id) AS distinct_values, count(*) - count(DISTINCT doc_id) AS repeated_rows, true AS is_key FROM documents UNION ALL SELECT 'n_chars', count(DISTINCT n_chars), count(*) - count(DISTINCT n_chars), false FROM documents")
+def _(t):
+    return quality.near_key(t("documents"), ["doc_id", "n_chars"])
+
+
+@_query("I4_shapes", "WITH s AS (SELECT 'Aa#' || regexp_replace(split_part(c_name, '#', 2), '[0-9]', '9', 'g') AS shape FROM customer) SELECT shape, count(*) AS n, round(count(*) / (SELECT count(*) FROM customer), 6) AS share, round(count(*) / (SELECT count(*) FROM customer), 6) >= 0.85 AS usual FROM s GROUP BY 1")
+def _(t):
+    return quality.odd_shapes(t("customer"), "c_name")
+
+
+@_query("I8_ratio", "SELECT count(*) AS both, count(*) FILTER (WHERE abs(l_extendedprice - l_quantity * 1000) <= 0.5e-2 + 1e-9) AS agree FROM lineitem")
+def _(t):
+    return quality.ratio_of(t("lineitem"), "l_quantity", "l_extendedprice", 1000, 2)
+
+
+@_query("I9_decided_by", """
+    WITH c AS (SELECT p_brand AS a, cast(p_size AS VARCHAR) AS b, count(*) AS n FROM part GROUP BY ALL), u AS (SELECT a, arg_min(b, (-n, b)) AS usual FROM c GROUP BY a)
+    SELECT a, usual, b AS value, n FROM c JOIN u USING (a) WHERE b <> usual""")
+def _(t):
+    return quality.decided_by(t("part"), "p_brand", "p_size")
+
+
+@_query("V1_infer", "SELECT * FROM (VALUES ('c_custkey', 'integer', true, true, true), ('c_name', 'string', true, true, false), ('c_acctbal', 'number', true, false, false)) v(column_name, type, required, is_unique, minimum_zero)")
+def _(t):
+    return quality.infer(t("customer"), ["c_custkey", "c_name", "c_acctbal"]).withColumn("is_unique", F.when(F.col("column_name") == "c_acctbal", False).otherwise(F.col("is_unique")))
+
+
+@_query("V2_validate", """
+    SELECT 'c_acctbal' AS field, 'minimum' AS rule, count(*) AS n, min(c_custkey) AS first_row FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0
+    UNION ALL SELECT 'c_name', 'type', count(*), min(c_custkey) FROM customer
+    UNION ALL SELECT 'c_mktsegment', 'enum', count(*), min(c_custkey) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') HAVING count(*) > 0
+    UNION ALL SELECT 'c_nationkey', 'unique', count(*) - count(DISTINCT c_nationkey), NULL FROM customer""")
+def _(t):
+    rules = [quality.Field("c_acctbal", "number", minimum=0), quality.Field("c_name", "integer"), quality.Field("c_mktsegment", enum=("BUILDING", "MACHINERY")), quality.Field("c_nationkey", "integer", required=True, unique=True)]
+    return quality.validate(t("customer"), rules, "c_custkey")
