@@ -54,7 +54,10 @@ def match_key(c, how: str) -> Column:
 
 
 def number(c) -> Column:
-    """A number as people write it, else null: currency and group marks dropped, (42) negative, the last of ``,`` and ``.`` decimal."""
+    """A number as people write it, else null: currency and group marks dropped, (42) negative, the last of ``,`` and ``.`` decimal.
+
+    The type is a constant of the plan, so for a numeric column the optimizer leaves the plain conversion alone; NaN is unreadable.
+    """
     s = trimmed(c)
     inner = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
     bare = F.regexp_replace(inner, "[€$£%¥   '_]", "")
@@ -66,7 +69,14 @@ def number(c) -> Column:
         .when(commas == 1, F.replace(bare, F.lit(","), F.lit("."))).when(commas > 1, no(",")).when(dots > 1, no(".")).otherwise(bare)
     )
     ok = plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$") & (F.octet_length(s) <= 40)
-    return F.when(ok, plain.try_cast("double"))
+    read = F.when(ok, plain.try_cast("double"))
+    typed = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double")
+    return F.when(_is_numeric(c), F.when(~F.isnan(typed), typed)).otherwise(read)
+
+
+def _is_numeric(c) -> Column:
+    """A constant of the plan, folded before the query runs."""
+    return F.typeof(F.col(c) if isinstance(c, str) else c).rlike("^(?:tinyint|smallint|int|bigint|float|double|decimal.*)$")
 
 
 def date_key(c) -> Column:
@@ -79,7 +89,7 @@ def date_key(c) -> Column:
     y, m, d = (F.when(s.rlike(iso + clock), n(whole(iso, i))).otherwise(n(whole(day_first, j))) for i, j in ((1, 4), (3, 3), (4, 1)))
     hh, mi, ss = (F.when(s.rlike(iso + clock), n(whole(iso, k))).otherwise(n(whole(day_first, k))) for k in (5, 6, 7))
     ok = (s.rlike(iso + clock) | s.rlike(day_first + clock)) & m.between(1, 12) & d.between(1, 31) & (hh < 24) & (mi < 60) & (ss < 60)
-    return F.when(ok, ((((y * 100 + m) * 100 + d) * 100 + hh) * 100 + mi) * 100 + ss)
+    return F.when(ok & ~_is_numeric(c), ((((y * 100 + m) * 100 + d) * 100 + hh) * 100 + mi) * 100 + ss)
 
 
 def quantity(c) -> Column:
