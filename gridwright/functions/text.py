@@ -53,23 +53,30 @@ def match_key(c, how: str) -> Column:
     return {"exact": text, "loose": lambda x: F.lower(trimmed(x)), "slug": slug}[how](c)
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def number(c) -> Column:
     """A number as people write it, else null: currency and group marks dropped, (42) negative, the last of ``,`` and ``.`` decimal.
 
     The type is a constant of the plan, so for a numeric column the optimizer leaves the plain conversion alone; NaN is unreadable.
     """
     s = trimmed(c)
-    inner = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
-    bare = F.regexp_replace(inner, "[€$£%¥   '_]", "")
-    commas, dots = (F.length(bare) - F.length(F.replace(bare, F.lit(x), F.lit(""))) for x in (",", "."))
-    no = lambda x: F.replace(bare, F.lit(x), F.lit(""))
-    comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
-    plain = (
-        F.when((commas > 0) & (dots > 0) & comma_last, F.replace(no("."), F.lit(","), F.lit("."))).when((commas > 0) & (dots > 0), no(","))
-        .when(commas == 1, F.replace(bare, F.lit(","), F.lit("."))).when(commas > 1, no(",")).when(dots > 1, no(".")).otherwise(bare)
-    )
-    ok = plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$") & (F.octet_length(s) <= 40)
-    read = F.when(ok, plain.try_cast("double"))
+    bare_text = F.regexp_replace(F.regexp_replace(s, r"^\((.*)\)$", "-$1"), "[€$£%¥   '_]", "")
+
+    def read_bare(bare: Column) -> Column:
+        commas, dots = (F.length(bare) - F.length(F.replace(bare, F.lit(x), F.lit(""))) for x in (",", "."))
+        no = lambda x: F.replace(bare, F.lit(x), F.lit(""))
+        comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
+        return (
+            F.when((commas > 0) & (dots > 0) & comma_last, F.replace(no("."), F.lit(","), F.lit("."))).when((commas > 0) & (dots > 0), no(","))
+            .when(commas == 1, F.replace(bare, F.lit(","), F.lit("."))).when(commas > 1, no(",")).when(dots > 1, no(".")).otherwise(bare)
+        )
+
+    plain = _once(_once(F.when(F.octet_length(s) <= 40, bare_text), read_bare), lambda x: F.when(x.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), x))
+    read = plain.try_cast("double")
     typed = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double")
     return F.when(_is_numeric(c), F.when(~F.isnan(typed), typed)).otherwise(read)
 
@@ -82,14 +89,17 @@ def _is_numeric(c) -> Column:
 def date_key(c) -> Column:
     """A date as the number yyyymmddhhmmss, else null: y-m-d or d-m-y with one separator twice, 4-digit years; days up to 31 in any month."""
     s = trimmed(c)
-    iso, day_first = r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})", r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})"
-    clock = r"(?:[T ]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.[0-9]+)?)?)?$"
-    whole = lambda p, k: F.regexp_extract(s, p + clock, k)
-    n = lambda x: F.coalesce(F.when(x != "", x).try_cast("long"), F.lit(0))
-    y, m, d = (F.when(s.rlike(iso + clock), n(whole(iso, i))).otherwise(n(whole(day_first, j))) for i, j in ((1, 4), (3, 3), (4, 1)))
-    hh, mi, ss = (F.when(s.rlike(iso + clock), n(whole(iso, k))).otherwise(n(whole(day_first, k))) for k in (5, 6, 7))
-    ok = (s.rlike(iso + clock) | s.rlike(day_first + clock)) & m.between(1, 12) & d.between(1, 31) & (hh < 24) & (mi < 60) & (ss < 60)
-    return F.when(ok & ~_is_numeric(c), ((((y * 100 + m) * 100 + d) * 100 + hh) * 100 + mi) * 100 + ss)
+    clock = r"(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?$"
+    shaped = s.rlike(r"^(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})" + clock)
+
+    def key(p: Column) -> Column:
+        n = lambda k: F.coalesce(F.try_element_at(p, F.lit(k)).try_cast("long"), F.lit(0))
+        iso = F.length(F.try_element_at(p, F.lit(1))) == 4
+        y, m, d = F.when(iso, n(1)).otherwise(n(3)), n(2), F.when(iso, n(3)).otherwise(n(1))
+        ok = m.between(1, 12) & d.between(1, 31) & (n(4) < 24) & (n(5) < 60) & (n(6) < 60)
+        return F.when(ok, ((((y * 100 + m) * 100 + d) * 100 + n(4)) * 100 + n(5)) * 100 + n(6))
+
+    return _once(F.when(shaped & ~_is_numeric(c), F.split(s, r"[-/.T :]")), key)
 
 
 def quantity(c) -> Column:

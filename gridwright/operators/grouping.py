@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions.text import date_key, filled, fold, half_up, match_key, number, text, trimmed
@@ -13,8 +14,22 @@ from ..functions.text import date_key, filled, fold, half_up, match_key, number,
 FUNCTIONS = ("sum", "average", "min", "max", "distinct")
 
 
-def _aggregate(fun: str, c: str, rid: str, kind: str) -> Column:
-    n = number(c)
+def _is_numeric(df: DataFrame, c: str) -> bool:
+    return c in df.columns and isinstance(df.schema[c].dataType, NumericType)
+
+
+def _numeric(df: DataFrame, c: str) -> Column:
+    """A numeric column as it is (NaN unreadable), others by their text."""
+    if _is_numeric(df, c):
+        return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+    return number(c)
+
+
+def _aggregate(df: DataFrame, fun: str, c: str, rid: str, kind: str) -> Column:
+    n = _numeric(df, c)
+    if fun in ("min", "max") and _is_numeric(df, c):  # equal numbers of one type have the same text
+        best = (F.min if fun == "min" else F.max)(n)
+        return F.coalesce(F.regexp_replace(best.cast(df.schema[c].dataType).cast("string"), r"\.0$", ""), F.lit("")).alias(f"{c}_{fun}")
     key = n if kind == "number" else date_key(c) if kind == "date" else fold(trimmed(c))
     known = F.when(key.isNotNull() & filled(c), F.struct(key.alias("key"), F.col(rid).alias("rid")))
     last = F.when(key.isNotNull() & filled(c), F.struct(key.alias("key"), (-F.col(rid)).alias("rid")))
@@ -23,7 +38,7 @@ def _aggregate(fun: str, c: str, rid: str, kind: str) -> Column:
         "average": half_up(F.avg(n), 6),
         "min": F.coalesce(F.min_by(trimmed(c), known), F.lit("")),
         "max": F.coalesce(F.max_by(trimmed(c), last), F.lit("")),
-        "distinct": F.count_distinct(F.when(filled(c), trimmed(c))),
+        "distinct": F.count_distinct(F.col(c) if _is_numeric(df, c) else F.when(filled(c), trimmed(c))),
     }[fun].alias(f"{c}_{fun}")
 
 
@@ -34,8 +49,11 @@ def group_by(df: DataFrame, by: Sequence[str], aggregates: Sequence[tuple[str, s
     group's first row, by which groups of equal count follow each other.
     """
     keys = [match_key(c, how).alias(f"_g{i}") for i, c in enumerate(by)]
+    measures = [F.count("*").alias("n"), F.min(rid).alias("first_row"), *[_aggregate(df, f, c, rid, k) for c, f, k in aggregates]]
+    if how == "exact":  # the key is its own spelling
+        return df.groupBy(*keys).agg(*measures).select(*[F.trim(f"_g{i}").alias(c) for i, c in enumerate(by)], *[c for c in ("n", "first_row", *[f"{c}_{f}" for c, f, _ in aggregates])])
     shown = [F.min_by(trimmed(c), F.col(rid)).alias(c) for c in by]
-    out = df.groupBy(*keys).agg(*shown, F.count("*").alias("n"), F.min(rid).alias("first_row"), *[_aggregate(f, c, rid, k) for c, f, k in aggregates])
+    out = df.groupBy(*keys).agg(*shown, *measures)
     return out.drop(*[f"_g{i}" for i in range(len(by))])
 
 
@@ -55,7 +73,7 @@ def pivot_cells(df: DataFrame, row: Column, column: Column, fun: str, value: str
     """
     label = lambda x: F.when(F.trim(x) == "", F.lit("(empty)")).otherwise(F.trim(x))
     kept = df if fun == "count" else df.where(filled(value))
-    n = number(value) if value else F.lit(None).cast("double")
+    n = _numeric(kept, value) if value else F.lit(None).cast("double")
     measure = {"count": F.count("*").cast("double"), "sum": half_up(F.sum("_v"), 6), "average": half_up(F.avg("_v"), 6), "min": F.min("_v"), "max": F.max("_v"), "distinct": F.count_distinct("_t").cast("double")}[fun]
     cells = kept.select(label(row).alias("row_label"), label(column).alias("column_label"), n.alias("_v"), (trimmed(value) if value else F.lit(None).cast("string")).alias("_t"))
     return cells.cube("row_label", "column_label").agg(F.grouping("row_label").cast("int").alias("is_total_row"), F.grouping("column_label").cast("int").alias("is_total_column"), measure.alias("value"))
@@ -78,7 +96,7 @@ def totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = ("filled", "empty", "bad", "distinct_values", "sum", "average", "median", "min", "max")
     measures = []
     for c in columns:
-        n = number(c)
+        n = _numeric(df, c)
         for name, m in zip(names, (F.count_if(filled(c)), F.count_if(~filled(c)), F.count_if(filled(c) & n.isNull()), F.count_distinct(F.when(filled(c), trimmed(c))), half_up(F.sum(n), 6), half_up(F.avg(n), 6), F.median(n), F.min(n), F.max(n)), strict=True):
             measures.append(m.cast("double").alias(f"{c}__{name}"))
     one = df.agg(*measures)
@@ -91,7 +109,7 @@ def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
     measures = []
     for c in columns:
         t, ok = trimmed(c), filled(c)
-        is_n = ok & number(c).isNotNull()
+        is_n = ok & _numeric(df, c).isNotNull()
         is_d = ok & ~is_n & date_key(c).isNotNull()
         size = F.when(ok, F.struct(F.length(t), F.col(rid)))
         far = F.when(ok, F.struct(F.length(t), -F.col(rid)))
@@ -102,7 +120,7 @@ def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
 
 def quantile_at(df: DataFrame, c: str, p: float, by: Sequence[str] = ()) -> DataFrame:
     """The number at place round(p * (n - 1)) of the sorted ones, in each group: exact, from counts of distinct values."""
-    n = number(c)
+    n = _numeric(df, c)
     counts = df.where(n.isNotNull()).groupBy(*by, n.alias("value")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by).orderBy("value")
     placed = counts.select(*by, "value", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
@@ -111,7 +129,7 @@ def quantile_at(df: DataFrame, c: str, p: float, by: Sequence[str] = ()) -> Data
 
 def fences(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and the fences three interquartile ranges outside them."""
-    n = number(c)
+    n = _numeric(df, c)
     q = df.groupBy(*by).agg(F.percentile(n, F.lit(0.25)).alias("q1"), F.percentile(n, F.lit(0.75)).alias("q3"))
     spread = F.col("q3") - F.col("q1")
     return q.select(*by, "q1", "q3", (F.col("q1") - 3 * spread).alias("low"), (F.col("q3") + 3 * spread).alias("high"))
@@ -119,7 +137,7 @@ def fences(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n): bins 1 to ``bins`` of the line, 0 and bins + 1 for what lies outside."""
-    n = number(c)
+    n = _numeric(df, c)
     at = F.when(n < low, 0).when(n > high, bins + 1).otherwise(F.least(F.floor((n - low) / ((high - low) / bins)).cast("int") + 1, F.lit(bins)))
     return df.where(n.isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
