@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words are encoded together.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 14 << 20
 #: Unicode white space, which separates words; str.split() also splits at U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The vocabulary's pre-tokenizer: contractions, letters, single digits, other signs. A fixed value of the format.
