@@ -46,11 +46,30 @@ def slug(c) -> Column:
     return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def phone_key(c, country: str = "33") -> Column:
+    """A phone number in international form, empty where there is none or all its digits are one."""
+    bare = F.regexp_replace(F.replace(trimmed(c), F.lit("(0)"), F.lit("")), r"[ .()/\-]", "")
+    plus = F.regexp_replace(F.regexp_replace(bare, "^00", "+"), "^0(?=[0-9]{6,14}$)", f"+{country}")
+    return F.when(plus.rlike(r"^\+[0-9]{8,15}$") & ~plus.rlike(r"([0-9])\1{7,}$"), plus).otherwise(F.lit(""))
+
+
+def mail_key(c) -> Column:
+    """A mail address without a tag, and for Gmail without dots; empty where there is none."""
+    s = F.lower(trimmed(c))
+    name, domain = F.regexp_replace(F.substring_index(s, "@", 1), r"\+.*$", ""), F.regexp_replace(F.substring_index(s, "@", -1), "^googlemail\\.com$", "gmail.com")
+    name = F.when(domain == "gmail.com", F.replace(name, F.lit("."), F.lit(""))).otherwise(name)
+    return F.when(s.rlike(r"^[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+$"), F.concat_ws("@", name, domain)).otherwise(F.lit(""))
+
+
+#: Ways to compare cells.
+MATCHING = {"exact": text, "loose": lambda c: F.lower(trimmed(c)), "slug": slug, "digits": lambda c: F.regexp_replace(text(c), "[^0-9]", ""), "phone": phone_key, "mail": mail_key}
+
+
 def match_key(c, how: str) -> Column:
-    """What two cells must have in common to match: ``exact``, ``loose`` (trimmed, lower case) or ``slug``."""
-    if how not in ("exact", "loose", "slug"):
+    """What two cells must have in common to match, by a name of MATCHING."""
+    if how not in MATCHING:
         raise ValueError(f"unknown matching: {how}")
-    return {"exact": text, "loose": lambda x: F.lower(trimmed(x)), "slug": slug}[how](c)
+    return MATCHING[how](c)
 
 
 def _once(value: Column, then) -> Column:

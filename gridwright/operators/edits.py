@@ -102,3 +102,26 @@ def without_words(c: str, words: Sequence[str] = COMPANY_WORDS) -> Column:
 def pseudonym(c: str, key: str) -> Column:
     """The same keyed code for the same value, empty for an empty one."""
     return F.when(filled(c), F.substring(F.sha2(F.concat(F.lit(key), trimmed(c)), 256), 1, 12)).otherwise(F.lit(""))
+
+
+def unrecognised(df: DataFrame, c: str, reading: Column) -> DataFrame:
+    """Rows whose filled cell a reading can't make out."""
+    return df.where(filled(c) & reading.isNull())
+
+
+def date_series(row: str, start: str, step: int, unit: str = "day") -> Column:
+    """Dates from ``start`` by row number (from 1), ``step`` days, months (month ends stay) or years apart."""
+    first, n = F.lit(start).cast("date"), ((F.col(row) - 1) * step).cast("int")
+    if unit == "day":
+        return F.date_add(first, n)
+    return F.add_months(first, n if unit == "month" else 12 * n)
+
+
+def repaired(c: str) -> Column:
+    """UTF-8 that was read as Windows-1252, for the letters of western Europe: ``Ã©`` is ``é``."""
+    out = text(c)
+    for letter in "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ’“”–—…€":
+        wrong = letter.encode().decode("cp1252", errors="ignore")
+        if len(wrong) == len(letter.encode()):
+            out = F.replace(out, F.lit(wrong), F.lit(letter))
+    return out

@@ -87,3 +87,19 @@ def count_matches(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame
 def closest(df: DataFrame, c: str, rid: str, value: float) -> DataFrame:
     """The first row whose number is closest to ``value``."""
     return df.agg(F.min_by(rid, F.when(quantity(c).isNotNull(), F.struct(F.abs(quantity(c) - value), F.col(rid)))).alias(rid))
+
+
+def keep_rows(df: DataFrame, rid: str, rows: DataFrame) -> DataFrame:
+    """The rows whose ids are in ``rows``."""
+    return df.join(rows.select(rid).distinct(), rid, "left_semi").select(df.columns)
+
+
+def without_rows(df: DataFrame, rid: str, rows: DataFrame) -> DataFrame:
+    return df.join(rows.select(rid).distinct(), rid, "left_anti").select(df.columns)
+
+
+def irregular(lines: DataFrame, c: str, delimiter: str, width: int) -> DataFrame:
+    """Raw lines with another number of fields than ``width`` (fields), quoted delimiters aside."""
+    bare = F.regexp_replace(text(c), '"(?:[^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return lines.withColumn("fields", fields).where(F.col("fields") != width)

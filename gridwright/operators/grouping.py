@@ -145,3 +145,11 @@ def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> Data
 def top_values(df: DataFrame, c: str, rid: str, k: int = 5) -> DataFrame:
     """The ``k`` most frequent values seen at least twice; ties keep first appearance."""
     return value_counts(df, c, rid).where((F.col("value") != "") & (F.col("n") > 1)).orderBy(F.desc("n"), "first_row").limit(k)
+
+
+def pivot_order(cells: DataFrame, by: str = "label", descending: bool = False) -> DataFrame:
+    """Pivot rows with their place (row_label, value, place): by ``label`` or ``total``; rows without a value last, ties by label."""
+    rows = cells.where("is_total_row = 0 and is_total_column = 1").select("row_label", "value")
+    key = F.col("value") if by == "total" else fold("row_label")
+    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("row_label")]
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # labels of a pivot, which people read

@@ -92,3 +92,12 @@ def split_plan(df: DataFrame, c: str, rid: str, how: str = "loose") -> DataFrame
 def split_write(df: DataFrame, c: str, path: str, how: str = "loose") -> None:
     """One folder of CSV files for each value."""
     df.withColumn("_split", match_key(c, how)).write.partitionBy("_split").option("header", True).csv(path)
+
+
+def review(before: DataFrame, after: DataFrame, rid: str, columns: Sequence[str]) -> DataFrame:
+    """(rid, status, changed): rows added, deleted or changed between two versions; equal rows are left out."""
+    row = lambda df, name: df.select(F.col(rid), F.struct(*[text(c).alias(c) for c in columns]).alias(name))
+    both = row(before, "_a").join(row(after, "_b"), rid, "full")
+    changed = F.concat_ws(", ", *[F.when(F.col(f"_a.`{c}`") != F.col(f"_b.`{c}`"), F.lit(c)) for c in columns])
+    status = F.when(F.col("_b").isNull(), "deleted").when(F.col("_a").isNull(), "added").when(changed != "", "changed")
+    return both.select(rid, status.alias("status"), F.when(status == "changed", changed).otherwise(F.lit("")).alias("changed")).where("status is not null")

@@ -118,3 +118,20 @@ def validate(df: DataFrame, fields: Sequence[Field], rid: str) -> DataFrame:
             again = firsts.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
             out = out.unionByName(again.where("n > 0").select(F.lit(f.name).alias("field"), F.lit("unique").alias("rule"), "n", F.lit(None).cast("long").alias("first_row")))
     return out
+
+
+#: Text checks: what a cell must not have, or must be.
+TEXT_CHECKS = {"no_invisible": "[\u200b-\u200f\u2060\ufeff\u00ad]", "no_double_space": "  ", "upper_case": r"\p{Ll}", "capitalised": r"^\p{Ll}"}
+
+
+def text_checks(df: DataFrame, c: str, checks: Sequence[str]) -> DataFrame:
+    """(check_name, n): filled cells that break each check."""
+    return df.agg(*[F.count_if(filled(c) & text(c).rlike(TEXT_CHECKS[k])).alias(k) for k in checks]).unpivot([], list(checks), "check_name", "n")
+
+
+def far_values(df: DataFrame, c: str, rid: str) -> DataFrame:
+    """Rows outside three interquartile ranges around the quartiles (rid, value)."""
+    n = number(c)
+    q = df.agg(F.percentile(n, F.lit(0.25)).alias("q1"), F.percentile(n, F.lit(0.75)).alias("q3"))
+    out = df.select(rid, n.alias("value")).join(F.broadcast(q))  # one row
+    return out.where((F.col("value") < F.col("q1") - 3 * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + 3 * (F.col("q3") - F.col("q1")))).select(rid, "value")

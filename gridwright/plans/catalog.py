@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formula as fx
-from ..functions.text import cell_text, date_key, fold, number, slug, sort_key
+from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
 from ..operators import duplicates, edits, filters, grouping, joining, quality
 from .durable import number_rows
 
@@ -461,3 +461,75 @@ def _(t):
 def _(t):
     rules = [quality.Field("c_acctbal", "number", minimum=0), quality.Field("c_name", "integer"), quality.Field("c_mktsegment", enum=("BUILDING", "MACHINERY")), quality.Field("c_nationkey", "integer", required=True, unique=True)]
     return quality.validate(t("customer"), rules, "c_custkey")
+
+
+# rows, versions, checks
+
+
+@_query("F15_keep_rows", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def _(t):
+    return filters.keep_rows(t("documents").select("doc_id"), "doc_id", t("labels"))
+
+
+@_query("U3_without_rows", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    return filters.without_rows(t("documents").select("doc_id"), "doc_id", t("labels"))
+
+
+@_query("F19_irregular_rows", "SELECT doc_id, length(text) - length(replace(text, '|', '')) + 1 AS fields FROM documents WHERE NOT contains(text, '\"') AND contains(text, '|')")
+def _(t):
+    d = t("documents").where(~F.col("text").contains('"'))
+    return filters.irregular(d, "text", "|", 1).select("doc_id", F.col("fields").cast("long").alias("fields"))
+
+
+@_query("G11_pivot_order", "SELECT o_orderpriority AS row_label, cast(count(*) AS DOUBLE) AS value, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place FROM orders GROUP BY 1")
+def _(t):
+    return grouping.pivot_order(grouping.pivot_cells(t("orders"), F.col("o_orderpriority"), F.col("o_orderstatus"), "count"), "total", descending=True)
+
+
+@_query("J7_review", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'deleted' ELSE 'changed' END AS status, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'c_name' END AS changed FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 7 = 0")
+def _(t):
+    after = t("customer").where("c_custkey % 10 <> 0").withColumn("c_name", F.expr("if(c_custkey % 7 = 0, upper(c_name) || '!', c_name)"))
+    return joining.review(t("customer"), after, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@_query("T4_repair", "SELECT doc_id, md5(text) AS repaired FROM documents WHERE lang IN ('fr', 'de', 'es') AND NOT regexp_matches(text, '[ÃÂâ][^a-zA-Z ]')")
+def _(t):
+    d = t("documents").where("lang in ('fr', 'de', 'es')").where(~F.col("text").rlike("[ÃÂâ][^a-zA-Z ]"))
+    wrong = d
+    for letter in "éèêàçñöüäßóíáúÉÈÊÀÇÑÖÜÄ":
+        if letter in "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ" and len(letter.encode().decode("cp1252", errors="ignore")) == 2:
+            wrong = wrong.withColumn("text", F.replace("text", F.lit(letter), F.lit(letter.encode().decode("cp1252"))))
+    return wrong.select("doc_id", F.md5(edits.repaired("text").cast("binary")).alias("repaired"))
+
+
+@_query("T9_unrecognised", "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
+def _(t):
+    c = t("customer").withColumn("x", F.expr("if(c_custkey % 3 = 0, c_name, cast(c_acctbal AS string))"))
+    return edits.unrecognised(c, "x", number("x")).select("c_custkey")
+
+
+@_query("T13_series", "SELECT c_custkey, cast(cast(DATE '2024-01-31' + to_months(cast(c_custkey - 1 AS INT)) AS DATE) AS VARCHAR) AS month_end, cast(DATE '2024-01-31' + cast(7 * (c_custkey - 1) AS INT) AS VARCHAR) AS weekly, 1.5 + (c_custkey - 1) * 0.25 AS number FROM customer WHERE c_custkey >= 1")
+def _(t):
+    c = t("customer").where("c_custkey >= 1")
+    return c.select("c_custkey", edits.date_series("c_custkey", "2024-01-31", 1, "month").cast("string").alias("month_end"), edits.date_series("c_custkey", "2024-01-31", 7).cast("string").alias("weekly"), edits.number_series("c_custkey", 1.5, 0.25, 2).alias("number"))
+
+
+@_query("D1_cleanings", """
+    SELECT c_custkey, '+331' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS phone, 'ab' || c_custkey || '@gmail.com' AS mail, '01' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS digits FROM customer WHERE c_custkey > 0""")
+def _(t):
+    n = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    c = t("customer").where("c_custkey > 0").select("c_custkey", F.concat(F.lit("01."), n).alias("p"), F.concat(F.lit("A.b"), F.col("c_custkey").cast("string"), F.lit("+x@GoogleMail.com")).alias("m"))
+    return c.select("c_custkey", match_key("p", "phone").alias("phone"), match_key("m", "mail").alias("mail"), match_key("p", "digits").alias("digits"))
+
+
+@_query("I5_far_values", """
+    WITH x AS (SELECT event_id, CASE WHEN event_id % 500 = 0 THEN value * 1000 + 5000 ELSE value END AS value FROM events), q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM x)
+    SELECT event_id, value FROM x, q WHERE value < a - 3 * (b - a) OR value > b + 3 * (b - a)""")
+def _(t):
+    return quality.far_values(t("events").withColumn("value", F.expr("if(event_id % 500 = 0, value * 1000 + 5000, value)")), "value", "event_id")
+
+
+@_query("V4_text_checks", "SELECT 'no_double_space' AS check_name, count(*) FILTER (WHERE contains(text, '  ')) AS n FROM documents UNION ALL SELECT 'capitalised', count(*) FILTER (WHERE regexp_matches(text, '^\\p{Ll}')) FROM documents")
+def _(t):
+    return quality.text_checks(t("documents"), "text", ["no_double_space", "capitalised"])
