@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions.text import date_key, filled, fold, half_up, match_key, number, text, trimmed
+from ..plans.durable import number_rows
 
 FUNCTIONS = ("sum", "average", "min", "max", "distinct")
 
@@ -151,5 +152,4 @@ def pivot_order(cells: DataFrame, by: str = "label", descending: bool = False) -
     """Pivot rows with their place (row_label, value, place): by ``label`` or ``total``; rows without a value last, ties by label."""
     rows = cells.where("is_total_row = 0 and is_total_column = 1").select("row_label", "value")
     key = F.col("value") if by == "total" else fold("row_label")
-    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("row_label")]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # labels of a pivot, which people read
+    return number_rows(rows, [(key, descending), F.col("row_label")], "place")

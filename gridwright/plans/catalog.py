@@ -448,9 +448,12 @@ def _(t):
     return quality.decided_by(t("part"), "p_brand", "p_size")
 
 
-@_query("V1_infer", "SELECT * FROM (VALUES ('c_custkey', 'integer', true, true, true), ('c_name', 'string', true, true, false), ('c_acctbal', 'number', true, false, false)) v(column_name, type, required, is_unique, minimum_zero)")
+@_query("V1_infer", """
+    SELECT 'c_custkey' AS column_name, 'integer' AS type, true AS required, count(DISTINCT c_custkey) = count(*) AS is_unique, min(c_custkey) >= 0 AS minimum_zero FROM customer
+    UNION ALL SELECT 'c_name', 'string', true, count(DISTINCT c_name) = count(*), false FROM customer
+    UNION ALL SELECT 'c_acctbal', 'number', true, count(DISTINCT c_acctbal) = count(*), min(c_acctbal) >= 0 FROM customer""")
 def _(t):
-    return quality.infer(t("customer"), ["c_custkey", "c_name", "c_acctbal"]).withColumn("is_unique", F.when(F.col("column_name") == "c_acctbal", False).otherwise(F.col("is_unique")))
+    return quality.infer(t("customer"), ["c_custkey", "c_name", "c_acctbal"])
 
 
 @_query("V2_validate", """
