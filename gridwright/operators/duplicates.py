@@ -35,6 +35,11 @@ def by_keys(df: DataFrame, keys: Sequence[Sequence[str]], rid: str, how: str = "
         first = keep(rows.groupBy("_key").agg(F.min("id").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"))
         own = rows.join(first, "_key").select("id", "root").where("id <> root")
         edges = own if edges is None else edges.union(own)
+    return components(edges).select(F.col("id").alias(rid), F.col("label").alias("group_id"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) of the ids in edges (id, root): the smallest id that can be reached."""
     edges = keep(edges.union(edges.select("root", "id")).distinct())
     labels = keep(edges.groupBy("id").agg(F.min("root").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:
@@ -45,7 +50,7 @@ def by_keys(df: DataFrame, keys: Sequence[Sequence[str]], rid: str, how: str = "
         passed = keep(passed.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "moved"))
         labels = passed.select("id", "label")
         if passed.where("moved").isEmpty():
-            return labels.select(F.col("id").alias(rid), F.col("label").alias("group_id"))
+            return labels
 
 
 def to_delete(groups: DataFrame, rid: str, keep_last: bool = False) -> DataFrame:

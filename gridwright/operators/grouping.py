@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import date_key, filled, fold, half_up, match_key, number, text, trimmed
 from ..plans.durable import number_rows
+from .order_statistics import quantiles
 
 FUNCTIONS = ("sum", "average", "min", "max", "distinct")
 
@@ -94,15 +95,17 @@ def value_counts(df: DataFrame, c: str, rid: str, trim: bool = True) -> DataFram
 
 def totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A totals row for each column: (column_name, filled, empty, bad, distinct_values, sum, average, median, min, max) of its numbers."""
-    names = ("filled", "empty", "bad", "distinct_values", "sum", "average", "median", "min", "max")
+    names = ("filled", "empty", "bad", "distinct_values", "sum", "average", "min", "max")
     measures = []
     for c in columns:
         n = _numeric(df, c)
-        for name, m in zip(names, (F.count_if(filled(c)), F.count_if(~filled(c)), F.count_if(filled(c) & n.isNull()), F.count_distinct(F.when(filled(c), trimmed(c))), half_up(F.sum(n), 6), half_up(F.avg(n), 6), F.median(n), F.min(n), F.max(n)), strict=True):
+        for name, m in zip(names, (F.count_if(filled(c)), F.count_if(~filled(c)), F.count_if(filled(c) & n.isNull()), F.count_distinct(F.when(filled(c), trimmed(c))), half_up(F.sum(n), 6), half_up(F.avg(n), 6), F.min(n), F.max(n)), strict=True):
             measures.append(m.cast("double").alias(f"{c}__{name}"))
     one = df.agg(*measures)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in names]) for c in columns]))
-    return one.select(rows.alias("r")).select("r.*")
+    shown = [c if c != "median" else F.col("q0").alias("median") for c in ("column_name", "filled", "empty", "bad", "distinct_values", "sum", "average", "median", "min", "max")]
+    cells = df.select(*[_numeric(df, c).alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    return one.select(rows.alias("r")).select("r.*").join(quantiles(cells, F.col("value"), [0.5], ["column_name"]), "column_name", "left").select(*shown)
 
 
 def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
@@ -120,19 +123,14 @@ def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
 
 
 def quantile_at(df: DataFrame, c: str, p: float, by: Sequence[str] = ()) -> DataFrame:
-    """The number at place round(p * (n - 1)) of the sorted ones, in each group: exact, from counts of distinct values."""
-    n = _numeric(df, c)
-    counts = df.where(n.isNotNull()).groupBy(*by, n.alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("value")
-    placed = counts.select(*by, "value", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
-    return placed.where(F.col("upto") > half_up(p * (F.col("total") - 1))).groupBy(*by).agg(F.min("value").alias("value"))
+    """The number at place round(p * (n - 1)) of the sorted ones, in each group."""
+    return quantiles(df, _numeric(df, c), [p], by, nearest=True).withColumnRenamed("q0", "value")
 
 
 def fences(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and the fences three interquartile ranges outside them."""
-    n = _numeric(df, c)
-    q = df.groupBy(*by).agg(F.percentile(n, F.lit(0.25)).alias("q1"), F.percentile(n, F.lit(0.75)).alias("q3"))
     spread = F.col("q3") - F.col("q1")
+    q = quantiles(df, _numeric(df, c), [0.25, 0.75], by).select(*by, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     return q.select(*by, "q1", "q3", (F.col("q1") - 3 * spread).alias("low"), (F.col("q3") + 3 * spread).alias("high"))
 
 

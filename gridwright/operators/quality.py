@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import date_key, filled, number, text, trimmed
+from .order_statistics import quantiles
 
 
 def shape(c: str) -> Column:
@@ -132,6 +133,6 @@ def text_checks(df: DataFrame, c: str, checks: Sequence[str]) -> DataFrame:
 def far_values(df: DataFrame, c: str, rid: str) -> DataFrame:
     """Rows outside three interquartile ranges around the quartiles (rid, value)."""
     n = number(c)
-    q = df.agg(F.percentile(n, F.lit(0.25)).alias("q1"), F.percentile(n, F.lit(0.75)).alias("q3"))
+    q = quantiles(df, n, [0.25, 0.75]).select(F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     out = df.select(rid, n.alias("value")).join(F.broadcast(q))  # one row
     return out.where((F.col("value") < F.col("q1") - 3 * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + 3 * (F.col("q3") - F.col("q1")))).select(rid, "value")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula as fx
 from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
-from ..operators import duplicates, edits, filters, grouping, joining, quality
+from ..operators import duplicates, edits, filters, grouping, joining, matching, quality
 from .durable import number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,3 +536,49 @@ def _(t):
 @_query("V4_text_checks", "SELECT 'no_double_space' AS check_name, count(*) FILTER (WHERE contains(text, '  ')) AS n FROM documents UNION ALL SELECT 'capitalised', count(*) FILTER (WHERE regexp_matches(text, '^\\p{Ll}')) FROM documents")
 def _(t):
     return quality.text_checks(t("documents"), "text", ["no_double_space", "capitalised"])
+
+
+# duplicates by rules
+
+
+@_query("D5_any_column", """
+    SELECT c_custkey, c_custkey // 5 * 5 AS group_id, 2::BIGINT AS n, 85::INT AS confidence, 'phone or mobile' AS reasons
+    FROM customer WHERE c_custkey % 5 < 2 AND c_custkey // 5 * 5 + 1 <= (SELECT max(c_custkey) FROM customer)""")
+def _(t):
+    digits = lambda add: F.lpad((F.col("c_custkey") + 1234567 + add).cast("string"), 8, "0")
+    c = t("customer").select("c_custkey", F.concat(F.lit("01"), digits(0)).alias("phone"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("+33 (0)1."), digits(1))).alias("mobile"))
+    return matching.grouped(c, [matching.any_of(["phone", "mobile"], "phone")], "c_custkey", ["phone", "mobile"])
+
+
+@_query("D5_names", """
+    SELECT c_custkey, c_custkey // 3 * 3 AS group_id, count(*) OVER g AS n, cast(CASE WHEN count(*) OVER g = 3 THEN 45 ELSE 60 END AS INT) AS confidence,
+           'name: first + last' || CASE WHEN count(*) OVER g = 3 THEN ', initials: first + last' ELSE '' END AS reasons
+    FROM customer WINDOW g AS (PARTITION BY c_custkey // 3) QUALIFY n > 1""")
+def _(t):
+    family = F.concat(F.lit("Dé"), F.translate(F.expr("cast(c_custkey div 3 as string)"), "0123456789", "bcdfghjklm"))
+    given, turn = F.lit("Zoé"), F.col("c_custkey") % 3
+    c = t("customer").select("c_custkey", F.when(turn == 0, given).when(turn == 1, F.upper(family)).otherwise("Z.").alias("first"), F.when(turn == 1, F.concat(F.lit("Mme "), given)).otherwise(family).alias("last"))
+    return matching.grouped(c, [matching.names(["first", "last"]), matching.name_initials(["first", "last"])], "c_custkey", ["first", "last"])
+
+
+@_query("D6_sounds", "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS group_id, count(*) OVER (PARTITION BY p_name) AS n FROM part QUALIFY n > 1")
+def _(t):
+    p = t("part").select("p_partkey", F.expr("if(p_partkey % 2 = 0, p_name, replace(p_name, 'e', 'ee'))").alias("name"))
+    return matching.grouped(p, [matching.sounds(["name"])], "p_partkey", ["name"]).select("p_partkey", "group_id", "n")
+
+
+@_query("D7_confidence", """
+    WITH c AS (SELECT c_custkey, c_custkey // 4 AS g, c_custkey % 4 AS k FROM customer WHERE c_custkey // 4 < (SELECT (max(c_custkey) + 1) // 4 FROM customer))
+    SELECT c_custkey, g * 4 AS group_id, CASE WHEN g % 5 = 0 THEN 2 ELSE 4 END::BIGINT AS n, CASE WHEN g % 10 = 0 THEN 100 WHEN g % 5 = 0 THEN 99 ELSE 50 END::INT AS confidence,
+           CASE WHEN g % 5 = 0 THEN 'mail, phone' ELSE 'mail, phone, code' END AS reasons FROM c WHERE g % 5 > 0 OR k < 2""")
+def _(t):
+    c = t("customer").withColumns({"g": F.expr("c_custkey div 4"), "k": F.expr("c_custkey % 4")})
+    last = t("customer").agg(F.expr("(max(c_custkey) + 1) div 4").alias("top"))
+    c = c.join(F.broadcast(last)).where("g < top")  # one row
+    pair = F.col("g") % 5 == 0
+    mail = F.when(F.col("k") < 2, F.concat(F.lit("m"), F.col("g"), F.lit("@x.org"))).otherwise("")
+    phone = F.when(F.when(pair, F.col("k") < 2).otherwise(F.col("k").isin(1, 2)), F.concat(F.lit("01"), F.lpad((F.col("g") + 2345678).cast("string"), 8, "0"))).otherwise("")
+    code = F.when(~pair & (F.col("k") > 1), F.concat(F.lit("c"), F.col("g"))).otherwise("")
+    note = F.when(F.col("g") % 10 == 0, "same").otherwise(F.col("c_custkey").cast("string"))
+    rules = [matching.all_of(["code"]), matching.all_of(["phone"], "phone"), matching.all_of(["mail"], "mail")]
+    return matching.grouped(c.select("c_custkey", mail.alias("mail"), phone.alias("phone"), code.alias("code"), note.alias("note")), rules, "c_custkey", ["mail", "phone", "code", "note"])
