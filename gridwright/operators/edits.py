@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,18 +42,54 @@ def clean(c: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(seen, "[  \\r\\n\\t]+", " "), " {2,}", " "))
 
 
-def convert_date(c: str, to: str = "iso", month_first: bool = False) -> Column:
-    """A date as ``iso``, ``dmy``, ``mdy``, ``dmy_dot`` or ``dmy_dash``; what isn't one stays."""
+def convert_date(c: str, to: str = "iso", month_first: bool = False, pivot: int | None = None) -> Column:
+    """A date as ``iso``, ``dmy``, ``mdy``, ``dmy_dot`` or ``dmy_dash``; what isn't a day of the calendar stays.
+
+    Two-digit years up to ``pivot`` (ten years from now) are of this century, later ones of the last. A time stays behind it.
+    """
     s = trimmed(c)
-    iso, other = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(.*)$", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})(.*)$"
+    pivot = (date.today().year + 10) % 100 if pivot is None else pivot
+    clock = r"([T ][0-9]{1,2}:[0-9]{2}.*)?$"
+    iso, other = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + clock, r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})" + clock
     a, b = (2, 1) if month_first else (1, 2)
     g = lambda i, j: F.when(s.rlike(iso), F.regexp_extract(s, iso, i)).otherwise(F.regexp_extract(s, other, j))
-    y, m, d, rest = g(1, 3), F.lpad(g(2, b), 2, "0"), F.lpad(g(3, a), 2, "0"), g(4, 4)
+    short = g(1, 3)
+    y = F.when(F.length(short) == 4, short).when(short.try_cast("int") <= pivot, F.concat(F.lit("20"), short)).otherwise(F.concat(F.lit("19"), short))
+    m, d, rest = F.lpad(g(2, b), 2, "0"), F.lpad(g(3, a), 2, "0"), g(4, 4)
     out = {"iso": F.concat_ws("-", y, m, d), "dmy": F.concat_ws("/", d, m, y), "mdy": F.concat_ws("/", m, d, y), "dmy_dot": F.concat_ws(".", d, m, y), "dmy_dash": F.concat_ws("-", d, m, y)}[to]
-    ok = (s.rlike(iso) | s.rlike(other)) & m.cast("int").between(1, 12) & d.cast("int").between(1, 31)
+    ok = (s.rlike(iso) | s.rlike(other)) & F.concat_ws("-", y, m, d).try_cast("date").isNotNull()
     return F.when(ok, F.concat(out, rest)).otherwise(text(c))
 
 
+#: Group mark and decimal mark of each way to write numbers.
+NUMBER_FORMS = {"point": ("", "."), "comma": ("", ","), "fr": (" ", ","), "en": (",", ".")}
+
+
+def convert_number(c: str, to: str = "point", decimal_mark: str = ",", decimals: int | None = None) -> Column:
+    """A number as ``point``, ``comma``, ``fr`` (1 234,5) or ``en`` (1,234.5), digit by digit; what isn't one stays, codes like 0612 too.
+
+    A currency or % around it is kept. With ``decimals`` it is rounded, halves up; numbers of over 28 digits then stay.
+    """
+    s, other = trimmed(c), "." if decimal_mark == "," else ","
+    shape = (
+        r"^((?:[€$£][\s  ]?)?)([+-]?)[\s  ]*(0|[1-9][0-9]*|[1-9][0-9]{0,2}(?:[\s  '" + other + r"][0-9]{3})+)"
+        rf"(?:[{decimal_mark}]([0-9]+))?((?:[\s  ]?(?:[€$£%]|EUR|USD))?)$"
+    )
+    group, mark = NUMBER_FORMS[to]
+    part = lambda k: F.regexp_extract(s, shape, k)
+    whole, after = F.regexp_replace(part(3), "[^0-9]", ""), part(4)
+    ok = s.rlike(shape)
+    if decimals is not None:
+        ok &= F.length(whole) + F.length(after) <= 28
+        exact = F.concat_ws(".", F.when(ok, whole), F.when(after != "", after)).try_cast("decimal(38,10)")
+        plain = F.round(exact, decimals).cast(f"decimal(38,{decimals})").cast("string")
+        whole, after = F.substring_index(plain, ".", 1), F.when(F.instr(plain, ".") > 0, F.substring_index(plain, ".", -1)).otherwise("")
+    if group:
+        whole = F.regexp_replace(whole, "(?<=[0-9])(?=(?:[0-9]{3})+$)", group)
+    sign = F.when(part(2) == "-", "-").otherwise("")
+    return F.when(ok, F.concat(part(1), sign, whole, F.when(after != "", F.concat(F.lit(mark), after)).otherwise(""), part(5))).otherwise(text(c))
+
+
 def convert_phone(c: str, to: str = "e164", country: str = "33") -> Column:
     """A phone number as ``e164`` or ``national``; what isn't one stays."""
     bare = F.regexp_replace(F.replace(trimmed(c), F.lit("(0)"), F.lit("")), r"[ .()/\-]", "")
@@ -125,3 +163,76 @@ def repaired(c: str) -> Column:
         if len(wrong) == len(letter.encode()):
             out = F.replace(out, F.lit(wrong), F.lit(letter))
     return out
+
+
+def without_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which some cell of ``columns`` is filled."""
+    return df.where(F.exists(F.array(*[filled(c) for c in columns]), lambda x: x))
+
+
+def without_empty_columns(df: DataFrame) -> DataFrame:
+    """Columns with a filled cell, told by one aggregation."""
+    if not df.columns:
+        return df
+    has = df.agg(*[F.max(filled(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return df.select(*[F.col(f"`{c}`") for c, seen in zip(df.columns, has, strict=True) if seen])
+
+
+#: Names that series go round, in their order. Fixed values.
+NAME_CYCLES = (
+    ("lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche"),
+    ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"),
+    ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"),
+)
+
+
+def _cycle(at: Column, values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])[F.pmod(at, F.lit(len(values))).cast("int")]
+
+
+def series(row: str, seeds: Sequence[str]) -> Column:
+    """The series that ``seeds`` begin, by row number (from 1, the first seed's row).
+
+    Numbers go on by their mean step (one number by 1) with the seeds' decimals, mark and leading zeros; ISO dates by days, by
+    months where their day is one or all end a month; names of days and months in French or English go round; a text's
+    trailing number counts on; anything else repeats.
+    """
+    at, n = F.col(row) - 1, len(seeds)
+    if all(re.fullmatch(r"-?\d+(?:[.,]\d+)?", s) for s in seeds):
+        values = [float(s.replace(",", ".")) for s in seeds]
+        decimals = max(len(re.split("[.,]", s)[1]) if re.search("[.,]", s) else 0 for s in seeds)
+        step = (values[-1] - values[0]) / (n - 1) if n > 1 else 1.0
+        number = F.round(F.lit(values[0]).cast("decimal(28,10)") + at.cast("decimal(18,0)") * F.lit(round(step, 10)).cast("decimal(28,10)"), decimals).cast(f"decimal(38,{decimals})").cast("string")
+        width = max((len(s) for s in seeds if re.fullmatch(r"0\d+", s)), default=0)
+        padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number) if width else number
+        return F.replace(padded, F.lit("."), F.lit(",")) if any("," in s for s in seeds) else padded
+    days = [_iso_day(s) for s in seeds]
+    if all(days):
+        months = [(b.year - a.year) * 12 + b.month - a.month for a, b in zip(days, days[1:], strict=False)]
+        ends = all((x + timedelta(days=1)).day == 1 for x in days)
+        if months and len(set(months)) == 1 and months[0] and (ends or len({x.day for x in days}) == 1):
+            moved = F.add_months(F.lit(days[0].isoformat()).cast("date"), (at * months[0]).cast("int"))
+            return (F.last_day(moved) if ends else moved).cast("string")
+        step = round((days[-1] - days[0]).days / (n - 1)) if n > 1 else 1
+        return F.date_add(F.lit(days[0].isoformat()).cast("date"), (at * step).cast("int")).cast("string")
+    for names in NAME_CYCLES:
+        if all(s.lower() in names for s in seeds):
+            places = [names.index(s.lower()) for s in seeds]
+            step = (places[1] - places[0]) % len(names) if n > 1 else 1
+            written = str.upper if seeds[0].isupper() else str.capitalize if seeds[0][0].isupper() else str
+            return _cycle(at * step + places[0], [written(x) for x in names])
+    parts = [re.fullmatch(r"(.*?)(\d+)", s, re.S) for s in seeds]
+    if all(parts) and len({p[1] for p in parts}) == 1:
+        first, width = int(parts[0][2]), len(parts[0][2]) if parts[0][2].startswith("0") else 0
+        step = (int(parts[-1][2]) - first) // (n - 1) if n > 1 else 1
+        count = (at * step + first).cast("string")
+        return F.concat(F.lit(parts[0][1]), F.when(F.length(count) < width, F.lpad(count, width, "0")).otherwise(count))
+    return _cycle(at, seeds)
+
+
+def _iso_day(s: str) -> date | None:
+    try:
+        return date.fromisoformat(s) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", s) else None
+    except ValueError:
+        return None

@@ -151,3 +151,50 @@ def pivot_order(cells: DataFrame, by: str = "label", descending: bool = False) -
     rows = cells.where("is_total_row = 0 and is_total_column = 1").select("row_label", "value")
     key = F.col("value") if by == "total" else fold("row_label")
     return number_rows(rows, [(key, descending), F.col("row_label")], "place")
+
+
+def chart_edges(df: DataFrame, c: str, bins: int = 28) -> dict[str, float | bool | int]:
+    """A chart of a number column: ``low``, ``high``, ``bins`` and whether far values lie outside (``below``, ``above``).
+
+    The line is that between the fences where values lie beyond them. Integers over fewer than 40 values have a bar each.
+    """
+    n = _numeric(df, c)
+    f = fences(df, c).first()
+    r = df.agg(F.min(n).alias("least"), F.max(n).alias("most"), F.coalesce(F.every(n == F.floor(n)), F.lit(True)).alias("whole"), F.min(F.when(n >= F.lit(f and f.low), n)).alias("low"), F.max(F.when(n <= F.lit(f and f.high), n)).alias("high")).first()
+    if r.least is None:
+        return {"low": 0.0, "high": 0.0, "bins": 0, "below": False, "above": False}
+    below, above = r.least < r.low, r.most > r.high
+    if r.whole and r.high - r.low < 40:
+        return {"low": r.low - 0.5, "high": r.high + 0.5, "bins": int(r.high - r.low) + 1, "below": below, "above": above}
+    return {"low": r.low, "high": r.high, "bins": 1 if r.low == r.high else bins - below - above, "below": below, "above": above}
+
+
+def chart_bin(df: DataFrame, c: str, edges: dict) -> Column:
+    """The bar of a cell: 1 to ``bins``, 0 and ``bins`` + 1 for the tails; null without a number."""
+    n, bins = _numeric(df, c), edges["bins"]
+    if bins <= 1:
+        return F.when(n < edges["low"], 0).when(n > edges["high"], 2).when(n.isNotNull(), 1).cast("int")
+    width = (edges["high"] - edges["low"]) / bins
+    return F.when(n < edges["low"], 0).when(n > edges["high"], bins + 1).otherwise(F.least(F.floor((n - edges["low"]) / width).cast("int") + 1, F.lit(bins))).cast("int")
+
+
+def keep_chart_part(df: DataFrame, c: str, part: str, edges: dict | None = None, bins: tuple[int, int] = (0, 0), values: Sequence[str] = ()) -> DataFrame:
+    """Rows behind a part of a column's chart: ``bars`` from one to another, a ``value``, the ``others`` than values shown, ``filled`` or ``empty``."""
+    tests = {"value": lambda: trimmed(c).isin(*values), "others": lambda: filled(c) & ~trimmed(c).isin(*values), "filled": lambda: filled(c), "empty": lambda: ~filled(c), "bars": lambda: F.coalesce(chart_bin(df, c, edges).between(*bins), F.lit(False))}
+    return df.where(tests[part]())
+
+
+def panel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, kind, filled, low, high, sum, median) of columns: numbers by value, dates by day since 1970, texts by length.
+
+    A column is of the kind that most of its filled cells have; a median of dates is a date of the column (the lower middle).
+    """
+    kinds = df.agg(*[F.struct(F.count_if(filled(c)).alias("n"), F.count_if(_numeric(df, c).isNotNull()).alias("nums"), F.count_if(date_key(c).isNotNull()).alias("dates")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    kind = {c: "number" if k.n and 2 * k.nums > k.n else "date" if k.n and 2 * k.dates > k.n else "text" for c, k in zip(columns, kinds, strict=True)}
+    day = lambda c: F.unix_date(F.regexp_replace(F.lpad(F.floor(date_key(c) / 1000000).cast("string"), 8, "0"), "^(....)(..)(..)$", "$1-$2-$3").try_cast("date")).cast("double")
+    value = {c: _numeric(df, c) if k == "number" else day(c) if k == "date" else F.when(filled(c), F.length(trimmed(c))).cast("double") for c, k in kind.items()}
+    cells = df.select(*[v.alias(c) for c, v in value.items()]).unpivot([], list(columns), "column_name", "value")
+    sums = cells.groupBy("column_name").agg(F.count("value").alias("filled"), F.min("value").alias("low"), F.max("value").alias("high"), half_up(F.sum("value"), 6).alias("sum"))
+    named = F.create_map(*[F.lit(x) for pair in kind.items() for x in pair])[F.col("column_name")]
+    middle = F.when(F.col("kind") == "date", F.floor(F.col("q0"))).otherwise(F.col("q0"))
+    return sums.withColumn("kind", named).join(quantiles(cells, F.col("value"), [0.5], ["column_name"]), "column_name", "left").select("column_name", "kind", "filled", "low", "high", F.when(F.col("kind") != "date", F.col("sum")).alias("sum"), middle.alias("median"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import date_key, filled, number, text, trimmed
+from ..plans.durable import keep
 from .order_statistics import quantiles
 
 
@@ -136,3 +137,145 @@ def far_values(df: DataFrame, c: str, rid: str) -> DataFrame:
     q = quantiles(df, n, [0.25, 0.75]).select(F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     out = df.select(rid, n.alias("value")).join(F.broadcast(q))  # one row
     return out.where((F.col("value") < F.col("q1") - 3 * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + 3 * (F.col("q3") - F.col("q1")))).select(rid, "value")
+
+
+def written_otherwise(df: DataFrame, c: str, rid: str, usual: float = 0.85, odd: float = 0.05, odd_case: float = 0.12) -> DataFrame:
+    """(rid, value) of cells written unlike the others: at least 20 filled and three distinct cells, one shape usual.
+
+    A usual shape with digits makes all others odd, if they are at most ``odd`` of the cells; one of letters only those that
+    differ in their case, up to ``odd_case``. Shapes are counted first, so a hot one is a single row.
+    """
+    cells = df.where(filled(c)).select(rid, text(c).alias("value"), shape(c).alias("shape"))
+    counts = keep(cells.groupBy("shape").agg(F.count("*").alias("n")))
+    best = counts.agg(F.sum("n").alias("total"), F.max_by("shape", F.struct("n", "shape")).alias("best"), F.max("n").alias("best_n"))
+    several = cells.select("value").distinct().limit(3).agg((F.count("*") >= 3).alias("several"))
+    judged = counts.join(F.broadcast(best)).join(F.broadcast(several)).where("several and total >= 20 and shape <> best").where(F.col("best_n") >= usual * F.col("total"))  # one row each
+    digits = F.col("best").contains("9")
+    case_only = F.lower("shape") == F.lower("best")
+    named = judged.where(digits | case_only).select("shape", "n", "total", digits.alias("digits"))
+    share = named.agg((F.sum("n") / F.max("total")).alias("share"))
+    kept = named.join(F.broadcast(share)).where(F.col("share") <= F.when(F.col("digits"), odd).otherwise(odd_case)).select("shape")
+    return cells.join(kept, "shape", "left_semi").select(rid, "value")
+
+
+def few_negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, negatives, others) where negatives are few, at most one or 1 %, among at least 50 other numbers."""
+    found = [F.struct(F.lit(c).alias("column_name"), F.count_if(number(c) < 0).alias("negatives"), F.count_if(number(c) >= 0).alias("others")).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.agg(*found).select(F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("r")).select("r.*")
+    return rows.where((F.col("negatives") > 0) & (F.col("others") >= 50) & (F.col("negatives") <= F.greatest(F.lit(1.0), 0.01 * (F.col("negatives") + F.col("others")))))
+
+
+def _decimals(c: str) -> Column:
+    return F.max(F.length(F.regexp_extract(trimmed(c), r"[.,]([0-9]+)$", 1)))
+
+
+def hidden_ratios(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9) -> DataFrame:
+    """(a, b, factor, both, agree): columns with b = a * factor, the commonest ratio to four digits (ties: the smallest).
+
+    At least ``least`` rows have both numbers and ``share`` of them agree within half of b's last decimal. Ratios of every
+    pair are counted in one pass, combined before the shuffle.
+    """
+    read = keep(df.select(*[number(c).alias(c) for c in columns]))
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    four = lambda x: F.round(x / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 3)) * F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 3)
+    told = [F.when((F.col(a) != 0) & (F.col(b) != 0), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(four(F.col(b) / F.col(a)), 12).alias("factor"))) for a, b in pairs]
+    ratios = read.select(F.explode(F.array(*told)).alias("r")).where("r is not null").groupBy("r.a", "r.b", "r.factor").agg(F.count("*").alias("n"))
+    common = ratios.groupBy("a", "b").agg(F.sum("n").alias("seen"), F.max("n").alias("most"), F.min_by("factor", F.struct(-F.col("n"), F.col("factor"))).alias("factor"))
+    common = [(r.a, r.b, r.factor) for r in common.where(F.col("most") >= 0.5 * F.col("seen")).collect() if r.factor != 1]  # a row for each pair of columns
+    empty = df.sparkSession.createDataFrame([], "a string, b string, factor double, both bigint, agree bigint")
+    if not common:
+        return empty
+    places = df.agg(*[_decimals(b).alias(f"d{i}") for i, (_, b, _) in enumerate(common)]).first()
+    rows = []
+    for i, (a, b, factor) in enumerate(common):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        close = F.abs(F.col(b) - F.col(a) * factor) <= 0.5 * 10.0 ** -(places[i] or 0) + 1e-9
+        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(factor)).alias("factor"), F.count_if(both).alias("both"), F.count_if(both & close).alias("agree")).alias(f"r{i}"))
+    out = read.agg(*rows).select(F.explode(F.array(*[f"r{i}" for i in range(len(rows))])).alias("r")).select("r.*")
+    return out.where((F.col("both") >= least) & (F.col("agree") >= share * F.col("both")))
+
+
+def hidden_sums(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9) -> DataFrame:
+    """(a, b, c, both, agree): columns with c = a + b within half of c's last decimal, in one aggregation of all triples."""
+    read = df.select(*[number(c).alias(c) for c in columns], *[F.length(F.regexp_extract(trimmed(c), r"[.,]([0-9]+)$", 1)).alias(f"_d_{c}") for c in columns])
+    places = F.broadcast(read.agg(*[F.max(f"_d_{c}").alias(f"_m_{c}") for c in columns]))  # one row
+    rows = read.drop(*[f"_d_{c}" for c in columns]).join(places)
+    found, n = [], len(columns)
+    for i in range(n):
+        for j in range(i + 1, n):
+            for k in set(range(n)) - {i, j}:
+                a, b, c = columns[i], columns[j], columns[k]
+                known = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(c).isNotNull() & (F.col(a) != 0) & (F.col(b) != 0)
+                close = F.abs(F.col(c) - F.col(a) - F.col(b)) <= 0.5 * F.pow(F.lit(10.0), -F.col(f"_m_{c}")) + 1e-9
+                found.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.count_if(known).alias("both"), F.count_if(known & close).alias("agree")).alias(f"r{len(found)}"))
+    out = rows.agg(*found).select(F.explode(F.array(*[f"r{i}" for i in range(len(found))])).alias("r")).select("r.*")
+    return out.where((F.col("both") >= least) & (F.col("agree") >= share * F.col("both")))
+
+
+def composite_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(rows_repeated, rows_incomplete): rows after the first of their key, and rows in which a part of it is empty."""
+    full = F.forall(F.array(*[text(c) for c in columns]), lambda x: x != "")
+    counted = df.groupBy(*[text(c).alias(f"k{i}") for i, c in enumerate(columns)], full.alias("full")).agg(F.count("*").alias("n"))
+    repeated = F.coalesce(F.sum(F.when(F.col("full"), F.col("n") - 1)), F.lit(0))
+    return counted.agg(repeated.cast("long").alias("rows_repeated"), F.coalesce(F.sum(F.when(~F.col("full"), F.col("n"))), F.lit(0)).cast("long").alias("rows_incomplete"))
+
+
+#: Formats of text fields. Fixed values.
+TEXT_FORMATS = {
+    "email": r"^[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+$",
+    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$",
+    "uuid": "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+}
+
+
+def typed(c: str, kind: str, form: str | None = None, decimal_mark: str = ".", group_mark: str = "", true: Sequence[str] = ("true", "True", "TRUE", "1"), false: Sequence[str] = ("false", "False", "FALSE", "0")) -> Column:
+    """A cell as a value of a schema's type; null where it isn't one.
+
+    ``integer``, ``number`` (with marks), ``boolean`` (by lists), ``date``, ``datetime`` and ``time`` (``form`` is a Spark
+    pattern, without it ISO), ``year``, ``string`` (``form`` one of TEXT_FORMATS).
+    """
+    s = text(c)
+    if kind in ("integer", "number"):
+        bare = F.replace(s, F.lit(group_mark), F.lit("")) if group_mark else s
+        if kind == "integer":
+            return F.when(bare.rlike("^[+-]?[0-9]+$"), bare).try_cast("long")
+        dotted = F.replace(bare, F.lit(decimal_mark), F.lit(".")) if decimal_mark != "." else bare
+        clean = ~bare.contains(".") if decimal_mark != "." else F.lit(True)
+        return F.when(clean & dotted.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), dotted).try_cast("double")
+    if kind == "boolean":
+        return F.when(s.isin(*true), True).when(s.isin(*false), False)
+    if kind == "date":
+        return F.to_date(F.try_to_timestamp(s, F.lit(form))) if form else F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), s).try_cast("date")
+    if kind == "datetime":
+        return F.try_to_timestamp(s, F.lit(form)) if form else F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), s).try_cast("timestamp")
+    if kind == "time":
+        return F.when(s.rlike("^(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?$"), s)
+    if kind == "year":
+        return F.when(s.rlike("^[0-9]{4}$"), s).try_cast("int")
+    return F.when(s.rlike(TEXT_FORMATS[form]) if form else s != "", s)
+
+
+#: What runs of a pattern stand for, by the letter that marks them.
+_RUNS = {"9": "[0-9]", "A": r"\p{Lu}", "a": r"\p{Ll}"}
+
+
+def pattern_hints(df: DataFrame, c: str, longest: int = 60) -> DataFrame:
+    """(pattern, n): regular expressions that the filled cells of up to ``longest`` characters match, by the runs of their characters.
+
+    Cells with the same sequence of digits, capitals, small letters and signs share a pattern; its repeat counts go from the
+    shortest to the longest run at each place.
+    """
+    s = F.when(F.length(text(c)) <= longest, text(c))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\p{Lu}", "A"), r"\p{Ll}", "a"), "[0-9]", "9")
+    counts = df.where(filled(c) & s.isNotNull()).groupBy(marked.alias("marked")).agg(F.count("*").alias("n"))
+    runs = counts.select("n", F.regexp_extract_all("marked", F.lit(r"(?s)((.)\2*)"), F.lit(1)).alias("runs"))
+    placed = runs.select("n", F.array_join(F.transform("runs", lambda r: r.substr(1, 1)), "").alias("signs"), F.posexplode("runs").alias("at", "run"))
+    ends = placed.groupBy("signs", "at").agg(F.min(F.length("run")).alias("low"), F.max(F.length("run")).alias("high"), F.sum("n").alias("n"))
+    sign = F.col("signs").substr(F.col("at") + 1, F.lit(1))
+    one = F.regexp_replace(sign, r"([\\.*+?^${}()|\[\]/])", r"\\$1")
+    for mark, runs_of in _RUNS.items():
+        one = F.when(sign == mark, F.lit(runs_of)).otherwise(one)
+    many = F.when(F.col("high") == 1, "").when(F.col("low") == F.col("high"), F.format_string("{%d}", "low")).otherwise(F.format_string("{%d,%d}", "low", "high"))
+    pieces = ends.select("signs", "n", F.struct("at", F.concat(one, many).alias("piece")).alias("p"))
+    joined = pieces.groupBy("signs").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("pattern"), F.max("n").alias("n"))
+    return joined.select("pattern", "n")

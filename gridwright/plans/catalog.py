@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula as fx
 from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
-from ..operators import duplicates, edits, filters, grouping, joining, matching, quality
+from ..operators import duplicates, edits, filters, grouping, guesses, joining, matching, quality
 from .durable import number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,3 +582,150 @@ def _(t):
     note = F.when(F.col("g") % 10 == 0, "same").otherwise(F.col("c_custkey").cast("string"))
     rules = [matching.all_of(["code"]), matching.all_of(["phone"], "phone"), matching.all_of(["mail"], "mail")]
     return matching.grouped(c.select("c_custkey", mail.alias("mail"), phone.alias("phone"), code.alias("code"), note.alias("note")), rules, "c_custkey", ["mail", "phone", "code", "note"])
+
+
+# guesses from titles and values
+
+
+@_query("G7_summed_columns", """
+    SELECT 'o_totalprice' AS column_name, true AS summed UNION ALL SELECT 'o_orderkey', false UNION ALL SELECT 'o_orderpriority', false
+    UNION ALL SELECT 'code', false UNION ALL SELECT 'half', count(*) FILTER (WHERE o_orderkey % 2 = 1) > 0 FROM orders""")
+def _(t):
+    o = t("orders").selectExpr("o_totalprice", "o_orderkey", "o_orderpriority", "concat('0', o_orderkey, '.5') AS code", "o_custkey / 2 AS half").withColumnRenamed("o_totalprice", "total price")
+    g = guesses.summed_columns(o, ["total price", "o_orderkey", "o_orderpriority", "code", "half"])
+    return g.replace("total price", "o_totalprice", ["column_name"])
+
+
+@_query("G14_category_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_values, count(DISTINCT {c}) BETWEEN 2 AND 50 AS down, count(DISTINCT {c}) BETWEEN 2 AND 12 AND {'false' if c == 'o_custkey' else 'true'} AS across FROM orders"
+    for c in ("o_custkey", "o_orderstatus", "o_orderpriority")))
+def _(t):
+    return guesses.category_columns(t("orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@_query("T8_reading", "SELECT 'a' AS name, 'date' AS kind, true AS month_first, ',' AS decimal_mark UNION ALL SELECT 'b', 'number', false, '.' UNION ALL SELECT 'c', 'number', false, ',' UNION ALL SELECT 'd', 'phone', false, ','")
+def _(t):
+    c = t("customer").where("c_custkey > 0").selectExpr("date_format(date_add(DATE '2024-01-20', cast(c_custkey % 9 AS INT)), 'MM/dd/yyyy') AS a", "format_number(c_acctbal, 2) AS b", "replace(cast(c_acctbal AS string), '.', ',') AS c", "concat('06', lpad(c_custkey, 8, '0')) AS d")
+    out = None
+    for x in "abcd":
+        one = guesses.reading(c, x).select(F.lit(x).alias("name"), "kind", "month_first", "decimal_mark")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_query("D11_roles", "SELECT * FROM (VALUES ('E-mail', 'mail'), ('Téléphone', 'phone'), ('Nom', 'full'), ('Ville', 'city'), ('Code postal', 'postal'), ('note', '')) v(column_name, role)")
+def _(t):
+    c = t("customer").where("c_custkey > 0").selectExpr("concat('a', c_custkey, '@x.org') AS `E-mail`", "if(c_custkey % 2 = 0, concat('06', lpad(c_custkey, 8, '0')), '?') AS `Téléphone`", "concat('Jean ', lower(c_mktsegment)) AS Nom", "c_mktsegment AS Ville", "lpad(c_custkey, 5, '0') AS `Code postal`", "c_name AS note")
+    return guesses.roles(c, c.columns)
+
+
+# conversions and series
+
+
+@_query("T5_two_digit_years", """
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 08:30' AS iso, strftime(o_orderdate, '%d.%m.%Y') AS dotted, '31/02/24' AS no_day FROM orders""")
+def _(t):
+    o = t("orders").selectExpr("o_orderkey", "date_format(o_orderdate, 'd/M/yy') || ' 08:30' AS a", "date_format(o_orderdate, 'M-d-yy') AS b", "'31/02/24' AS c")
+    return o.select("o_orderkey", edits.convert_date("a").alias("iso"), edits.convert_date("b", "dmy_dot", month_first=True).alias("dotted"), edits.convert_date("c").alias("no_day"))
+
+
+@_query("T6_convert_numbers", """
+    SELECT o_orderkey, printf('%.2f', o_totalprice) AS point, replace(replace(format('{:,.2f}', o_totalprice), ',', ' '), '.', ',') || ' €' AS fr,
+           format('{:,}', cast(floor(cast(o_totalprice AS DECIMAL(18,2)) + 0.5) AS BIGINT)) AS en, '0612' AS code FROM orders""")
+def _(t):
+    o = t("orders").selectExpr("o_orderkey", "replace(format_number(o_totalprice, 2), ',', ' ') AS a", "'0612' AS code")
+    o = o.withColumn("a", F.replace("a", F.lit("."), F.lit(","))).withColumn("b", F.concat("a", F.lit(" €")))
+    return o.select("o_orderkey", edits.convert_number("a").alias("point"), edits.convert_number("b", "fr").alias("fr"), edits.convert_number("a", "en", decimals=0).alias("en"), edits.convert_number("code").alias("code"))
+
+
+@_query("T3_empty_rows", "SELECT l.doc_id, d.lang FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND l.doc_id % 2 = 0 WHERE d.lang IS NOT NULL")
+def _(t):
+    rows = t("labels").select("doc_id").join(t("documents").where("doc_id % 2 = 0").select("doc_id", "lang"), "doc_id", "left").withColumn("blank", F.lit("  "))
+    return edits.without_empty_columns(edits.without_empty_rows(rows, ["lang", "blank"]))
+
+
+@_query("T13_series_from_seeds", """
+    SELECT c_custkey, printf('%.1f', 1.5 + (c_custkey - 1) * 0.5) AS numbers, lpad(cast(6 + c_custkey AS VARCHAR), greatest(3, length(cast(6 + c_custkey AS VARCHAR)))::INT, '0') AS padded,
+           cast(last_day(DATE '2024-01-01' + to_months(cast(c_custkey - 1 AS INT))) AS VARCHAR) AS month_ends, 'Lot ' || (10 * c_custkey) AS lots,
+           ['Jeudi', 'Vendredi', 'Samedi', 'Dimanche', 'Lundi', 'Mardi', 'Mercredi'][(c_custkey - 1) % 7 + 1] AS days, ['a', 'b'][(c_custkey - 1) % 2 + 1] AS loop FROM customer WHERE c_custkey > 0""")
+def _(t):
+    made = {"numbers": ["1.5", "2.0"], "padded": ["007", "008"], "month_ends": ["2024-01-31", "2024-02-29"], "lots": ["Lot 10", "Lot 20"], "days": ["Jeudi"], "loop": ["a", "b"]}
+    return t("customer").where("c_custkey > 0").select("c_custkey", *[edits.series("c_custkey", seeds).alias(k) for k, seeds in made.items()])
+
+
+# charts, panels, findings between columns, typed readings
+
+
+@_query("G21_column_panel", """
+    SELECT 'o_totalprice' AS column_name, 'number' AS kind, count(*) AS filled, min(o_totalprice) AS low, max(o_totalprice) AS high, round(sum(o_totalprice), 2) AS sum, round(median(o_totalprice), 4) AS median FROM orders
+    UNION ALL SELECT 'o_orderpriority', 'text', count(*), min(length(o_orderpriority)), max(length(o_orderpriority)), sum(length(o_orderpriority)), median(length(o_orderpriority)) FROM orders
+    UNION ALL SELECT 'o_orderdate', 'date', count(*), min(d), max(d), NULL, floor(median(d)) FROM (SELECT date_diff('day', DATE '1970-01-01', cast(o_orderdate AS DATE)) AS d FROM orders)""")
+def _(t):
+    return grouping.panel(t("orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"]).withColumns({"sum": F.round("sum", 2), "median": F.round("median", 4)})
+
+
+@_query("G25_chart", """
+    WITH e AS (SELECT l_quantity AS q FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT min(l_quantity) - 0.5 AS low, max(l_quantity) + 0.5 AS high FROM lineitem),
+    w AS (SELECT low, CASE WHEN high - low - 1 < 40 THEN 1.0 ELSE (high - low - 1) / 28 END AS width, CASE WHEN high - low - 1 < 40 THEN low ELSE low + 0.5 END AS base, CASE WHEN high - low - 1 < 40 THEN high - low ELSE 28 END AS bins FROM r)
+    SELECT cast(least(floor((q - base) / width) + 1, bins) AS INT) AS bin, count(*) AS n FROM e, w GROUP BY 1""")
+def _(t):
+    every = t("lineitem")
+    part = every.where("l_returnflag = 'R'")
+    return part.groupBy(grouping.chart_bin(part, "l_quantity", grouping.chart_edges(every, "l_quantity")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@_query("F13_chart_part", """
+    SELECT 'bars' AS part, count(*) AS n FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 300000
+    UNION ALL SELECT 'value', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'others', count(*) FROM orders WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT 'filled', count(*) FROM orders UNION ALL SELECT 'empty', 0""")
+def _(t):
+    o, edges = t("orders"), {"low": 0.0, "high": 400000.0, "bins": 4, "below": False, "above": True}
+    parts = {"bars": grouping.keep_chart_part(o, "o_totalprice", "bars", edges, (2, 3))} | {p: grouping.keep_chart_part(o, "o_orderstatus", p, values=["F"]) for p in ("value", "others", "filled", "empty")}
+    out = None
+    for p, rows in parts.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_query("I4_written_otherwise", "SELECT c_custkey, CASE WHEN c_custkey % 30 = 7 THEN upper(c_name) ELSE c_name END AS value FROM customer WHERE c_custkey % 30 = 7")
+def _(t):
+    c = t("customer").select("c_custkey", F.expr("if(c_custkey % 30 = 7, upper(c_name), c_name)").alias("name"))
+    return quality.written_otherwise(c, "name", "c_custkey")
+
+
+@_query("I6_few_negatives", """
+    SELECT 'amount' AS column_name, count(*) FILTER (WHERE l_orderkey % 500 = 3) AS negatives, count(*) FILTER (WHERE l_orderkey % 500 <> 3) AS others FROM lineitem
+    HAVING negatives > 0 AND others >= 50 AND negatives <= greatest(1, 0.01 * count(*))""")
+def _(t):
+    return quality.few_negatives(t("lineitem").selectExpr("if(l_orderkey % 500 = 3, -l_extendedprice, l_extendedprice) AS amount", "l_tax"), ["amount", "l_tax"])
+
+
+@_query("I8_hidden_ratios", "SELECT 'net' AS a, 'vat' AS b, 0.2 AS factor, count(*) AS both, count(*) FILTER (WHERE o_orderkey % 40 <> 3) AS agree FROM orders UNION ALL SELECT 'vat', 'net', 5.0, count(*), count(*) FILTER (WHERE o_orderkey % 40 <> 3) FROM orders")
+def _(t):
+    o = t("orders").select(F.expr("cast(o_orderkey * 5 + 5 AS int)").alias("net"), F.expr("cast(o_orderkey + 1 + if(o_orderkey % 40 = 3, 700, 0) AS int)").alias("vat"), F.col("o_custkey").alias("other"))
+    return quality.hidden_ratios(o, ["net", "vat", "other"])
+
+
+@_query("I8_hidden_sums", "SELECT 'net' AS a, 'vat' AS b, 'gross' AS c, count(*) FILTER (WHERE l_tax > 0) AS both, count(*) FILTER (WHERE l_tax > 0 AND l_orderkey % 40 <> 3) AS agree FROM lineitem")
+def _(t):
+    x = t("lineitem").select(F.expr("cast(l_extendedprice AS decimal(12,2))").alias("net"), F.expr("cast(l_tax * 100 AS decimal(12,2))").alias("vat"), "l_orderkey")
+    return quality.hidden_sums(x.select("net", "vat", F.expr("net + vat + if(l_orderkey % 40 = 3, 5, 0)").alias("gross")), ["net", "vat", "gross"])
+
+
+@_query("V2_composite_key", "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS rows_repeated, 0::BIGINT AS rows_incomplete FROM lineitem")
+def _(t):
+    return quality.composite_key(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("V3_typed", """
+    SELECT o_orderkey, cast(cast(o_orderdate AS DATE) AS VARCHAR) AS day, o_totalprice AS price, o_orderkey % 2 = 0 AS even, o_orderkey AS whole, NULL::BIGINT AS none, CASE WHEN o_orderkey % 2 = 0 THEN 'a@b.org' END AS mail, year(o_orderdate)::INT AS year FROM orders""")
+def _(t):
+    o = t("orders").selectExpr("o_orderkey", "date_format(o_orderdate, 'dd/MM/yyyy') AS day", "replace(replace(format_number(o_totalprice, 2), ',', ' '), '.', ',') AS price", "if(o_orderkey % 2 = 0, 'oui', 'non') AS even", "o_orderpriority AS none", "if(o_orderkey % 2 = 0, 'a@b.org', 'a@b') AS mail", "cast(year(o_orderdate) AS string) AS year")
+    return o.select("o_orderkey", quality.typed("day", "date", "dd/MM/yyyy").cast("string").alias("day"), quality.typed("price", "number", decimal_mark=",", group_mark=" ").alias("price"), quality.typed("even", "boolean", true=["oui"], false=["non"]).alias("even"), quality.typed("o_orderkey", "integer").alias("whole"), quality.typed("none", "integer").alias("none"), quality.typed("mail", "string", "email").alias("mail"), quality.typed("year", "year").alias("year"))
+
+
+@_query("V5_pattern_hints", """
+    SELECT '\\p{Lu}\\p{Ll}{4}#[0-9]' || CASE WHEN min(length(p_brand)) = max(length(p_brand)) THEN CASE WHEN min(length(p_brand)) > 7 THEN '{2}' ELSE '' END ELSE '{1,2}' END AS pattern, count(*) AS n FROM part""")
+def _(t):
+    return quality.pattern_hints(t("part"), "p_brand")

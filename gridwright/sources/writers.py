@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text
+from ..functions.text import number, text
 from ..operators.quality import infer
 
 
@@ -17,12 +17,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 
 
+def typed_columns(df: DataFrame) -> DataFrame:
+    """Text columns with the type that all their cells have, told by one more pass; empty cells are null.
+
+    A column keeps its text where a cell would lose by the change: whole numbers with leading zeros or of over 18 digits,
+    numbers of over 15 digits.
+    """
+    types = {r.column_name: r.type for r in infer(df, df.columns).collect()}  # a row for each column
+    s = {c: F.trim(text(f"`{c}`")) for c in df.columns}
+    lossy = {"integer": lambda x: x.rlike("^[+-]?0[0-9]") | (F.length(x) > 18), "number": lambda x: x.rlike("^[+-]?0[0-9]") | (F.length(F.regexp_replace(x, "[^0-9]", "")) > 15)}
+    asked = [c for c in df.columns if types[c] in lossy]
+    loses = df.agg(*[F.coalesce(F.max(lossy[types[c]](s[c])), F.lit(False)).alias(f"c{i}") for i, c in enumerate(asked)]).first() if asked else []
+    kept = {c for c, bad in zip(asked, loses, strict=True) if bad}
+    read = {
+        "integer": lambda c: s[c].try_cast("long"),
+        "number": lambda c: number(f"`{c}`"),
+        "boolean": lambda c: F.when(F.lower(s[c]).isin("true", "yes", "oui", "vrai"), True).when(s[c] != "", False),
+    }
+    return df.select(*[(read[types[c]](c) if types[c] in read and c not in kept else F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def write_typed_parquet(df: DataFrame, path: str) -> None:
-    """Text columns get the type that all their cells have; empty cells are null."""
-    types = {r.column_name: r.type for r in infer(df, df.columns).collect()}
-    casts = {"integer": "long", "number": "double", "boolean": "boolean"}
-    out = [F.nullif(F.trim(text(f"`{c}`")), F.lit("")).try_cast(casts[types[c]]).alias(c) if types[c] in casts else F.col(f"`{c}`") for c in df.columns]
-    df.select(*out).write.parquet(path, compression="zstd")
+    typed_columns(df).write.parquet(path, compression="zstd")
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:

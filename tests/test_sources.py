@@ -58,3 +58,41 @@ def test_windows_close_late(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 5), "x"), (datetime(2024, 1, 1, 9), "x"), (datetime(2024, 1, 2), "y")], "t timestamp, k string")
     assert {(r.k, r.n) for r in follow.count_by_window(df, "t", "k").collect()} == {("x", 2), ("y", 1)}
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_typed_columns_lose_nothing(spark):
+    from gridwright.sources.writers import typed_columns
+
+    df = spark.createDataFrame([("1,5", "oui", "007", "12", "1"), ("2", "non", "8", "", "1" * 25)], "price string, yes string, code string, whole string, long string")
+    got = typed_columns(df)
+    assert dict(got.dtypes) == {"price": "double", "yes": "boolean", "code": "string", "whole": "bigint", "long": "string"}
+    assert sorted(map(tuple, got.collect())) == [(1.5, True, "007", 12, "1"), (2.0, False, "8", None, "1" * 25)]
+
+
+def test_sqlite_table_by_row_ranges(spark, tmp_path):
+    import sqlite3
+
+    from gridwright.sources.readers import read_sqlite, sqlite_tables
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, data BLOB)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, None if i % 7 == 0 else f"n{i}", bytes([i])) for i in range(1, 96)])
+        db.execute("CREATE VIEW v AS SELECT name FROM t WHERE id < 4")
+        db.execute("CREATE TABLE blank (a)")
+    assert sqlite_tables(path) == ["blank", "t", "v"]
+    got = read_sqlite(spark, path, "t", rows_per_task=10)
+    assert sorted((int(r.id), r.name, r.data) for r in got.collect()) == [(i, "" if i % 7 == 0 else f"n{i}", f"0x{i:02x}") for i in range(1, 96)]
+    assert sorted(r.name for r in read_sqlite(spark, path, "v").collect()) == ["n1", "n2", "n3"]
+    assert read_sqlite(spark, path, "blank").count() == 0
+
+
+def test_guesses_of_headers_and_encodings():
+    from gridwright.sources.readers import guess_encoding, guess_header
+
+    assert guess_header([["name", "amount"], ["a", "1"], ["b", "2"]])
+    assert not guess_header([["a", "7"], ["b", "1"], ["c", "2"]])
+    assert guess_header([["city", "2023"], ["a", "15,5"], ["b", "812"]])
+    assert guess_header([["name", "town"], ["a", "b"]]) and not guess_header([["a", "b"], ["a", "c"]])
+    assert guess_encoding("é".encode("cp1252") + b"t\xe9 abc") == "windows-1252"
+    assert guess_encoding("été".encode()) == "UTF-8" and guess_encoding("abcd".encode("utf-16-le")) == "UTF-16LE"
