@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, match_key, text
-from ..plans.durable import keep
+from ..plans.durable import keep, number_rows
 
 
 def whole_rows(df: DataFrame, columns: Sequence[str], rid: str, how: str = "exact") -> DataFrame:
@@ -65,3 +65,11 @@ def merged(df: DataFrame, groups: DataFrame, columns: Sequence[str], rid: str) -
     first = [F.coalesce(F.min_by(text(c), F.when(filled(c), F.col(rid))), F.lit("")).alias(c) for c in columns]
     differ = F.concat_ws(", ", *[F.when(F.count_distinct(F.when(filled(c), text(c))) > 1, F.lit(c)) for c in columns]).alias("differing")
     return rows.groupBy("group_id").agg(*first, differ)
+
+
+def groups_together(df: DataFrame, groups: DataFrame, order: Sequence, rid: str, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row: in ``order``, but a group's rows follow its first row in that order."""
+    placed = keep(number_rows(df.join(groups.select(rid, "group_id"), rid, "left"), [*order, F.col(rid)], "_own"))
+    first = keep(placed.where("group_id is not null").groupBy("group_id").agg(F.min("_own").alias("_first")))
+    together = placed.join(first, "group_id", "left")
+    return number_rows(together, [F.coalesce("_first", "_own"), F.col("_own")], name).select(*df.columns, name)

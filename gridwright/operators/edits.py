@@ -236,3 +236,41 @@ def _iso_day(s: str) -> date | None:
         return date.fromisoformat(s) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", s) else None
     except ValueError:
         return None
+
+
+def hidden(c: str, mode: str, key: str = "", spread: float = 0.1, days: int = 30) -> Column:
+    """A cell without what it tells, the same for the same value and ``key``; empty cells stay empty.
+
+    ``clear`` empties it, ``mask`` stars its letters and digits, ``initial`` keeps first letters, ``digits`` draws each digit
+    anew in the value's own format and ``scramble`` each letter too, ``noise`` moves a number by up to ``spread`` of itself, ``shift`` moves an ISO date by up
+    to ``days``, ``year`` keeps its year, ``domain`` makes up the name before a mail's @, ``code`` is ``pseudonym``.
+    """
+    s = trimmed(c)
+    drawn = F.sha2(F.concat(F.lit(key), s), 256)
+    part = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / 4294967295.0  # 0 to 1
+    place = lambda ch, i, n: (F.conv(F.substring(F.sha2(F.concat(F.lit(key), s, i.cast("string")), 256), 1, 6), 16, 10).cast("long") % n).cast("int")
+    digit = lambda ch, i: place(ch, i, 10).cast("string")
+    letter = lambda ch, i, first: F.char(place(ch, i, 26) + ord(first))
+    one_digit = lambda ch, i: F.when(ch.rlike("[0-9]"), digit(ch, i)).otherwise(ch)
+    one_sign = lambda ch, i: F.when(ch.rlike("[0-9]"), digit(ch, i)).when(ch.rlike(r"\p{Lu}"), letter(ch, i, "A")).when(ch.rlike(r"\p{L}"), letter(ch, i, "a")).otherwise(ch)
+    out = {
+        "clear": lambda: F.lit(""),
+        "mask": lambda: F.regexp_replace(s, r"[\p{L}\p{N}]", "*"),
+        "initial": lambda: F.regexp_replace(s, r"(?<=\p{L})\p{L}+", "."),
+        "digits": lambda: F.array_join(F.transform(F.split(s, ""), one_digit), ""),
+        "scramble": lambda: F.array_join(F.transform(F.split(s, ""), one_sign), ""),
+        "noise": lambda: F.coalesce(F.round(s.try_cast("double") * (1 + F.lit(spread) * (2 * part - 1)), 2).cast("string"), F.lit("")),
+        "shift": lambda: F.coalesce(F.date_add(s.try_cast("date"), F.floor(part * (2 * days + 0.999)).cast("int") - days).cast("string"), F.lit("")),
+        "year": lambda: F.coalesce(F.year(s.try_cast("date")).cast("string"), F.lit("")),
+        "domain": lambda: F.when(s.contains("@"), F.concat(F.substring(drawn, 1, 10), F.lit("@"), F.substring_index(s, "@", -1))).otherwise(""),
+        "code": lambda: F.substring(drawn, 1, 12),
+    }
+    if mode not in out:
+        raise ValueError(f"unknown mode: {mode}")
+    return F.when(filled(c), out[mode]()).otherwise(F.lit(""))
+
+
+def drawn_from(c: str, choices: Sequence[str], key: str) -> Column:
+    """One of ``choices`` (first names, streets, companies, ...), the same for the same value and ``key``; empty stays empty."""
+    at = F.pmod(F.xxhash64(F.lit(key), trimmed(c)), F.lit(len(choices))).cast("int")
+    return F.when(filled(c), F.array(*[F.lit(x) for x in choices])[at]).otherwise(F.lit(""))

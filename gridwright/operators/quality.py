@@ -72,6 +72,28 @@ class Field:
     max_length: int | None = None
 
 
+def to_table_schema(fields: Sequence[Field], primary_key: Sequence[str] = ()) -> dict:
+    """Fields as a Table Schema descriptor, ready for JSON; what isn't set isn't written."""
+    out = []
+    for f in fields:
+        rules = {"required": f.required or None, "unique": f.unique or None, "pattern": f.pattern, "minimum": f.minimum, "maximum": f.maximum, "enum": list(f.enum) if f.enum else None, "minLength": f.min_length, "maxLength": f.max_length}
+        kept = {k: v for k, v in rules.items() if v is not None}
+        out.append({"name": f.name, "type": f.type} | ({"constraints": kept} if kept else {}))
+    return {"fields": out} | ({"primaryKey": list(primary_key)} if primary_key else {})
+
+
+def from_table_schema(schema: dict) -> list[Field]:
+    """Fields of a Table Schema descriptor; parts of the primary key are required, and one alone is unique."""
+    key = schema.get("primaryKey", [])
+    key = [key] if isinstance(key, str) else key
+    out = []
+    for f in schema["fields"]:
+        c = f.get("constraints", {})
+        own = f["name"] in key
+        out.append(Field(f["name"], f.get("type", "string"), c.get("required", False) or own, c.get("unique", False) or key == [f["name"]], c.get("pattern"), c.get("minimum"), c.get("maximum"), tuple(c["enum"]) if "enum" in c else None, c.get("minLength"), c.get("maxLength")))
+    return out
+
+
 _TYPES = {"integer": r"^[+-]?[0-9]+$", "number": r"^[+-]?(?:[0-9]+[.,]?[0-9]*|[.,][0-9]+)$", "boolean": "(?i)^(?:true|false|yes|no|oui|non|vrai|faux)$"}
 
 

@@ -729,3 +729,28 @@ def _(t):
     SELECT '\\p{Lu}\\p{Ll}{4}#[0-9]' || CASE WHEN min(length(p_brand)) = max(length(p_brand)) THEN CASE WHEN min(length(p_brand)) > 7 THEN '{2}' ELSE '' END ELSE '{1,2}' END AS pattern, count(*) AS n FROM part""")
 def _(t):
     return quality.pattern_hints(t("part"), "p_brand")
+
+
+# orders and anonymity
+
+
+@_query("O4_groups_together", """
+    WITH o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS g, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS own FROM documents),
+    f AS (SELECT doc_id, own, min(own) OVER (PARTITION BY g) AS first FROM o)
+    SELECT doc_id, row_number() OVER (ORDER BY first, own) AS place FROM f""")
+def _(t):
+    d = t("documents")
+    return duplicates.groups_together(d.select("doc_id", "n_chars"), duplicates.whole_rows(d, ["text"], "doc_id"), [(F.col("n_chars"), True)], "doc_id").select("doc_id", "place")
+
+
+@_query("O5_reordered", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS row FROM orders")
+def _(t):
+    return number_rows(t("orders"), [F.col("o_orderpriority"), (F.col("o_totalprice"), True), F.col("o_orderkey")]).select("o_orderkey", "row")
+
+
+@_query("T17_hidden_values", """
+    SELECT o_orderkey, sha256('k' || o_orderpriority)[1:12] AS code, regexp_replace(o_orderpriority, '[A-Z0-9]', '*', 'g') AS mask, year(o_orderdate)::VARCHAR AS year, sha256('ka' || o_custkey || '@x.org')[1:10] || '@x.org' AS domain,
+           round(o_totalprice * (1 + 0.1 * (2 * (('0x' || sha256('k' || o_totalprice)[1:8])::BIGINT / 4294967295.0) - 1)), 2) AS noise FROM orders""")
+def _(t):
+    o = t("orders").select("o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").cast("string").alias("d"), F.concat(F.lit("a"), F.col("o_custkey"), F.lit("@x.org")).alias("m"), F.regexp_replace(F.expr("cast(cast(o_totalprice AS decimal(18,2)) AS string)"), "(?<=[.][0-9])0$", "").alias("p"))
+    return o.select("o_orderkey", edits.hidden("o_orderpriority", "code", "k").alias("code"), edits.hidden("o_orderpriority", "mask").alias("mask"), edits.hidden("d", "year").alias("year"), edits.hidden("m", "domain", "k").alias("domain"), edits.hidden("p", "noise", "k").cast("double").alias("noise"))

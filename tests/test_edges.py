@@ -1,5 +1,7 @@
 """Small tables with nulls, ties, empty and odd cells."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from gridwright.operators import edits, grouping, guesses, matching, order_statistics, quality
@@ -81,3 +83,23 @@ def test_suggested_rules_and_pivot_choice(spark):
     assert [r.label for r in guesses.suggested_rules(df, df.columns)] == ["mail", "name: first + last"]
     assert guesses.pivot_choice(df, ["state", "mail", "price"]) == {"rows": "state", "columns": "mail", "value": "price"}
     assert guesses.same_titles(["Ville", "x"], ["VILLE", "y"]) == [("Ville", "VILLE")]
+
+
+def test_hidden_values_keep_their_form(spark):
+    df = spark.createDataFrame([("06 12-34",), ("06 12-34",), ("",), (None,), ("Ann Lee",)], "c string")
+    got = [r[0] for r in df.select(edits.hidden("c", "digits", "k")).collect()]
+    assert got[0] == got[1] and re.fullmatch(r"\d\d \d\d-\d\d", got[0]) and got[2:] == ["", "", "Ann Lee"]
+    assert [r[0] for r in df.select(edits.hidden("c", "initial")).collect()][4] == "A. L."
+    same = [r[0] for r in df.select(edits.hidden("c", "scramble", "k")).collect()]
+    assert re.fullmatch(r"\d\d \d\d-\d\d", same[0]) and re.fullmatch("[A-Z][a-z]{2} [A-Z][a-z]{2}", same[4])
+    names = [r[0] for r in df.select(edits.drawn_from("c", ["x", "y", "z"], "k")).collect()]
+    assert names[0] == names[1] and names[0] in "xyz" and names[2:4] == ["", ""]
+    days = spark.createDataFrame([("2024-03-01",), ("no day",)], "c string")
+    moved = [r[0] for r in days.select(edits.hidden("c", "shift", "k", days=3)).collect()]
+    assert "2024-02-27" <= moved[0] <= "2024-03-04" and moved[1] == ""
+
+
+def test_schemas_as_json():
+    fields = [quality.Field("id", "integer", required=True, unique=True), quality.Field("state", enum=("a", "b"), max_length=1)]
+    said = quality.to_table_schema(fields, ["id"])
+    assert said["primaryKey"] == ["id"] and quality.from_table_schema(said) == fields

@@ -96,3 +96,21 @@ def test_guesses_of_headers_and_encodings():
     assert guess_header([["name", "town"], ["a", "b"]]) and not guess_header([["a", "b"], ["a", "c"]])
     assert guess_encoding("é".encode("cp1252") + b"t\xe9 abc") == "windows-1252"
     assert guess_encoding("été".encode()) == "UTF-8" and guess_encoding("abcd".encode("utf-16-le")) == "UTF-16LE"
+
+
+def test_growing_file_gives_each_whole_line_once(spark, tmp_path):
+    from gridwright.streaming.follow import follow_file
+
+    path, out = str(tmp_path / "a.log"), str(tmp_path / "out")
+
+    def run():
+        follow_file(spark, path, bytes_per_task=7).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start(out).awaitTermination(60)
+        return sorted(r.line for r in spark.read.schema("line string, position bigint").parquet(out).collect())
+
+    with open(path, "w") as f:
+        f.write("one\ntwo two two\n\nthr")
+    assert run() == ["", "one", "two two two"]
+    with open(path, "a") as f:
+        f.write("ee\n")
+    assert run() == ["", "one", "three", "two two two"]
+    assert run() == ["", "one", "three", "two two two"]
