@@ -8,6 +8,9 @@
    spanning forest of the candidates leaves a task, so rows stay linear in the classes.
 3. Clusters of candidates hold every link that the forest found. Within them links are confirmed on full
    sets: small clusters whole, large ones in sliding blocks of several orders and against their hubs.
+4. What these steps miss is found exactly: linked sets share one of their first shingles in any fixed order (prefix
+   filter). Frequent shingles come last in the order, classes of one component are not compared again, and every
+   pair that is left is confirmed on full sets. No pair is dropped, so the links do not depend on steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ REGION, NEIGHBOURS, LEADERS = 64, 12, 8
 ESTIMATE_SLACK = 0.15
 #: Members of a cluster compared whole; orders of sliding blocks, their half length and the hubs of larger ones.
 WHOLE, BLOCK_ORDERS, HALF_BLOCK, HUBS, HUB_BLOCK = 64, 8, 64, 64, 256
+#: Classes whose shingles are counted for the order of the prefix filter, besides those of large clusters; the count from
+#: which a shingle is frequent, and how many frequent ones are told apart. The order decides the work, not the result.
+COUNTED_CLASSES, FREQUENT, MOST_FREQUENT = 10_000, 16, 500_000
+#: Classes with a shingle in their prefix that one task compares with each other; more are dealt as pairs of blocks.
+POSTING = 2048
 
 _M = TREES * DEPTH
 _rng = np.random.default_rng(20)
@@ -262,6 +270,183 @@ def _full_sets(words: int):
     return run
 
 
+def _own_sets(words: int):
+    """(row's other columns, hashes) of rows (h1, h2, .., text) whose text is of the class of that digest."""
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
+                sets = [shingle_hashes(t, words) for t in _texts(part, "text")]
+                h1, h2 = part.column(0).to_numpy(), part.column(1).to_numpy()
+                yield part, [(k, h) for k, h in enumerate(sets) if tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)) == (h1[k], h2[k])]
+
+    return run
+
+
+def _class_sets(words: int):
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches):
+        for part, own in _own_sets(words)(batches):
+            yield pa.record_batch([part.column(2).take(pa.array([k for k, _ in own], pa.int64())), pa.array([h.tobytes() for _, h in own], pa.binary())], schema=schema)
+
+    return run
+
+
+def _shingles(words: int):
+    schema = pa.schema([("token", pa.int64())])
+
+    def run(batches):
+        for _, own in _own_sets(words)(batches):
+            yield pa.record_batch([pa.array(np.concatenate([h for _, h in own] or [np.empty(0, np.uint64)]).view(np.int64))], schema=schema)
+
+    return run
+
+
+def _prefixes(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
+    """(token, rep, component, n, at): the shingles of a class up to the place where a link must have met one, and their places.
+
+    A link has at least percent / 100 * n shingles in common, so its first common one is among the others and one more.
+    """
+    names = ["token", "rep", "component", "n", "at"]
+
+    def run(batches):
+        for part, own in _own_sets(words)(batches):
+            reps, components_ = part.column(2).to_numpy(), part.column(3).to_numpy()
+            out = [np.empty((5, 0), np.int64)]
+            for k, h in own:
+                size = len(h) + percent * len(h) // -100 + 1
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    common = frequent[place] == h
+                    first = h[~common][:size]
+                    if len(first) < size:
+                        late = h[common][np.argsort(rank[place[common]], kind="stable")]
+                        first = np.concatenate([first, late[: size - len(first)]])
+                else:
+                    first = h[:size]
+                same = np.ones(len(first), np.int64)
+                out.append(np.stack([first.view(np.int64), same * reps[k], same * components_[k], same * len(h), np.arange(len(first))]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=names)
+
+    return run
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of sorted batches as rows of an array, never cut within a value of the first."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = np.stack([c.to_numpy() for c in b.columns]).astype(np.int64)
+        now = now if held is None else np.concatenate([held, now], axis=1)
+        cut = np.flatnonzero(now[0] != now[0, -1])
+        cut = cut[-1] + 1 if len(cut) else 0
+        if cut:
+            yield now[:, :cut]
+        held = now[:, cut:]
+    if held is not None:
+        yield held
+
+
+def _possible(x: np.ndarray, y: np.ndarray, percent: int, own: bool) -> np.ndarray:
+    """Pairs of columns (token, rep, component, n, at) of two components that may be links, if the shingle is their first common one."""
+    need = -(percent * (x[3][:, None] + y[3]) // -(100 + percent))
+    hit = (np.minimum((x[3] - x[4])[:, None], y[3] - y[4]) >= need) & (x[2][:, None] != y[2])
+    i, j = np.nonzero(np.triu(hit, 1) if own else hit)
+    return np.unique(np.stack([np.minimum(x[1][i], y[1][j]), np.maximum(x[1][i], y[1][j])]), axis=1)
+
+
+_PAIRS = ["a", "b", "block", "component", "n", "at", "side"]
+
+
+def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(pairs.shape[1], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * 5], names=_PAIRS)
+
+
+def _postings(percent: int):
+    """Pairs (a, b) that may be links from prefixes in the order of their shingles; of a long posting list its pairs of blocks, b being null."""
+
+    def run(batches):
+        for group in _sorted_groups(batches):
+            first = np.flatnonzero(np.r_[True, group[0, 1:] != group[0, :-1]])
+            end = np.r_[first[1:], group.shape[1]]
+            mixed = np.minimum.reduceat(group[2], first) != np.maximum.reduceat(group[2], first)
+            found, held = [np.empty((2, 0), np.int64)], 0
+            for lo, hi in zip(first[mixed], end[mixed], strict=True):
+                if hi - lo <= POSTING:
+                    found.append(_possible(group[:, lo:hi], group[:, lo:hi], percent, True))
+                    held += found[-1].shape[1]
+                    if held > 1_000_000:
+                        yield _pair_rows(np.unique(np.concatenate(found, axis=1), axis=1))
+                        found, held = [np.empty((2, 0), np.int64)], 0
+                    continue
+                starts = range(lo, hi, POSTING)
+                for x in range(len(starts)):
+                    for y in range(x, len(starts)):
+                        for side, k in ((0, x), (1, y))[: 1 + (x != y)]:
+                            rows = group[:, starts[k] : min(hi, starts[k] + POSTING)]
+                            block = np.full(rows.shape[1], xxhash.xxh3_64_intdigest(f"{group[0, lo]} {x} {y}") >> 1)
+                            yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(block), pa.int64()), pa.array(block), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4]), pa.array(np.full(len(block), side))], names=_PAIRS)
+            yield _pair_rows(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Pairs (a, b) that may be links from rows (block, rep, component, n, at, side) sorted by block."""
+
+    def run(batches):
+        for group in _sorted_groups(batches):
+            for part in np.split(group, np.flatnonzero(group[0, 1:] != group[0, :-1]) + 1, axis=1):
+                x, y = part[:, part[5] == 0], part[:, part[5] == 1]
+                pairs = _possible(x, y if y.shape[1] else x, percent, not y.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Links among rows (a, b, first's hashes, second's hashes)."""
+
+    def run(batches):
+        for b in batches:
+            src, dst = b.column(0).to_numpy(), b.column(1).to_numpy()
+            hit = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(100 * common >= percent * (len(x) + len(y) - common))
+            hit = np.array(hit, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(src[hit]), pa.array(dst[hit])], names=["src", "dst"])
+
+    return run
+
+
+def _other_links(docs: DataFrame, classes: DataFrame, linked: DataFrame, large: DataFrame, percent: int, words: int) -> DataFrame:
+    """All links (src, dst) between classes of different components of ``linked``, by a prefix filter.
+
+    ``large`` (rep) are classes whose shingles are counted for the order; any order gives the same links.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    named = materialize(classes.select("h1", "h2", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")))
+    every = max(1, named.count() // COUNTED_CLASSES)
+    counted = named.join(large.select("rep").distinct().withColumn("large", F.lit(True)), "rep", "left").where(F.col("large") | (F.pmod(F.xxhash64("rep"), F.lit(every)) == 0))
+    tokens = text.join(counted.select("rep", "h1", "h2"), "rep").select("h1", "h2", "rep", "text").mapInArrow(_shingles(words), "token long")
+    top = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    frequent, rank = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    by = np.argsort(frequent)
+    prefixes = text.join(named, "rep").select("h1", "h2", "rep", "component", "text").mapInArrow(_prefixes(words, percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long")
+    found = materialize(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_postings(percent), ", ".join(f"{c} long" for c in _PAIRS)))
+    blocks = found.where("b is null").select("block", F.col("a").alias("rep"), "component", "n", "at", "side").repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs(percent), "a long, b long")
+    pairs = materialize(found.where("b is not null").select("a", "b").unionByName(blocks).distinct())
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = materialize(text.join(named.join(wanted, "rep"), "rep").select("h1", "h2", "rep", "text").mapInArrow(_class_sets(words), "rep long, hashes binary").distinct())
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "src long, dst long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -309,7 +494,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     rest = large.select("cluster", F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("block"), F.lit(False).alias("hub"), "rep", "hashes")
     by_hub = rest.unionByName(hubs).repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInPandas(_with_hubs(percent), found)
 
-    linked = components(links.where("degree = 0").select("src", "dst").unionByName(by_hub.select("src", "dst")))
+    linked = materialize(components(links.where("degree = 0").select("src", "dst").unionByName(by_hub.select("src", "dst"))))
+    others = _other_links(docs, classes, linked, large.select("rep"), percent, words)
+    linked = components(linked.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(others))
     named = materialize(classes.join(linked, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")))
     alone = F.col("n_shingles") == 0
     out = rows.where(~alone & F.col("doc_id").isNotNull()).join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))

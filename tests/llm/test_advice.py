@@ -1,0 +1,61 @@
+"""What a review found short: each case failed before."""
+
+import numpy as np
+import pytest
+
+from gridwright.llm import near_dedup
+
+
+def _templated(n):
+    """Documents of one template, mutually at about 0.78, and each even one at 0.868 with the next."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = {}
+    for i in range(n):
+        w = list(base)
+        if i % 2 == 0:
+            shared = rng.integers(10, 60), rng.integers(70, 120)
+        for k in shared:
+            w[k] = f"p{i // 2}"
+        for low in (130, 260):
+            q = int(rng.integers(low, low + 120))
+            w[q : q + 3] = [f"q{i}a", f"q{i}b", f"q{i}c"]
+        texts[i] = " ".join(w)
+    return texts
+
+
+def test_links_of_a_templated_cluster(spark):
+    texts = _templated(300)
+    index: dict = {}
+    rows = [[index.setdefault(tuple(w[k : k + 5]), len(index)) for k in range(396)] for w in map(str.split, texts.values())]
+    m = np.zeros((len(rows), len(index)), np.float32)
+    for i, r in enumerate(rows):
+        m[i, r] = 1
+    common = m @ m.T
+    low = np.arange(len(rows))
+    for i, j in zip(*np.nonzero(100 * common >= 85 * (m.sum(axis=1)[:, None] + m.sum(axis=1) - common)), strict=True):
+        low[low == max(low[i], low[j])] = min(low[i], low[j])
+    assert (low == np.arange(len(rows)) // 2 * 2).mean() > 0.5
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sum(r.component_id != low[r.doc_id] for r in got) == 0
+
+
+@pytest.mark.parametrize("posting, percent", [(2048, 85), (8, 85), (8, 50), (2048, 100)])
+def test_prefix_filter_alone(spark, monkeypatch, posting, percent):
+    """Without any link found before, and with posting lists cut into blocks, links are those of a comparison of all pairs."""
+    monkeypatch.setattr(near_dedup, "POSTING", posting)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(f"x{rng.integers(0, 99)}" if rng.random() < 0.03 else w for w in base[: rng.integers(40, 61)]) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: near_dedup.shingle_hashes(t.encode()) for i, t in texts.items()}
+    digest = {i: np.frombuffer(near_dedup.xxhash.xxh3_128_digest(h.tobytes()), np.int64) for i, h in sets.items()}
+    first = {}
+    for i in sets:
+        first.setdefault(tuple(map(int, digest[i])), i)
+    classes = spark.createDataFrame([(*k, i) for k, i in first.items()], "h1 long, h2 long, rep long")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {tuple(sorted(r)) for r in near_dedup._other_links(docs, classes, none, classes.select("rep"), percent, 5).collect()}
+    reps = sorted(first.values())
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    assert got == {(i, j) for i in reps for j in reps if i < j and 100 * (c := common(i, j)) >= percent * (len(sets[i]) + len(sets[j]) - c)}
