@@ -87,16 +87,29 @@ def _encoder(vocabulary: str):
     return _loaded[vocabulary]
 
 
+def _ids(vocabulary: str, text: str) -> list[int]:
+    """Token ids of a text; where tiktoken's pattern runs out of stack (runs of about a million blanks), those of the ``tokenizers`` file."""
+    try:
+        return _encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        file = vocabulary.rsplit(".", 1)[0] + ".json"
+        if file not in _loaded:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            _loaded[file] = Tokenizer.from_file(public_tokenizers.path(file))
+        return _loaded[file].encode(text, add_special_tokens=False).ids
+
+
 def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.array([*encoder.encode(text.as_py() or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*_ids(vocabulary, text.as_py() or ""), end_id], "<u4")
                 out += ((doc.as_py(), k, start, n, zlib.crc32(part := ids[start : start + n].tobytes()), *[part] * keep_ids) for k, (start, n) in enumerate(pieces_of(len(ids), capacity)))
             columns = list(zip(*out, strict=True)) or [[]] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

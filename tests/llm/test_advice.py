@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridwright.llm import near_dedup
+from gridwright.llm import near_dedup, packing
 
 
 def _templated(n):
@@ -59,3 +59,15 @@ def test_prefix_filter_alone(spark, monkeypatch, posting, percent):
     reps = sorted(first.values())
     common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
     assert got == {(i, j) for i in reps for j in reps if i < j and 100 * (c := common(i, j)) >= percent * (len(sets[i]) + len(sets[j]) - c)}
+
+
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_packing_of_a_very_long_blank_run(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a" + run * 2_000_000 + "b<|endoftext|>"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing._ids("byte_bpe_50k.tiktoken", text) == want
+    with pytest.raises(ValueError):  # what failed the task
+        packing._encoder("byte_bpe_50k.tiktoken").encode(text, allowed_special="all")
