@@ -48,8 +48,9 @@ _ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.-]{0,64}[0-9])[\p{L}\p{N}_~+/!.-]{5,}
 #: Everything that is replaced, in the order of preference at one place.
 PATTERN = "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON))
 
-#: What every match has at least: three digits running or the middle of an address, a sign of mail, long hex, or an honorific.
-_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]"
+#: What every match has at least: three digits running, the middle of an address, the start of a phone or bank account number,
+#: a sign of mail, long hex, or an honorific.
+_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}"
 _LONG_HEX = "[0-9a-fA-F]{32}"
 
 #: Rounds of drawing again after which the space of surrogates counts as exhausted.
