@@ -22,8 +22,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates; n_chars, where it is there, counts the new text."""
-    out = pii.replace_private(docs)
+    """Texts with surrogates, drawn by the secret ``spark.gridwright.surrogateKey``; n_chars, where it is there, counts the new text."""
+    out = pii.replace_private(docs, key=spark.conf.get("spark.gridwright.surrogateKey", "corpus pipeline"))
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_private") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
@@ -31,7 +31,8 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """Pieces with their token ids, ready for a trainer."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
