@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,70 +35,94 @@ ALPHABETS = (
     ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 )
 
-_NAME = r"\p{Lu}[\p{L}'’-]*+"
-_EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}"
-_SECRET = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
-_IP = r"(?<![\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
-_CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?!\p{N})"
-_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])"
-_PERSON = r"(?<![\p{L}\p{N}-])(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True)) + rf")\.? {_NAME}(?: {_NAME})?"
-_ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])"
-_ASSIGNMENT = r"(?<!\p{L})(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
+#: Words between names that stay. Fixed values.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "du", "da", "di", "la", "le", "bin", "al")
+
+_NAME = r"\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+){0,4}"
+_ITEM = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?:\p{{Lu}}\.(?= \p{{Lu}})|{_NAME})"
+_HONORIFIC = "(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True)) + r")\.? "
+#: Patterns of what is found. They have no loops over groups without a small bound, for which Java needs stack.
+_EMAIL = r"(?<![._+-])[\p{L}\p{N}._+-]++@(?=[\p{L}\p{N}])[\p{L}\p{N}.-]*\.\p{L}{2,}"
+_SECRET = r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
+_IP = r"(?<![.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
+_CARD = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?!\p{N})"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![\p{L}\p{N}])"
+_PHONE = (
+    r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\p{N})"
+    r"|(?<!\+)\+(?=[0-9](?:[ .-]?[0-9]){6,14}(?!\p{N}))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,7}(?!\p{N})"
+    r"|(?<![.+-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![\p{N}-])"
+)
+_PERSON = rf"(?<!-){_HONORIFIC}{_ITEM}(?: {_ITEM}){{0,3}}"
+_ACCESS_KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])"
+_ASSIGNMENT = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
 _ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.-]{0,64}[0-9])[\p{L}\p{N}_~+/!.-]{5,}[\p{L}\p{N}]"
-#: Everything that is replaced, in the order of preference at one place.
-PATTERN = "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON))
-
-#: What every match has at least: three digits running, the middle of an address, the start of a phone or bank account number,
-#: a sign of mail, long hex, or an honorific.
+_START = r"(?<![\p{L}\p{N}])"
+#: Everything that is replaced, in the order of preference at one place; an address may follow a letter.
+PATTERN = rf"{_START}(?:" + "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON)) + rf")|(?<=\p{{L}}){_IP}"
+#: A word that may be a name found elsewhere in its text.
+_MENTION = rf"{_START}(?<!['’-])(?=\p{{Lu}}\p{{L}}){_NAME}"
+
+#: What a match has at least, pattern by pattern: numbers three digits running, addresses their middle, phones also a plus
+#: sign with a digit, bank accounts their start; the others are told by signs and words below.
 _HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}"
 _LONG_HEX = "[0-9a-fA-F]{32}"
 
-#: Rounds of drawing again after which the space of surrogates counts as exhausted.
-ROUNDS = 60
-
-
-def _any_of(words: tuple[str, ...]) -> str:
-    return r"^(?:" + "|".join(words) + r")\.? "
+#: Rounds of drawing again. Surrogates grow with the rounds, so no format runs out of them.
+ROUNDS = 200
 
 
-def has_private(text: Column) -> Column:
-    """Whether anything is found; the cheap hints keep the whole pattern from most texts."""
-    hint = text.contains("@") | text.rlike(_HINT) | text.contains("AKIA") | text.contains("ASIA") | ((text.contains("=") | text.contains(":")) & text.rlike(_ASSIGNED))
+def _honorific(text: Column) -> Column:
+    hint = F.lit(False)
     for word in (*MALE, *FEMALE, *EITHER):
         hint = hint | text.contains(word)
-    return F.coalesce((hint | text.rlike(_LONG_HEX)) & text.rlike(PATTERN), F.lit(False))
+    return hint
+
+
+def may_be_private(text: Column) -> Column:
+    """A cheap test that all texts pass in which anything is found; it keeps the whole pattern from most others."""
+    assigned = (text.contains("=") | text.contains(":")) & text.rlike(_ASSIGNED)
+    hint = text.contains("@") | text.rlike(_HINT) | text.contains("AKIA") | text.contains("ASIA") | _honorific(text) | text.rlike(_LONG_HEX) | assigned
+    return F.coalesce(hint, F.lit(False))
+
 
+_ENTRY = "array<struct<gap: string, kind: string, value: string>>"
 
-def _segment(kind: Column, value: Column) -> Column:
-    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
 
+def _entry(gap: Column, kind: Column, value: Column) -> Column:
+    return F.struct(gap.alias("gap"), kind.cast("string").alias("kind"), value.alias("value"))
 
-def with_segments(df: DataFrame) -> DataFrame:
-    """``df`` with _parts, its text's parts in order as (kind, value); kind is null for what stays.
 
-    A person is the honorific, given name and surname, an assignment its name and its value.
+def _entries(gap: Column, m: Column) -> Column:
+    """A match as entries (gap before it, kind, value): each name of a person is one, of an assignment the value alone."""
+    head = F.regexp_extract(m, f"^{_HONORIFIC}", 0)
+    named = lambda words: F.regexp_extract(head, r"^(?:" + "|".join(words) + r")\.? $", 0) != ""
+    gender = F.when(named(MALE), "male").when(named(FEMALE), "female").otherwise("either")
+    words = F.split(m.substr(F.length(head) + 1, F.length(m)), " ")
+    person = F.transform(words, lambda w, k: _entry(F.when(k == 0, F.concat(gap, head)).otherwise(" "), F.when(w.isin(*PARTICLES), "same").when(w.rlike(r"^\p{Lu}\.$"), "initial").when(k == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), w))
+    name = F.regexp_extract(m, _ASSIGNMENT, 0)
+    assigned = F.array(_entry(F.concat(gap, name), F.lit("assigned"), m.substr(F.length(name) + 1, F.length(m))))
+    one = lambda kind: F.array(_entry(gap, F.lit(kind), m))
+    out = (
+        F.when(m.rlike(rf"^{_PERSON}$"), person).when(m.rlike(rf"^{_ASSIGNED}$"), assigned).when(m.contains("@"), one("email")).when(m.rlike(r"^[0-9a-fA-F]{32,}$"), one("secret"))
+        .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), one("ssn")).when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), one("access_key"))
+        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), one("phone")).when(m.rlike(rf"^{_NAME}$"), one("mention")).otherwise(one("card"))
+    )
+    return out.cast(_ENTRY)
+
+
+def with_entries(df: DataFrame) -> DataFrame:
+    """``df`` (.., text) with ``entries``, what is found in the text with the gap before each (null: nothing), and ``tail``, the text after the last.
+
+    In a text with a person, all other words in capitals are entries of kind ``mention``: they may be its names again.
     """
-    plain = lambda v: _segment(F.lit(None), v)
-
-    def of(m: Column) -> Column:
-        gender = F.when(m.rlike(_any_of(MALE)), "male").when(m.rlike(_any_of(FEMALE)), "female").otherwise("either")
-        head = F.regexp_extract(m, r"^\S+ ", 0)
-        names = F.split(m.substr(F.length(head) + 1, F.length(m)), " ")
-        person = F.when(F.size(names) == 2, F.array(plain(head), _segment(F.concat(F.lit("given_"), gender), names[0]), plain(F.lit(" ")), _segment(F.lit("surname"), F.try_element_at(names, F.lit(2))))).otherwise(F.array(plain(head), _segment(F.lit("surname"), names[0])))
-        name = F.regexp_extract(m, _ASSIGNMENT, 0)
-        assigned = F.array(plain(name), _segment(F.lit("assigned"), m.substr(F.length(name) + 1, F.length(m))))
-        one = lambda kind: F.array(_segment(F.lit(kind), m))
-        return (
-            F.when(m.rlike(rf"^(?:{_PERSON})$"), person).when(m.rlike(rf"^(?:{_ASSIGNED})$"), assigned).when(m.contains("@"), one("email")).when(m.rlike(r"^[0-9a-fA-F]{32,}$"), one("secret"))
-            .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), one("ssn")).when(m.rlike(r"^(?:AKIA|ASIA)"), one("access_key"))
-            .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^[0-9]{3}[.-]"), one("phone")).otherwise(one("card"))
-        )
-
-    df = df.withColumns({"_found": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), "_gaps": F.split("text", PATTERN, -1)})
-    inner = F.flatten(F.zip_with(F.slice("_gaps", 1, F.size("_gaps") - 1), "_found", lambda g, m: F.concat(F.array(plain(g)), of(m))))
-    return df.withColumn("_parts", F.concat(inner, F.array(plain(F.element_at("_gaps", -1))))).drop("_gaps", "_found")
+    text = F.col("text")
+    person = _honorific(text) & text.rlike(_START + _PERSON)
+    pattern = F.when(person, F.lit(f"{PATTERN}|{_MENTION}")).otherwise(F.lit(PATTERN))
+    df = df.withColumn("found", F.when(may_be_private(text), F.regexp_extract_all(text, pattern, F.lit(0))))
+    df = df.withColumn("gaps", F.when(F.size("found") > 0, F.split(text, pattern, -1)))
+    entries = F.flatten(F.zip_with(F.slice("gaps", 1, F.size("found")), "found", _entries))
+    return df.withColumns({"entries": F.when(F.col("gaps").isNotNull(), entries), "tail": F.element_at("gaps", -1)}).drop("found", "gaps")
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -129,80 +155,128 @@ def _check_sum(number: Column) -> Column:
 
 
 def with_surrogates(df: DataFrame, key: str) -> DataFrame:
-    """``df`` (kind, value, attempt) with the draw of that number as surrogate: same kind, length and signs (IP addresses:
-    same form); names keep gender and script, card numbers whether they pass their check, phones their country."""
-    kind, value, attempt, stream = F.col("kind"), F.col("value"), F.col("attempt"), F.col("_stream")
-    seed = F.concat_ws("\x1f", F.lit(key), kind, F.lower(value), attempt.cast("string"))
+    """``df`` (kind, form, value, attempt) with the draw of that number as surrogate: same kind, length and signs (IP addresses:
+    same form); names, in small letters, keep gender and script, card numbers whether they pass their check, phones their
+    country. From the sixth draw on, mail names get longer, from the twenty-fourth all other numbers and keys."""
+    kind, form, value, attempt, stream = F.col("kind"), F.col("form"), F.col("value"), F.col("attempt"), F.col("stream")
+    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     byte = lambda k: _byte(stream, F.lit(k))
-    script = F.when(value.rlike("[А-яЁё]"), "cyrillic").when(value.rlike("[Α-Ωα-ωά-ώ]"), "greek").otherwise("latin")
+    script = F.when(value.rlike("[а-яё]"), "cyrillic").when(value.rlike("[α-ωά-ώ]"), "greek").otherwise("latin")
     start = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(2)).when(kind == "access_key", F.lit(4)).otherwise(F.lit(0))
-    tail = F.when(kind == "email", F.substring_index(value, ".", -1)).otherwise(F.lit(""))
-    drawn = df.withColumns({"_stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)), "_tail": tail})
-    drawn = drawn.withColumn("_body", F.concat(_spelled(value.substr(F.lit(1), F.length(value) - F.length("_tail")), stream, start), F.col("_tail")))
+    end = F.when(kind == "email", F.substring_index(value, ".", -1)).otherwise(F.lit(""))
+    drawn = df.withColumns({"stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)), "end": end})
+    drawn = drawn.withColumn("body", F.concat(_spelled(value.substr(F.lit(1), F.length(value) - F.length("end")), stream, start), F.col("end")))
 
-    headless = F.concat(F.col("_body").substr(F.lit(1), F.length("_body") - 1), F.lit("0"))
-    card = F.when(_check_sum(value) == 0, F.concat(F.col("_body").substr(F.lit(1), F.length("_body") - 1), ((10 - _check_sum(headless)) % 10).cast("string"))).otherwise(F.col("_body"))
+    headless = F.concat(F.col("body").substr(F.lit(1), F.length("body") - 1), F.lit("0"))
+    card = F.when(_check_sum(value) == 0, F.concat(F.col("body").substr(F.lit(1), F.length("body") - 1), ((10 - _check_sum(headless)) % 10).cast("string"))).otherwise(F.col("body"))
     ip = F.concat_ws(".", *[(byte(k) % 254 + 1).cast("string") for k in range(4)])
     hexed = F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(c.rlike("[A-F]"), F.lit("ABCDEF").substr(_byte(stream, k) % 6 + 1, F.lit(1))).otherwise(F.lit("0123456789abcdef").substr(_byte(stream, k) % 16 + 1, F.lit(1)))), "")
 
     def family(s: str) -> Column:
         size = 3 + F.least(F.lit(20), F.floor(attempt / 4).cast("int"))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), size), lambda k: _pick(SYLLABLES[s], _byte(stream, k))), ""))
+        return F.array_join(F.transform(F.sequence(F.lit(0), size), lambda k: _pick(SYLLABLES[s], _byte(stream, k))), "")
 
     def given(s: str) -> Column:
         ends = {"male": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "female": {"latin": "a", "cyrillic": "а", "greek": "α"}, "either": {}}
-        of = lambda g: F.when(attempt < 3, _pick(GIVEN[s, g], byte(5))).otherwise(F.concat(family(s), F.lit(ends[g].get(s, ""))))
-        return F.when(kind == "given_male", of("male")).when(kind == "given_female", of("female")).otherwise(of("either"))
+        of = lambda g: F.when(attempt < 3, _pick(tuple(x.lower() for x in GIVEN[s, g]), byte(5))).otherwise(F.concat(family(s), F.lit(ends[g].get(s, ""))))
+        return F.when(form == "given_male", of("male")).when(form == "given_female", of("female")).otherwise(of("either"))
 
     by_script = lambda f: F.when(script == "cyrillic", f("cyrillic")).when(script == "greek", f("greek")).otherwise(f("latin"))
     in_hex = (kind == "secret") | ((kind == "assigned") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-    out = F.when(kind == "ip", ip).when(in_hex, hexed).when(kind == "card", card).when(kind == "surname", by_script(family)).when(kind.startswith("given_"), by_script(given)).otherwise(F.col("_body"))
-    return drawn.withColumn("surrogate", out).drop("_stream", "_tail", "_body")
+    fresh = F.sha2(F.concat(seed, F.lit("\x1e")), 256)
+    longer = lambda after, each: fresh.substr(F.lit(1), F.greatest(F.lit(0), F.least(F.lit(40), F.floor((attempt - after) / each).cast("int"))))
+    mail = F.concat(F.translate(longer(4, 2), "0123456789", "ghijklmnop"), F.col("body"))
+    other = F.when(kind == "ip", ip).when(in_hex, hexed).when(kind == "card", card).otherwise(F.col("body"))
+    out = F.when(kind == "name", F.when(form == "surname", by_script(family)).otherwise(by_script(given))).when(kind == "email", mail).otherwise(F.concat(other, F.translate(longer(22, 2), "abcdef", "012345")))
+    return drawn.withColumn("surrogate", out).drop("stream", "end", "body")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct ``entities`` (kind, value): one to one within a kind, never a value that the data has.
+    """(kind, value, surrogate) for distinct ``entities`` (kind, form, value): one to one within a kind, never a value that the data has.
 
     Who loses a collision draws again, in rounds until none is left. The smallest value of a surrogate keeps it, so the
     result depends on the set of entities and the key alone.
     """
-    entities = materialize(entities.select("kind", "value"))
+    entities = materialize(entities.select("kind", "form", "value"))
     real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     drawn, settled = materialize(with_surrogates(entities.withColumn("attempt", F.lit(0)), key)), None
     for _ in range(ROUNDS):
-        every = drawn.withColumn("new", F.lit(True)) if settled is None else settled.withColumn("new", F.lit(False)).unionByName(drawn.withColumn("new", F.lit(True)))
+        every = drawn.withColumn("new", F.lit(True))
+        every = every if settled is None else settled.withColumn("new", F.lit(False)).unionByName(every)
         own = materialize(every.groupBy("kind", "surrogate").agg(F.min(F.struct("new", "value")).getField("value").alias("owner")))
         lost = (F.col("owner") != F.col("value")) | F.col("real").isNotNull()
-        checked = materialize(drawn.join(own, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").select("kind", "value", "attempt", "surrogate", lost.alias("lost")))
+        checked = materialize(drawn.join(own, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").select("kind", "form", "value", "attempt", "surrogate", lost.alias("lost")))
         kept = checked.where("not lost").drop("lost")
         settled = kept if settled is None else settled.unionByName(kept)
-        again = checked.where("lost").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        again = checked.where("lost").select("kind", "form", "value", (F.col("attempt") + 1).alias("attempt"))
         if again.isEmpty():
             return settled.select("kind", "value", "surrogate")
         drawn = materialize(with_surrogates(again, key))
-    raise ValueError("too many entities of one format for distinct surrogates")
+    raise RuntimeError("no distinct surrogates after all rounds")
+
+
+def _rotated(key: str) -> tuple[str, str]:
+    """Capitals of each script and what stands for them as initials: the alphabet turned by a keyed step, so one to one."""
+    plain = [letters for _, letters in ALPHABETS if letters.isupper()]
+    step = int(hashlib.sha256(f"initials {key}".encode()).hexdigest()[:8], 16)
+    turned = [x[k:] + x[:k] for x in plain for k in [1 + step % (len(x) - 1)]]
+    return "".join(plain), "".join(turned)
+
+
+def _in_case_of(value: Column, surrogate: Column, kind: Column) -> Column:
+    """A surrogate in small letters as its value is written: names whole, mail addresses letter by letter."""
+    first = F.upper(surrogate.substr(F.lit(1), F.lit(1)))
+    name = F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(surrogate)).otherwise(F.concat(first, surrogate.substr(F.lit(2), F.length(surrogate))))
+    letters = F.zip_with(F.split(value, ""), F.split(surrogate, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(F.coalesce(b, F.lit(""))))
+    mail = F.when(F.lower(value) == value, surrogate).otherwise(F.array_join(letters, ""))
+    return F.when(kind == "name", name).when(kind == "email", mail).otherwise(surrogate)
 
 
-def replace_private(docs: DataFrame, key: str = "gridwright") -> DataFrame:
+def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with private data in ``text`` replaced, and n_private, the number of entities found (long).
 
-    E-mail addresses, phone numbers, IP addresses, card, social-security and bank account numbers, access keys, long hex secrets,
-    values assigned to a password, token or key, and names after an honorific are found. Equal values (names: case aside in the draw) get equal surrogates in all documents,
-    different values of a kind different ones. Null texts stay null; texts without entities stay as they are and are
-    not shuffled. Columns and their order stay; a column of ``docs`` that is called n_private is replaced.
+    E-mail addresses, phone numbers, IP addresses, card, social-security and bank account numbers, access keys, long hex
+    secrets, values assigned to a password, token or key, and the names after an honorific are found, and such names again
+    wherever they stand in their text as words in capitals or with a capital. Equal values get equal surrogates in all
+    documents, different values of a kind different ones; names and mail addresses are equal whatever their case, which
+    the surrogate keeps, and a name is one person's whatever the honorifics (male or female where all agree). Initials are
+    turned by a keyed step. ``key`` decides the draw: keep it secret. Names without an honorific in their text are not found.
+
+    Null texts stay null; texts without entities stay as they are and are not shuffled. Rows that repeat a text are treated
+    alike. Texts of any length are read whole, in time linear in them. Columns and their order stay, whatever their names;
+    a column of ``docs`` that is called n_private is replaced. An empty table gives no rows. Texts are searched once and
+    kept as found; only entities are shuffled for their surrogates, then the texts that have some.
     """
     columns = [c for c in docs.columns if c != "n_private"]
-    docs = docs.select(*columns)
-    has = has_private(F.col("text"))
-    key_of = F.sha2("text", 256).alias("_text")
-    found = with_segments(docs.where(has).groupBy(key_of).agg(F.min("text").alias("text")))
-    private = F.array_distinct(F.filter("_parts", lambda s: s["kind"].isNotNull()))
-    found = materialize(found.select("_text", F.explode(private).alias("e")).select("_text", "e.kind", "e.value"))
-    drawn = materialize(surrogates(found.select("kind", "value").distinct(), key))
-    entry = F.struct(F.concat_ws("\x1f", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
-    maps = materialize(found.join(drawn, ["kind", "value"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(entry)).alias("_map")))
-    swapped = F.array_join(F.transform("_parts", lambda s: F.when(s["kind"].isNull(), s["value"]).otherwise(F.try_element_at(F.col("_map"), F.concat_ws("\x1f", s["kind"], s["value"])))), "")
-    touched = with_segments(docs.where(has).withColumn("_text", F.sha2("text", 256)).join(maps, "_text"))
-    number = F.size(F.filter("_parts", lambda s: s["kind"].isNotNull())).cast("long")
-    touched = touched.withColumn("n_private", number).withColumn("text", swapped)
-    return docs.where(~has).withColumn("n_private", F.lit(0).cast("long")).unionByName(touched.select(*columns, "n_private"))
+    others = [c for c in columns if c != "text"]
+    plain = [f"c{i}" for i in range(len(others))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(others, plain, strict=True)], "text")
+    cut = with_entries(rows)
+    private = F.col("entries").isNotNull()
+    cut = materialize(cut.select(*plain, F.when(~private, F.col("text")).alias("text"), F.when(private, F.sha2("text", 256)).alias("of"), "entries", "tail"))
+    searched = cut.where("of is not null")
+
+    found = materialize(searched.select("of", F.posexplode("entries").alias("pos", "e")).select("of", "pos", "e.kind", "e.value").distinct())
+    name = F.col("kind").startswith("given_") | (F.col("kind") == "surname")
+    known = found.where(name).select("of", F.lower("value").alias("folded"), F.lit(True).alias("known")).distinct()
+    again = found.where("kind = 'mention'").withColumn("folded", F.lower("value")).join(known, ["of", "folded"], "left")
+    again = again.select("of", "pos", F.when(F.col("known"), "name").otherwise("same").alias("kind"), F.lit(None).cast("string").alias("form"), "value", "folded")
+    folded = F.when(name | (F.col("kind") == "email"), F.lower("value")).otherwise(F.col("value"))
+    told = found.where("kind <> 'mention'").select("of", "pos", F.when(name, "name").otherwise(F.col("kind")).alias("kind"), F.when(name, F.col("kind")).alias("form"), "value", folded.alias("folded"))
+    told = materialize(told.unionByName(again))
+
+    has = lambda form: F.max(F.coalesce(F.col("form") == form, F.lit(False)))
+    forms = told.where(~F.col("kind").isin("same", "initial")).groupBy("kind", F.col("folded").alias("value")).agg(has("given_male").alias("m"), has("given_female").alias("f"), has("given_either").alias("e"))
+    form = F.when(F.col("m") & ~F.col("f"), "given_male").when(F.col("f") & ~F.col("m"), "given_female").when(F.col("m") | F.col("e"), "given_either").otherwise("surname")
+    drawn = materialize(surrogates(forms.select("kind", F.when(F.col("kind") == "name", form).alias("form"), "value"), key))
+
+    placed = told.join(drawn.select("kind", F.col("value").alias("folded"), "surrogate"), ["kind", "folded"], "left")
+    letters, turned = _rotated(key)
+    new = F.when(F.col("kind") == "same", F.col("value")).when(F.col("kind") == "initial", F.translate("value", letters, turned)).otherwise(_in_case_of(F.col("value"), F.col("surrogate"), F.col("kind")))
+    fills = placed.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))).alias("news"), F.count_if(F.col("kind") != "same").alias("n_private"))
+    touched = searched.join(materialize(fills), "of")
+    text = F.concat(F.array_join(F.zip_with("entries", "news", lambda e, s: F.concat(e["gap"], s["new"])), ""), F.col("tail"))
+    touched = touched.select(*plain, text.alias("text"), "n_private")
+    out = cut.where("of is null").select(*plain, "text", F.lit(0).cast("long").alias("n_private")).unionByName(touched)
+    named = dict(zip(others, plain, strict=True)) | {"text": "text"}
+    return out.select(*[F.col(named[c]).alias(c) for c in columns], "n_private")

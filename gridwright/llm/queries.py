@@ -45,7 +45,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_private(read(spark, sf_dir, "documents"))
+    return pii.replace_private(read(spark, sf_dir, "documents"), key="registered query")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

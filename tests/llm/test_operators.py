@@ -237,7 +237,7 @@ PRIVATE = [(1, "Mail anna.b@mail.example.com or +1 (743) 555-3824, ip 10.2.3.44.
 def test_private_data(spark, none):
     import re
 
-    rows = {(r.doc_id, k): r for k, r in enumerate(pii.replace_private(spark.createDataFrame(PRIVATE, "doc_id long, text string")).orderBy("doc_id").collect())}
+    rows = {(r.doc_id, k): r for k, r in enumerate(pii.replace_private(spark.createDataFrame(PRIVATE, "doc_id long, text string"), "k").orderBy("doc_id").collect())}
     by = {i: r for (i, _), r in rows.items()}
     assert len(rows) == len(PRIVATE) and by[5].text == PRIVATE[4][1] and by[6].text is None and by[7].text == ""
     everything = " ".join(r.text or "" for r in rows.values())
@@ -250,12 +250,12 @@ def test_private_data(spark, none):
     assert family and family[2] == family[3] and family[1] in pii.GIVEN["latin", "female"] and family[4] in pii.GIVEN["cyrillic", "male"]
     card = [int(c) for c in re.search(r"card ([\d ]{19})", by[3].text)[1] if c != " "][::-1]
     assert sum(c if k % 2 == 0 else sum(divmod(2 * c, 10)) for k, c in enumerate(card)) % 10 == 0
-    assert pii.replace_private(none).count() == 0 and pii.replace_private(none).columns[-1] == "n_private"
+    assert pii.replace_private(none, "k").count() == 0 and pii.replace_private(none, "k").columns[-1] == "n_private"
 
 
 def test_surrogates_stay_distinct(spark):
     # more first names than the list has: collisions draw again until all differ
-    entities = spark.createDataFrame([("given_female", f"Name{k}") for k in range(150)] + [("ip", f"9.9.{k}.1") for k in range(100)], "kind string, value string")
+    entities = spark.createDataFrame([("name", "given_female", f"name{k}") for k in range(150)] + [("ip", None, f"9.9.{k}.1") for k in range(100)], "kind string, form string, value string")
     got = pii.surrogates(entities, "k").collect()
     assert len(got) == 250 and len({(r.kind, r.surrogate) for r in got}) == 250
     assert not {r.value for r in got} & {r.surrogate for r in got}
