@@ -46,7 +46,7 @@ def test_short_formats_never_run_out(spark):
 def test_hostile_texts(spark):
     labels = "x@" + "a." * 100_000 + "com"
     many = "".join(f"Mr Name{chr(97 + k % 26)} q{k}@w.org " for k in range(5_000))
-    texts = [labels, "x@" + "." * 100_000, "Mr " + "A-" * 100_000 + "A", "A" * 300_000, "1 " * 200_000, "+" + "1 " * 100_000 + "+", many, "Mr", "Mr  X", "@", "\n" * 100_000]
+    texts = [labels, "x@" + "." * 100_000, "Mr " + "A-" * 100_000 + "A", "Z" * 300_000, "1 " * 200_000, "+" + "1 " * 100_000 + "+", many, "Mr", "Mr  X", "@", "\n" * 100_000]
     got = _replaced(spark, texts)
     assert got[0] != labels and len(got[0]) == len(labels)
     assert [got[k] for k in (1, 3, 4, 7, 8, 9, 10)] == [texts[k] for k in (1, 3, 4, 7, 8, 9, 10)]
