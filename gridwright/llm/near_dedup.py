@@ -1,20 +1,22 @@
 """MinHash near-deduplication with an LSH forest.
 
 1. Each text becomes its set of word shingles and a MinHash signature; equal sets are one class.
-2. Forest: a class has a place in several sorted orders of signatures. Entries that share the first
-   components of an order with nothing are dropped; the others are range-partitioned in that order, so a
-   hot region is cut like any other. Small regions are compared whole, large ones go deeper, component by
-   component, and at every depth neighbours by longest common prefix and leaders are compared. Only a
-   spanning forest of the candidates leaves a task, so rows stay linear in the classes.
-3. Clusters of candidates hold every link that the forest found. Within them links are confirmed on full
-   sets: small clusters whole, large ones in sliding blocks of several orders and against their hubs.
-4. What these steps miss is found exactly: linked sets share one of their first shingles in any fixed order (prefix
-   filter). Frequent shingles come last in the order, classes of one component are not compared again, and every
-   pair that is left is confirmed on full sets. No pair is dropped, so the links do not depend on steps 2 and 3.
+2. Forest: a class has a place in several sorted orders of signatures. Entries that share the first components of an
+   order (a region) are candidates. Small regions are compared whole. Large ones are range-partitioned in their order, go
+   deeper component by component, and at every depth neighbours by longest common prefix and leaders are compared.
+3. Clusters of candidates: links are confirmed on full sets, in small clusters of all pairs, in large ones in sliding
+   blocks and against the best linked members.
+4. What steps 2 and 3 leave out in large regions and clusters is found exactly: their classes are joined by a prefix filter
+   (linked sets share one of their first shingles in any fixed order; frequent ones come last). Pairs whose bitmaps rule a
+   link out are passed over, classes of one component are not compared again, all other pairs are confirmed on full sets.
+
+So two linked sets are missed only if no order puts them into one region, or their estimate is off by ESTIMATE_SLACK: of
+links just at 85 percent less than one in a million each. No region, cluster or list of partners has a cap.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +31,22 @@ from .common import components, materialize
 
 #: Orders (trees), signature components of each, components that a region shares at least.
 TREES, DEPTH, BASE_DEPTH = 16, 8, 3
-#: Entries of a region that are compared whole; neighbours on each side and leaders in larger ones.
+#: Entries of a region that are compared whole; neighbours on each side and leaders in larger ones, before the exact join.
 REGION, NEIGHBOURS, LEADERS = 64, 12, 8
 #: Estimated similarity (128 components of 8 bits) from which a pair is a candidate, below the threshold.
 ESTIMATE_SLACK = 0.15
-#: Members of a cluster compared whole; orders of sliding blocks, their half length and the hubs of larger ones.
-WHOLE, BLOCK_ORDERS, HALF_BLOCK, HUBS, HUB_BLOCK = 64, 8, 64, 64, 256
-#: Classes whose shingles are counted for the order of the prefix filter, besides those of large clusters; the count from
-#: which a shingle is frequent, and how many frequent ones are told apart. The order decides the work, not the result.
+#: Members of a cluster compared whole; orders of sliding blocks, their half length and the best linked members (hubs) that
+#: the others of a larger one meet before the exact join.
+WHOLE, BLOCK_ORDERS, HALF_BLOCK, HUBS, HUB_BLOCK, SALTS = 64, 2, 64, 8, 256, 16
+#: Entries that one task compares in regions, about.
+TASK_ENTRIES = 20_000
+#: Classes whose shingles are counted for the order of the prefix filter; the count from which a shingle is frequent, and
+#: how many frequent ones are told apart. The order decides the work, not the result.
 COUNTED_CLASSES, FREQUENT, MOST_FREQUENT = 10_000, 16, 500_000
 #: Classes with a shingle in their prefix that one task compares with each other; more are dealt as pairs of blocks.
 POSTING = 2048
+#: Bits of a set's bitmap, in which each shingle turns one over.
+BITMAP = 1024
 
 _M = TREES * DEPTH
 _rng = np.random.default_rng(20)
@@ -80,18 +87,19 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
 
 
 def _signed(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary()), ("text_md5", pa.string())])
 
     def run(batches):
         for b in batches:
             for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-                n, h1, h2, sig = [], [], [], []
+                n, h1, h2, sig, of = [], [], [], [], []
                 for t in _texts(part, "text"):
+                    of.append(None if t is None else hashlib.md5(t).hexdigest())
                     h = shingle_hashes(t, words)
                     whole = xxhash.xxh3_128_digest(h.tobytes())
                     a, c = np.frombuffer(whole, np.int64)
                     n.append(len(h)), h1.append(int(a)), h2.append(int(c)), sig.append(signature(h).tobytes() if len(h) else None)
-                yield pa.record_batch([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], schema=schema)
+                yield pa.record_batch([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(of, pa.string())], schema=schema)
 
     return run
 
@@ -260,16 +268,6 @@ def _with_hubs(percent: int):
     return run
 
 
-def _full_sets(words: int):
-    def run(batches):
-        schema = pa.schema([("rep", pa.int64()), ("cluster", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
-        for b in batches:
-            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array([shingle_hashes(t, words).tobytes() for t in _texts(part, "text")], pa.binary())], schema=schema)
-
-    return run
-
-
 def _own_sets(words: int):
     """(row's other columns, hashes) of rows (h1, h2, .., text) whose text is of the class of that digest."""
 
@@ -283,38 +281,40 @@ def _own_sets(words: int):
     return run
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles by their low bits: those of two sets differ in at most as many bits as the sets in shingles."""
+    return np.packbits(np.bincount((h & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1)
+
+
 def _class_sets(words: int):
-    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.binary()), ("bitmap", pa.binary())])
 
     def run(batches):
         for part, own in _own_sets(words)(batches):
-            yield pa.record_batch([part.column(2).take(pa.array([k for k, _ in own], pa.int64())), pa.array([h.tobytes() for _, h in own], pa.binary())], schema=schema)
+            reps = part.column(2).take(pa.array([k for k, _ in own], pa.int64()))
+            yield pa.record_batch([reps, pa.array([h.tobytes() for _, h in own], pa.binary()), pa.array([bitmap(h).tobytes() for _, h in own], pa.binary())], schema=schema)
 
     return run
 
 
-def _shingles(words: int):
-    schema = pa.schema([("token", pa.int64())])
-
-    def run(batches):
-        for _, own in _own_sets(words)(batches):
-            yield pa.record_batch([pa.array(np.concatenate([h for _, h in own] or [np.empty(0, np.uint64)]).view(np.int64))], schema=schema)
-
-    return run
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64))], names=["token"])
 
 
-def _prefixes(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """(token, rep, component, n, at): the shingles of a class up to the place where a link must have met one, and their places.
+def _prefixes(percent: int, frequent: np.ndarray, rank: np.ndarray):
+    """(token, rep, component, n, at) of rows (rep, component, hashes): the shingles of a class up to the place where a link must have met one, and their places.
 
     A link has at least percent / 100 * n shingles in common, so its first common one is among the others and one more.
     """
     names = ["token", "rep", "component", "n", "at"]
 
     def run(batches):
-        for part, own in _own_sets(words)(batches):
-            reps, components_ = part.column(2).to_numpy(), part.column(3).to_numpy()
+        for part in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out = [np.empty((5, 0), np.int64)]
-            for k, h in own:
+            for rep, component, hashes in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                h = np.frombuffer(hashes, np.uint64)
                 size = len(h) + percent * len(h) // -100 + 1
                 if len(frequent):
                     place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
@@ -326,7 +326,7 @@ def _prefixes(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
                 else:
                     first = h[:size]
                 same = np.ones(len(first), np.int64)
-                out.append(np.stack([first.view(np.int64), same * reps[k], same * components_[k], same * len(h), np.arange(len(first))]))
+                out.append(np.stack([first.view(np.int64), same * rep, same * component, same * len(h), np.arange(len(first))]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=names)
 
     return run
@@ -424,27 +424,39 @@ def _confirmed(percent: int):
     return run
 
 
-def _other_links(docs: DataFrame, classes: DataFrame, linked: DataFrame, large: DataFrame, percent: int, words: int) -> DataFrame:
-    """All links (src, dst) between classes of different components of ``linked``, by a prefix filter.
+def _may_link(percent: int):
+    """Pairs (a, b) of rows (a, b, n and bitmap of each) that the bitmaps don't rule out: common <= (n + n - bits that differ) / 2."""
 
-    ``large`` (rep) are classes whose shingles are counted for the order; any order gives the same links.
-    """
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    named = materialize(classes.select("h1", "h2", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")))
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (b.column(4), b.column(5)))
+            common = (n - np.bitwise_count(x ^ y).sum(axis=1)) // 2
+            yield b.select([0, 1]).filter(pa.array((100 + percent) * common >= percent * n))
+
+    return run
+
+
+def _other_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """All links (src, dst) between classes of ``sets`` (rep, hashes, bitmap) of different components of ``linked``, by a prefix filter."""
+    named = materialize(sets.select("rep", "hashes").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "hashes"))
     every = max(1, named.count() // COUNTED_CLASSES)
-    counted = named.join(large.select("rep").distinct().withColumn("large", F.lit(True)), "rep", "left").where(F.col("large") | (F.pmod(F.xxhash64("rep"), F.lit(every)) == 0))
-    tokens = text.join(counted.select("rep", "h1", "h2"), "rep").select("h1", "h2", "rep", "text").mapInArrow(_shingles(words), "token long")
-    top = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    counted = named.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("hashes").mapInArrow(_shingles, "token long")
+    top = counted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     frequent, rank = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.argsort(frequent)
-    prefixes = text.join(named, "rep").select("h1", "h2", "rep", "component", "text").mapInArrow(_prefixes(words, percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long")
+    prefixes = named.mapInArrow(_prefixes(percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long")
     found = materialize(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_postings(percent), ", ".join(f"{c} long" for c in _PAIRS)))
     blocks = found.where("b is null").select("block", F.col("a").alias("rep"), "component", "n", "at", "side").repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs(percent), "a long, b long")
-    pairs = materialize(found.where("b is not null").select("a", "b").unionByName(blocks).distinct())
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = materialize(text.join(named.join(wanted, "rep"), "rep").select("h1", "h2", "rep", "text").mapInArrow(_class_sets(words), "rep long, hashes binary").distinct())
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "src long, dst long"))
+    pairs = found.where("b is not null").select("a", "b").unionByName(blocks).distinct()
+    small = materialize(sets.select("rep", (F.octet_length("hashes") / 8).cast("long").alias("n"), "bitmap"))
+    of = lambda t, key, *names: t.select(F.col("rep").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in names])
+    pairs = pairs.join(of(small, "a", "n", "bitmap"), "a").join(of(small, "b", "n", "bitmap"), "b")
+    pairs = materialize(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(_may_link(percent), "a long, b long"))
+    both = pairs.join(of(named, "a", "hashes"), "a").join(of(named, "b", "hashes"), "b")
+    return materialize(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
@@ -455,52 +467,65 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     texts have none and are linked with nothing. Rows with equal sets are one class, and rows that repeat a doc_id
     stay rows. A null doc_id is linked with nothing. Very long texts are read whole. Other columns are not read.
     """
+    return _judged(docs, percent, words).drop("text_md5")
+
+
+def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """:func:`near_duplicates`, with the MD5 of the row's text, by which rows that share a doc_id are told apart."""
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be from 1 to 100 and words positive")
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, text_md5 string"))
     classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), "m.sig"))
 
     # the forest; a class whose first doc_id is another class's too (a repeated doc_id) shares its place with that one
     signed = classes.select("rep", "sig")
     place = [F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)]
     entries = signed.select("rep", F.posexplode(F.array(*[F.xxhash64(F.substring(p, 1, 4 * BASE_DEPTH)) for p in place])).alias("tree", "region"))
-    shared = materialize(entries.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    kept = materialize(entries.join(shared, ["tree", "region"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("tree", "region")).alias("places")))
-    placed = kept.join(signed, "rep").select("rep", "sig", F.explode("places").alias("p")).select("rep", F.col("p.tree").alias("tree"), F.col("p.region").alias("region"), "sig").mapInPandas(_placed, "tree int, region long, place binary, rep long, sketch binary")
-    placed = materialize(placed)
-    ordered = placed.repartitionByRange("tree", "region", "place", "rep").sortWithinPartitions("tree", "region", "place", "rep")
-    clusters = components(ordered.mapInPandas(_forest(percent / 100 - ESTIMATE_SLACK), "src long, dst long"))
+    shared = materialize(entries.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1").select("tree", "region", (F.col("n") > REGION).alias("large")))
+    kept = materialize(entries.join(shared, ["tree", "region"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "large")).alias("places")))
+    placed = kept.join(signed, "rep").select("rep", "sig", F.explode("places").alias("p")).select("rep", F.col("p.tree").alias("tree"), F.col("p.region").alias("region"), F.col("p.large").alias("large"), "sig")
+    placed = materialize(placed.mapInPandas(_placed, "tree int, region long, large boolean, place binary, rep long, sketch binary"))
+    order, compare = ["tree", "region", "place", "rep"], _forest(percent / 100 - ESTIMATE_SLACK)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // TASK_ENTRIES)
+    near = [dealt.sortWithinPartitions(*order).mapInPandas(compare, "src long, dst long") for dealt in (placed.where("not large").repartition(parts, "tree", "region"), placed.where("large").repartitionByRange(*order))]
+    clusters = components(near[0].unionByName(near[1]))
+
+    # full sets of all that have to be compared; what is in a large region or cluster goes to the exact join later
+    crowded = kept.where(F.exists("places", lambda p: p["large"])).select("rep", F.lit(True).alias("crowded"))
+    sized = clusters.withColumnRenamed("component", "cluster")
+    members = sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select(F.col("id").alias("rep"), "cluster", "n")
+    asked = materialize(members.join(crowded, "rep", "full").join(classes.select("h1", "h2", "rep"), "rep").select("h1", "h2", "rep", "cluster", "n", (F.col("crowded").isNotNull() | (F.col("n") > WHOLE)).alias("exact")))
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked.select("h1", "h2", "rep"), "rep").select("h1", "h2", "rep", "text")
+    full = materialize(text.mapInArrow(_class_sets(words), "rep long, hashes binary, bitmap binary").distinct())
+    sets = full.join(asked.select("rep", "cluster", "n", "exact"), "rep")
 
     # confirming links on full sets
-    sized = clusters.withColumnRenamed("component", "cluster")
-    members = materialize(sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select(F.col("id").alias("rep"), "cluster", "n"))
-    owner = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select("rep", "cluster", "n", "text")
-    sets = materialize(owner.mapInArrow(_full_sets(words), "rep long, cluster long, n long, hashes binary").dropDuplicates(["rep", "hashes"]))
     found = "src long, dst long, degree long"
     small = sets.where(F.col("n") <= WHOLE).select(F.lit(0).alias("tree"), "cluster", "rep", "hashes")
     whole = small.repartition("cluster").sortWithinPartitions("cluster", "rep").mapInPandas(_sliding(percent), found)
-    large = sets.where(F.col("n") > WHOLE)
-    signed_large = materialize(large.join(signed, "rep").select("cluster", "rep", "hashes", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), place[t].alias("place")) for t in range(BLOCK_ORDERS)])).alias("p")).select("p.tree", "cluster", "p.place", "rep", "hashes"))
-    blocks = signed_large.repartitionByRange("tree", "cluster", "place", "rep").sortWithinPartitions("tree", "cluster", "place", "rep").drop("place").mapInPandas(_sliding(percent), found)
+    large = materialize(sets.where(F.col("n") > WHOLE).select("cluster", "rep", "hashes", "n"))
+    orders = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), place[t].alias("place")) for t in range(BLOCK_ORDERS)])).alias("p")
+    blocks = large.join(signed, "rep").select("cluster", "rep", "hashes", orders).select("p.tree", "cluster", "p.place", "rep", "hashes")
+    blocks = blocks.repartitionByRange("tree", "cluster", "place", "rep").sortWithinPartitions("tree", "cluster", "place", "rep").drop("place").mapInPandas(_sliding(percent), found)
     links = materialize(whole.unionByName(blocks))
 
     degrees = links.where("degree > 0").groupBy(F.col("src").alias("rep")).agg(F.sum("degree").alias("degree"))
-    ranked = large.join(degrees, "rep").select("cluster", "rep", "hashes", "degree", F.pmod(F.xxhash64("rep"), F.lit(64)).alias("salt"), "n")
-    best = [F.col("degree").desc(), F.col("rep")]
-    hubs = ranked.withColumn("k", F.row_number().over(Window.partitionBy("cluster", "salt").orderBy(*best))).where(F.col("k") <= HUBS)
-    hubs = hubs.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(*best))).where(F.col("k") <= HUBS)
+    ranked = large.select("cluster", "rep", "n").join(degrees, "rep").select("cluster", "n", F.struct((-F.col("degree")).alias("less"), "rep").alias("best"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
+    first = F.slice(F.array_sort(F.collect_list("best")), 1, HUBS).alias("best")
+    hubs = ranked.withColumn("k", F.row_number().over(Window.partitionBy("cluster", "salt").orderBy("best"))).where(F.col("k") <= HUBS)  # at most SALTS x HUBS a cluster
+    hubs = hubs.groupBy("cluster", "n").agg(first).select("cluster", "n", F.explode("best").alias("b")).select("cluster", "n", "b.rep")
     n_blocks = F.ceil(F.col("n") / HUB_BLOCK).cast("int")
-    hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(True).alias("hub"), "rep", "hashes")
+    hubs = hubs.join(large.select("rep", "hashes"), "rep").select("cluster", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(True).alias("hub"), "rep", "hashes")
     rest = large.select("cluster", F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("block"), F.lit(False).alias("hub"), "rep", "hashes")
     by_hub = rest.unionByName(hubs).repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInPandas(_with_hubs(percent), found)
 
     linked = materialize(components(links.where("degree = 0").select("src", "dst").unionByName(by_hub.select("src", "dst"))))
-    others = _other_links(docs, classes, linked, large.select("rep"), percent, words)
+    others = _other_links(full.join(asked.where("exact").select("rep"), "rep", "left_semi"), linked, percent)
     linked = components(linked.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(others))
     named = materialize(classes.join(linked, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")))
     alone = F.col("n_shingles") == 0
-    out = rows.where(~alone & F.col("doc_id").isNotNull()).join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    out = out.unionByName(rows.where(alone | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = rows.where(~alone & F.col("doc_id").isNotNull()).join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "text_md5")
+    out = out.unionByName(rows.where(alone | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_md5"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -509,10 +534,18 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sig = np.stack([np.frombuffer(x, np.uint32) for x in b["sig"]]) if len(b) else np.zeros((0, _M), np.uint32)
         place = [sig[k, DEPTH * t : DEPTH * (t + 1)].astype(">u4").tobytes() for k, t in enumerate(b["tree"])]
-        yield pd.DataFrame({"tree": b["tree"], "region": b["region"], "place": place, "rep": b["rep"], "sketch": [x.tobytes() for x in (sig & 255).astype(np.uint8)]})
+        yield pd.DataFrame({"tree": b["tree"], "region": b["region"], "large": b["large"], "place": place, "rep": b["rep"], "sketch": [x.tobytes() for x in (sig & 255).astype(np.uint8)]})
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id; columns as they are."""
-    dropped = materialize(near_duplicates(docs, percent, words).where("not kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each component, the one of the smallest doc_id; columns as they are.
+
+    A row goes by its doc_id and text together, so a row that merely shares a doc_id with a dropped one stays. Rows that
+    repeat the doc_id that stays, and rows with a null doc_id, stay all.
+    """
+    taken = {c.lower() for c in docs.columns}
+    mark = next(f"md5_{k}" for k in range(len(taken) + 1) if f"md5_{k}" not in taken)
+    dropped = _judged(docs, percent, words).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped"), F.col("text_md5").alias("dropped_md5")).distinct()
+    marked, dropped = docs.withColumn(mark, F.md5("text")), materialize(dropped)
+    same = (marked["doc_id"] == dropped["dropped"]) & (marked[mark] == dropped["dropped_md5"])
+    return marked.join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -48,15 +48,13 @@ def test_prefix_filter_alone(spark, monkeypatch, posting, percent):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]
     texts = {i: " ".join(f"x{rng.integers(0, 99)}" if rng.random() < 0.03 else w for w in base[: rng.integers(40, 61)]) for i in range(150)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     sets = {i: near_dedup.shingle_hashes(t.encode()) for i, t in texts.items()}
-    digest = {i: np.frombuffer(near_dedup.xxhash.xxh3_128_digest(h.tobytes()), np.int64) for i, h in sets.items()}
     first = {}
-    for i in sets:
-        first.setdefault(tuple(map(int, digest[i])), i)
-    classes = spark.createDataFrame([(*k, i) for k, i in first.items()], "h1 long, h2 long, rep long")
+    for i, h in sets.items():
+        first.setdefault(h.tobytes(), i)
+    classes = spark.createDataFrame([(i, bytearray(h), bytearray(near_dedup.bitmap(sets[i]).tobytes())) for h, i in first.items()], "rep long, hashes binary, bitmap binary")
     none = spark.createDataFrame([], "id long, component long")
-    got = {tuple(sorted(r)) for r in near_dedup._other_links(docs, classes, none, classes.select("rep"), percent, 5).collect()}
+    got = {tuple(sorted(r)) for r in near_dedup._other_links(classes, none, percent).collect()}
     reps = sorted(first.values())
     common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
     assert got == {(i, j) for i in reps for j in reps if i < j and 100 * (c := common(i, j)) >= percent * (len(sets[i]) + len(sets[j]) - c)}
@@ -82,3 +80,38 @@ def test_each_private_value_alone(spark):
     assert texts.where(~F.col("text").rlike(pii.PATTERN)).count() == 0
     assert [r.text for r in texts.where(~pii.may_be_private(F.col("text"))).collect()] == []
     assert [r.text for r in pii.replace_private(texts, "k").where("n_private = 0").collect()] == []
+
+
+def test_thousands_of_near_copies_beside_an_exhaustive_join(spark):
+    """A cluster of 3,000 copies of one text, changed in one to eight places, and a template filled in 1,500 times."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 9000, 240)]
+    texts = {}
+    for i in range(3000):
+        w = list(base)
+        for k in rng.choice(240, rng.integers(1, 9), replace=False):
+            w[k] = f"x{rng.integers(0, 9999)}"
+        texts[i] = " ".join(w)
+    frame = [f"t{k}" for k in range(200)]
+    for i in range(3000, 4500):
+        at = int(rng.integers(0, 150))
+        texts[i] = " ".join([*frame[:at], *(f"f{i // 3} y{k}" for k in range(int(rng.integers(6, 14)))), *frame[at:]])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts.values())]
+    tally: dict = {}
+    for one in sets:
+        for g in one:
+            tally[g] = tally.get(g, 0) + 1
+    index = {g: k for k, g in enumerate(g for g, n in tally.items() if n > 1)}  # the others are in no intersection
+    m = np.zeros((len(sets), len(index)), np.float32)
+    for i, one in enumerate(sets):
+        m[i, [index[g] for g in one if g in index]] = 1
+    common, n = m @ m.T, np.array([len(one) for one in sets])
+    linked = 100 * common >= 85 * (n[:, None] + n - common)
+    np.fill_diagonal(linked, True)
+    low = np.arange(len(sets))
+    while (new := np.where(linked, low[None, :], len(sets)).min(axis=1)).tolist() != low.tolist():
+        low = new
+    sizes = np.bincount(low)
+    assert sizes.max() > 1000 and (sizes == 1).sum() > 20 and (sizes > 1).sum() > 200
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sum(r.component_id != low[r.doc_id] for r in got) == 0
