@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, match_key, text
+from ..plans import graph
 from ..plans.durable import keep, number_rows
 
 
@@ -40,17 +41,7 @@ def by_keys(df: DataFrame, keys: Sequence[Sequence[str]], rid: str, how: str = "
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of the ids in edges (id, root): the smallest id that can be reached."""
-    edges = keep(edges.union(edges.select("root", "id")).distinct())
-    labels = keep(edges.groupBy("id").agg(F.min("root").alias("m")).select("id", F.least("id", "m").alias("label")))
-    while True:
-        near = edges.join(labels, edges["root"] == labels["id"]).groupBy(edges["id"]).agg(F.min("label").alias("near"))
-        passed = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        # a label's own label: paths halve each round
-        jump = passed.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        passed = keep(passed.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "moved"))
-        labels = passed.select("id", "label")
-        if passed.where("moved").isEmpty():
-            return labels
+    return graph.components(edges.select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("component", "label")
 
 
 def to_delete(groups: DataFrame, rid: str, keep_last: bool = False) -> DataFrame:
