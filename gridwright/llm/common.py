@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import keep as materialize  # noqa: F401
+from ..plans.durable import rank_within, shared_dir  # noqa: F401
+from ..plans.graph import components  # noqa: F401
+
 #: The white space that word and equality rules of these operators know: space, and tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,60 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again.
-
-    This cuts the lineage, survives lost executors, is computed once, and lets a following
-    join read plain shuffles of both sides, which adaptive execution can split where a key is hot.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (src, dst: long) as (id, component), component being the smallest id reached.
-
-    Alternating large-star and small-star steps: each takes every vertex's smallest neighbour by a partial
-    aggregate and joins it back, so no neighbour list is ever gathered; ends when the edges no longer change.
-    Vertices without an edge are not returned. Null ends are ignored, loops and repeated edges are harmless.
-    """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        else:
-            both = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        both = materialize(both)
-        low = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
-        out = both.join(low, "src")
-        if large:
-            out = out.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        else:
-            out = out.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
-        return materialize(out.where("src <> dst").distinct())
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-
-    e = materialize(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
-    seen = state(e)
-    while seen[0]:
-        e = star(star(e, True), False)
-        now = state(e)
-        if tuple(now) == tuple(seen):
-            break
-        seen = now
-    return e.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(e.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
+def free_names(df: DataFrame, n: int, stem: str = "own") -> list[str]:
+    """``n`` names that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found, k = [], 0
+    while len(found) < n:
+        if f"{stem}_{k}" not in taken:
+            found.append(f"{stem}_{k}")
+        k += 1
+    return found

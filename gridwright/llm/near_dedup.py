@@ -465,7 +465,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reached over links. A text of fewer than ``words`` words is one shingle; null, empty and blank
     texts have none and are linked with nothing. Rows with equal sets are one class, and rows that repeat a doc_id
-    stay rows. A null doc_id is linked with nothing. Very long texts are read whole. Other columns are not read.
+    stay rows, linked each by its own text. A null doc_id is linked with nothing. Very long texts are read whole. Other columns are not read.
     """
     return _judged(docs, percent, words).drop("text_md5")
 
@@ -475,9 +475,9 @@ def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be from 1 to 100 and words positive")
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed(words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary, text_md5 string"))
-    classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), "m.sig"))
+    classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("owner"), "m.sig", F.monotonically_increasing_id().alias("rep")))
 
-    # the forest; a class whose first doc_id is another class's too (a repeated doc_id) shares its place with that one
+    # the forest, whose vertices are classes, numbered as they were written
     signed = classes.select("rep", "sig")
     place = [F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)]
     entries = signed.select("rep", F.posexplode(F.array(*[F.xxhash64(F.substring(p, 1, 4 * BASE_DEPTH)) for p in place])).alias("tree", "region"))
@@ -494,8 +494,8 @@ def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
     crowded = kept.where(F.exists("places", lambda p: p["large"])).select("rep", F.lit(True).alias("crowded"))
     sized = clusters.withColumnRenamed("component", "cluster")
     members = sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select(F.col("id").alias("rep"), "cluster", "n")
-    asked = materialize(members.join(crowded, "rep", "full").join(classes.select("h1", "h2", "rep"), "rep").select("h1", "h2", "rep", "cluster", "n", (F.col("crowded").isNotNull() | (F.col("n") > WHOLE)).alias("exact")))
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked.select("h1", "h2", "rep"), "rep").select("h1", "h2", "rep", "text")
+    asked = materialize(members.join(crowded, "rep", "full").join(classes.select("h1", "h2", "owner", "rep"), "rep").select("h1", "h2", "owner", "rep", "cluster", "n", (F.col("crowded").isNotNull() | (F.col("n") > WHOLE)).alias("exact")))
+    text = docs.select(F.col("doc_id").cast("long").alias("owner"), "text").join(asked.select("h1", "h2", "owner", "rep"), "owner").select("h1", "h2", "rep", "text")
     full = materialize(text.mapInArrow(_class_sets(words), "rep long, hashes binary, bitmap binary").distinct())
     sets = full.join(asked.select("rep", "cluster", "n", "exact"), "rep")
 
@@ -522,7 +522,10 @@ def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
     linked = materialize(components(links.where("degree = 0").select("src", "dst").unionByName(by_hub.select("src", "dst"))))
     others = _other_links(full.join(asked.where("exact").select("rep"), "rep", "left_semi"), linked, percent)
     linked = components(linked.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(others))
-    named = materialize(classes.join(linked, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")))
+    linked = materialize(linked)
+    least = linked.join(classes.select(F.col("rep").alias("id"), "owner"), "id").groupBy("component").agg(F.min("owner").alias("least"))
+    owned = linked.join(least, "component").select(F.col("id").alias("rep"), "least")
+    named = materialize(classes.join(owned, "rep", "left").select("h1", "h2", F.coalesce("least", "owner").alias("component")))
     alone = F.col("n_shingles") == 0
     out = rows.where(~alone & F.col("doc_id").isNotNull()).join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "text_md5")
     out = out.unionByName(rows.where(alone | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_md5"))

@@ -1,10 +1,12 @@
 """What a review found short: each case failed before."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.llm import near_dedup, packing, pii
+from gridwright.llm import exact_dedup, near_dedup, packing, pii, sharding
 
 
 def _templated(n):
@@ -115,3 +117,85 @@ def test_thousands_of_near_copies_beside_an_exhaustive_join(spark):
     assert sizes.max() > 1000 and (sizes == 1).sum() > 20 and (sizes > 1).sum() > 200
     got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert sum(r.component_id != low[r.doc_id] for r in got) == 0
+
+
+def test_exact_filter_in_slices(spark, monkeypatch):
+    """A filter beyond the broadcast size gives the same rows, and rows that are no copies are in no shuffle."""
+    texts = [(k, f"text {k if k % 5 else k % 2000}") for k in range(20_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    want = {tuple(r) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert len(want) == 20_000 and sum(r[2] > 1 for r in want) == 4_000
+    monkeypatch.setattr(exact_dedup, "BROADCAST_FILTER_BYTES", 5_000)
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(docs).collect()} == want
+    rows = docs.select(exact_dedup._digest().alias("text_sha256"), "doc_id")
+    repeated, segments = exact_dedup.repeated_filter(rows)
+    assert repeated.count() * 80 > 3 * 5_000
+    judged = exact_dedup.tested(rows, repeated, segments, "text_sha256", "suspect")
+    assert judged.count() == 20_000 and 4_000 <= judged.where("suspect").count() < 4_200
+    assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drops_look_at_the_text(spark):
+    """Rows that share the doc_id of a dropped one stay; rows that repeat one go, whatever their doc_id."""
+    shape = "doc_id long, text string, exact_0 string, md5_0 string"
+    rows = [(1, "one two three", "a", "b"), (2, "one two  three", "a", "b"), (1, "something else", "a", "b"), (None, "x y", "a", "b"), (None, "x y", "a", "b"), (3, "x y", "a", "b"), (3, "kept", "a", "b"), (3, "kept", "a", "b"), (4, None, None, None), (5, "", None, None)]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, shape))
+    assert got.columns == ["doc_id", "text", "exact_0", "md5_0"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, "one two  three"), (1, "something else"), (3, "x y"), (3, "kept"), (4, None)], key=str)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base, "a", "b"), (2, base + " tail", "a", "b"), (2, "lonely words of another text", "a", "b"), (None, base, "a", "b"), (5, "", "a", "b"), (6, None, "a", "b")]
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, shape))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, base), (2, "lonely words of another text"), (None, base), (5, ""), (6, None)], key=str)
+
+
+@pytest.mark.parametrize("n, shards", [(3000, 24), (400, 7), (5, 24)])
+def test_capacity_is_that_over_single_texts(spark, monkeypatch, n, shards):
+    """With few cells, so that borders fall into them, the plan over pieces has the capacity of a plan over all atoms."""
+    monkeypatch.setattr(sharding, "CELLS", 16)
+    monkeypatch.setattr(sharding, "FINER", 4)
+    rng = np.random.default_rng(n)
+    rows = [(k, "x" * int(rng.integers(0, 300)) + str(rng.integers(0, n // 2 + 1))) for k in range(n)] + [(n + k, "hot" * 9) for k in range(n // 3)] + [(None, None), (None, None), (7, "same"), (7, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards).collect()
+    atoms = docs.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")).orderBy("h").collect()
+    capacity = sharding.smallest_capacity([a["size"] for a in atoms], shards)
+    sums, slots, of = {}, {}, {}
+    text = {}
+    for i, t in rows:
+        text.setdefault((i, zlib.crc32((t or "").encode())), t or "")
+    for r in got:
+        t = text[r.doc_id, r.text_crc32]
+        assert r["size"] == len(t) + 8 and of.setdefault(t, r.shard) == r.shard
+        sums[r.shard] = sums.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append((r.slot, r.doc_id if t == "hot" * 9 else None))
+    assert len(got) == len(rows) and max(sums.values()) == capacity
+    for own in slots.values():
+        own.sort()
+        assert [k for k, _ in own] == list(range(len(own)))
+        hot = [i for _, i in own if i is not None]
+        assert hot == sorted(hot)
+
+
+def test_packing_of_clashing_columns_and_hot_rows(spark):
+    rows = [(1, 0, 5, "s", 9, "r")] * 300 + [(None, 0, 7, "s", 9, "r")] * 50 + [(k, 0, 1 + k % 32, "s", 9, "r") for k in range(500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, size string, offset long, rank string").repartition(7)
+    got = packing.pack(pieces, 32)
+    assert got.columns == ["doc_id", "piece", "length", "size", "rank", "sequence_id", "offset"]
+    by: dict = {}
+    for r in got.collect():
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, by.values())) == len(rows)
+    for own in by.values():
+        end = 0
+        for at, n in sorted(own):
+            assert at == end
+            end += n
+        assert end <= 32
+    full = sum(r[2] for r in rows)
+    assert len(by) <= 1.03 * full / 32 + 1
+
+
+def test_packing_of_null_ids_and_long_blanks(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, None), (3, "x" + " \n" * 600_000), (4, "　" * 1_200_000)], "doc_id long, text string")
+    got = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in got if r.doc_id is None) == 3 and {r.doc_id for r in got} == {None, 3, 4}
