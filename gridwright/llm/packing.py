@@ -11,13 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .common import materialize
-
-#: Rows that one part of a length numbers, about.
-RANKED_ROWS = 200_000
 
+from .common import materialize, rank_within
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best-fit decreasing over counts: (length, first rank, documents, documents a sequence, first sequence, offset).
@@ -120,25 +115,23 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
 def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with sequence_id and offset, in as few sequences of ``capacity`` as best-fit decreasing finds.
 
-    ``length`` is from 1 to ``capacity``; rows outside raise. Any other columns stay. Rows equal in ``order`` take
-    slots in any order. Only the counts of lengths reach the driver, at most ``capacity`` of them. Documents find
-    their slots by rank within their length, a length being numbered in parts of about RANKED_ROWS rows.
+    ``length`` is from 1 to ``capacity``; rows outside raise. Any other columns stay, whatever their names, but sequence_id
+    and offset are replaced. Rows equal in ``order`` take slots in any order. Only the counts of lengths reach the driver, at
+    most ``capacity`` of them. Documents find their slots by their rank within their length, for which rows are
+    range-partitioned: a hot length, and rows that repeat an order, are cut like any others.
     """
-    pieces = materialize(pieces)
-    counts = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count("*")).collect()}
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    plain = {c: f"c{i}" for i, c in enumerate(columns)}
+    rows = materialize(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], F.col(f"`{length}`").cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
+    counts = {r[0]: r[1] for r in rows.groupBy("size").agg(F.count("*")).collect()}
     if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     plan = plan_best_fit(counts, capacity)
-    slots = F.broadcast(pieces.sparkSession.createDataFrame([(x[0], x[1], x[1] + x[2], *x[3:]) for x in plan], "_length long, _low long, _high long, _each long, _first long, _at long"))
-    parts = max(16, sum(counts.values()) // RANKED_ROWS)
-    dealt = pieces.withColumns({"_length": F.col(length).cast("long"), "_part": F.pmod(F.xxhash64(*order), F.lit(parts))})
-    before = F.sum("_n").over(Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = materialize(dealt.groupBy("_length", "_part").agg(F.count("*").alias("_n")).select("_length", "_part", F.coalesce(before, F.lit(0)).alias("_before")))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_length", "_part").orderBy(*order)) - 1)
-    ranked = ranked.join(starts, ["_length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.join(slots, "_length").where("_rank >= _low and _rank < _high").withColumn("_k", F.col("_rank") - F.col("_low"))
-    sequence = (F.col("_first") + F.expr("_k div _each")).cast("long").alias("sequence_id")
-    return placed.select(*pieces.columns, sequence, (F.col("_at") + F.col("_k") % F.col("_each") * F.col("_length")).cast("long").alias("offset"))
+    slots = F.broadcast(pieces.sparkSession.createDataFrame([(x[0], x[1], x[1] + x[2], *x[3:]) for x in plan], "size long, low long, high long, each long, first long, at long"))
+    ranked = rank_within(rows, "size", [*(plain[c] for c in order), "row"], "rank")
+    placed = ranked.join(slots, "size").where("rank >= low and rank < high").withColumn("k", F.col("rank") - F.col("low"))
+    sequence, offset = F.col("first") + F.expr("k div each"), F.col("at") + F.col("k") % F.col("each") * F.col("size")
+    return placed.select(*[F.col(n).alias(c) for c, n in plain.items()], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -146,7 +139,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byt
 
     A document is its token ids and then ``end_id``; null and empty texts are ``end_id`` alone. Only documents
     longer than ``capacity`` are cut, into full pieces after a first one that may be shorter. Rows that repeat a
-    doc_id are packed once each. An empty table gives no rows. Other columns are not read. With ``keep_ids`` a
+    doc_id are packed once each, null doc_ids too. An empty table gives no rows. Texts are encoded whole. Other columns are not read. With ``keep_ids`` a
     piece's ids come too, as little-endian 32-bit integers.
     """
     tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, capacity, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
