@@ -94,8 +94,10 @@ def number(c) -> Column:
             .when(commas == 1, F.replace(bare, F.lit(","), F.lit("."))).when(commas > 1, no(",")).when(dots > 1, no(".")).otherwise(bare)
         )
 
-    plain = _once(_once(F.when(F.octet_length(s) <= 40, bare_text), read_bare), lambda x: F.when(x.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), x))
-    read = plain.try_cast("double")
+    shape = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+    lenient = _once(_once(bare_text, read_bare), lambda x: F.when(x.rlike(shape), x))
+    short = F.octet_length(s) <= 40
+    read = F.when(short & s.rlike(shape), s.try_cast("double")).when(short & s.rlike("[0-9]"), lenient.try_cast("double"))
     typed = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double")
     return F.when(_is_numeric(c), F.when(~F.isnan(typed), typed)).otherwise(read)
 
@@ -118,7 +120,10 @@ def date_key(c) -> Column:
         ok = m.between(1, 12) & d.between(1, 31) & (n(4) < 24) & (n(5) < 60) & (n(6) < 60)
         return F.when(ok, ((((y * 100 + m) * 100 + d) * 100 + n(4)) * 100 + n(5)) * 100 + n(6))
 
-    return _once(F.when(shaped & ~_is_numeric(c), F.split(s, r"[-/.T :]")), key)
+    plain = F.translate(s, "-", "")
+    day = F.when(F.substring(plain, 5, 2).between("01", "12") & F.substring(plain, 7, 2).between("01", "31"), plain.try_cast("long") * 1000000)
+    iso = s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(~_is_numeric(c), F.when(iso, day).when(s.rlike("^[0-9]"), _once(F.when(shaped, F.split(s, r"[-/.T :]")), key)))
 
 
 def quantity(c) -> Column:

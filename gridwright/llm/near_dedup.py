@@ -495,7 +495,7 @@ def _judged(docs: DataFrame, percent: int, words: int) -> DataFrame:
     sized = clusters.withColumnRenamed("component", "cluster")
     members = sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").select(F.col("id").alias("rep"), "cluster", "n")
     asked = materialize(members.join(crowded, "rep", "full").join(classes.select("h1", "h2", "owner", "rep"), "rep").select("h1", "h2", "owner", "rep", "cluster", "n", (F.col("crowded").isNotNull() | (F.col("n") > WHOLE)).alias("exact")))
-    text = docs.select(F.col("doc_id").cast("long").alias("owner"), "text").join(asked.select("h1", "h2", "owner", "rep"), "owner").select("h1", "h2", "rep", "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("owner"), "text").join(asked.select("h1", "h2", "owner", "rep").hint("merge"), "owner").select("h1", "h2", "rep", "text")  # a shuffle at every size
     full = materialize(text.mapInArrow(_class_sets(words), "rep long, hashes binary, bitmap binary").distinct())
     sets = full.join(asked.select("rep", "cluster", "n", "exact"), "rep")
 

@@ -29,8 +29,39 @@ def search(columns: Sequence[str], what: str, match_case: bool = False) -> Colum
     return out
 
 
-def column_test(c: str, condition: str, match_case: bool = False) -> Column:
-    """``word``, ``=x``, ``!=x``, ``!x``, ``>n``, ``>=n``, ``<n``, ``<=n``; ``=`` alone is empty, ``!`` alone filled."""
+def _limit(written: str) -> float | int:
+    """A condition's number as people write it, else its date as date_key gives it."""
+    bare = re.sub(r"[€$£%¥ \u00a0\u202f'_]", "", re.sub(r"^\((.*)\)$", r"-\1", written.strip()))
+    if day := re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})", bare):
+        y, m, d = (int(x) for x in ((day[1], day[3], day[4]) if day[1] else (day[8], day[7], day[5])))
+        return ((y * 100 + m) * 100 + d) * 1_000_000
+    for drop, mark in ((",", "."), (".", ",")):
+        clean = bare.replace(drop, "").replace(mark, ".") if "," in bare and "." in bare and bare.rfind(mark) > bare.rfind(drop) else None
+        if clean:
+            return float(clean)
+    return float(bare.replace(",", "." if bare.count(",") == 1 else "").replace(".", "." if bare.count(".") <= 1 else ""))
+
+
+def _compared(c: str, sign: str, limit: float | int, kind: str | None) -> Column:
+    """``c`` beside a limit; of a column whose type is known by a plain comparison, which the scan can use to leave data out."""
+    number_type = kind is not None and re.match("tinyint|smallint|int|bigint|float|double|decimal", kind)
+    if number_type:
+        column, test = F.col(c), F.lit(limit)
+        known = ~F.isnan(c) if kind in ("float", "double") else F.lit(True)
+    elif kind == "date" and isinstance(limit, int):
+        y, rest = divmod(limit // 1_000_000, 10_000)
+        column, test, known = F.col(c), F.lit(f"{y:04}-{rest // 100:02}-{rest % 100:02}").try_cast("date"), F.lit(True)
+    else:
+        column, test, known = quantity(c), F.lit(float(limit)), F.lit(True)
+    compared = {">": column > test, ">=": column >= test, "<": column < test, "<=": column <= test}[sign]
+    return compared & known if number_type or kind == "date" else F.coalesce(compared, F.lit(False))
+
+
+def column_test(c: str, condition: str, match_case: bool = False, kind: str | None = None) -> Column:
+    """``word``, ``=x``, ``!=x``, ``!x``, ``>n``, ``>=n``, ``<n``, ``<=n``; ``=`` alone is empty, ``!`` alone filled.
+
+    ``kind`` is the column's type where it is known (as in ``df.dtypes``): numbers and dates then are compared as they are.
+    """
     read = trimmed if match_case else lambda x: fold(trimmed(x))
     operator = re.match(r"!=|>=|<=|[=!<>]", condition)
     sign, rest = (operator[0], condition[operator.end() :].strip()) if operator else ("", condition)
@@ -40,18 +71,21 @@ def column_test(c: str, condition: str, match_case: bool = False) -> Column:
     if sign == "!":
         return ~_has(c, rest, match_case) if rest else filled(c)
     if sign:
-        limit = quantity(F.lit(rest))
         if not re.search(r"\d", rest):
             raise ValueError(f"not a number: {rest}")
-        value = quantity(c)
-        test = {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit}[sign]
-        return F.coalesce(test, F.lit(False))
+        return _compared(c, sign, _limit(rest), kind)
     out = F.lit(True)
     for term in terms(rest):
         out &= _has(c, term, match_case)
     return out
 
 
+def keep_where(df: DataFrame, conditions: dict[str, str], match_case: bool = False) -> DataFrame:
+    """Rows that pass the condition of every column named, each compiled for the column's type."""
+    kinds = dict(df.dtypes)
+    return select_rows(df, [column_test(c, x, match_case, kinds[c]) for c, x in conditions.items()])
+
+
 def regex_test(c: str, pattern: str, match_case: bool = False) -> Column:
     return text(c).rlike(("" if match_case else "(?i)") + pattern)
 
@@ -74,8 +108,9 @@ def hide_values(c: str, values: Sequence[str]) -> Column:
     return ~text(c).isin(*values)
 
 
-def keep_range(c: str, low: float, high: float) -> Column:
-    return F.coalesce(quantity(c).between(low, high), F.lit(False))
+def keep_range(c: str, low: float, high: float, kind: str | None = None) -> Column:
+    """Numbers from ``low`` to ``high``; with the column's type (``kind``) a plain comparison that reaches the scan."""
+    return _compared(c, ">=", low, kind) & _compared(c, "<=", high, kind)
 
 
 def count_matches(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
@@ -99,7 +134,11 @@ def without_rows(df: DataFrame, rid: str, rows: DataFrame) -> DataFrame:
 
 
 def irregular(lines: DataFrame, c: str, delimiter: str, width: int) -> DataFrame:
-    """Raw lines with another number of fields than ``width`` (fields), quoted delimiters aside."""
-    bare = F.regexp_replace(text(c), '"(?:[^"]|"")*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    return lines.withColumn("fields", fields).where(F.col("fields") != width)
+    """Raw lines with another number of fields than ``width`` (fields); a delimiter inside quotes doesn't count, an open quote runs to the end.
+
+    A quote opens a cell only where the cell begins.
+    """
+    d = re.escape(delimiter)
+    bare = F.regexp_replace(text(c), f'(?s)(^|{d})"(?:[^"]|"")*+(?:"|$)', "$1")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + len(delimiter)
+    return lines.withColumn("fields", F.expr(f"`{c}` is null").cast("int") * 0 + F.floor(fields / len(delimiter))).where(F.col("fields") != width)

@@ -22,18 +22,18 @@ AMOUNT_WORDS = (
     "duree", "duration", "heures", "hours", "points", "score", "solde", "balance", "ht", "ttc", "tva", "vat", "remise", "discount", "marge", "margin",
 )
 
-#: Words of the titles of columns by what they hold. Fixed values.
+#: Words and whole titles of columns by what they hold. Fixed values.
 TITLE_WORDS = {
     "mail": ("email", "mail", "courriel"),
-    "phone": ("tel", "telephone", "phone", "mobile", "portable", "gsm", "cell"),
+    "phone": ("tel", "telephone", "phone", "mobile", "portable", "gsm", "cell", "cellulaire", "telephones", "phones"),
     "first": ("prenom", "prenoms", "firstname", "first", "given", "givenname", "forename"),
-    "last": ("lastname", "last", "surname", "family", "familyname", "patronyme"),
-    "full": ("fullname", "full", "complet", "displayname", "contact", "name", "nom"),
-    "company": ("societe", "company", "entreprise", "organisation", "organization", "employeur", "employer", "raison"),
-    "city": ("ville", "city", "commune", "localite", "town", "locality"),
-    "postal": ("postal", "cp", "zip", "postcode", "zipcode"),
-    "country": ("pays", "country", "nation", "nationalite", "nationality"),
-}
+    "last": ("lastname", "last", "surname", "family", "familyname", "patronyme", "nom de famille"),
+    "full": ("fullname", "full", "complet", "displayname", "display", "contact", "interlocuteur", "name", "nom", "noms", "names", "nom prenom", "prenom nom"),
+    "company": ("societe", "company", "entreprise", "organisation", "organization", "organisme", "employeur", "employer", "firme", "raison", "etablissement", "structure", "compagnie"),
+    "city": ("ville", "city", "commune", "localite", "town", "locality", "municipality"),
+    "postal": ("postal", "postcode", "zip"),
+    "country": ("pays", "country", "nation"),
+}
 
 
 def _plain_title(title: str) -> list[str]:
@@ -41,6 +41,11 @@ def _plain_title(title: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", bare) if w]
 
 
+def _titled(title: str, what: str) -> bool:
+    words, known = _plain_title(title), TITLE_WORDS[what]
+    return " ".join(words) in known or any(w in known for w in words)
+
+
 def _by_column(df: DataFrame, columns: Sequence[str], found) -> DataFrame:
     """One row for each column from one aggregation: ``found(column)`` gives its named aggregates."""
     one = df.agg(*[F.struct(F.lit(c).alias("column_name"), *found(c)).alias(f"c{i}") for i, c in enumerate(columns)])
@@ -92,7 +97,7 @@ def reading(df: DataFrame, c: str) -> DataFrame:
     last_comma = F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), ".")
     says_comma = F.when(both, last_comma).otherwise(comma)
     says_point = F.when(both, ~last_comma).otherwise(point)
-    phoned = F.lit(any(w in TITLE_WORDS["phone"] for w in _plain_title(c)))
+    phoned = F.lit(_titled(c, "phone"))
     dates, numbers, phones = F.count_if(ok & dated), F.count_if(ok & ~dated & number(c).isNotNull() & ~s.rlike("^0[0-9]")), F.count_if(ok & (phone_key(c) != ""))
     kind = F.when(phoned & (phones >= numbers) & (phones > 0), "phone").when((phones > dates) & (phones > numbers), "phone").when(numbers > dates, "number").when(dates > 0, "date").otherwise("text")
     return df.agg(kind.alias("kind"), ((month_first > 0) & (day_first == 0)).alias("month_first"), F.when(F.count_if(ok & says_point & ~dated) > F.count_if(ok & says_comma & ~dated), ".").otherwise(",").alias("decimal_mark"))
@@ -106,8 +111,7 @@ def roles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
 
     def found(c: str):
-        words = _plain_title(c)
-        titled = [r for r, known in TITLE_WORDS.items() if any(w in known for w in words)]
+        titled = [r for r in TITLE_WORDS if _titled(c, r)]
         share = lambda test: F.count_if(filled(c) & test) / F.greatest(F.count_if(filled(c)), F.lit(1))
         s = trimmed(c)
         mails, phones = share(mail_key(c) != ""), share(phone_key(c) != "")

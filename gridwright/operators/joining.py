@@ -8,8 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import filled, match_key, text, trimmed
+from ..plans.durable import keep
 
 
 def _first_of_key(df: DataFrame, key: str, columns: Sequence[str], rid: str, how: str) -> DataFrame:
@@ -83,15 +85,41 @@ def combine(tables: dict[str, DataFrame], by_slug: bool = True, only_common: boo
 
 
 def split_plan(df: DataFrame, c: str, rid: str, how: str = "loose") -> DataFrame:
-    """Files that a split by value gives: (value, file_name, n, first_row); names are cleaned and told apart by the first row's order."""
+    """Files that a split by value gives: (value, file_name, n, first_row).
+
+    Signs that file names can't have become _, an empty value is "empty". Names that are equal but for case are told apart:
+    the first by row keeps its name, the others get " (2)", " (3)" and so on.
+    """
+    return _split_plan(df, c, rid, how).drop("_key")
+
+
+def _split_plan(df: DataFrame, c: str, rid: str, how: str) -> DataFrame:
     groups = df.groupBy(match_key(c, how).alias("_key")).agg(F.min_by(trimmed(c), F.col(rid)).alias("value"), F.count("*").alias("n"), F.min(rid).alias("first_row"))
     clean = F.trim(F.regexp_replace("value", r'[\\/:*?"<>|\x00-\x1f]+', "_"))
-    return groups.select("value", F.when(clean == "", "empty").otherwise(clean).alias("file_name"), "n", "first_row")
+    named = groups.withColumn("file_name", F.when(clean == "", "empty").otherwise(clean))
+    place = F.row_number().over(Window.partitionBy(F.lower("file_name")).orderBy("first_row"))
+    told = F.when(place == 1, F.col("file_name")).otherwise(F.concat("file_name", F.lit(" ("), place.cast("string"), F.lit(")")))
+    return named.select("_key", "value", told.alias("file_name"), "n", "first_row")
+
+
+#: Files that a split writes at most.
+MOST_FILES = 5000
+
+
+def split_write(df: DataFrame, c: str, path: str, rid: str, how: str = "loose") -> None:
+    """One folder of CSV files for each value, named as :func:`split_plan` says; more than MOST_FILES values are refused."""
+    plan = keep(_split_plan(df, c, rid, how).select("_key", "file_name"))
+    if plan.count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} values")
+    named = df.withColumn("_key", match_key(c, how)).join(F.broadcast(plan), "_key").drop("_key")  # at most MOST_FILES rows
+    named.write.partitionBy("file_name").option("header", True).csv(path)
 
 
-def split_write(df: DataFrame, c: str, path: str, how: str = "loose") -> None:
-    """One folder of CSV files for each value."""
-    df.withColumn("_split", match_key(c, how)).write.partitionBy("_split").option("header", True).csv(path)
+def compare_report(here: DataFrame, there: DataFrame, key: str, columns: Sequence[str], rid: str, there_rid: str, how: str = "exact") -> DataFrame:
+    """One row: keys that are same, changed, only_here, only_there, rows of either table without a key and rows that repeat one."""
+    status = compare(here, there, key, columns, rid, there_rid, how).agg(*[F.count_if(F.col("status") == s).alias(s.replace(" ", "_")) for s in ("same", "changed", "only here", "only there")])
+    one = lambda df, name: df.groupBy(F.when(filled(key), match_key(key, how)).alias("_key")).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_n"))), F.lit(0)).alias(f"no_key_{name}"), F.coalesce(F.sum(F.when(F.col("_key").isNotNull(), F.col("_n") - 1)), F.lit(0)).alias(f"dup_{name}"))
+    return status.crossJoin(one(here, "here")).crossJoin(one(there, "there"))  # one row each
 
 
 def review(before: DataFrame, after: DataFrame, rid: str, columns: Sequence[str]) -> DataFrame:

@@ -1,13 +1,12 @@
-"""Reading tables: delimited text, raw lines, JSON, Parquet and SQLite, all with their cells as text where asked."""
+"""Reading tables: delimited text, raw lines, JSON and Parquet, all with their cells as text where asked."""
 
 from __future__ import annotations
 
 import csv
 import io
 import re
-import sqlite3
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,32 +32,44 @@ def guess_delimiter(head: str) -> str | None:
     return found
 
 
+#: What a cell of a file's head looks like, tried in this order; anything else is text.
+_LOOKS = {
+    "year": r"1[89][0-9]{2}|2[01][0-9]{2}",
+    "date": r"[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}(?:[T ].*)?",
+    "number": r"[+-]?(?:[0-9][0-9 .,\u00a0\u202f]*|[.,][0-9]+)%?",
+}
+
+
+def _look(cell: str) -> str:
+    return next((name for name, shape in _LOOKS.items() if re.fullmatch(shape, cell)), "text")
+
+
 def guess_header(head: Sequence[Sequence[str]]) -> bool:
-    """Whether the first of a few rows holds titles: text above columns of numbers says yes, numbers above numbers no, years aside.
+    """Whether the first of a few rows holds titles, by the evidence of each column.
 
-    Where no column tells, titles are filled for the most part, short, all different and none a value of its column.
+    A title of another look than most of its values speaks for a header by their share, one of the same look against it,
+    and so does a number or date above text. Text above text tells nothing. Where columns don't tell, or not more for than
+    against, titles are filled for the most part, short, all different and none a value of its column; a file of one row
+    has a header if most of it is text.
     """
-    if not head or not any(v.strip() for v in head[0]):
+    if not head or not any(cell.strip() for cell in head[0]):
         return False
-    first, below = [v.strip() for v in head[0]], head[1:6]
-    numeric = lambda v: re.fullmatch(r"[+-]?[0-9][0-9 .,]*%?|[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", v.strip()) is not None
-    year = lambda v: re.fullmatch("1[89][0-9]{2}|2[01][0-9]{2}", v.strip()) is not None
-    yes = no = 0
-    for i, title in enumerate(first):
-        values = [r[i] for r in below if i < len(r) and r[i].strip()]
-        numbers = sum(map(numeric, values))
-        if not title or not values or max(numbers, len(values) - numbers) < 0.6 * len(values):
-            continue
-        of_numbers = 2 * numbers > len(values)
-        yes += of_numbers and not numeric(title)
-        no += numeric(title) and not (of_numbers and year(title) and not any(map(year, values)))
-    if yes or no:
-        return yes >= no
-    if not below:
-        return sum(map(numeric, first)) <= 0.34 * sum(map(bool, first))
-    named = [v.lower() for v in first if v]
-    repeated = any(v and any(i < len(r) and r[i].strip().lower() == v.lower() for r in below) for i, v in enumerate(first))
-    return 2 * len(named) >= len(first) and len(set(named)) == len(named) and max(map(len, named)) <= 60 and not repeated
+    rows = [[cell.strip() for cell in row] for row in head[:6]]
+    titles, columns = rows[0], [[row[k] for row in rows[1:] if k < len(row) and row[k]] for k in range(len(rows[0]))]
+    evidence = 0.0
+    for title, values in zip(titles, columns, strict=True):
+        if title and values:
+            usual, n = Counter(map(_look, values)).most_common(1)[0]
+            look = _look(title)
+            if (look, usual) != ("text", "text"):
+                evidence += (n if look != usual and usual != "text" else -n) / len(values)
+    if evidence:
+        return evidence > 0
+    filled = [title.lower() for title in titles if title]
+    if len(rows) == 1:
+        return 3 * sum(_look(title) == "text" for title in filled) >= 2 * len(filled)
+    repeated = any(title and title.lower() in map(str.lower, values) for title, values in zip(titles, columns, strict=True))
+    return 2 * len(filled) >= len(titles) and len(set(filled)) == len(filled) and max(map(len, filled)) <= 60 and not repeated
 
 
 def guess_encoding(head: bytes) -> str:
@@ -77,17 +88,23 @@ def guess_encoding(head: bytes) -> str:
     return "UTF-8"
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, encoding: str = "UTF-8", breaks_in_cells: bool = True) -> DataFrame:
-    """All columns as text. Without ``delimiter`` the head of the file decides; a file without any is read as lines.
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str = "UTF-8", breaks_in_cells: bool | None = None) -> DataFrame:
+    """All columns as text. Without ``delimiter`` and ``header`` the head of the file decides; a file without a delimiter is read as lines.
 
-    A quoted cell may hold line breaks, for which Spark reads a file in one task. For tables in few huge files say
-    ``breaks_in_cells=False``: the files are then split at line ends.
+    Files are split at line ends. Only where quoted cells hold line breaks, so that some line has an odd number of quotes,
+    a file is one task's, as Spark can't cut it then; without ``breaks_in_cells`` a pass over the lines tells.
     """
+    lines = spark.read.text(path)
+    head = [r.value for r in lines.limit(200).collect()] if delimiter is None or header is None else []
     if delimiter is None:
-        lines = [r.value for r in spark.read.text(path).limit(200).collect()]
-        delimiter = guess_delimiter("\n".join(lines))
+        delimiter = guess_delimiter("\n".join(head))
         if delimiter is None:
             return read_lines(spark, path)
+    if header is None:
+        header = guess_header(list(csv.reader(io.StringIO("\n".join(head)), delimiter=delimiter))[:6])
+    if breaks_in_cells is None:
+        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        breaks_in_cells = not lines.where(odd).isEmpty()
     return spark.read.csv(path, sep=delimiter, header=header, quote='"', escape='"', multiLine=breaks_in_cells, encoding=encoding, inferSchema=False)
 
 
@@ -123,46 +140,3 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     kind = endings[-1] if endings else ""
     readers = {".parquet": lambda: spark.read.parquet(path), ".json": lambda: read_json(spark, path, lines=False), ".jsonl": lambda: read_json(spark, path), ".tsv": lambda: read_delimited(spark, path, "\t"), ".log": lambda: read_lines(spark, path)}
     return readers.get(kind, lambda: read_delimited(spark, path))()
-
-
-def sqlite_tables(path: str) -> list[str]:
-    """Names of the tables and views of a SQLite file."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-
-
-def read_sqlite(spark: SparkSession, path: str, table: str, rows_per_task: int = 1_000_000) -> DataFrame:
-    """A table's cells as text: null empty, bytes as 0x and hexadecimal digits.
-
-    The file lies in a folder that all executors see, and each task reads a range of row ids, which SQLite finds by its
-    tree. A view, or a table without row ids, is read by one task.
-    """
-    name = '"' + table.replace('"', '""') + '"'
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        columns = [r[1] for r in db.execute(f"PRAGMA table_info({name})")]
-        kind = db.execute("SELECT type FROM sqlite_master WHERE name = ?", (table,)).fetchone()
-        if kind is None:
-            raise ValueError(f"no such table: {table}")
-        try:
-            ends = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone() if kind[0] == "table" else (None, None)
-        except sqlite3.OperationalError:
-            ends = (None, None)
-    ranges = [(None, None)] if ends[0] is None else [(a, min(a + rows_per_task - 1, ends[1])) for a in range(ends[0], ends[1] + 1, rows_per_task)]
-
-    def cell(v: object) -> str:
-        return "" if v is None else "0x" + v.hex() if isinstance(v, bytes) else str(v)
-
-    def read(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            for low, high in zip(batch["low"].tolist(), batch["high"].tolist(), strict=True):
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    whole = ranges[0][0] is None
-                    rows = db.execute(f"SELECT * FROM {name}") if whole else db.execute(f"SELECT * FROM {name} WHERE rowid BETWEEN ? AND ?", (int(low), int(high)))
-                    while part := rows.fetchmany(10_000):
-                        yield pd.DataFrame([[cell(v) for v in r] for r in part], columns=columns)
-
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    planned = spark.createDataFrame([(a or 0, b or 0) for a, b in ranges], "low bigint, high bigint")
-    return planned.repartition(len(ranges)).mapInPandas(read, schema)

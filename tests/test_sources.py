@@ -69,24 +69,6 @@ def test_typed_columns_lose_nothing(spark):
     assert sorted(map(tuple, got.collect())) == [(1.5, True, "007", 12, "1"), (2.0, False, "8", None, "1" * 25)]
 
 
-def test_sqlite_table_by_row_ranges(spark, tmp_path):
-    import sqlite3
-
-    from gridwright.sources.readers import read_sqlite, sqlite_tables
-
-    path = str(tmp_path / "x.db")
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, data BLOB)")
-        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, None if i % 7 == 0 else f"n{i}", bytes([i])) for i in range(1, 96)])
-        db.execute("CREATE VIEW v AS SELECT name FROM t WHERE id < 4")
-        db.execute("CREATE TABLE blank (a)")
-    assert sqlite_tables(path) == ["blank", "t", "v"]
-    got = read_sqlite(spark, path, "t", rows_per_task=10)
-    assert sorted((int(r.id), r.name, r.data) for r in got.collect()) == [(i, "" if i % 7 == 0 else f"n{i}", f"0x{i:02x}") for i in range(1, 96)]
-    assert sorted(r.name for r in read_sqlite(spark, path, "v").collect()) == ["n1", "n2", "n3"]
-    assert read_sqlite(spark, path, "blank").count() == 0
-
-
 def test_guesses_of_headers_and_encodings():
     from gridwright.sources.readers import guess_encoding, guess_header
 
