@@ -298,9 +298,21 @@ def _class_sets(words: int):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n): how often a shingle is in the sets of this task, combined for about a million shingles at a time."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+
     for b in batches:
-        for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64))], names=["token"])
+        for hashes in b.column(0):
+            held.append(np.frombuffer(hashes.as_buffer(), np.int64))
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+    yield flush()
 
 
 def _prefixes(percent: int, frequent: np.ndarray, rank: np.ndarray):
@@ -443,8 +455,8 @@ def _other_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """All links (src, dst) between classes of ``sets`` (rep, hashes, bitmap) of different components of ``linked``, by a prefix filter."""
     named = materialize(sets.select("rep", "hashes").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "hashes"))
     every = max(1, named.count() // COUNTED_CLASSES)
-    counted = named.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("hashes").mapInArrow(_shingles, "token long")
-    top = counted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    counted = named.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("hashes").mapInArrow(_shingles, "token long, n long")
+    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     frequent, rank = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.argsort(frequent)
     prefixes = named.mapInArrow(_prefixes(percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long")
