@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import filled, fold, half_up, slug, text, trimmed  # noqa: F401
+from .text import date_key, filled, fold, half_up, number, phone_key, slug, text, trimmed  # noqa: F401
 
 _NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)?"
 
@@ -134,3 +136,84 @@ def week(d: Column) -> Column:
 
 def add_months(d: Column, n: int) -> Column:
     return F.add_months(d, n)
+
+
+def is_number(c) -> Column:
+    """Whether the whole cell is a number as people write it."""
+    return number(c).isNotNull()
+
+
+def is_date(c) -> Column:
+    return date_key(c).isNotNull()
+
+
+def is_phone(c, country: str = "33") -> Column:
+    return phone_key(c, country) != ""
+
+
+def is_empty(c) -> Column:
+    return ~filled(c)
+
+
+def to_date(c) -> Column:
+    """The day of a cell's date; null where it is none of the calendar."""
+    digits_ = F.lpad(F.floor(date_key(c) / 1000000).cast("string"), 8, "0")
+    return F.concat_ws("-", digits_.substr(1, 4), digits_.substr(5, 2), digits_.substr(7, 2)).try_cast("date")
+
+
+#: Parts of a date's format and what Spark calls them.
+_DATE_PARTS = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "M": "M", "DD": "dd", "D": "d"}
+
+
+def fmt_date(c, form: str = "DD/MM/YYYY") -> Column:
+    """A cell's date in a format of YYYY, YY, MM, M, DD and D; other text of the format stays. Empty where there is no date."""
+    spark_form = re.sub("YYYY|YY|MM|M|DD|D|[A-Za-z']+", lambda m: _DATE_PARTS.get(m[0]) or "'" + m[0].replace("'", "''") + "'", form)
+    return F.coalesce(F.date_format(to_date(c), spark_form), F.lit(""))
+
+
+def fixed(c, decimals: int = 2) -> Column:
+    """A number with so many decimals, halves away from zero; empty where there is none."""
+    exact = number(c).cast(f"decimal(38,{max(decimals, 0) + 8})")
+    return F.coalesce(F.round(exact, decimals).cast(f"decimal(38,{decimals})").cast("string"), F.lit(""))
+
+
+def cases(c, *args) -> Column:
+    """Value, result, value, result, ..., else: the result of the first value that the cell is, without case; numbers by value."""
+    same = lambda v: number(c) == float(v) if isinstance(v, (int, float)) else F.lower(trimmed(c)) == str(v).strip().lower()
+    tests = [x if k % 2 else same(x) for k, x in enumerate(args[: len(args) - len(args) % 2])]
+    return ifs(*tests, *args[len(tests) :])
+
+
+def _numbers(cells) -> Column:
+    return F.filter(F.array(*[number(c) for c in cells]), lambda x: x.isNotNull())
+
+
+def sum_of(*cells) -> Column:
+    """The sum of the cells that are numbers, 0 without any."""
+    return F.aggregate(_numbers(cells), F.lit(0.0), lambda a, x: a + x)
+
+
+def avg_of(*cells) -> Column:
+    return F.when(F.size(_numbers(cells)) > 0, sum_of(*cells) / F.size(_numbers(cells)))
+
+
+def min_of(*cells) -> Column:
+    return F.array_min(_numbers(cells))
+
+
+def max_of(*cells) -> Column:
+    return F.array_max(_numbers(cells))
+
+
+def repeat(c, n: int) -> Column:
+    return F.repeat(text(c), n)
+
+
+def reverse(c) -> Column:
+    return F.reverse(text(c))
+
+
+def word_count(c) -> Column:
+    """Runs of other signs than white space."""
+    s = F.trim(F.regexp_replace(text(c), r"\s+", " "))
+    return F.when(s == "", 0).otherwise(F.size(F.split(s, " ")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -11,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formula import capitalize, collapse
-from ..functions.text import filled, text, trimmed
+from ..functions.text import _MARKED, _PLAIN, filled, text, trimmed
 from ..plans.durable import keep
 
-#: Words without meaning in company names, as a ready list. Fixed values.
-COMPANY_WORDS = ("sarl", "sas", "sa", "eurl", "ltd", "llc", "inc", "gmbh", "ag", "co")
+#: Words without meaning, as ready lists. Fixed values.
+NOISE = {
+    "legal forms": ("SARL", "S.A.R.L.", "SAS", "S.A.S.", "SASU", "SA", "S.A.", "EURL", "SCI", "SNC", "SCOP", "SELARL", "EIRL", "Ltd", "LLC", "Inc", "GmbH"),
+    "titles": ("Monsieur", "Madame", "Mademoiselle", "M.", "Mme", "Mlle", "Mr", "Mrs", "Ms", "Dr"),
+    "french small words": ("le", "la", "les", "l'", "de", "du", "des", "d'", "et", "un", "une", "au", "aux"),
+}
+COMPANY_WORDS = NOISE["legal forms"]
 
 
 def replace_all(c: str, find: str, by: str, regex: bool = False, match_case: bool = True) -> Column:
@@ -131,9 +137,24 @@ def number_series(row: str, start: float, step: float, decimals: int = 0) -> Col
     return F.round(F.lit(start) + (F.col(row) - 1) * F.lit(step), decimals)
 
 
+def _blind(word: str) -> str:
+    """A pattern of ``word`` with every letter's accented forms."""
+    return "".join(f"[{ch}{''.join(a for a, b in zip(_MARKED, _PLAIN, strict=True) if b == ch)}]" if ch in _PLAIN else _quoted(ch) for ch in fold_title(word))
+
+
+def fold_title(word: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(ch))
+
+
 def without_words(c: str, words: Sequence[str] = COMPANY_WORDS) -> Column:
-    """Whole words out, whatever their case, and the gaps tidied."""
-    out = F.regexp_replace(text(c), r"(?i)(^|[^\p{L}\p{N}])(?:" + "|".join(map(_quoted, words)) + r")(?=$|[^\p{L}\p{N}])", "$1")
+    """Whole words out, whatever their case and accents, and the gaps tidied. A word that ends in an apostrophe is one before a letter."""
+    plain, open_ended = [w for w in words if not w.endswith("'")], [w for w in words if w.endswith("'")]
+    longest = lambda some: "|".join(map(_blind, sorted(some, key=len, reverse=True)))
+    out = text(c)
+    if open_ended:
+        out = F.regexp_replace(out, r"(?iu)(^|[^\p{L}\p{N}])(?:" + longest(open_ended).replace("\\'", "'").replace("'", "['’]") + r")(?=\p{L})", "$1")
+    if plain:
+        out = F.regexp_replace(out, r"(?iu)(^|[^\p{L}\p{N}])(?:" + longest(plain) + r")(?=$|[^\p{L}\p{N}])", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(out, " +([,.])", "$1"), " {2,}", " "))
 
 
@@ -155,16 +176,75 @@ def date_series(row: str, start: str, step: int, unit: str = "day") -> Column:
     return F.add_months(first, n if unit == "month" else 12 * n)
 
 
-def repaired(c: str) -> Column:
+#: Letters and signs that are repaired.
+REPAIRED = "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ’“”–—…€"
+
+
+def repaired(c) -> Column:
     """UTF-8 that was read as Windows-1252, for the letters of western Europe: ``Ã©`` is ``é``."""
     out = text(c)
-    for letter in "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ’“”–—…€":
+    for letter in REPAIRED:
         wrong = letter.encode().decode("cp1252", errors="ignore")
         if len(wrong) == len(letter.encode()):
             out = F.replace(out, F.lit(wrong), F.lit(letter))
     return out
 
 
+#: Steps of a clean-up, in the order in which they are applied.
+CLEAN_STEPS = {
+    "repair": lambda x: repaired(x),
+    "invisible": lambda x: F.regexp_replace(x, "[\u200b-\u200f\u2060\ufeff\u00ad\\x00-\\x08\\x0e-\\x1f]", ""),
+    "hard_spaces": lambda x: F.regexp_replace(x, "[\u00a0\u202f]", " "),
+    "breaks": lambda x: F.regexp_replace(x, r"[\r\n\t]+", " "),
+    "spaces": lambda x: F.regexp_replace(x, " {2,}", " "),
+    "trim": lambda x: F.trim(x),
+}
+
+
+def clean_up(df: DataFrame, columns: Sequence[str], steps: Sequence[str] = tuple(CLEAN_STEPS), empty_rows: bool = False, empty_columns: bool = False) -> DataFrame:
+    """``columns`` cleaned by ``steps`` in their fixed order; then rows and columns that are empty are left out where asked."""
+    unknown = set(steps) - set(CLEAN_STEPS)
+    if unknown:
+        raise ValueError(f"unknown steps: {sorted(unknown)}")
+    cleaned = {}
+    for c in columns:
+        x = text(c)
+        for name, step in CLEAN_STEPS.items():
+            x = step(x) if name in steps else x
+        cleaned[c] = x
+    out = df.withColumns(cleaned)
+    out = without_empty_rows(out, columns) if empty_rows else out
+    return without_empty_columns(out) if empty_columns else out
+
+
+def set_cells(df: DataFrame, rid: str, patches: DataFrame) -> DataFrame:
+    """``df`` with the cells of ``patches`` (rid, column_name, value) written; of several for a cell the largest value holds."""
+    columns = [c for c in df.columns if c != rid]
+    wanted = patches.groupBy(rid).agg(*[F.max(F.when(F.col("column_name") == c, F.struct("value"))).alias(f"_p{i}") for i, c in enumerate(columns)])
+    joined = df.join(wanted, rid, "left")
+    cells = {c: F.when(F.col(f"_p{i}").isNotNull(), F.col(f"_p{i}.value").cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for i, c in enumerate(columns)}
+    return joined.select(*[cells[c].alias(c) if c in cells else F.col(rid) for c in df.columns])
+
+
+def insert_rows(df: DataFrame, row: str, new: DataFrame, before: int) -> DataFrame:
+    """``new`` (numbered from 1 by ``row``) put before the row of that number; later rows move down. Missing columns are empty."""
+    n = new.count()
+    moved = df.withColumn(row, F.col(row) + F.when(F.col(row) >= before, n).otherwise(0))
+    return moved.unionByName(new.withColumn(row, F.col(row) + (before - 1)), allowMissingColumns=True)
+
+
+def move_rows(df: DataFrame, row: str, first: int, last: int, before: int) -> DataFrame:
+    """The rows numbered ``first`` to ``last`` put before the row of number ``before``; the others close up."""
+    n, r = last - first + 1, F.col(row)
+    if first <= before <= last + 1:
+        return df
+    if before < first:
+        place = F.when(r.between(first, last), r - (first - before)).when(r.between(before, first - 1), r + n)
+    else:
+        place = F.when(r.between(first, last), r + (before - last - 1)).when(r.between(last + 1, before - 1), r - n)
+    return df.withColumn(row, place.otherwise(r))
+
+
 def without_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows in which some cell of ``columns`` is filled."""
     return df.where(F.exists(F.array(*[filled(c) for c in columns]), lambda x: x))

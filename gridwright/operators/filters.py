@@ -134,11 +134,11 @@ def without_rows(df: DataFrame, rid: str, rows: DataFrame) -> DataFrame:
 
 
 def irregular(lines: DataFrame, c: str, delimiter: str, width: int) -> DataFrame:
-    """Raw lines with another number of fields than ``width`` (fields); a delimiter inside quotes doesn't count, an open quote runs to the end.
+    """Raw lines with another number of fields than ``width`` (fields); delimiters inside quotes don't count.
 
-    A quote opens a cell only where the cell begins.
+    A quote opens a cell only where the cell begins, a doubled one is a sign of the cell, and an open one runs to the end.
     """
-    d = re.escape(delimiter)
-    bare = F.regexp_replace(text(c), f'(?s)(^|{d})"(?:[^"]|"")*+(?:"|$)', "$1")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + len(delimiter)
-    return lines.withColumn("fields", F.expr(f"`{c}` is null").cast("int") * 0 + F.floor(fields / len(delimiter))).where(F.col("fields") != width)
+    single = F.replace(text(c), F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(single, "(^|" + re.escape(delimiter) + ')"[^"]*("|\\z)', "$1")
+    fields = F.floor((F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter)) + 1
+    return lines.withColumn("fields", fields).where(F.col("fields") != width)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-from ..functions.text import date_key, filled, fold, half_up, match_key, number, text, trimmed
-from ..plans.durable import number_rows
+from ..functions.text import date_key, filled, fold, half_up, match_key, number, sort_key, text, trimmed
+from ..plans.durable import keep, number_rows
+from .filters import terms
 from .order_statistics import quantiles
 
 FUNCTIONS = ("sum", "average", "min", "max", "distinct")
@@ -93,19 +94,34 @@ def value_counts(df: DataFrame, c: str, rid: str, trim: bool = True) -> DataFram
     return df.groupBy((trimmed(c) if trim else text(c)).alias("value")).agg(F.count("*").alias("n"), F.min(rid).alias("first_row"))
 
 
+def counted_values(df: DataFrame, c: str, rid: str, by: str = "first", search: str = "") -> DataFrame:
+    """:func:`value_counts` with each value's place (from 1): by ``first`` appearance, ``count`` (ties collated) or ``value``; only values with all terms of ``search``."""
+    counts = value_counts(df, c, rid)
+    for term in terms(search):
+        counts = counts.where(fold("value").contains(fold(F.lit(term))))
+    order = {"first": [F.col("first_row")], "count": [(F.col("n"), True), fold("value"), F.col("first_row")], "value": [sort_key("value"), F.col("first_row")]}[by]
+    return number_rows(counts, order, "place")
+
+
 def totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A totals row for each column: (column_name, filled, empty, bad, distinct_values, sum, average, median, min, max) of its numbers."""
-    names = ("filled", "empty", "bad", "distinct_values", "sum", "average", "min", "max")
-    measures = []
-    for c in columns:
-        n = _numeric(df, c)
-        for name, m in zip(names, (F.count_if(filled(c)), F.count_if(~filled(c)), F.count_if(filled(c) & n.isNull()), F.count_distinct(F.when(filled(c), trimmed(c))), half_up(F.sum(n), 6), half_up(F.avg(n), 6), F.min(n), F.max(n)), strict=True):
-            measures.append(m.cast("double").alias(f"{c}__{name}"))
-    one = df.agg(*measures)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in names]) for c in columns]))
-    shown = [c if c != "median" else F.col("q0").alias("median") for c in ("column_name", "filled", "empty", "bad", "distinct_values", "sum", "average", "median", "min", "max")]
-    cells = df.select(*[_numeric(df, c).alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
-    return one.select(rows.alias("r")).select("r.*").join(quantiles(cells, F.col("value"), [0.5], ["column_name"]), "column_name", "left").select(*shown)
+    """A totals row for each column: (column_name, filled, empty, pct, bad, distinct_values, sum, average, median, min, max) of its numbers.
+
+    pct is the share of filled cells in percent. Cells are counted by their text once, combined before the shuffle, and all
+    totals and the median come from these counts.
+    """
+    seen = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.lit(None).cast("string") if _is_numeric(df, c) else trimmed(c)).alias("t"), (_numeric(df, c) if _is_numeric(df, c) else F.lit(None).cast("double")).alias("v")) for c in columns])
+    counts = df.select(F.explode(seen).alias("s")).select("s.*").groupBy("column_name", "t", "v").agg(F.count("*").alias("n"))
+    typed = [c for c in columns if _is_numeric(df, c)]
+    is_typed = F.col("column_name").isin(*typed) if typed else F.lit(False)
+    value = F.when(is_typed, F.col("v")).otherwise(number("t"))
+    counts = keep(counts.select("column_name", F.when(is_typed, F.col("v").isNotNull()).otherwise(F.col("t") != "").alias("ok"), value.alias("v"), F.col("n").cast("double").alias("n")))
+    sums = counts.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0.0)).alias("filled"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n"))), F.lit(0.0)).alias("empty"), F.coalesce(F.sum(F.when(F.col("ok") & F.col("v").isNull(), F.col("n"))), F.lit(0.0)).alias("bad"),
+        F.count_if("ok").cast("double").alias("distinct_values"), F.sum(F.col("v") * F.col("n")).alias("s"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("k"), F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    middle = quantiles(counts, F.col("v"), [0.5], ["column_name"], weight="n").select("column_name", F.col("q0").alias("median"))
+    pct = half_up(100 * F.col("filled") / (F.col("filled") + F.col("empty")), 2)
+    return sums.join(middle, "column_name", "left").select("column_name", "filled", "empty", pct.alias("pct"), "bad", "distinct_values", half_up(F.col("s"), 6).alias("sum"), half_up(F.col("s") / F.col("k"), 6).alias("average"), "median", "min", "max")
 
 
 def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
@@ -128,10 +144,11 @@ def quantile_at(df: DataFrame, c: str, p: float, by: Sequence[str] = ()) -> Data
 
 
 def fences(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles and the fences three interquartile ranges outside them."""
+    """Quartiles and the fences three interquartile ranges outside them; where the quartiles are equal, the 1st and 99th percentile."""
     spread = F.col("q3") - F.col("q1")
-    q = quantiles(df, _numeric(df, c), [0.25, 0.75], by).select(*by, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
-    return q.select(*by, "q1", "q3", (F.col("q1") - 3 * spread).alias("low"), (F.col("q3") + 3 * spread).alias("high"))
+    q = quantiles(df, _numeric(df, c), [0.25, 0.75, 0.01, 0.99], by).select(*by, F.col("q0").alias("q1"), F.col("q1").alias("q3"), F.col("q2").alias("p1"), F.col("q3").alias("p99"))
+    low, high = F.when(spread == 0, F.col("p1")).otherwise(F.col("q1") - 3 * spread), F.when(spread == 0, F.col("p99")).otherwise(F.col("q3") + 3 * spread)
+    return q.select(*by, "q1", "q3", low.alias("low"), high.alias("high"))
 
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:

@@ -12,13 +12,14 @@ from ..functions.text import half_up
 from ..plans.durable import keep
 
 
-def quantiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[str] = (), nearest: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[str] = (), nearest: bool = False, weight: str | None = None) -> DataFrame:
     """(by, q0, q1, ...): the values at the places p * (n - 1) of each group, between two by interpolation, or the ``nearest``.
 
     Values are counted, the counts range-partitioned by group and value and added up inside each partition, from what the
     partitions before it hold of the group (a row for each partition and group). Nulls are left out; a group key may be null.
+    With ``weight`` a row counts as often as that column says.
     """
-    counts = df.where(value.isNotNull()).groupBy(*by, value.alias("_value")).agg(F.count("*").alias("_n"))
+    counts = df.where(value.isNotNull()).groupBy(*by, value.alias("_value")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
     dealt = keep(counts.repartitionByRange(*by, "_value").withColumn("_part", F.spark_partition_id()))
     group = Window.partitionBy(*by)
     held = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_held"))

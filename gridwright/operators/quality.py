@@ -112,10 +112,17 @@ def infer(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*found).select(F.explode(F.array(*columns)).alias("r")).select("r.*")
 
 
-def validate(df: DataFrame, fields: Sequence[Field], rid: str) -> DataFrame:
-    """(field, rule, n, first_row): cells that break a rule; repeated values count on rows after their first."""
+def validate(df: DataFrame, fields: Sequence[Field], rid: str, primary_key: Sequence[str] = (), structure: bool = False) -> DataFrame:
+    """(field, rule, n, first_row): what breaks the rules. A type failure stops the cell's other rules.
+
+    ``unique`` and ``primaryKey`` (the field is its columns, joined by +) count the rows after the first of their value, and
+    first_row is the first of these; ``primaryKey`` leaves rows without the whole key out, which ``required`` tells. With
+    ``structure`` columns that are ``missing``, ``unexpected`` or out of ``order`` are told too (n is 1); rules of missing
+    fields are passed over.
+    """
+    present = [f for f in fields if f.name in df.columns]
     broken = []
-    for f in fields:
+    for f in present:
         s, ok = text(f.name), text(f.name) != ""
         typed = s.rlike(_TYPES[f.type]) if f.type in _TYPES else date_key(f.name).isNotNull() if f.type == "date" else F.lit(True)
         live = ok & typed
@@ -133,17 +140,32 @@ def validate(df: DataFrame, fields: Sequence[Field], rid: str) -> DataFrame:
         if f.max_length is not None:
             rules["max_length"] = live & (F.length(s) > f.max_length)
         broken += [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(f.name).alias("field"), F.lit(rule).alias("rule"))) for rule, bad in rules.items()]
-    cells = df.select(F.col(rid), F.explode(F.array(*broken)).alias("b")).where("b is not null")
-    out = cells.groupBy("b.field", "b.rule").agg(F.count("*").alias("n"), F.min(rid).alias("first_row"))
-    for f in fields:
-        if f.unique:
-            # counts alone, so that a hot value is pre-aggregated; which rows repeat it is what duplicates.whole_rows tells
-            firsts = df.where(text(f.name) != "").groupBy(text(f.name).alias("v")).agg(F.count("*").alias("k"))
-            again = firsts.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
-            out = out.unionByName(again.where("n > 0").select(F.lit(f.name).alias("field"), F.lit("unique").alias("rule"), "n", F.lit(None).cast("long").alias("first_row")))
+    cells = df.select(F.col(rid).cast("long").alias("rid"), F.explode(F.array(*broken) if broken else F.array().cast("array<struct<field:string,rule:string>>")).alias("b")).where("b is not null")
+    out = cells.groupBy("b.field", "b.rule").agg(F.count("*").alias("n"), F.min("rid").alias("first_row"))
+    keys = [(f.name, "unique", [f.name]) for f in present if f.unique]
+    if primary_key and all(c in df.columns for c in primary_key):
+        keys.append((" + ".join(primary_key), "primaryKey", list(primary_key)))
+    for name, rule, columns in keys:
+        out = out.unionByName(_repeats(df, columns, rid).select(F.lit(name).alias("field"), F.lit(rule).alias("rule"), "n", "first_row"))
+    if structure:
+        names, known = [f.name for f in fields], [f.name for f in present]
+        own = [c for c in df.columns if c in known]
+        told = [(c, "missing") for c in names if c not in df.columns] + [(c, "unexpected") for c in df.columns if c not in names and c != rid]
+        told += [(c, "order") for c, d in zip(known, own, strict=True) if c != d]
+        out = out.unionByName(df.sparkSession.createDataFrame([(c, r, 1, None) for c, r in told], "field string, rule string, n bigint, first_row bigint"))
     return out
 
 
+def _repeats(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
+    """No row or one (n, first_row): rows after the first of their key; keys are counted first, so only repeated ones meet their rows."""
+    full = F.forall(F.array(*[text(c) for c in columns]), lambda x: x != "")
+    key = F.sha2(F.to_json(F.struct(*[text(c).alias(f"k{i}") for i, c in enumerate(columns)])), 256)
+    rows = df.where(full).select(key.alias("key"), F.col(rid).cast("long").alias("rid"))
+    firsts = keep(rows.groupBy("key").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1"))
+    second = rows.join(firsts, "key").where(F.col("rid") > F.col("first")).agg(F.min("rid").alias("first_row"))
+    return firsts.agg(F.sum(F.col("k") - 1).alias("n")).where("n > 0").join(F.broadcast(second))  # one row each
+
+
 #: Text checks: what a cell must not have, or must be.
 TEXT_CHECKS = {"no_invisible": "[\u200b-\u200f\u2060\ufeff\u00ad]", "no_double_space": "  ", "upper_case": r"\p{Ll}", "capitalised": r"^\p{Ll}"}
 

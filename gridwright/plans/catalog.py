@@ -97,8 +97,8 @@ def _(t):
 
 
 @_query("G16_totals_row", """
-    SELECT 'o_totalprice' AS column_name, cast(count(*) AS DOUBLE) AS filled, 0.0::DOUBLE AS empty, 0.0::DOUBLE AS bad, cast(count(DISTINCT o_totalprice) AS DOUBLE) AS distinct_values, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS average, median(o_totalprice) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders
-    UNION ALL SELECT 'o_orderpriority', count(*), 0, count(*), count(DISTINCT o_orderpriority), NULL, NULL, NULL, NULL, NULL FROM orders""")
+    SELECT 'o_totalprice' AS column_name, cast(count(o_totalprice) AS DOUBLE) AS filled, cast(count(*) - count(o_totalprice) AS DOUBLE) AS empty, 100.0 * count(o_totalprice) / count(*) AS pct, cast(count(o_totalprice) - count(try_cast(o_totalprice AS DOUBLE)) AS DOUBLE) AS bad, cast(count(DISTINCT o_totalprice) AS DOUBLE) AS distinct_values, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS average, median(o_totalprice) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders
+    UNION ALL SELECT 'o_orderpriority', count(nullif(trim(o_orderpriority), '')), count(*) - count(nullif(trim(o_orderpriority), '')), 100.0 * count(nullif(trim(o_orderpriority), '')) / count(*), count(nullif(trim(o_orderpriority), '')) - count(try_cast(o_orderpriority AS DOUBLE)), count(DISTINCT o_orderpriority), sum(try_cast(o_orderpriority AS DOUBLE)), NULL, median(try_cast(o_orderpriority AS DOUBLE)), min(try_cast(o_orderpriority AS DOUBLE)), max(try_cast(o_orderpriority AS DOUBLE)) FROM orders""")
 def _(t):
     return grouping.totals(t("orders"), ["o_totalprice", "o_orderpriority"]).withColumns({"sum": F.round("sum", 2), "average": F.round("average", 4)})
 
@@ -110,18 +110,23 @@ def _(t):
     return grouping.quantile_at(t("orders"), "o_totalprice", 0.9, ["o_orderpriority"])
 
 
-@_query("G20_profile", """
-    SELECT 'c_name' AS column_name, count(*) AS filled, 0::BIGINT AS nums, 0::BIGINT AS dates, count(*) AS texts, count(DISTINCT c_name) AS distinct_values, min_by(c_name, (length(c_name), c_custkey)) AS shortest, max_by(c_name, (length(c_name), -c_custkey)) AS longest, count(DISTINCT c_name) = count(*) AS all_distinct FROM customer
-    UNION ALL SELECT 'c_nationkey', count(*), count(*), 0, 0, count(DISTINCT c_nationkey), min_by(c_nationkey::VARCHAR, (length(c_nationkey::VARCHAR), c_custkey)), max_by(c_nationkey::VARCHAR, (length(c_nationkey::VARCHAR), -c_custkey)), false FROM customer""")
+@_query("G20_profile", " UNION ALL ".join(f"""
+    SELECT '{c}' AS column_name, count(v) AS filled, count(try_cast(v AS DOUBLE)) AS nums, count(try_cast(v AS DATE)) FILTER (WHERE try_cast(v AS DOUBLE) IS NULL) AS dates, count(v) - count(try_cast(v AS DOUBLE)) - count(try_cast(v AS DATE)) FILTER (WHERE try_cast(v AS DOUBLE) IS NULL) AS texts,
+           count(DISTINCT v) AS distinct_values, min_by(v, (length(v), c_custkey)) AS shortest, max_by(v, (length(v), -c_custkey)) AS longest, count(DISTINCT v) = count(v) AS all_distinct
+    FROM (SELECT c_custkey, nullif(trim({c}::VARCHAR), '') AS v FROM customer)""" for c in ("c_name", "c_nationkey")))
 def _(t):
     return grouping.profile(t("customer"), ["c_name", "c_nationkey"], "c_custkey")
 
 
 @_query("G22_fences", """
-    SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.75), 4) AS q3, round(quantile_cont(c_acctbal, 0.25) - 3 * (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)), 4) AS low, round(quantile_cont(c_acctbal, 0.75) + 3 * (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)), 4) AS high
-    FROM customer GROUP BY 1""")
+    WITH q AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1),
+    f AS (SELECT c_mktsegment || ' flat' AS c_mktsegment, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM (SELECT c_mktsegment, CASE WHEN c_custkey % 20 = 0 THEN c_acctbal ELSE 0 END AS v FROM customer) GROUP BY 1)
+    SELECT c_mktsegment, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q1 - 3 * (q3 - q1), 4) AS low, round(q3 + 3 * (q3 - q1), 4) AS high FROM q
+    UNION ALL SELECT c_mktsegment, round(q1, 4), round(q3, 4), round(p1, 4), round(p99, 4) FROM f""")
 def _(t):
-    f = grouping.fences(t("customer"), "c_acctbal", ["c_mktsegment"])
+    c = t("customer")
+    both = c.select("c_mktsegment", "c_acctbal").union(c.selectExpr("c_mktsegment || ' flat'", "if(c_custkey % 20 = 0, c_acctbal, 0D)"))
+    f = grouping.fences(both, "c_acctbal", ["c_mktsegment"])
     return f.select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "low", "high")])
 
 
@@ -136,6 +141,11 @@ def _(t):
     return grouping.top_values(t("part"), "p_brand", "p_partkey")
 
 
+@_query("G15_counted_values", "SELECT p_type AS value, count(*) AS n, min(p_partkey) AS first_row, row_number() OVER (ORDER BY count(*) DESC, lower(p_type)) AS place FROM part WHERE lower(p_type) LIKE '%steel%' GROUP BY 1")
+def _(t):
+    return grouping.counted_values(t("part"), "p_type", "p_partkey", "count", "STEEL")
+
+
 # filters
 
 
@@ -144,10 +154,9 @@ def _(t):
     return filters.select_rows(t("documents"), [filters.search(["text", "source"], 'licénse "released under"')]).select("doc_id")
 
 
-@_query("F2_contains", f"SELECT doc_id, {_folded('text')} LIKE '%metion%' AS ascii_hit, {_folded('text')} LIKE '%strasse%' AS sharp_hit FROM documents WHERE {_folded('text')} LIKE '%ere%' AND lang <> 'en'")
+@_query("F2_contains", f"SELECT doc_id, {_folded('text')} LIKE '%metion%' AS ascii_hit, {_folded('text')} LIKE '%strasse%' AS sharp_hit FROM documents WHERE {_folded('text')} LIKE '%ere%'")
 def _(t):
-    d = t("documents").where("lang <> 'en'")
-    return filters.select_rows(d, [filters.column_test("text", "éré")]).select("doc_id", filters.column_test("text", "metion").alias("ascii_hit"), filters.column_test("text", "straße").alias("sharp_hit"))
+    return filters.select_rows(t("documents"), [filters.column_test("text", "éré")]).select("doc_id", filters.column_test("text", "metion").alias("ascii_hit"), filters.column_test("text", "straße").alias("sharp_hit"))
 
 
 @_query("F3_equals", "SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) = 'building'")
@@ -167,8 +176,14 @@ def _(t):
 
 @_query("F6_compare", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000.5 AND strftime(o_orderdate, '%Y%m%d') < '19990401'")
 def _(t):
-    o = t("orders").withColumn("d", F.col("o_orderdate").cast("string"))
-    return filters.select_rows(o, [filters.column_test("o_totalprice", ">250 000,5"), filters.column_test("d", "<01/04/1999")]).select("o_orderkey")
+    o = t("orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    return filters.keep_where(o, {"o_totalprice": ">250 000,5", "d": "<01/04/1999"}).select("o_orderkey")
+
+
+@_query("F6_compare_text", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000.5 AND strftime(o_orderdate, '%Y%m%d') < '19990401'")
+def _(t):
+    o = t("orders").select("o_orderkey", F.date_format("o_orderdate", "d/M/yyyy").alias("d"), F.concat(F.format_number("o_totalprice", 2), F.lit(" €")).alias("p"))
+    return filters.keep_where(o, {"p": ">250 000,5", "d": "<1999-04-01"}).select("o_orderkey")
 
 
 @_query("F7_regex", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+[0-9]*7$')")
@@ -193,7 +208,7 @@ def _(t):
 
 @_query("F12_keep_range", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
 def _(t):
-    return filters.select_rows(t("lineitem"), values=[filters.keep_range("l_quantity", 10, 12)]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return filters.select_rows(t("lineitem"), values=[filters.keep_range("l_quantity", 10, 12, "double")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @_query("F17_find", "SELECT 'text' AS column_name, count(*) FILTER (WHERE lower(text) LIKE '%license%') AS matches FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE source LIKE '%license%') FROM documents")
@@ -245,6 +260,16 @@ def _(t):
     return joining.compare(a, b, "o_orderkey", ["o_orderstatus", "o_orderpriority"], "o_orderkey", "o_orderkey")
 
 
+@_query("J4_report", """
+    WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT * FROM a WHERE o_orderkey % 4 <> 0)
+    SELECT (SELECT count(*) FROM b) AS same, 0::BIGINT AS changed, (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS only_here, 0::BIGINT AS only_there, 0::BIGINT AS no_key_here, 0::BIGINT AS dup_here, (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS no_key_there, (SELECT count(*) FROM b) AS dup_there""")
+def _(t):
+    a = t("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus", "o_orderkey")
+    b = a.where("o_orderkey % 4 <> 0")
+    b = b.union(b).union(t("orders").where("o_orderkey % 5 = 0").selectExpr("'  '", "o_orderstatus", "o_orderkey"))
+    return joining.compare_report(a, b, "k", ["o_orderstatus"], "o_orderkey", "o_orderkey")
+
+
 @_query("J6_rows_to_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0")
 def _(t):
     return joining.rows_to_append(t("orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus"), t("orders").where("o_orderkey % 4 <> 0"), "o_orderkey")
@@ -259,9 +284,15 @@ def _(t):
     return joining.combine({"customer": a, "supplier": b}, source="file")
 
 
-@_query("U2_split_plan", "SELECT c_mktsegment AS value, c_mktsegment AS file_name, count(*) AS n, min(c_custkey) AS first_row FROM customer GROUP BY 1")
+@_query("U2_split_plan", """
+    WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || '/a' WHEN 1 THEN c_mktsegment || ':A' WHEN 2 THEN '' ELSE lower(c_mktsegment) END AS v FROM customer),
+    g AS (SELECT min_by(v, c_custkey) AS value, count(*) AS n, min(c_custkey) AS first_row FROM v GROUP BY lower(v)),
+    c AS (SELECT *, CASE WHEN value = '' THEN 'empty' ELSE replace(replace(value, '/', '_'), ':', '_') END AS clean FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lower(clean) ORDER BY first_row) AS place FROM c)
+    SELECT value, clean || CASE WHEN place > 1 THEN ' (' || place || ')' ELSE '' END AS file_name, n, first_row FROM k""")
 def _(t):
-    return joining.split_plan(t("customer"), "c_mktsegment", "c_custkey")
+    v = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_mktsegment", F.lit("/a"))).when(F.col("c_custkey") % 4 == 1, F.concat("c_mktsegment", F.lit(":A"))).when(F.col("c_custkey") % 4 == 2, "").otherwise(F.lower("c_mktsegment"))
+    return joining.split_plan(t("customer").select("c_custkey", v.alias("v")), "v", "c_custkey")
 
 
 # reading cells and computed columns
@@ -325,6 +356,16 @@ def _(t):
     return t("customer").select("c_custkey", F.md5("c_name").alias("md5"), F.sha1("c_name").alias("sha1"), F.sha2("c_name", 256).alias("sha256"))
 
 
+@_query("H6_tests_and_formats", """
+    SELECT o_orderkey, o_orderkey % 3 <> 0 AS number, true AS day, false AS other_day, strftime(o_orderdate, '%-d.%-m.%y') AS short, printf('%.1f', o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)) AS fixed,
+           CASE o_orderstatus WHEN 'F' THEN 'full' WHEN 'O' THEN 'open' ELSE 'else' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey ELSE 0 END + o_custkey + 1.5 AS total,
+           least(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END, o_custkey, 1.5)::DOUBLE AS least, greatest(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END, o_custkey, 1.5)::DOUBLE AS most, o_orderkey % 2 = 0 AS empty, 2 AS words, reverse(o_orderpriority) AS backwards
+    FROM orders""")
+def _(t):
+    o = t("orders").selectExpr("*", "if(o_orderkey % 3 <> 0, cast(o_orderkey AS string), 'none') AS k", "date_format(o_orderdate, 'dd/MM/yyyy') AS d", "if(o_orderkey % 2 = 0, '  ', 'x') AS blank", "'1,5' AS x", "cast(cast(o_totalprice AS decimal(18,2)) AS string) AS p", "concat(' ', o_orderstatus, '  b ') AS two")
+    return o.select("o_orderkey", fx.is_number("k").alias("number"), fx.is_date("d").alias("day"), fx.is_date("k").alias("other_day"), fx.fmt_date("d", "D.M.YY").alias("short"), fx.fixed("p", 1).alias("fixed"), fx.cases("o_orderstatus", "f", "full", "O", "open", "else").alias("status"), fx.sum_of("k", "o_custkey", "x").alias("total"), fx.min_of("k", "o_custkey", "x").alias("least"), fx.max_of("k", "o_custkey", "x").alias("most"), fx.is_empty("blank").alias("empty"), fx.word_count("two").alias("words"), fx.reverse("o_orderpriority").alias("backwards"))
+
+
 # edits
 
 
@@ -343,6 +384,13 @@ def _(t):
     return t("documents").select("doc_id", F.md5(edits.clean("text").cast("binary")).alias("cleaned"))
 
 
+@_query("T3_clean_up", "SELECT doc_id, trim(source) AS source, md5(trim(regexp_replace(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), ' {2,}', ' ', 'g'))) AS text FROM documents WHERE trim(source) <> '' OR trim(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g')) <> ''")
+def _(t):
+    d = t("documents").select("doc_id", F.concat(F.lit(" \u200b"), "source", F.lit("\u00a0")).alias("source"), "text", F.lit(" ").alias("blank"))
+    out = edits.clean_up(d, ["source", "text"], ("invisible", "hard_spaces", "breaks", "spaces", "trim"), empty_rows=True, empty_columns=True)
+    return out.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @_query("T5_convert_dates", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS dmy, strftime(o_orderdate, '%d.%m.%Y') AS dotted FROM orders")
 def _(t):
     o = t("orders").withColumn("d", F.date_format("o_orderdate", "yyyy-M-d"))
@@ -379,6 +427,12 @@ def _(t):
     return t("customer").withColumn("x", F.concat("c_mktsegment", F.lit(" SA Ltd"))).select("c_custkey", edits.without_words("x").alias("tidy"))
 
 
+@_query("T16_small_words", "SELECT c_custkey, 'societe ' || lower(c_mktsegment) || ' eau, marche' AS tidy FROM customer")
+def _(t):
+    c = t("customer").select("c_custkey", F.concat(F.lit("La societe de l’"), F.lower("c_mktsegment"), F.lit(" DÉ l'eau, aux marche")).alias("x"))
+    return c.select("c_custkey", edits.without_words("x", edits.NOISE["french small words"]).alias("tidy"))
+
+
 @_query("T17_pseudonyms", "SELECT c_custkey, left(sha256('key' || c_name), 12) AS code FROM customer")
 def _(t):
     return t("customer").select("c_custkey", edits.pseudonym("c_name", "key").alias("code"))
@@ -419,9 +473,9 @@ def _(t):
 # findings and schemas
 
 
-@_query("I1_column_findings", """
-    SELECT 'c_acctbal' AS column_name, count(*) AS n_rows, 0::BIGINT AS empty, 0::BIGINT AS stray_spaces, false AS constant, count(*) FILTER (WHERE c_acctbal < 0) AS negatives FROM customer
-    UNION ALL SELECT 'c_mktsegment', count(*), 0, 0, false, 0 FROM customer""")
+@_query("I1_column_findings", " UNION ALL ".join(f"""
+    SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE coalesce(trim(v), '') = '') AS empty, count(*) FILTER (WHERE v <> trim(v)) AS stray_spaces, count(v) = count(*) AND min(v) = max(v) AS constant, count(*) FILTER (WHERE try_cast(v AS DOUBLE) < 0) AS negatives
+    FROM (SELECT {c}::VARCHAR AS v FROM customer)""" for c in ("c_acctbal", "c_mktsegment")))
 def _(t):
     return quality.column_findings(t("customer"), ["c_acctbal", "c_mktsegment"])
 
@@ -448,22 +502,28 @@ def _(t):
     return quality.decided_by(t("part"), "p_brand", "p_size")
 
 
-@_query("V1_infer", """
-    SELECT 'c_custkey' AS column_name, 'integer' AS type, true AS required, count(DISTINCT c_custkey) = count(*) AS is_unique, min(c_custkey) >= 0 AS minimum_zero FROM customer
-    UNION ALL SELECT 'c_name', 'string', true, count(DISTINCT c_name) = count(*), false FROM customer
-    UNION ALL SELECT 'c_acctbal', 'number', true, count(DISTINCT c_acctbal) = count(*), min(c_acctbal) >= 0 FROM customer""")
+@_query("V1_infer", " UNION ALL ".join(f"""
+    SELECT '{c}' AS column_name, CASE WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+[.,]?[0-9]*')) THEN 'number' WHEN bool_and(try_cast(v AS DATE) IS NOT NULL) THEN 'date' ELSE 'string' END AS type,
+           count(v) = count(*) AS required, count(DISTINCT v) = count(v) AND count(v) > 1 AND bool_and(NOT contains(v, ' ')) AS is_unique, coalesce(bool_and(try_cast(v AS DOUBLE) IS NOT NULL) AND min(try_cast(v AS DOUBLE)) >= 0, false) AS minimum_zero
+    FROM (SELECT {c}::VARCHAR AS v FROM customer)""" for c in ("c_custkey", "c_name", "c_acctbal")))
 def _(t):
     return quality.infer(t("customer"), ["c_custkey", "c_name", "c_acctbal"])
 
 
 @_query("V2_validate", """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k2 FROM customer)
     SELECT 'c_acctbal' AS field, 'minimum' AS rule, count(*) AS n, min(c_custkey) AS first_row FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0
-    UNION ALL SELECT 'c_name', 'type', count(*), min(c_custkey) FROM customer
+    UNION ALL SELECT 'c_name', 'type', count(*), min(c_custkey) FROM customer WHERE NOT regexp_full_match(c_name, '[0-9]+')
     UNION ALL SELECT 'c_mktsegment', 'enum', count(*), min(c_custkey) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') HAVING count(*) > 0
-    UNION ALL SELECT 'c_nationkey', 'unique', count(*) - count(DISTINCT c_nationkey), NULL FROM customer""")
+    UNION ALL SELECT 'c_mktsegment', 'max_length', count(*), min(c_custkey) FROM customer WHERE length(c_mktsegment) > 9 HAVING count(*) > 0
+    UNION ALL SELECT 'c_nationkey', 'unique', count(*), min(c_custkey) FROM r WHERE k > 1 HAVING count(*) > 0
+    UNION ALL SELECT 'c_nationkey + c_mktsegment', 'primaryKey', count(*), min(c_custkey) FROM r WHERE k2 > 1 HAVING count(*) > 0
+    UNION ALL SELECT column_name, 'unexpected', 1, NULL FROM (DESCRIBE customer) WHERE column_name NOT IN ('c_acctbal', 'c_name', 'c_mktsegment', 'c_nationkey', 'c_custkey')
+    UNION ALL SELECT 'c_phone', 'missing', 1, NULL
+    UNION ALL SELECT c, 'order', 1, NULL FROM (SELECT unnest(['c_acctbal', 'c_name', 'c_mktsegment', 'c_nationkey']) AS c, unnest((SELECT list(column_name ORDER BY column_index) FROM duckdb_columns() WHERE table_name = 'customer' AND column_name IN ('c_acctbal', 'c_name', 'c_mktsegment', 'c_nationkey'))) AS d) WHERE c <> d""")
 def _(t):
-    rules = [quality.Field("c_acctbal", "number", minimum=0), quality.Field("c_name", "integer"), quality.Field("c_mktsegment", enum=("BUILDING", "MACHINERY")), quality.Field("c_nationkey", "integer", required=True, unique=True)]
-    return quality.validate(t("customer"), rules, "c_custkey")
+    rules = [quality.Field("c_acctbal", "number", minimum=0), quality.Field("c_name", "integer"), quality.Field("c_mktsegment", enum=("BUILDING", "MACHINERY"), max_length=9), quality.Field("c_nationkey", "integer", required=True, unique=True), quality.Field("c_phone", required=True)]
+    return quality.validate(t("customer"), rules, "c_custkey", primary_key=["c_nationkey", "c_mktsegment"], structure=True)
 
 
 # rows, versions, checks
@@ -479,10 +539,13 @@ def _(t):
     return filters.without_rows(t("documents").select("doc_id"), "doc_id", t("labels"))
 
 
-@_query("F19_irregular_rows", "SELECT doc_id, length(text) - length(replace(text, '|', '')) + 1 AS fields FROM documents WHERE NOT contains(text, '\"') AND contains(text, '|')")
+@_query("F19_irregular_rows", r"""
+    WITH b AS (SELECT doc_id, regexp_replace(replace(text, '""', ''), '(^|\|)"[^"]*("|\z)', '\1', 'g') AS bare FROM documents), f AS (SELECT doc_id, length(bare) - length(replace(bare, '|', '')) + 1 AS fields FROM b)
+    SELECT doc_id, fields FROM f WHERE fields <> 1
+    UNION ALL SELECT -1 - p_partkey, 3 FROM part""")
 def _(t):
-    d = t("documents").where(~F.col("text").contains('"'))
-    return filters.irregular(d, "text", "|", 1).select("doc_id", F.col("fields").cast("long").alias("fields"))
+    lines = t("documents").select("doc_id", "text").union(t("part").selectExpr("-1 - p_partkey", """concat('"', p_name, '|""x|"|', p_type, '|"open | to the end')"""))
+    return filters.irregular(lines, "text", "|", 1).select("doc_id", F.col("fields").cast("long").alias("fields"))
 
 
 @_query("G11_pivot_order", "SELECT o_orderpriority AS row_label, cast(count(*) AS DOUBLE) AS value, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place FROM orders GROUP BY 1")
@@ -496,14 +559,21 @@ def _(t):
     return joining.review(t("customer"), after, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@_query("T4_repair", "SELECT doc_id, md5(text) AS repaired FROM documents WHERE lang IN ('fr', 'de', 'es') AND NOT regexp_matches(text, '[ÃÂâ][^a-zA-Z ]')")
+_LETTERS = [x for x in edits.REPAIRED if len(x.encode().decode("cp1252", errors="ignore")) == len(x.encode())]
+_SPOILT = "text"
+for _x in _LETTERS[:20]:
+    _SPOILT = f"replace({_SPOILT}, '{_x}', '{_x.encode().decode('cp1252')}')"
+_MENDED = "spoilt"
+for _x in _LETTERS:
+    _MENDED = f"replace({_MENDED}, '{_x.encode().decode('cp1252')}', '{_x}')"
+
+
+@_query("T4_repair", f"WITH s AS (SELECT doc_id, text, {_SPOILT} AS spoilt FROM documents) SELECT doc_id, md5({_MENDED}) AS repaired FROM s")
 def _(t):
-    d = t("documents").where("lang in ('fr', 'de', 'es')").where(~F.col("text").rlike("[ÃÂâ][^a-zA-Z ]"))
-    wrong = d
-    for letter in "éèêàçñöüäßóíáúÉÈÊÀÇÑÖÜÄ":
-        if letter in "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ" and len(letter.encode().decode("cp1252", errors="ignore")) == 2:
-            wrong = wrong.withColumn("text", F.replace("text", F.lit(letter), F.lit(letter.encode().decode("cp1252"))))
-    return wrong.select("doc_id", F.md5(edits.repaired("text").cast("binary")).alias("repaired"))
+    spoilt = F.col("text")
+    for x in _LETTERS[:20]:
+        spoilt = F.replace(spoilt, F.lit(x), F.lit(x.encode().decode("cp1252")))
+    return t("documents").select("doc_id", F.md5(edits.repaired(spoilt).cast("binary")).alias("repaired"))
 
 
 @_query("T9_unrecognised", "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
@@ -512,17 +582,17 @@ def _(t):
     return edits.unrecognised(c, "x", number("x")).select("c_custkey")
 
 
-@_query("T13_series", "SELECT c_custkey, cast(cast(DATE '2024-01-31' + to_months(cast(c_custkey - 1 AS INT)) AS DATE) AS VARCHAR) AS month_end, cast(DATE '2024-01-31' + cast(7 * (c_custkey - 1) AS INT) AS VARCHAR) AS weekly, 1.5 + (c_custkey - 1) * 0.25 AS number FROM customer WHERE c_custkey >= 1")
+@_query("T13_series", "SELECT c_custkey, cast(cast(DATE '2024-01-31' + to_months(cast(c_custkey AS INT)) AS DATE) AS VARCHAR) AS month_end, cast(DATE '2024-01-31' + cast(7 * c_custkey AS INT) AS VARCHAR) AS weekly, 1.5 + c_custkey * 0.25 AS number FROM customer")
 def _(t):
-    c = t("customer").where("c_custkey >= 1")
-    return c.select("c_custkey", edits.date_series("c_custkey", "2024-01-31", 1, "month").cast("string").alias("month_end"), edits.date_series("c_custkey", "2024-01-31", 7).cast("string").alias("weekly"), edits.number_series("c_custkey", 1.5, 0.25, 2).alias("number"))
+    c = t("customer").select("c_custkey", (F.col("c_custkey") + 1).alias("row"))
+    return c.select("c_custkey", edits.date_series("row", "2024-01-31", 1, "month").cast("string").alias("month_end"), edits.date_series("row", "2024-01-31", 7).cast("string").alias("weekly"), edits.number_series("row", 1.5, 0.25, 2).alias("number"))
 
 
 @_query("D1_cleanings", """
-    SELECT c_custkey, '+331' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS phone, 'ab' || c_custkey || '@gmail.com' AS mail, '01' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS digits FROM customer WHERE c_custkey > 0""")
+    SELECT c_custkey, CASE WHEN c_custkey > 0 THEN '+331' || lpad(cast(c_custkey AS VARCHAR), 8, '0') ELSE '' END AS phone, 'ab' || c_custkey || '@gmail.com' AS mail, '01' || lpad(cast(c_custkey AS VARCHAR), 8, '0') AS digits FROM customer""")
 def _(t):
     n = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
-    c = t("customer").where("c_custkey > 0").select("c_custkey", F.concat(F.lit("01."), n).alias("p"), F.concat(F.lit("A.b"), F.col("c_custkey").cast("string"), F.lit("+x@GoogleMail.com")).alias("m"))
+    c = t("customer").select("c_custkey", F.concat(F.lit("01."), n).alias("p"), F.concat(F.lit("A.b"), F.col("c_custkey").cast("string"), F.lit("+x@GoogleMail.com")).alias("m"))
     return c.select("c_custkey", match_key("p", "phone").alias("phone"), match_key("m", "mail").alias("mail"), match_key("p", "digits").alias("digits"))
 
 
@@ -588,8 +658,9 @@ def _(t):
 
 
 @_query("G7_summed_columns", """
-    SELECT 'o_totalprice' AS column_name, true AS summed UNION ALL SELECT 'o_orderkey', false UNION ALL SELECT 'o_orderpriority', false
-    UNION ALL SELECT 'code', false UNION ALL SELECT 'half', count(*) FILTER (WHERE o_orderkey % 2 = 1) > 0 FROM orders""")
+    WITH o AS (SELECT o_totalprice::VARCHAR AS price, o_orderkey::VARCHAR AS k, o_orderpriority AS p, '0' || o_orderkey || '.5' AS code, (o_custkey / 2)::VARCHAR AS half FROM orders),
+    c AS (SELECT 'o_totalprice' AS column_name, true AS titled, price AS v FROM o UNION ALL SELECT 'o_orderkey', false, k FROM o UNION ALL SELECT 'o_orderpriority', false, p FROM o UNION ALL SELECT 'code', false, code FROM o UNION ALL SELECT 'half', false, half FROM o)
+    SELECT column_name, bool_and(try_cast(v AS DOUBLE) IS NOT NULL) AND (bool_and(titled) OR (bool_or(regexp_matches(v, '[.][0-9]*[1-9]')) AND NOT bool_or(regexp_matches(v, '^0[0-9]') OR length(regexp_replace(v, '[^0-9]', '', 'g')) >= 9))) AS summed FROM c GROUP BY 1""")
 def _(t):
     o = t("orders").selectExpr("o_totalprice", "o_orderkey", "o_orderpriority", "concat('0', o_orderkey, '.5') AS code", "o_custkey / 2 AS half").withColumnRenamed("o_totalprice", "total price")
     g = guesses.summed_columns(o, ["total price", "o_orderkey", "o_orderpriority", "code", "half"])
@@ -603,9 +674,14 @@ def _(t):
     return guesses.category_columns(t("orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@_query("T8_reading", "SELECT 'a' AS name, 'date' AS kind, true AS month_first, ',' AS decimal_mark UNION ALL SELECT 'b', 'number', false, '.' UNION ALL SELECT 'c', 'number', false, ',' UNION ALL SELECT 'd', 'phone', false, ','")
+@_query("T8_reading", """
+    WITH c AS (SELECT strftime(DATE '2024-01-20' + cast(c_custkey % 9 AS INT), '%m/%d/%Y') AS a, format('{:,.2f}', c_acctbal) AS b, replace(c_acctbal::VARCHAR, '.', ',') AS c, '06' || lpad(c_custkey::VARCHAR, 8, '0') AS d FROM customer)
+    SELECT 'a' AS name, CASE WHEN count(*) = count(try_strptime(a, '%m/%d/%Y')) THEN 'date' ELSE 'text' END AS kind, bool_or(split_part(a, '/', 2)::INT > 12) AND NOT bool_or(split_part(a, '/', 1)::INT > 12) AS month_first, ',' AS decimal_mark FROM c
+    UNION ALL SELECT 'b', CASE WHEN bool_and(try_cast(replace(b, ',', '') AS DOUBLE) IS NOT NULL) THEN 'number' ELSE 'text' END, false, CASE WHEN count(*) FILTER (WHERE regexp_matches(b, '[.][0-9]{2}$')) > count(*) FILTER (WHERE regexp_matches(b, ',[0-9]{2}$')) THEN '.' ELSE ',' END FROM c
+    UNION ALL SELECT 'c', CASE WHEN bool_and(try_cast(replace(c, ',', '.') AS DOUBLE) IS NOT NULL) THEN 'number' ELSE 'text' END, false, CASE WHEN count(*) FILTER (WHERE contains(c, '.')) > count(*) FILTER (WHERE contains(c, ',')) THEN '.' ELSE ',' END FROM c
+    UNION ALL SELECT 'd', CASE WHEN count(*) FILTER (WHERE regexp_full_match(d, '0[1-9][0-9]{8}')) * 2 > count(*) THEN 'phone' ELSE 'text' END, false, ',' FROM c""")
 def _(t):
-    c = t("customer").where("c_custkey > 0").selectExpr("date_format(date_add(DATE '2024-01-20', cast(c_custkey % 9 AS INT)), 'MM/dd/yyyy') AS a", "format_number(c_acctbal, 2) AS b", "replace(cast(c_acctbal AS string), '.', ',') AS c", "concat('06', lpad(c_custkey, 8, '0')) AS d")
+    c = t("customer").selectExpr("date_format(date_add(DATE '2024-01-20', cast(c_custkey % 9 AS INT)), 'MM/dd/yyyy') AS a", "format_number(c_acctbal, 2) AS b", "replace(cast(c_acctbal AS string), '.', ',') AS c", "concat('06', lpad(c_custkey, 8, '0')) AS d")
     out = None
     for x in "abcd":
         one = guesses.reading(c, x).select(F.lit(x).alias("name"), "kind", "month_first", "decimal_mark")
@@ -613,9 +689,16 @@ def _(t):
     return out
 
 
-@_query("D11_roles", "SELECT * FROM (VALUES ('E-mail', 'mail'), ('Téléphone', 'phone'), ('Nom', 'full'), ('Ville', 'city'), ('Code postal', 'postal'), ('note', '')) v(column_name, role)")
+@_query("D11_roles", """
+    WITH c AS (SELECT 'a' || c_custkey || '@x.org' AS mail, CASE WHEN c_custkey % 2 = 0 THEN '06' || lpad(c_custkey::VARCHAR, 8, '0') ELSE '?' END AS phone, 'Jean ' || lower(c_mktsegment) AS nom, c_mktsegment AS ville, lpad(c_custkey::VARCHAR, 5, '0') AS cp, c_name AS note FROM customer)
+    SELECT 'E-mail' AS column_name, CASE WHEN avg(regexp_full_match(mail, '[^@ ]+@[^@ .]+[.][^@ .]+')::INT) >= 0.6 THEN 'mail' ELSE '' END AS role FROM c
+    UNION ALL SELECT 'Téléphone', CASE WHEN avg(regexp_full_match(phone, '0[1-9][0-9]{8}')::INT) >= 0.4 THEN 'phone' ELSE '' END FROM c
+    UNION ALL SELECT 'Nom', CASE WHEN avg((regexp_matches(nom, '[a-z]') AND NOT regexp_matches(nom, '[0-9]'))::INT) >= 0.8 THEN 'full' ELSE '' END FROM c
+    UNION ALL SELECT 'Ville', CASE WHEN avg((regexp_matches(ville, '[A-Z]') AND NOT regexp_matches(ville, '[0-9]'))::INT) >= 0.8 THEN 'city' ELSE '' END FROM c
+    UNION ALL SELECT 'Code postal', CASE WHEN avg(regexp_matches(cp, '[0-9]{2}')::INT) >= 0.6 THEN 'postal' ELSE '' END FROM c
+    UNION ALL SELECT 'note', CASE WHEN avg(contains(note, '@')::INT) >= 0.6 THEN 'mail' WHEN avg(regexp_full_match(note, '0[1-9][0-9]{8}')::INT) >= 0.8 THEN 'phone' ELSE '' END FROM c""")
 def _(t):
-    c = t("customer").where("c_custkey > 0").selectExpr("concat('a', c_custkey, '@x.org') AS `E-mail`", "if(c_custkey % 2 = 0, concat('06', lpad(c_custkey, 8, '0')), '?') AS `Téléphone`", "concat('Jean ', lower(c_mktsegment)) AS Nom", "c_mktsegment AS Ville", "lpad(c_custkey, 5, '0') AS `Code postal`", "c_name AS note")
+    c = t("customer").selectExpr("concat('a', c_custkey, '@x.org') AS `E-mail`", "if(c_custkey % 2 = 0, concat('06', lpad(c_custkey, 8, '0')), '?') AS `Téléphone`", "concat('Jean ', lower(c_mktsegment)) AS Nom", "c_mktsegment AS Ville", "lpad(c_custkey, 5, '0') AS `Code postal`", "c_name AS note")
     return guesses.roles(c, c.columns)
 
 
@@ -638,19 +721,31 @@ def _(t):
     return o.select("o_orderkey", edits.convert_number("a").alias("point"), edits.convert_number("b", "fr").alias("fr"), edits.convert_number("a", "en", decimals=0).alias("en"), edits.convert_number("code").alias("code"))
 
 
-@_query("T3_empty_rows", "SELECT l.doc_id, d.lang FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND l.doc_id % 2 = 0 WHERE d.lang IS NOT NULL")
+@_query("T3_empty_rows", "SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL")
+def _(t):
+    rows = t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "quality"), "doc_id", "left").withColumn("blank", F.lit("  "))
+    return edits.without_empty_columns(edits.without_empty_rows(rows, ["quality", "blank"]))
+
+
+@_query("T19_moved_rows", """
+    WITH n AS (SELECT c_custkey, c_custkey + 1 AS r, CASE WHEN c_custkey % 50 = 0 THEN 'set' ELSE c_mktsegment END AS seg FROM customer),
+    m AS (SELECT seg, CASE WHEN r BETWEEN 3 AND 5 THEN r + 5 WHEN r BETWEEN 6 AND 10 THEN r - 3 ELSE r END AS r FROM n)
+    SELECT CASE WHEN r >= 2 THEN r + 2 ELSE r END AS row, seg AS segment FROM m UNION ALL SELECT 2, 'first new' UNION ALL SELECT 3, 'second new'""")
 def _(t):
-    rows = t("labels").select("doc_id").join(t("documents").where("doc_id % 2 = 0").select("doc_id", "lang"), "doc_id", "left").withColumn("blank", F.lit("  "))
-    return edits.without_empty_columns(edits.without_empty_rows(rows, ["lang", "blank"]))
+    c = t("customer").select((F.col("c_custkey") + 1).alias("row"), F.col("c_mktsegment").alias("segment"))
+    patches = t("customer").where("c_custkey % 50 = 0").selectExpr("c_custkey + 1 AS row", "'segment' AS column_name", "'set' AS value")
+    moved = edits.move_rows(edits.set_cells(c, "row", patches), "row", 3, 5, 11)
+    new = c.sparkSession.createDataFrame([(1, "first new"), (2, "second new")], "row long, segment string")
+    return edits.insert_rows(moved, "row", new, 2).select("row", "segment")
 
 
 @_query("T13_series_from_seeds", """
-    SELECT c_custkey, printf('%.1f', 1.5 + (c_custkey - 1) * 0.5) AS numbers, lpad(cast(6 + c_custkey AS VARCHAR), greatest(3, length(cast(6 + c_custkey AS VARCHAR)))::INT, '0') AS padded,
-           cast(last_day(DATE '2024-01-01' + to_months(cast(c_custkey - 1 AS INT))) AS VARCHAR) AS month_ends, 'Lot ' || (10 * c_custkey) AS lots,
-           ['Jeudi', 'Vendredi', 'Samedi', 'Dimanche', 'Lundi', 'Mardi', 'Mercredi'][(c_custkey - 1) % 7 + 1] AS days, ['a', 'b'][(c_custkey - 1) % 2 + 1] AS loop FROM customer WHERE c_custkey > 0""")
+    SELECT c_custkey, printf('%.1f', 1.5 + c_custkey * 0.5) AS numbers, lpad(cast(7 + c_custkey AS VARCHAR), greatest(3, length(cast(7 + c_custkey AS VARCHAR)))::INT, '0') AS padded,
+           cast(last_day(DATE '2024-01-01' + to_months(cast(c_custkey AS INT))) AS VARCHAR) AS month_ends, 'Lot ' || (10 * (c_custkey + 1)) AS lots,
+           ['Jeudi', 'Vendredi', 'Samedi', 'Dimanche', 'Lundi', 'Mardi', 'Mercredi'][c_custkey % 7 + 1] AS days, ['a', 'b'][c_custkey % 2 + 1] AS loop FROM customer""")
 def _(t):
     made = {"numbers": ["1.5", "2.0"], "padded": ["007", "008"], "month_ends": ["2024-01-31", "2024-02-29"], "lots": ["Lot 10", "Lot 20"], "days": ["Jeudi"], "loop": ["a", "b"]}
-    return t("customer").where("c_custkey > 0").select("c_custkey", *[edits.series("c_custkey", seeds).alias(k) for k, seeds in made.items()])
+    return t("customer").withColumn("row", F.col("c_custkey") + 1).select("c_custkey", *[edits.series("row", seeds).alias(k) for k, seeds in made.items()])
 
 
 # charts, panels, findings between columns, typed readings
