@@ -14,8 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text whose words are encoded together.
-CHUNK_BYTES = 14 << 20
+#: Bytes of text that a task holds, and bytes of its distinct words that one index is built over.
+CHUNK_BYTES, INDEX_BYTES = 14 << 20, 2 << 20
 #: Unicode white space, which separates words; str.split() also splits at U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The vocabulary's pre-tokenizer: contractions, letters, single digits, other signs. A fixed value of the format.
@@ -156,7 +156,16 @@ def encode_texts(texts: Iterable[str | None], v: Vocabulary) -> list[tuple[bytes
         for w in words:
             if w not in spelled and w not in v.special:
                 spelled[w] = [pieces.setdefault(p, len(pieces)) for p in _PIECES.findall(normalise(w))]
-    encoded = v.encode_words([p.encode() for p in pieces])
+    encoded: list[np.ndarray] = []
+    block, size = [], 0
+    for p in pieces:
+        raw_piece = p.encode()
+        if block and size + len(raw_piece) > INDEX_BYTES:
+            encoded += v.encode_words(block)
+            block, size = [], 0
+        block.append(raw_piece)
+        size += len(raw_piece)
+    encoded += v.encode_words(block)
     tokens = v.tokens
     raw = [x.astype("<u4").tobytes() for x in encoded]
     shown = [" ".join([tokens[i] for i in x.tolist()]) for x in encoded]
@@ -170,8 +179,9 @@ def encode_texts(texts: Iterable[str | None], v: Vocabulary) -> list[tuple[bytes
 def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of ``docs``: ids as little-endian 32-bit integers.
 
-    Null and empty texts have no ids and decode to nothing. Other columns are not read. A task holds the words of
-    CHUNK_BYTES of text, or of one longer text, at a time.
+    Null and empty texts have no ids and decode to nothing. Rows that repeat a doc_id or a text are encoded each. Other
+    columns are not read. A task holds CHUNK_BYTES of text, or one longer text, at a time, and builds its index over
+    INDEX_BYTES of distinct words, or one longer word; a very long text is read whole.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
@@ -189,7 +199,7 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFr
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 docs.append(doc)
                 texts.append(text.as_py())
-                held += len(texts[-1] or "")
+                held += text.as_buffer().size if text.is_valid else 0
                 if held >= CHUNK_BYTES:
                     yield from flush(docs, texts)
                     docs, texts, held = [], [], 0
