@@ -116,17 +116,35 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
     return streams
 
 
-def load(media: bytes) -> tuple[bytes, int, float, int]:
-    """(payload, unpadded bytes, seconds by the last granule position, packets of the sample stream)."""
+def sample_times(packets: list[tuple[bytes, int]]) -> list[int]:
+    """The first sample of each packet of a sample stream, by its samples since the granule position before.
+
+    Raises ValueError where a page's granule position isn't that of the samples up to it.
+    """
+    out, at = [], 0
+    for packet, granule in packets:
+        out.append(at)
+        at += len(packet)
+        if granule not in (-1, at):
+            raise ValueError("granule position and samples differ")
+    if packets and packets[-1][1] != at:
+        raise ValueError("granule position and samples differ")
+    return out
+
+
+def _streams(media: bytes) -> tuple[list[tuple[bytes, int]], int, list[tuple[bytes, int]]]:
+    """Packets of the sample stream without its head, the sample rate, and packets of the facts stream."""
     streams = demultiplex(media)
     audio = next(p for p in streams.values() if p and p[0][0].startswith(b"PCM8"))
     facts = next(p for p in streams.values() if p and p[0][0] == _FACTS_HEAD)
-    rate = struct.unpack("<I", audio[0][0][4:])[0]
-    payload = b"".join(p for p, _ in audio[1:])
-    granule = audio[-1][1]
-    if granule != len(payload):
-        raise ValueError("granule position and samples differ")
-    return payload, struct.unpack("<Q", facts[1][0])[0], granule / rate, len(audio) - 1
+    return audio[1:], struct.unpack("<I", audio[0][0][4:])[0], facts
+
+
+def load(media: bytes) -> tuple[bytes, int, float, int]:
+    """(payload, unpadded bytes, seconds by the granule positions, packets of the sample stream)."""
+    audio, rate, facts = _streams(media)
+    last = sample_times(audio)[-1] + len(audio[-1][0])
+    return b"".join(p for p, _ in audio), struct.unpack("<Q", facts[1][0])[0], last / rate, len(audio)
 
 
 def feature(payload: bytes, seconds: float, packets: int) -> str:
@@ -137,7 +155,7 @@ def feature(payload: bytes, seconds: float, packets: int) -> str:
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each row's whole text (null: empty) as an Ogg file. Equal texts give equal files; other columns are not read."""
+    """(doc_id, media): each row's whole text (null: empty) as an Ogg file. Equal texts give equal files, very long ones are one file each; other columns are not read."""
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +166,20 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, media binary")
 
 
+def packet_times(stored: DataFrame) -> DataFrame:
+    """(doc_id, packet, seconds, bytes): when each packet of the sample stream begins, a row for each, by granule positions."""
+    schema = pa.schema([("doc_id", pa.int64()), ("packet", pa.int64()), ("seconds", pa.float64()), ("bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, media in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                audio, rate, _ = _streams(media.as_py())
+                at = np.array(sample_times(audio), np.int64)
+                yield pa.record_batch([pa.array([doc] * len(at), pa.int64()), pa.array(np.arange(len(at))), pa.array(at / rate), pa.array([len(p) for p, _ in audio], pa.int64())], schema=schema)
+
+    return stored.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, packet long, seconds double, bytes long")
+
+
 def read_media(stored: DataFrame) -> DataFrame:
     """What :func:`store_media` stored, read back: payload, sizes, digests and features. A null media is an error, as a damaged one is."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
