@@ -111,27 +111,31 @@ def held_out_column(modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Forest:
-    """A forest for ``labels.quality``; statistics are taken on the executors, the driver sees SAMPLE_ROWS x FEATURES numbers at most."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
+    """A forest for ``labels.quality``, fitted on at most ``sample_rows`` labelled rows; further ones are left out, in the order of a hash.
+
+    Statistics are taken on the executors; the driver sees ``sample_rows`` x FEATURES numbers at most.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.asarray(statistics(t), np.float64).tobytes() for t in _texts(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    got = labelled_sample(docs, labels, "quality", 4, 2, SAMPLE_ROWS).mapInArrow(features, "y int, x binary").toPandas().sort_values(["y", "x"])
+    got = labelled_sample(docs, labels, "quality", 4, 2, sample_rows).mapInArrow(features, "y int, x binary").toPandas().sort_values(["y", "x"])
     x = np.stack([np.frombuffer(v) for v in got["x"]]) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     score estimates how likely ``labels.quality`` is 1, from statistics of the whole text alone; null counts as empty.
     Learns from rows whose crc32(doc_id) mod 4 is not 2; labels that are neither 0 nor 1 and all but one row of a doc_id
-    are left out. Without labels every score is 0.5, with labels of one class all are that class's share.
+    are left out. Without labels every score is 0.5, with labels of one class all are that class's share. Very long texts are
+    read whole, one at a time; equal texts have equal scores; other columns are not read.
     """
-    forest = train(docs, labels)
+    forest = train(docs, labels, sample_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .quality import held_out_column
 
-#: Confirmed toxic texts and unlabelled texts that the model is fitted on at most.
+#: Confirmed toxic texts and unlabelled texts that the model is fitted on at most, unless ``train`` is told otherwise.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
 #: Features kept at most, toxic texts that a feature must be in, log ratio to the unlabelled at least, prefixes that are features, in bytes.
 VOCABULARY, LEAST_TEXTS, LEAST_CONTRAST, PREFIXES = 4_000, 4, 0.7, (4, 5, 6)
@@ -91,9 +91,12 @@ def fit(index: dict[bytes, int], positive: list[np.ndarray], unlabelled: list[np
     return Model(index, mean / averaged, float(mean_bias / averaged))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """Fit on a bounded sample, taken in the order of a hash; labels only from rows whose crc32(doc_id) mod 5 is not 0.
 
+    At most ``positive_rows`` confirmed and ``unlabelled_rows`` other texts are fitted on, further ones are left out; of their
+    features the ``vocabulary`` most telling ones are kept. Scoring reads every text whole.
+
     Positives are rows of ``labels`` with toxic 1. Unlabelled texts come from all documents outside the held-out
     fold, whatever their label. The class prior is the share of toxic rows among the labelled. Labels that are
     neither 0 nor 1 are left out; of rows that repeat a doc_id one counts.
@@ -104,9 +107,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = float((toxic or 0) + 1) / (n + 2)
     ids = docs.where(F.col("doc_id").isNotNull() & (fold != 0)).select("doc_id")
     by = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    confirmed = usable.where("toxic = 1").select("doc_id").orderBy(*by).limit(POSITIVE_ROWS).select("doc_id", F.lit(1).alias("y"))
-    others = ids.orderBy(*by).limit(UNLABELLED_ROWS).select("doc_id", F.lit(0).alias("y"))
-    wanted = F.broadcast(confirmed.union(others))  # at most POSITIVE_ROWS + UNLABELLED_ROWS
+    confirmed = usable.where("toxic = 1").select("doc_id").orderBy(*by).limit(positive_rows).select("doc_id", F.lit(1).alias("y"))
+    others = ids.orderBy(*by).limit(unlabelled_rows).select("doc_id", F.lit(0).alias("y"))
+    wanted = F.broadcast(confirmed.union(others))  # at most positive_rows + unlabelled_rows
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_p, n_u = (sample.where(f"y = {y}").count() for y in (1, 0))
     tally = sample.mapInArrow(counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_TEXTS)
     contrast = F.log((F.col("p") + 1) / (n_p + 2)) - F.log((F.col("u") + 1) / (n_u + 2))
-    index = {bytes(r[0]): k for k, r in enumerate(tally.where(contrast >= LEAST_CONTRAST).orderBy((contrast * F.col("p")).desc(), "feature").select("feature").limit(VOCABULARY).collect())}
+    index = {bytes(r[0]): k for k, r in enumerate(tally.where(contrast >= LEAST_CONTRAST).orderBy((contrast * F.col("p")).desc(), "feature").select("feature").limit(vocabulary).collect())}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
