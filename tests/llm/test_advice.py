@@ -1,12 +1,13 @@
 """What a review found short: each case failed before."""
 
+import hashlib
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.llm import exact_dedup, near_dedup, packing, pii, sharding
+from gridwright.llm import bpe, exact_dedup, near_dedup, ogg_media, packing, pii, sharding
 
 
 def _templated(n):
@@ -199,3 +200,42 @@ def test_packing_of_null_ids_and_long_blanks(spark):
     docs = spark.createDataFrame([(None, "a"), (None, None), (3, "x" + " \n" * 600_000), (4, "　" * 1_200_000)], "doc_id long, text string")
     got = packing.pack_documents(docs).collect()
     assert sum(r.length for r in got if r.doc_id is None) == 3 and {r.doc_id for r in got} == {None, 3, 4}
+
+
+def test_granule_positions_are_times():
+    media = bytearray(ogg_media.store(bytes(range(256)) * 600))  # several pages
+    audio, rate, _ = ogg_media._streams(bytes(media))
+    assert ogg_media.sample_times(audio) == [576 * k for k in range(len(audio))] and rate == 8000
+    at = [m for m in range(len(media) - 4) if media[m : m + 4] == b"OggS"]
+    inner = next(p for p in at[3:-1] if int.from_bytes(media[p + 6 : p + 14], "little", signed=True) > 0)
+    size = next(q for q in at if q > inner) - inner
+    media[inner + 6] ^= 64  # another position, with a right checksum
+    page = bytes(media[inner : inner + size])
+    media[inner + 22 : inner + 26] = ogg_media.page_checksum(page[:22] + b"\0\0\0\0" + page[26:]).to_bytes(4, "little")
+    ogg_media.demultiplex(bytes(media))
+    with pytest.raises(ValueError, match="granule"):
+        ogg_media.load(bytes(media))
+
+
+def test_media_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    stored = ogg_media.store_media(docs)
+    for r in ogg_media.read_media(stored).collect():
+        media = ogg_media.store(texts[r.doc_id])
+        payload = np.frombuffer(texts[r.doc_id] + b"\xff" * (-len(texts[r.doc_id]) % 576 if texts[r.doc_id] else 576), np.uint8)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        cross = 1000 * sum((a > 127) != (b > 127) for a, b in zip(payload, payload[1:])) / len(payload)
+        assert r.feature == f"s={len(payload) / 8000:.3f};packets={len(payload) // 576};mean={payload.mean():.4f};dev={payload.std():.4f};cross={cross:.3f};levels={len(set(payload.tolist()))}"
+    times = ogg_media.packet_times(stored).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("seconds").alias("last")).collect()
+    assert all(r.n == max(1, -(-len(texts[r.doc_id]) // 576)) and r["last"] == (r.n - 1) * 576 / 8000 for r in times)
+
+
+def test_bpe_with_small_indexes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "INDEX_BYTES", 50)
+    t, texts = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), ["The quick brown fox jumps over the lazy dog, " * 9, "z" * 500, "naïve ΣΑΣ 日本語"]
+    for text, (ids, _) in zip(texts, bpe.encode_texts(texts, bpe.vocabulary("word_bpe_49k.json")), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids

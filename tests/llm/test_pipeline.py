@@ -3,13 +3,17 @@
 import sys
 from pathlib import Path
 
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from oracle import connect, rows  # noqa: E402
 
-from gridwright.llm import queries, toxicity  # noqa: E402
+from gridwright.llm import pii, queries, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +48,20 @@ def test_pipeline_stages(spark):
     kept = {i for i in left if root[i] == i}
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == kept
+    kept_rows = docs.where(F.col("doc_id").isin(*kept))
+    texts = {r.doc_id: r.text or "" for r in pii.replace_private(kept_rows, "corpus pipeline").collect()}
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc: dict = {}
+    by_sequence: dict = {}
+    for r in out:
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.ids))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, pieces in by_doc.items():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces)), "<u4").tolist()
+        assert ids == [*tokens.encode(texts[i], add_special_tokens=False).ids, 2]
+    for parts in by_sequence.values():
+        ends = np.cumsum([n for _, n in sorted(parts)]).tolist()
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
