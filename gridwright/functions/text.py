@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +43,51 @@ def fold(c) -> Column:
     return F.translate(out, _MARKED, _PLAIN)
 
 
+@lru_cache(maxsize=4096)
+def _spellings(letter: str) -> str:
+    """Characters that :func:`fold` turns into one letter, as a class of a pattern."""
+    plain = {letter} | {a for a, b in zip(_MARKED, _PLAIN, strict=True) if b == letter} | {a for a, b in LIGATURES if b == letter}
+    capital = {c.upper() for c in plain if len(c.upper()) == 1} | {c for c in "\u212a\u212b" if c.lower() in plain}
+    every = "".join(sorted(c for c in plain | capital if fold_text(c) == letter))
+    return "[" + re.sub(r"([\\\[\]^&-])", r"\\\1", every) + "]"
+
+
+def fold_text(s: str) -> str:
+    """What :func:`fold` does, for a text of the plan."""
+    s = s.lower()
+    for a, b in LIGATURES:
+        s = s.replace(a, b)
+    return s.translate(str.maketrans(_MARKED, _PLAIN))
+
+
+def folded_pattern(term: str) -> str | None:
+    """A pattern that a text matches where its folded form contains the folded ``term``; None where it can't be told by one.
+
+    It spares folding whole texts: letters stand for all their spellings, two letters for their ligature too, of which a
+    term may begin or end with a half.
+    """
+    term = fold_text(term)
+    pairs = {b: a for a, b in LIGATURES if len(b) == 2}
+    both = lambda a: a + ("ẞ" if a == "ß" else a.upper())
+    halves = lambda ch, k: "".join(both(a) for b, a in pairs.items() if b[k] == ch)
+    if not term or any(term[k : k + 2] in pairs and term[k + 1 : k + 3] in pairs for k in range(len(term))):
+        return None
+    out, k = "", 0
+    while k < len(term):
+        pair, single = term[k : k + 2], _spellings(term[k])
+        if pair in pairs:
+            out += f"(?:{single}{_spellings(term[k + 1])}|[{both(pairs[pair])}])"
+            # a half at an end of the term: only where the pair is all there is beside it
+            if k == 0 or k + 2 == len(term):
+                return None
+            k += 2
+            continue
+        half = (halves(term[k], 1) if k == 0 else "") + (halves(term[k], 0) if k + 1 == len(term) else "")
+        out += f"(?:{single}|[{half}])" if half else single
+        k += 1
+    return out
+
+
 def slug(c) -> Column:
     """Folded words with one space between them."""
     return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))

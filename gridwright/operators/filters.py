@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, fold, quantity, text, trimmed
+from ..functions.text import filled, fold, folded_pattern, quantity, text, trimmed
 
 
 def terms(search: str) -> list[str]:
@@ -18,7 +18,10 @@ def terms(search: str) -> list[str]:
 
 
 def _has(c, term: str, match_case: bool) -> Column:
-    return text(c).contains(term) if match_case else fold(c).contains(fold(F.lit(term)))
+    if match_case:
+        return text(c).contains(term)
+    pattern = folded_pattern(term)
+    return text(c).rlike(pattern) if pattern else fold(c).contains(fold(F.lit(term)))
 
 
 def search(columns: Sequence[str], what: str, match_case: bool = False) -> Column:
