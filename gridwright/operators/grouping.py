@@ -215,3 +215,23 @@ def panel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     named = F.create_map(*[F.lit(x) for pair in kind.items() for x in pair])[F.col("column_name")]
     middle = F.when(F.col("kind") == "date", F.floor(F.col("q0"))).otherwise(F.col("q0"))
     return sums.withColumn("kind", named).join(quantiles(cells, F.col("value"), [0.5], ["column_name"]), "column_name", "left").select("column_name", "kind", "filled", "low", "high", F.when(F.col("kind") != "date", F.col("sum")).alias("sum"), middle.alias("median"))
+
+
+def heat_and_bars(df: DataFrame, c: str) -> DataFrame:
+    """``df`` with how a number cell is coloured: heat from 0 to 1 between the 2nd and the 98th percentile, and where its bar begins
+    and ends on the range of the column, zero included (bar_from, bar_to, from 0 to 1); null without a number."""
+    n = _numeric(df, c)
+    ends = quantiles(df, n, [0.02, 0.98, 0.0, 1.0])
+    low, high = F.least(F.col("q2"), F.lit(0.0)), F.greatest(F.col("q3"), F.lit(0.0))
+    read = df.withColumn("__n", n).join(F.broadcast(ends), how="left")  # one row
+    place = lambda x: F.when(high == low, 0.0).otherwise((x - low) / (high - low))
+    heat = F.when(F.col("q1") == F.col("q0"), 0.5).otherwise(F.least(F.greatest((F.col("__n") - F.col("q0")) / (F.col("q1") - F.col("q0")), F.lit(0.0)), F.lit(1.0)))
+    bar = lambda pick: F.when(F.col("__n").isNotNull(), pick(place(F.col("__n")), place(F.lit(0.0))))
+    return read.select(*[F.col(f"`{x}`") for x in df.columns], F.when(F.col("__n").isNotNull(), heat).alias("heat"), bar(F.least).alias("bar_from"), bar(F.greatest).alias("bar_to"))
+
+
+def selection_sum(df: DataFrame, columns: Sequence[str], rows: Column) -> DataFrame:
+    """One row (cells, filled, numbers, sum, average, low, high) for the cells of ``columns`` in the rows that ``rows`` tells."""
+    part = df.where(rows)
+    cells = part.select(F.explode(F.array(*[F.struct(filled(c).alias("filled"), _numeric(df, c).alias("n")) for c in columns])).alias("x")).select("x.*")
+    return cells.agg(F.count("*").alias("cells"), F.count_if("filled").alias("filled"), F.count("n").alias("numbers"), half_up(F.coalesce(F.sum("n"), F.lit(0.0)), 6).alias("sum"), half_up(F.avg("n"), 6).alias("average"), F.min("n").alias("low"), F.max("n").alias("high"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, mail_key, number, phone_key, text, trimmed
+from ..functions.text import date_key, filled, mail_key, number, phone_key, text, trimmed
 from .matching import Rule, all_of, any_of, names
 
 #: Words of the titles of amounts. Fixed values.
@@ -148,3 +148,37 @@ def same_titles(left: Sequence[str], right: Sequence[str]) -> list[tuple[str, st
     for c in right:
         known.setdefault(" ".join(_plain_title(c)), c)
     return [(c, known[k]) for c in left if (k := " ".join(_plain_title(c))) in known and k]
+
+
+#: What to hide in a column, by its title (folded words): mode, titles that tell it, titles that don't. Fixed values, in their order.
+HIDING = (
+    ("phone", r"tel|telephone|phone|mobile|portable|fax|gsm|cell|cellulaire", None),
+    ("postal", r"code postal|codepostal|cp|zip|zipcode|postcode|postal", None),
+    ("address", r"adresse|address|rue|street|voie|adr", r"mail|email|e mail|ip|web|site|url"),
+    ("company", r"societe|company|entreprise|organisation|organization|raison sociale|employeur|employer|firme|compte|account|client", r"id|numero|number|no|code|type"),
+    ("first", r"prenom|prenoms|firstname|first name|givenname|given", None),
+    ("full", r"nom complet|fullname|full name|contact|interlocuteur|dirigeant|responsable|signataire|commercial|manager", None),
+    ("last", r"nom|noms|lastname|last name|surname|family name|name|patronyme", r"fichier|file|societe|company|produit|product|projet|project|domaine|domain|user|utilisateur|login|campagne|rue|etablissement"),
+    ("text", r"iban|bic|rib|siret|siren|nir|secu|securite sociale|passeport|passport|cni|permis|licence|vat|tva|numero de compte", None),
+    ("date", r"naissance|birth|birthday|dob|ne le|nee le", None),
+    ("text", r"login|user|username|identifiant|pseudo|nickname", None),
+)
+#: The share of a column's filled cells that a mode must read.
+HIDING_SHARE = {"phone": 0.4, "date": 0.6}
+
+
+def hiding_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, mode): how each column is best hidden, ``keep`` where nothing tells. Mails are told by six of ten cells, from all rows."""
+
+    def found(c: str):
+        title, s, ok = " ".join(_plain_title(c)), trimmed(c), filled(c)
+        says = lambda words: bool(words and re.search(rf"\b(?:{words})\b", title))
+        share = lambda test: F.count_if(ok & test) / F.greatest(F.count_if(ok), F.lit(1))
+        reads = {"phone": phone_key(c) != "", "date": date_key(c).isNotNull()}
+        mode = F.when(share(s.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")) >= 0.6, "email")
+        for name, words, unless in HIDING:
+            if says(words) and not says(unless):
+                mode = mode.when(share(reads[name]) >= HIDING_SHARE[name] if name in reads else F.lit(True), name)
+        return [mode.otherwise("keep").alias("mode")]
+
+    return _by_column(df, columns, found)

@@ -97,12 +97,13 @@ def sound_code(words: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(words, lambda w: F.soundex(w))), " ")
 
 
-def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_STRENGTH) -> Rule:
+def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_STRENGTH, leaders_of_a_code: int = 64) -> Rule:
     """Words of the same sound whose spellings are alike: 1 - edit distance / longer length is at least ``like``.
 
     In each code the first spelling by row order leads; those like it are its group, and the first of the others leads next,
     until none is left: spelling by spelling in row order, each goes to the first leader that it is like. A round is one
-    join of distinct spellings with one leader for each code; there are as many rounds as leaders in the fullest code.
+    join of distinct spellings with one leader for each code; there are as many rounds as leaders in the fullest code, at
+    most ``leaders_of_a_code``, as the rule is defined: a spelling that is like none of so many leaders stays alone.
     """
 
     def links(df: DataFrame, rid: str) -> DataFrame:
@@ -111,7 +112,7 @@ def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_ST
         rows = rows.withColumn("code", sound_code(F.split("spelling", " ")))
         left = keep(rows.groupBy("code", "spelling").agg(F.min("id").alias("first")))
         joined = None
-        while True:
+        for _ in range(leaders_of_a_code):
             leaders = left.groupBy("code").agg(F.min_by("spelling", "first").alias("leader"), F.min("first").alias("root"))
             alike = 1 - F.levenshtein("spelling", "leader") / F.greatest(F.length("spelling"), F.length("leader"))
             near = keep(left.join(leaders, "code").select("code", "spelling", "first", "root", (alike >= like).alias("near")))
@@ -119,11 +120,43 @@ def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_ST
             joined = found if joined is None else joined.union(found)
             left = near.where("not near").select("code", "spelling", "first")
             if left.isEmpty():
-                return rows.join(joined, ["code", "spelling"]).where("id > root").select("id", "root")
+                break
+        return rows.join(joined, ["code", "spelling"]).where("id > root").select("id", "root")
 
     return Rule("sound: " + " + ".join(fields), strength, links)
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two names (sorted words) may be one person's: word by word of close spelling, or one with an initial for a word of the other."""
+    close = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) >= 0.75
+    spelled = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, close), lambda ok: F.coalesce(ok, F.lit(False)))
+    whole, initials = lambda w: F.filter(w, lambda x: F.length(x) > 1), lambda w: F.filter(w, lambda x: F.length(x) == 1)
+
+    def fits(x: Column, y: Column) -> Column:
+        more = F.array_except(whole(y), whole(x))
+        same = (F.size(whole(x)) > 0) & (F.size(F.array_except(whole(x), whole(y))) == 0) & (F.size(whole(y)) == F.size(whole(x)) + 1)
+        return (F.size(initials(x)) == 1) & same & F.forall(more, lambda w: w.startswith(F.element_at(initials(x), 1)))
+
+    return spelled | fits(a, b) | fits(b, a)
+
+
+def name_flags(df: DataFrame, groups: DataFrame, fields: Sequence[str], rid: str) -> DataFrame:
+    """``groups`` (of :func:`grouped`) with lower confidence and a reason where the names of a group's rows differ.
+
+    Each name is compared with that of the group's first row that has one. Where one is unlike it, the group gets at most 30
+    and "different names"; where all are alike but not equal, nine tenths and "spelled differently". Identical groups stay.
+    """
+    rows = groups.select(rid, "group_id").join(df.select(rid, name_words(fields).alias("words")), rid).where("words is not null")
+    firsts = keep(rows.groupBy("group_id").agg(F.min_by("words", rid).alias("first")))
+    judged = rows.groupBy("group_id", "words").agg(F.count("*").alias("n")).join(firsts, "group_id")
+    flags = judged.groupBy("group_id").agg(F.max(~_alike(F.col("words"), F.col("first"))).alias("other"), F.max(F.col("words") != F.col("first")).alias("spelled"))
+    out = groups.join(flags, "group_id", "left")
+    live = F.col("confidence") < 100
+    score = F.when(live & F.col("other"), F.least(F.col("confidence"), F.lit(30))).when(live & F.col("spelled"), F.floor(F.col("confidence") * 0.9 + 0.5).cast("int")).otherwise(F.col("confidence"))
+    reason = F.when(live & F.col("other"), "different names").when(live & F.col("spelled"), "spelled differently")
+    return out.select(rid, "group_id", "n", score.alias("confidence"), F.concat_ws(", ", "reasons", reason).alias("reasons"))
+
+
 def grouped(df: DataFrame, rules: Sequence[Rule], rid: str, columns: Sequence[str]) -> DataFrame:
     """(rid, group_id, n, confidence, reasons) of rows that a rule ties to others, however many steps apart.
 

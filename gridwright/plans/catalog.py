@@ -5,6 +5,7 @@ Names start with the row of the operator inventory that they cover.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import formula as fx
 from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
 from ..operators import duplicates, edits, filters, grouping, guesses, joining, matching, quality
-from .durable import number_rows
+from ..sources import readers, writers
+from .durable import number_rows, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -849,3 +851,86 @@ def _(t):
 def _(t):
     o = t("orders").select("o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").cast("string").alias("d"), F.concat(F.lit("a"), F.col("o_custkey"), F.lit("@x.org")).alias("m"), F.regexp_replace(F.expr("cast(cast(o_totalprice AS decimal(18,2)) AS string)"), "(?<=[.][0-9])0$", "").alias("p"))
     return o.select("o_orderkey", edits.hidden("o_orderpriority", "code", "k").alias("code"), edits.hidden("o_orderpriority", "mask").alias("mask"), edits.hidden("d", "year").alias("year"), edits.hidden("m", "domain", "k").alias("domain"), edits.hidden("p", "noise", "k").cast("double").alias("noise"))
+
+
+# written and read again
+
+
+def _place(df: DataFrame, ending: str) -> str:
+    return f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}.{ending}"
+
+
+_AWKWARD = """o_orderpriority || CASE o_orderkey % 5 WHEN 0 THEN ', "' || o_orderstatus || '"' WHEN 1 THEN ' ; |' WHEN 2 THEN ' ' ELSE '' END"""
+
+
+def _awkward(t) -> DataFrame:
+    return t("orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.expr(_AWKWARD.replace("'\"'", "'\"'")).alias("remark"), F.expr("if(o_orderkey % 7 = 0, '', o_orderstatus)").alias("status"))
+
+
+_AWKWARD_SQL = f"SELECT o_orderkey::VARCHAR AS o_orderkey, {_AWKWARD} AS remark, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS status FROM orders"
+
+
+@_query("S1_delimited_round_trip", _AWKWARD_SQL)
+def _(t):
+    path = _place(t("orders"), "csv")
+    writers.write_delimited(_awkward(t), path, ";")
+    return readers.read_delimited(t("orders").sparkSession, path).na.fill("")
+
+
+@_query("S10_json_round_trip", _AWKWARD_SQL)
+def _(t):
+    path = _place(t("orders"), "jsonl")
+    writers.write_json(_awkward(t), path)
+    return readers.read_table(t("orders").sparkSession, path).select("o_orderkey", "remark", "status")
+
+
+@_query("K4_typed_round_trip", "SELECT o_orderkey, o_totalprice AS price, lpad(o_orderkey::VARCHAR, 9, '0') AS code, o_orderkey % 2 = 0 AS even FROM orders")
+def _(t):
+    path = _place(t("orders"), "parquet")
+    o = t("orders").selectExpr("cast(o_orderkey AS string) AS o_orderkey", "cast(cast(o_totalprice AS decimal(18,2)) AS string) AS price", "lpad(o_orderkey, 9, '0') AS code", "if(o_orderkey % 2 = 0, 'yes', 'no') AS even")
+    writers.write_typed_parquet(o, path)
+    return readers.read_table(t("orders").sparkSession, path)
+
+
+@_query("K5_html_rows", "SELECT '<tr><td>' || p_partkey || '</td><td>&lt;' || p_type || '&gt; &amp; ' || p_brand || '</td></tr>' AS line FROM part")
+def _(t):
+    return writers.html_rows(t("part").select("p_partkey", F.concat(F.lit("<"), "p_type", F.lit("> & "), "p_brand")))
+
+
+# colours, selections, ways to hide, names that differ
+
+
+@_query("G26_heat_and_bars", """
+    WITH q AS (SELECT quantile_cont(c_acctbal, 0.02) AS a, quantile_cont(c_acctbal, 0.98) AS b, least(min(c_acctbal), 0) AS low, greatest(max(c_acctbal), 0) AS high FROM customer)
+    SELECT c_custkey, round(least(greatest((c_acctbal - a) / (b - a), 0), 1), 6) AS heat, round(least((c_acctbal - low) / (high - low), -low / (high - low)), 6) AS bar_from, round(greatest((c_acctbal - low) / (high - low), -low / (high - low)), 6) AS bar_to FROM customer, q""")
+def _(t):
+    h = grouping.heat_and_bars(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+    return h.select("c_custkey", *[F.round(c, 6).alias(c) for c in ("heat", "bar_from", "bar_to")])
+
+
+@_query("G28_selection_sum", """
+    SELECT 2 * count(*) AS cells, 2 * count(*) AS filled, count(*) AS numbers, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS average, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders WHERE o_orderkey BETWEEN 100 AND 5000""")
+def _(t):
+    x = grouping.selection_sum(t("orders"), ["o_totalprice", "o_orderpriority"], F.col("o_orderkey").between(100, 5000))
+    return x.withColumns({"sum": F.round("sum", 2), "average": F.round("average", 4)})
+
+
+@_query("T18_hiding_modes", """
+    WITH c AS (SELECT 'u' || c_custkey || '@x.org' AS m, CASE WHEN c_custkey % 2 = 0 THEN '06' || lpad(c_custkey::VARCHAR, 8, '0') ELSE '?' END AS p, strftime(DATE '1960-01-01' + c_custkey::INT % 9000, '%d/%m/%Y') AS d FROM customer)
+    SELECT 'contact' AS column_name, CASE WHEN avg(regexp_full_match(m, '[^@ ]+@[^@ ]+[.][^@ ]+')::INT) >= 0.6 THEN 'email' ELSE 'full' END AS mode FROM c
+    UNION ALL SELECT 'Téléphone', CASE WHEN avg(regexp_full_match(p, '0[1-9][0-9]{8}')::INT) >= 0.4 THEN 'phone' ELSE 'keep' END FROM c
+    UNION ALL SELECT 'Date naissance', CASE WHEN count(try_strptime(d, '%d/%m/%Y')) >= 0.6 * count(*) THEN 'date' ELSE 'keep' END FROM c
+    UNION ALL SELECT * FROM (VALUES ('Adresse', 'address'), ('adresse mail', 'keep'), ('Nom', 'last'), ('nom du fichier', 'keep'), ('IBAN', 'text'), ('note', 'keep')) v""")
+def _(t):
+    c = t("customer").selectExpr("concat('u', c_custkey, '@x.org') AS contact", "if(c_custkey % 2 = 0, concat('06', lpad(c_custkey, 8, '0')), '?') AS `Téléphone`", "date_format(date_add(DATE '1960-01-01', cast(c_custkey % 9000 AS INT)), 'dd/MM/yyyy') AS `Date naissance`", "c_address AS Adresse" if "c_address" in t("customer").columns else "c_name AS Adresse", "c_name AS `adresse mail`", "c_name AS Nom", "c_name AS `nom du fichier`", "c_name AS IBAN", "c_mktsegment AS note")
+    return guesses.hiding_modes(c, c.columns)
+
+
+@_query("D8_name_flags", """
+    WITH c AS (SELECT c_custkey, c_custkey // 2 AS g, c_custkey // 2 % 3 AS kind FROM customer WHERE c_custkey // 2 * 2 + 1 <= (SELECT max(c_custkey) FROM customer))
+    SELECT c_custkey, g * 2 AS group_id, 2::BIGINT AS n, CASE kind WHEN 0 THEN 85 WHEN 1 THEN 77 ELSE 30 END::INT AS confidence, 'phone' || CASE kind WHEN 0 THEN '' WHEN 1 THEN ', spelled differently' ELSE ', different names' END AS reasons FROM c""")
+def _(t):
+    g, odd = F.expr("c_custkey div 2"), F.col("c_custkey") % 2 == 1
+    name = F.when(~odd | (g % 3 == 0), "Jeremy Bonamie").when(g % 3 == 1, "Bonami Jérémi").otherwise("Paul Dupont")
+    c = t("customer").select("c_custkey", F.concat(F.lit("01"), F.lpad((g + 23456789).cast("string"), 8, "0")).alias("phone"), name.alias("name"), F.col("c_custkey").alias("note"))
+    return matching.name_flags(c, matching.grouped(c, [matching.all_of(["phone"], "phone")], "c_custkey", ["phone", "name", "note"]), ["name"], "c_custkey")

@@ -1,4 +1,4 @@
-"""Writing tables: delimited text, JSON lines, typed Parquet and Markdown lines."""
+"""Writing tables: delimited text, JSON lines, typed Parquet, Markdown and HTML lines."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..operators.quality import infer
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", compression: str | None = None) -> None:
-    df.write.csv(path, sep=delimiter, header=True, quote='"', escape='"', compression=compression, emptyValue="")
+    df.write.csv(path, sep=delimiter, header=True, quote='"', escape='"', compression=compression, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -49,3 +49,16 @@ def markdown_lines(df: DataFrame) -> DataFrame:
 
 def markdown_head(df: DataFrame) -> list[str]:
     return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+
+
+def html_rows(df: DataFrame) -> DataFrame:
+    """Each row as a row of an HTML table (its head is ``html_head``)."""
+    escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = [F.concat(F.lit("<td>"), escape(text(f"`{c}`")), F.lit("</td>")) for c in df.columns]
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
+
+
+def html_head(df: DataFrame) -> str:
+    from html import escape
+
+    return "<tr>" + "".join(f"<th>{escape(c, quote=False)}</th>" for c in df.columns) + "</tr>"
