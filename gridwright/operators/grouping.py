@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import date_key, filled, fold, half_up, match_key, number, sort_key, text, trimmed
 from ..plans.durable import keep, number_rows
+from .counts import cell_counts
 from .filters import terms
 from .order_statistics import quantiles
 
@@ -125,17 +126,20 @@ def totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
-    """(column_name, filled, nums, dates, texts, distinct_values, shortest, longest, all_distinct) for each column."""
-    measures = []
-    for c in columns:
-        t, ok = trimmed(c), filled(c)
-        is_n = ok & _numeric(df, c).isNotNull()
-        is_d = ok & ~is_n & date_key(c).isNotNull()
-        size = F.when(ok, F.struct(F.length(t), F.col(rid)))
-        far = F.when(ok, F.struct(F.length(t), -F.col(rid)))
-        found = F.count_distinct(F.when(ok, t))
-        measures.append(F.struct(F.lit(c).alias("column_name"), F.count_if(ok).alias("filled"), F.count_if(is_n).alias("nums"), F.count_if(is_d).alias("dates"), F.count_if(ok & ~is_n & ~is_d).alias("texts"), found.alias("distinct_values"), F.min_by(t, size).alias("shortest"), F.max_by(t, far).alias("longest"), ((found == F.count_if(ok)) & (F.count_if(ok) > 0)).alias("all_distinct")).alias(c))
-    return df.agg(*measures).select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    """(column_name, filled, nums, dates, texts, distinct_values, shortest, longest, all_distinct) for each column.
+
+    Cells are counted by their text first, so that each text is read as a number or date once.
+    """
+    counts = cell_counts(df, columns, rid)
+    ok, is_n = F.col("t") != "", F.col("is_n")
+    read = counts.withColumns({"is_n": ok & number("t").isNotNull(), "is_d": ok & date_key("t").isNotNull()})
+    rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
+    near, far = F.when(ok, F.struct(F.length("t"), "first")), F.when(ok, F.struct(F.length("t"), -F.col("first")))
+    out = read.groupBy("column_name").agg(
+        rows(ok).alias("filled"), rows(is_n).alias("nums"), rows(~is_n & F.col("is_d")).alias("dates"), rows(ok & ~is_n & ~F.col("is_d")).alias("texts"),
+        F.count_if(ok).alias("distinct_values"), F.min_by("t", near).alias("shortest"), F.max_by("t", far).alias("longest"),
+    )
+    return out.withColumn("all_distinct", (F.col("distinct_values") == F.col("filled")) & (F.col("filled") > 0))
 
 
 def quantile_at(df: DataFrame, c: str, p: float, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import date_key, filled, number, text, trimmed
 from ..plans.durable import keep
+from .counts import cell_counts
 from .order_statistics import quantiles
 
 
@@ -39,8 +40,10 @@ def odd_shapes(df: DataFrame, c: str, usual: float = 0.85) -> DataFrame:
 
 def near_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, distinct_values, repeated_rows, is_key): how close each column is to a key."""
-    found = [F.struct(F.lit(c).alias("column_name"), F.count_distinct(F.when(filled(c), trimmed(c))).alias("distinct_values"), (F.count_if(filled(c)) - F.count_distinct(F.when(filled(c), trimmed(c)))).alias("repeated_rows"), ((F.count_if(filled(c)) == F.count("*")) & (F.count_distinct(F.when(filled(c), trimmed(c))) == F.count("*"))).alias("is_key")).alias(c) for c in columns]
-    return df.agg(*found).select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    counts = cell_counts(df, columns)
+    filled_rows = F.coalesce(F.sum(F.when(F.col("t") != "", F.col("n"))), F.lit(0))
+    found = counts.groupBy("column_name").agg(F.count_if(F.col("t") != "").alias("distinct_values"), filled_rows.alias("f"), F.sum("n").alias("rows"))
+    return found.select("column_name", "distinct_values", (F.col("f") - F.col("distinct_values")).alias("repeated_rows"), ((F.col("f") == F.col("rows")) & (F.col("distinct_values") == F.col("rows"))).alias("is_key"))
 
 
 def decided_by(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -98,18 +101,16 @@ _TYPES = {"integer": r"^[+-]?[0-9]+$", "number": r"^[+-]?(?:[0-9]+[.,]?[0-9]*|[.
 
 
 def infer(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, type, required, is_unique, minimum_zero): from every row, in one pass."""
-    found = []
-    for c in columns:
-        s, ok = text(c), text(c) != ""
-        every = {k: F.every(F.when(ok, s.rlike(p))) for k, p in _TYPES.items()} | {"date": F.every(F.when(ok, date_key(c).isNotNull()))}
-        kind = F.when(F.count_if(ok) == 0, "string")
-        for k in ("boolean", "integer", "number", "date"):
-            kind = kind.when(every[k], k)
-        distinct = F.count_distinct(F.when(ok, s))
-        spaceless = F.every(F.when(ok, ~s.contains(" ")))
-        found.append(F.struct(F.lit(c).alias("column_name"), kind.otherwise("string").alias("type"), (F.count_if(~ok) == 0).alias("required"), F.coalesce((distinct == F.count_if(ok)) & (distinct > 1) & (every["integer"] | spaceless), F.lit(False)).alias("is_unique"), F.coalesce(every["number"] & (F.min(number(c)) >= 0), F.lit(False)).alias("minimum_zero")).alias(c))
-    return df.agg(*found).select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    """(column_name, type, required, is_unique, minimum_zero): from every row, each text of a column being judged once."""
+    counts, s = cell_counts(df, columns, trim=False), F.col("t")
+    ok = s != ""
+    every = {k: F.every(F.when(ok, s.rlike(p))) for k, p in _TYPES.items()} | {"date": F.every(F.when(ok, date_key("t").isNotNull()))}
+    kind = F.when(F.count_if(ok) == 0, "string")
+    for k in ("boolean", "integer", "number", "date"):
+        kind = kind.when(every[k], k)
+    spaceless = F.every(F.when(ok, ~s.contains(" ")))
+    unique = (F.max(F.when(ok, F.col("n"))) == 1) & (F.count_if(ok) > 1) & (every["integer"] | spaceless)
+    return counts.groupBy("column_name").agg(kind.otherwise("string").alias("type"), (F.count_if(~ok) == 0).alias("required"), F.coalesce(unique, F.lit(False)).alias("is_unique"), F.coalesce(every["number"] & (F.min(number("t")) >= 0), F.lit(False)).alias("minimum_zero"))
 
 
 def validate(df: DataFrame, fields: Sequence[Field], rid: str, primary_key: Sequence[str] = (), structure: bool = False) -> DataFrame:
