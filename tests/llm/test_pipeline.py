@@ -65,3 +65,23 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_on_hostile_rows(spark):
+    """Nulls in every column, empty and repeated rows, ties and more columns: stages keep their columns and lose no text of their own."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, exact_0 string, n_private long, length long"
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(None,) * 8, (1, "mail a.b@mail.org now", "en", "s", 21, "x", 5, 7), (1, "other text of the same id", "en", "s", 25, "x", 5, 7), (1, "other text of the same id", "en", "s", 25, "x", 5, 7), (2, "", "en", "s", 0, "x", 5, 7), (3, long, None, None, None, "x", 5, 7), (4, long + " end", "en", "s", None, "x", 5, 7)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = sorted(str(r.text)[:30] for r in out.collect())
+        want = {"toxicity": 7, "exact_dedup": 5, "near_dedup": 6, "pii": 7}[name]
+        assert len(got) == want, (name, got)
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= len(rows) and packed.where("ids is null").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
