@@ -45,11 +45,14 @@ def _limit(written: str) -> float | int:
     return float(bare.replace(",", "." if bare.count(",") == 1 else "").replace(".", "." if bare.count(".") <= 1 else ""))
 
 
-def _compared(c: str, sign: str, limit: float | int, kind: str | None) -> Column:
+def _compared(c: str, sign: str, limit: float | int | Column, kind: str | None) -> Column:
     """``c`` beside a limit; of a column whose type is known by a plain comparison, which the scan can use to leave data out."""
-    number_type = kind is not None and re.match("tinyint|smallint|int|bigint|float|double|decimal", kind)
+    number_type = kind is not None and re.match("tinyint|smallint|int|bigint|float|double|decimal", kind) is not None
+    if isinstance(limit, Column):
+        return F.coalesce({">": quantity(c) > limit, ">=": quantity(c) >= limit, "<": quantity(c) < limit, "<=": quantity(c) <= limit}[sign], F.lit(False))
     if number_type:
-        column, test = F.col(c), F.lit(limit)
+        whole = kind not in ("float", "double") and float(limit).is_integer()
+        column, test = F.col(c), F.lit(int(limit) if whole else float(limit))
         known = ~F.isnan(c) if kind in ("float", "double") else F.lit(True)
     elif kind == "date" and isinstance(limit, int):
         y, rest = divmod(limit // 1_000_000, 10_000)
@@ -76,7 +79,11 @@ def column_test(c: str, condition: str, match_case: bool = False, kind: str | No
     if sign:
         if not re.search(r"\d", rest):
             raise ValueError(f"not a number: {rest}")
-        return _compared(c, sign, _limit(rest), kind)
+        try:
+            limit = _limit(rest)
+        except ValueError:  # a date with a clock, or what only a whole reading makes out
+            limit = quantity(F.lit(rest))
+        return _compared(c, sign, limit, kind)
     out = F.lit(True)
     for term in terms(rest):
         out &= _has(c, term, match_case)

@@ -240,8 +240,12 @@ def hidden_ratios(df: DataFrame, columns: Sequence[str], least: int = 20, share:
     return out.where((F.col("both") >= least) & (F.col("agree") >= share * F.col("both")))
 
 
+#: Triples of columns that one pass of :func:`hidden_sums` aggregates.
+TRIPLES = 300
+
+
 def hidden_sums(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9) -> DataFrame:
-    """(a, b, c, both, agree): columns with c = a + b within half of c's last decimal, in one aggregation of all triples."""
+    """(a, b, c, both, agree): columns with c = a + b within half of c's last decimal; a pass aggregates TRIPLES triples of columns."""
     read = df.select(*[number(c).alias(c) for c in columns], *[F.length(F.regexp_extract(trimmed(c), r"[.,]([0-9]+)$", 1)).alias(f"_d_{c}") for c in columns])
     places = F.broadcast(read.agg(*[F.max(f"_d_{c}").alias(f"_m_{c}") for c in columns]))  # one row
     rows = read.drop(*[f"_d_{c}" for c in columns]).join(places)
@@ -253,7 +257,11 @@ def hidden_sums(df: DataFrame, columns: Sequence[str], least: int = 20, share: f
                 known = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(c).isNotNull() & (F.col(a) != 0) & (F.col(b) != 0)
                 close = F.abs(F.col(c) - F.col(a) - F.col(b)) <= 0.5 * F.pow(F.lit(10.0), -F.col(f"_m_{c}")) + 1e-9
                 found.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.count_if(known).alias("both"), F.count_if(known & close).alias("agree")).alias(f"r{len(found)}"))
-    out = rows.agg(*found).select(F.explode(F.array(*[f"r{i}" for i in range(len(found))])).alias("r")).select("r.*")
+    out = None
+    for k in range(0, len(found), TRIPLES):
+        part = rows.agg(*found[k : k + TRIPLES])
+        part = part.select(F.explode(F.array(*part.columns)).alias("r")).select("r.*")
+        out = part if out is None else out.union(part)
     return out.where((F.col("both") >= least) & (F.col("agree") >= share * F.col("both")))
 
 

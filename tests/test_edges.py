@@ -119,3 +119,18 @@ def test_patterns_find_what_folded_texts_contain(spark):
     df = spark.createDataFrame([(t,) for t in texts if "İ" not in t], "t string")
     wrong = df.agg(*[F.count_if(F.col("t").rlike(folded_pattern(x)) != fold("t").contains(fold(F.lit(x)))).alias(f"c{i}") for i, x in enumerate(terms)]).first()
     assert {x: n for x, n in zip(terms, wrong, strict=True) if n} == {}
+
+
+def test_typed_conditions_reach_the_scan(spark, tmp_path):
+    from gridwright.operators import filters
+
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id / 4D AS price", "date_add(DATE '2024-01-01', cast(id AS int)) AS day", "cast(id AS string) || ' €' AS written").write.parquet(path)
+    df = spark.read.parquet(path)
+    for conditions, n in (({"price": ">=100,25"}, 599), ({"id": "<10"}, 10), ({"day": ">31/12/2025"}, 269)):
+        got = filters.keep_where(df, conditions)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        pushed = re.search(r"PushedFilters: \[(.*?)\]", plan)[1]
+        assert got.count() == n and re.search("Than", pushed), (conditions, pushed)
+    assert filters.keep_where(df, {"written": ">= 1 0 0"}).count() == 900
+    assert filters.keep_where(df, {"day": ">= 2024-01-02 00:00"}).count() == 999
