@@ -298,12 +298,12 @@ def _class_sets(words: int):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n): how often a shingle is in the sets of this task, combined for about a million shingles at a time."""
+    """(token, n): how often a shingle is in the sets of this task, about a million shingles at a time; what is there once isn't frequent and is left out."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
 
     for b in batches:
         for hashes in b.column(0):
