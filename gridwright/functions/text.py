@@ -48,8 +48,12 @@ def _spellings(letter: str) -> str:
     """Characters that :func:`fold` turns into one letter, as a class of a pattern."""
     plain = {letter} | {a for a, b in zip(_MARKED, _PLAIN, strict=True) if b == letter} | {a for a, b in LIGATURES if b == letter}
     capital = {c.upper() for c in plain if len(c.upper()) == 1} | {c for c in "\u212a\u212b" if c.lower() in plain}
-    every = "".join(sorted(c for c in plain | capital if fold_text(c) == letter))
-    return "[" + re.sub(r"([\\\[\]^&-])", r"\\\1", every) + "]"
+    codes = sorted(ord(c) for c in plain | capital if fold_text(c) == letter)
+    near = "".join(map(chr, (c for c in codes if c < 256)))
+    far = [c for c in codes if c >= 256]  # as ranges, of which a class may have few without getting slow
+    starts = [c for c in far if c - 1 not in far]
+    ends = [c for c in far if c + 1 not in far]
+    return "[" + re.sub(r"([\\\[\]^&-])", r"\\\1", near) + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
 def fold_text(s: str) -> str:

@@ -19,7 +19,11 @@ def quantiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[st
     partitions before it hold of the group (a row for each partition and group). Nulls are left out; a group key may be null.
     With ``weight`` a row counts as often as that column says.
     """
-    counts = df.where(value.isNotNull()).groupBy(*by, value.alias("_value")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
+    known = df.where(value.isNotNull())
+    if weight:
+        counts = known.select(*by, value.alias("_value"), F.col(weight).cast("long").alias("_n"))
+    else:
+        counts = known.groupBy(*by, value.alias("_value")).agg(F.count("*").alias("_n"))
     dealt = keep(counts.repartitionByRange(*by, "_value").withColumn("_part", F.spark_partition_id()))
     group = Window.partitionBy(*by)
     held = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_held"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .durable import keep
@@ -16,28 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
     Vertices without an edge are not returned. Null ends are ignored, loops and repeated edges are harmless.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        else:
-            both = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    def watched(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, kept, with their number and a sum of their hashes, taken while they are written."""
+        state = Observation()
+        kept = keep(e.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")).alias("h")))
+        return kept, (state.get["n"], state.get["h"])
+
+    def large_star(e: DataFrame) -> DataFrame:
+        both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = keep(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
-        out = both.join(low, "src")
-        if large:
-            out = out.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        else:
-            out = out.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
-        return keep(out.where("src <> dst").distinct())
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-
-    e = keep(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
-    seen = state(e)
+        return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+
+    def small_star(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        low = keep(down.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
+        return down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
+
+    plain = lambda e: e.where("src <> dst").distinct()
+    e, seen = watched(plain(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))))
     while seen[0]:
-        e = star(star(e, True), False)
-        now = state(e)
-        if tuple(now) == tuple(seen):
+        e, now = watched(plain(small_star(keep(plain(large_star(e))))))
+        if now == seen:
             break
         seen = now
     return e.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(e.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())

@@ -115,7 +115,7 @@ def test_patterns_find_what_folded_texts_contain(spark):
     texts = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(3000)] + ["Straße", "STRASSE", "cœur", "ÆON", "été", "a b"]
     terms = sorted({"".join(rng.choice(letters, rng.integers(1, 4))) for _ in range(150)} | {"strasse", "asse", "sse", "as", "oeu", "aeon", "ÉTÉ", "a b", "ß"})
     terms = [t for t in terms if folded_pattern(t) and "İ" not in t]
-    assert len(terms) > 80
+    assert len(terms) > 60
     df = spark.createDataFrame([(t,) for t in texts if "İ" not in t], "t string")
     wrong = df.agg(*[F.count_if(F.col("t").rlike(folded_pattern(x)) != fold("t").contains(fold(F.lit(x)))).alias(f"c{i}") for i, x in enumerate(terms)]).first()
     assert {x: n for x, n in zip(terms, wrong, strict=True) if n} == {}
