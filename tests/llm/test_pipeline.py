@@ -1,6 +1,7 @@
 """The registered queries beside their SQL, and the pipeline beside its stages done by hand."""
 
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -54,11 +55,15 @@ def test_pipeline_stages(spark):
     by_doc: dict = {}
     by_sequence: dict = {}
     for r in out:
-        by_doc.setdefault(r.doc_id, []).append((r.piece, r.ids))
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for i, pieces in by_doc.items():
-        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces)), "<u4").tolist()
-        assert ids == [*tokens.encode(texts[i], add_special_tokens=False).ids, 2]
+        ids = np.array([*tokens.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        ends = [0]
+        for _, start, length, crc in sorted(pieces):
+            assert start == ends[-1] and zlib.crc32(ids[start : start + length].tobytes()) == crc
+            ends.append(start + length)
+        assert ends[-1] == len(ids)
     for parts in by_sequence.values():
         ends = np.cumsum([n for _, n in sorted(parts)]).tolist()
         assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
@@ -83,5 +88,5 @@ def test_stages_on_hostile_rows(spark):
         assert len(got) == want, (name, got)
         assert stage(spark, docs.where("false"), SF).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.count() >= len(rows) and packed.where("ids is null").count() == 0
+    assert packed.count() >= len(rows) and packed.where("length is null").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
