@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, near_dedup, ogg_media, packing, pii, quality, sharding, toxicity
+from . import bpe, byte_bpe, chat, exact_dedup, near_dedup, ogg_media, packing, pii, prefix_trie, quality, repair, sharding, toxicity
 from .common import read
 
 
@@ -53,7 +53,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_media, op5_toxicity, op6_chat, op7_sharding, op8_packing, op9_pii, op10_bpe)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode_documents(read(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("node_a", "node_b", "over_a", "over_b")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_media, op5_toxicity, op6_chat, op7_sharding, op8_packing, op9_pii, op10_bpe, op11_repair, op12_byte_bpe, op13_prefix_trie)
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
