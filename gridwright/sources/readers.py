@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.text import cell_text
+from . import encodings
+from .quoted import decoded_lines, head_bytes, read_quoted
 
 DELIMITERS = (";", ",", "\t", "|")
 
@@ -73,42 +75,41 @@ def guess_header(head: Sequence[Sequence[str]]) -> bool:
 
 
 def guess_encoding(head: bytes) -> str:
-    """By the mark at the start; else UTF-8 where the bytes are that, UTF-16 where every other one is zero, else Windows-1252."""
-    for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
-        if head.startswith(mark):
-            return name
-    zeros = [head[k::2].count(0) / max(1, len(head) // 2) for k in (0, 1)]
-    if max(zeros) > 0.4 and min(zeros) < 0.1:
-        return "UTF-16BE" if zeros[0] > zeros[1] else "UTF-16LE"
-    try:
-        head[: max(0, len(head) - 3)].decode() if len(head) > 3 else head.decode()
-    except UnicodeDecodeError as wrong:
-        if wrong.reason != "unexpected end of data":
-            return "windows-1252"
-    return "UTF-8"
-
-
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str = "UTF-8", breaks_in_cells: bool | None = None) -> DataFrame:
-    """All columns as text. Without ``delimiter`` and ``header`` the head of the file decides; a file without a delimiter is read as lines.
-
-    Files are split at line ends. Only where quoted cells hold line breaks, so that some line has an odd number of quotes,
-    a file is one task's, as Spark can't cut it then; without ``breaks_in_cells`` a pass over the lines tells.
+    """The name of the encoding that some bytes are in, one that all readers know."""
+    return encodings.guess(head).name
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str | None = "UTF-8", breaks_in_cells: bool | None = None) -> DataFrame:
+    """All columns as text. Without ``delimiter``, ``header`` and ``encoding`` (None) the head of the file decides; a file without a delimiter is read as lines.
+
+    Files are split at line ends. Where quoted cells hold line breaks, so that some line has an odd number of quotes, and in
+    all encodings but UTF-8, records are cut by ``quoted.read_quoted``, by many tasks too; without ``breaks_in_cells`` a pass over the
+    lines tells.
     """
+    enc = encodings.encoding(encoding) if encoding else None
     lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(200).collect()] if delimiter is None or header is None else []
+    head: list[str] = []
+    if delimiter is None or header is None or enc is None:
+        sample = head_bytes(spark, path)
+        enc = enc or encodings.guess(sample)
+        head = sample[: len(sample) - len(sample) % enc.width].decode(enc.codec, "replace").removeprefix("\ufeff").replace("\r\n", "\n").split("\n")[:200]
     if delimiter is None:
         delimiter = guess_delimiter("\n".join(head))
         if delimiter is None:
-            return read_lines(spark, path)
+            return read_lines(spark, path, enc.name)
     if header is None:
         header = guess_header(list(csv.reader(io.StringIO("\n".join(head)), delimiter=delimiter))[:6])
-    if breaks_in_cells is None:
+    if breaks_in_cells is None and enc.name == "UTF-8":
         odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
         breaks_in_cells = not lines.where(odd).isEmpty()
-    return spark.read.csv(path, sep=delimiter, header=header, quote='"', escape='"', multiLine=breaks_in_cells, encoding=encoding, inferSchema=False)
+    if breaks_in_cells or enc.name != "UTF-8":
+        return read_quoted(spark, path, delimiter, header, enc.name)
+    return spark.read.csv(path, sep=delimiter, header=header, quote='"', escape='"', inferSchema=False)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    if encodings.encoding(encoding).name != "UTF-8":
+        return decoded_lines(spark, path, encoding)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

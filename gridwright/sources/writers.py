@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import number, text
 from ..operators.quality import infer
+from . import encodings
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", compression: str | None = None) -> None:
     df.write.csv(path, sep=delimiter, header=True, quote='"', escape='"', compression=compression, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_encoded(df: DataFrame, path: str, encoding: str, delimiter: str = ",", header: bool = True) -> None:
+    """Delimited text in any encoding of ``encodings.CODECS``; a sign that it lacks is refused. Cells with a delimiter, quote or break are quoted."""
+    enc = encodings.encoding(encoding)
+    odd = "[" + "".join("\\" + x for x in ('"', delimiter)) + "\r\n]"
+    cell = lambda x: F.when(x.rlike(odd) | x.rlike("^ | $"), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    titles = ['"' + c.replace('"', '""') + '"' if any(x in c for x in ('"', delimiter, "\n")) else c for c in df.columns]
+    lines = df.select(F.concat_ws(delimiter, *[cell(text(f"`{c}`")) for c in df.columns]).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = header
+        for b in batches:
+            made = [line.encode(enc.codec) for line in b.column(0).to_pylist()]
+            if first and made:
+                made.insert(0, delimiter.join(titles).encode(enc.codec))
+                first = False
+            yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
+
+    lines.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path, lineSep=enc.line_end.decode())
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 

@@ -5,7 +5,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import pytest
 
-from gridwright.plans.catalog import ORACLE_SQL, QUERIES
+from gridwright.plans.catalog_more import ORACLE_SQL, QUERIES
 
 from oracle import connect, rows
 
