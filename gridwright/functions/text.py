@@ -202,6 +202,48 @@ def cell_text(c, kind: str) -> Column:
     return text(c)
 
 
+def _read_as_1252() -> tuple[str, str, str]:
+    """UTF-8 sequences whose bytes were read as Windows-1252, as a pattern of its characters; those characters and the bytes that they were, as Latin-1.
+
+    Only sequences of characters are taken that garbled Latin text, signs and pictures have, and at least two Greek or Cyrillic
+    letters: a capital before a quotation mark or a blank that doesn't break is a sequence too, but of a letter that nobody writes.
+    """
+    shown = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
+    some = lambda low, high: "[" + "".join(re.sub(r"([\\\[\]^&~-])", r"\\\1", shown[b]) for b in range(low, high + 1)) + "]"
+    rest = some(0x80, 0xBF)
+    two = f"{some(0xC2, 0xC8)}{rest}|{shown[0xC9]}{some(0x80, 0x8F)}|{shown[0xCB]}[{shown[0x86]}{shown[0x9C]}]|(?:{some(0xCD, 0xD3)}{rest}){{2,}}"
+    three = f"{shown[0xE2]}{some(0x80, 0x84)}{rest}|{shown[0xE2]}{shown[0x85]}{some(0x80, 0x8F)}"
+    four = f"{shown[0xF0]}{shown[0x9F]}{rest}{rest}"
+    odd = "".join(shown[b] for b in range(0x80, 0xA0) if shown[b] != chr(b))
+    return f"(?:{two}|{three}|{four})", odd, "".join(chr(b) for b in range(0x80, 0xA0) if shown[b] != chr(b))
+
+
+GARBLED, _SHOWN, _BYTES = _read_as_1252()
+#: Passes of a repair: texts may have been garbled more than once.
+REPAIR_PASSES = 3
+
+
+def repaired(c) -> Column:
+    """Text in which UTF-8 was read as Windows-1252, once or more often, as it was: ``Ã©`` is ``é``, ``Ð¶`` is ``ж``.
+
+    Each sequence that is one in UTF-8 is turned back by itself, so that a cell with sound and garbled letters is repaired too.
+    """
+    out = text(c)
+    for _ in range(REPAIR_PASSES):
+        parts = F.regexp_extract_all(out, F.lit(f"(?s)(?:{GARBLED})+|.[^\u00c2-\u00f4]*"), F.lit(0))
+        back = lambda p: F.decode(F.encode(F.translate(p, _SHOWN, _BYTES), "ISO-8859-1"), "UTF-8")
+        mended = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{GARBLED})+$"), back(p)).otherwise(p)), "")
+        out = F.when(out.rlike(GARBLED), mended).otherwise(out)
+    return out
+
+
+def repaired_text(s: str) -> str:
+    """What :func:`repaired` does, for one text."""
+    for _ in range(REPAIR_PASSES):
+        s = re.sub(GARBLED, lambda m: m.group().translate(str.maketrans(_SHOWN, _BYTES)).encode("latin-1").decode(), s)
+    return s
+
+
 def half_up(c: Column, decimals: int = 0) -> Column:
     """Rounding with halves towards plus infinity."""
     return F.floor(c * 10.0**decimals + F.lit(0.5)) / 10.0**decimals

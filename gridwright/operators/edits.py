@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formula import capitalize, collapse
-from ..functions.text import _MARKED, _PLAIN, filled, text, trimmed
+from ..functions.text import _MARKED, _PLAIN, filled, repaired, text, trimmed
 from ..plans.durable import keep
 
 #: Words without meaning, as ready lists. Fixed values.
@@ -176,20 +176,6 @@ def date_series(row: str, start: str, step: int, unit: str = "day") -> Column:
     return F.add_months(first, n if unit == "month" else 12 * n)
 
 
-#: Letters and signs that are repaired.
-REPAIRED = "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ’“”–—…€"
-
-
-def repaired(c) -> Column:
-    """UTF-8 that was read as Windows-1252, for the letters of western Europe: ``Ã©`` is ``é``."""
-    out = text(c)
-    for letter in REPAIRED:
-        wrong = letter.encode().decode("cp1252", errors="ignore")
-        if len(wrong) == len(letter.encode()):
-            out = F.replace(out, F.lit(wrong), F.lit(letter))
-    return out
-
-
 #: Steps of a clean-up, in the order in which they are applied.
 CLEAN_STEPS = {
     "repair": lambda x: repaired(x),

@@ -561,7 +561,7 @@ def _(t):
     return joining.review(t("customer"), after, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-_LETTERS = [x for x in edits.REPAIRED if len(x.encode().decode("cp1252", errors="ignore")) == len(x.encode())]
+_LETTERS = [x for x in "àâäçèéêëîïñôöùûüßÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ’“”–—…€" if len(x.encode().decode("cp1252", errors="ignore")) == len(x.encode())]
 _SPOILT = "text"
 for _x in _LETTERS[:20]:
     _SPOILT = f"replace({_SPOILT}, '{_x}', '{_x.encode().decode('cp1252')}')"

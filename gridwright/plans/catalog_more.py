@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import by_example
+from ..operators import by_example, diagnosis
 from ..sources import readers, writers
 from .catalog import ORACLE_SQL, QUERIES, _place, _query  # noqa: F401
 
@@ -60,3 +60,69 @@ def _(t):
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+#: A row of each kind of damage in a file of four columns, by key % 20: text of the record, then what is found and how it is repaired.
+_DAMAGE = [
+    ("{k};rue 1;{n};12", "", ""),
+    ("{k};rue; 1;{n};12", "extra-fields", "merge"),
+    ("{k};rue 1;{n};12;;", "trailing-delimiter", "trim"),
+    ("{k};rue 1\nbat. B;{n};12", "split-line / missing-fields", "join / pad"),
+    ("{k};rue 1;{n}", "missing-fields", "pad"),
+    ('{k};"rue"1 "a";{n};12', "text-after-quote", ""),
+    ('{k};"rue"1\nx";{n};12', "runaway-quote", ""),
+    ('{k}; "rue 1";{n};12', "space-before-quote", ""),
+    ('{k};rue "1";{n};12', "quote-inside", ""),
+    ('{k};"rue\n1";{n};12', "multiline", ""),
+    ("{k};rue\0 1;{n};12", "nul", ""),
+    ("{k};rue � 1;{n};12", "replacement", ""),
+    ("{k};rue​ 1;{n};12", "invisible", ""),
+    ("{k};rÃ©e 1;{n};12", "mojibake", ""),
+    ("{k};=1+1;{n};12", "formula", ""),
+    ("{k};rue 👨‍👩‍👧 1;{n};12", "", ""),
+    ("{k};;{n};-12", "", ""),
+    ('{k};"a ""b""; c";{n};12', "", ""),
+    ("{k};-12,5;{n};--", "", ""),
+    ("{k};rue 1;{n};12", "", ""),
+]
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\0", "' || chr(0) || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+_KINDS_SQL = " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, kind, _) in enumerate(_DAMAGE))
+_REPAIRS_SQL = " ".join(f"WHEN {k} THEN '{repair}'" for k, (_, _, repair) in enumerate(_DAMAGE))
+
+
+@_query("V8_diagnosis", f"""
+    WITH c AS (SELECT c_custkey, CASE c_custkey % 20 {_KINDS_SQL} END AS kinds, CASE c_custkey % 20 {_REPAIRS_SQL} END AS repairs FROM customer)
+    SELECT 'UTF-8' AS encoding, split_part(kinds, ' / ', k) AS kinds, split_part(repairs, ' / ', k) AS repair, count(*) AS n
+    FROM c, (VALUES (1), (2)) v(k) WHERE k = 1 OR contains(kinds, ' / ') GROUP BY ALL
+    UNION ALL SELECT 'windows-1252', CASE c_custkey % 3 WHEN 0 THEN 'utf8-line' WHEN 1 THEN 'cp1252' ELSE '' END, CASE c_custkey % 3 WHEN 0 THEN 'reencode' ELSE '' END, count(*) FROM customer GROUP BY ALL
+    UNION ALL SELECT 'unclosed', CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 'missing-fields, unclosed-quote' ELSE '' END, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 'pad' ELSE '' END, count(*) FROM customer GROUP BY ALL""")
+def _(t):
+    """Customers as files with rows damaged in every way: the findings and repairs, counted."""
+    c, key = t("customer").select("c_custkey", "c_name"), F.col("c_custkey")
+    spark = c.sparkSession
+    record = F.when(F.lit(False), "")
+    for k, (template, _, _) in enumerate(_DAMAGE):
+        record = record.when(key % 20 == k, F.replace(F.replace(F.lit(template), F.lit("{k}"), key.cast("string")), F.lit("{n}"), F.col("c_name")))
+    last = c.agg(F.max("c_custkey")).first()[0]
+    as_bytes = lambda x, name: F.encode(x, name).cast("string")
+    accented = F.concat(key.cast("string"), F.lit(";ré;"), "c_name", F.lit(";12"))
+    files = {
+        "UTF-8": record,
+        "windows-1252": F.when(key % 3 == 0, as_bytes(accented, "UTF-8")).when(key % 3 == 1, as_bytes(accented, "ISO-8859-1")).otherwise(F.replace(accented, F.lit("é"), F.lit("e"))),
+        "unclosed": F.concat(key.cast("string"), F.when(key == last, ';"rue;').otherwise(";rue;"), "c_name", F.lit(";12")),
+    }
+    out = None
+    for name, value in files.items():
+        path = _place(c, "csv")
+        rows = c if name != "unclosed" else c.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey")
+        rows.select(value.alias("value")).write.text(path)
+        found = diagnosis.diagnose(spark, path, ["id", "street", "name", "size"], ";", "windows-1252" if name == "windows-1252" else "UTF-8", header=False)
+        kinds = F.array_join(F.transform("findings", lambda f: f["kind"]), ", ")
+        one = found.select(F.lit(name).alias("encoding"), kinds.alias("kinds"), F.coalesce("repair", F.lit("")).alias("repair"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("encoding", "kinds", "repair").agg(F.count("*").alias("n"))

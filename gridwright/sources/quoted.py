@@ -136,8 +136,8 @@ _RECORD_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part
 WHOLE, TAIL, HEAD = 0, 2, 1
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """(file, block, at, cells, wrong_quotes): the records of delimited files with their places, which order them.
+def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", keep_raw: bool = False) -> DataFrame:
+    """(file, block, at, cells, wrong_quotes): the records of delimited files with their places, which order them; with ``keep_raw`` their text too.
 
     A cell is quoted only if its first character is a quote; within it quotes are doubled; one that is neither doubled nor before a
     delimiter or line end is text, and counted. Empty lines outside of quotes are no records. A cell that is never closed reaches to the
@@ -171,7 +171,7 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
                 inside = ends_inside(line, inside, delimiter)
             if not inside:
                 text = "\n".join(held)
-                out.append((*now, part, at, *(cut(text, delimiter) if part == WHOLE else (None, 0)), text if part != WHOLE else None))
+                out.append((*now, part, at, *(cut(text, delimiter) if part == WHOLE else (None, 0)), text if part != WHOLE or keep_raw else None))
                 held, part, at = [], WHOLE, at + 1
             if len(out) >= 2000:
                 yield written()
@@ -179,7 +179,7 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
         yield written()
 
     pieces = lines.mapInArrow(run, _RECORD)
-    whole = pieces.where(F.col("part") == WHOLE).select("file", "block", "at", "cells", F.col("wrong").alias("wrong_quotes"))
+    whole = pieces.where(F.col("part") == WHOLE).select("file", "block", "at", "cells", F.col("wrong").alias("wrong_quotes"), *["raw"] * keep_raw)
 
     # a record across blocks: what one block ends with, and all that blocks after it begin with up to the next such end
     order = Window.partitionBy("file").orderBy("block", "part")
@@ -190,9 +190,13 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [cut(t, delimiter) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("file"), b.column("block"), b.column("at"), pa.array([c for c, _ in done], pa.list_(pa.string())), pa.array([w for _, w in done], pa.int32())], names=["file", "block", "at", "cells", "wrong_quotes"])
+            cut_batch = pa.record_batch([b.column("file"), b.column("block"), b.column("at"), pa.array([c for c, _ in done], pa.list_(pa.string())), pa.array([w for _, w in done], pa.int32())], names=["file", "block", "at", "cells", "wrong_quotes"])
+            if keep_raw:
+                yield pa.RecordBatch.from_arrays([*cut_batch.columns, b.column("text")], names=[*cut_batch.schema.names, "raw"])
+            else:
+                yield cut_batch
 
-    mended = joined.select("file", "block", "at", text.alias("text")).mapInArrow(cut_all, "file string, block long, at long, cells array<string>, wrong_quotes int")
+    mended = joined.select("file", "block", "at", text.alias("text")).mapInArrow(cut_all, "file string, block long, at long, cells array<string>, wrong_quotes int" + ", raw string" * keep_raw)
     return whole.unionByName(mended)
 
 
