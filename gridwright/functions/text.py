@@ -182,12 +182,46 @@ def quantity(c) -> Column:
     return F.coalesce(number(c), date_key(c).cast("double"))
 
 
+#: Punctuation that bytes put after digits, and where it goes: before the mark of a run of digits, which is a capital, of which folded text has none.
+_LATE_SIGNS, _EARLY = ":;<=>?@[\\]^_`{|}~", "0123456789:;<=>?@"
+
+
 def sort_key(c) -> Column:
-    """Folded text in which digit runs compare by value: each is written with its length before it."""
+    """Folded text in which signs come before digits and these before letters, and digit runs of any length compare by value.
+
+    A run is written as a mark, the length of its length, its length and its digits, without zeros before them.
+    """
     s = fold(trimmed(c))
     parts = F.regexp_extract_all(s, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
     bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(bare(x)).cast("string"), 3, "0"), bare(x))).otherwise(x)), "")
+    size = lambda x: F.length(bare(x)).cast("string")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("A"), F.length(size(x)).cast("string"), size(x), bare(x))).otherwise(F.translate(x, _LATE_SIGNS, _EARLY))), "")
+
+
+#: The order of marks on one letter; other marks come after them, then letters that fold to others. Fixed values.
+MARKS = "\u0301\u0300\u0306\u0302\u030c\u030a\u0308\u030b\u0303\u0307\u0327\u0328\u0304"
+
+
+def _mark_ranks() -> tuple[str, str]:
+    """Letters with a mark, and ligatures, beside characters that stand for their ranks."""
+    ranks = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        found = [d for d in unicodedata.normalize("NFD", c) if unicodedata.combining(d)]
+        if found:
+            ranks[c] = 2 + (MARKS.index(found[0]) if found[0] in MARKS else len(MARKS))
+    ranks |= dict.fromkeys("œŒæÆß\u00a0\u202f", 0x40)
+    return "".join(ranks), "".join(chr(0xE000 + r) for r in ranks.values())
+
+
+_RANKED, _RANKS = _mark_ranks()
+
+
+def tie_key(c) -> Column:
+    """What comes after :func:`sort_key`, for texts that differ only in accents and case: plain letters first, then by mark; then small ones first."""
+    s = trimmed(c)
+    marks = F.regexp_replace(F.translate(s, _RANKED, _RANKS), "[^\ue002-\ue040]", "\ue001")
+    capitals = F.regexp_replace(F.regexp_replace(s, r"[^\p{Lu}]", "0"), "[^0]", "1")
+    return F.concat(marks, F.lit("\ue000"), capitals)
 
 
 def cell_text(c, kind: str) -> Column:

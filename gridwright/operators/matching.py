@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phones  # noqa: F401
+from ..functions.sounds import code_of, transcription
 from ..functions.text import match_key, slug, text
 from ..plans.durable import keep
 from .duplicates import components
@@ -97,9 +99,12 @@ def sound_code(words: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(words, lambda w: F.soundex(w))), " ")
 
 
-def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_STRENGTH, leaders_of_a_code: int = 64) -> Rule:
+def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_STRENGTH, leaders_of_a_code: int = 64, french: bool = False) -> Rule:
     """Words of the same sound whose spellings are alike: 1 - edit distance / longer length is at least ``like``.
 
+    The sound is the Soundex codes, in any order; with ``french`` it is the code of ``functions.sounds``, and what must be alike
+    are the transcriptions.
+
     In each code the first spelling by row order leads; those like it are its group, and the first of the others leads next,
     until none is left: spelling by spelling in row order, each goes to the first leader that it is like. A round is one
     join of distinct spellings with one leader for each code; there are as many rounds as leaders in the fullest code, at
@@ -107,9 +112,9 @@ def sounds(fields: Sequence[str], like: float = 0.75, strength: float = SOUND_ST
     """
 
     def links(df: DataFrame, rid: str) -> DataFrame:
-        spelled = slug(F.concat_ws(" ", *[text(c) for c in fields]))
-        rows = df.select(F.col(rid).alias("id"), spelled.alias("spelling")).where("spelling <> ''")
-        rows = rows.withColumn("code", sound_code(F.split("spelling", " ")))
+        said = F.concat_ws(" ", *[text(c) for c in fields])
+        rows = df.select(F.col(rid).alias("id"), (transcription(said) if french else slug(said)).alias("spelling")).where("spelling <> ''")
+        rows = rows.withColumn("code", code_of(F.col("spelling")) if french else sound_code(F.split("spelling", " ")))
         left = keep(rows.groupBy("code", "spelling").agg(F.min("id").alias("first")))
         joined = None
         for _ in range(leaders_of_a_code):

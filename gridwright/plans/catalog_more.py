@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import phones, sounds
+from ..functions.text import sort_key, tie_key
 from ..operators import by_example, diagnosis
 from ..sources import readers, writers
 from .catalog import ORACLE_SQL, QUERIES, _place, _query  # noqa: F401
+from .durable import number_rows
 
 
 @_query("T15_fill_by_example", """
@@ -126,3 +129,62 @@ def _(t):
         one = found.select(F.lit(name).alias("encoding"), kinds.alias("kinds"), F.coalesce("repair", F.lit("")).alias("repair"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("encoding", "kinds", "repair").agg(F.count("*").alias("n"))
+
+
+#: Countries in turn: calling code, what national numbers begin with, digits behind which the key follows.
+_PLAN = (("33", "0", "6"), ("32", "0", "47"), ("41", "0", "79"), ("44", "0", "20"), ("49", "0", "30"), ("34", "", "91"), ("39", "", "06"), ("351", "", "21"), ("31", "0", "6"), ("43", "0", "66"), ("46", "0", "70"), ("1", "", "20"))
+_PLAN_SQL = ", ".join(f"({k}, '{code}', '{trunk}', '{first}', {9 - len(first) if code == '33' else 10 - len(first) if code == '1' else 8})" for k, (code, trunk, first) in enumerate(_PLAN))
+_NUMBERED = f"""
+    WITH p AS (SELECT * FROM (VALUES {_PLAN_SQL}) v(k, code, trunk, first, width)),
+    c AS (SELECT c_custkey, code, trunk, first || lpad(reverse(cast(c_custkey * 7919 + 12345 AS VARCHAR)), width, '4271') AS own FROM customer JOIN p ON c_custkey % 12 = k)"""
+
+
+def _numbered(t):
+    """Customers with a national phone number, each of the country whose turn it is."""
+    plan = F.create_map(*[x for k, row in enumerate(_PLAN) for x in (F.lit(k), F.array(*map(F.lit, row)))])
+    row = F.try_element_at(plan, (F.col("c_custkey") % 12).cast("int"))
+    width = F.when(row[0] == "33", 9 - F.length(row[2])).when(row[0] == "1", 10 - F.length(row[2])).otherwise(8)
+    c = t("customer").select("c_custkey", row[0].alias("code"), row[1].alias("trunk"), row[2].alias("first"), width.alias("width"))
+    number = F.concat("trunk", "first", F.lit(" "), F.expr("lpad(reverse(cast(c_custkey * 7919 + 12345 as string)), width, '4271')"))
+    return c.select("c_custkey", "code", number.alias("phone"))
+
+
+@_query("T7_phone_forms", _NUMBERED + """
+    SELECT c_custkey, '+' || code || own AS e164, CASE code WHEN '33' THEN '+33 ' || own[1] || regexp_replace(own[2:], '(..)', ' \\1', 'g') ELSE '+' || code || own END AS intl,
+           CASE code WHEN '33' THEN '0' || own[1] || regexp_replace(own[2:], '(..)', ' \\1', 'g') ELSE trunk || own END AS nat FROM c""")
+def _(t):
+    return _numbered(t).select("c_custkey", *[phones.written("phone", to, F.col("code")).alias(to) for to in ("e164", "intl", "nat")])
+
+
+@_query("D1_phones_of_countries", _NUMBERED + " SELECT '+' || code || own AS e164, count(*) * 2 AS n, min(c_custkey) AS first FROM c GROUP BY ALL")
+def _(t):
+    """Numbers of customers and their international forms meet in one key, the country told by its name."""
+    names = F.create_map(*[F.lit(x) for pair in (("33", "France"), ("32", "Belgique"), ("41", "Suisse"), ("44", "United Kingdom"), ("49", "ALLEMAGNE"), ("34", "España"), ("39", "it"), ("351", "Portugal"), ("31", "Pays-Bas"), ("43", "Austria"), ("46", "Suède"), ("1", "États-Unis")) for x in pair])
+    c = _numbered(t).withColumn("country", F.try_element_at(names, F.col("code")))
+    own = F.when(F.col("code") == "39", F.col("phone")).otherwise(F.regexp_replace("phone", "^0", ""))
+    abroad = c.withColumn("phone", F.concat(F.lit("00"), "code", F.lit(" (0)"), own)).withColumn("country", F.lit(None).cast("string"))
+    keys = c.unionByName(abroad).select("c_custkey", phones.e164("phone", F.coalesce(phones.calling_code("country"), F.lit("33"))).alias("e164"))
+    return keys.groupBy("e164").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+
+
+#: Names, how they sound and their code.
+_HEARD = (("Dupont", "dup3", "TPN"), ("DUPOND", "dup3", "TPN"), ("Lefebvre", "lefevr", "LFR"), ("Lefèvre", "lefevr", "LFR"), ("Philippe", "filip", "FLP"), ("Filippe", "filip", "FLP"), ("Christophe", "kristof", "KRSTF"), ("Kristof", "kristof", "KRSTF"), ("Schmitt", "Smi", "XM"), ("Schmidt", "Smi", "XM"), ("Guillaume", "gilom", "KLM"))
+_HEARD_SQL = ", ".join(f"({k}, '{n}', '{s}', '{c}')" for k, (n, s, c) in enumerate(_HEARD))
+
+
+@_query("D6_french_sounds", f"SELECT c_custkey, sound, code FROM customer JOIN (VALUES {_HEARD_SQL}) v(k, name, sound, code) ON c_custkey % 11 = k")
+def _(t):
+    name = F.element_at(F.array(*[F.lit(n) for n, _, _ in _HEARD]), (F.col("c_custkey") % 11 + 1).cast("int"))
+    c = t("customer").select("c_custkey", name.alias("name"))
+    return c.select("c_custkey", sounds.transcription("name").alias("sound"), sounds.phonetic("name").alias("code"))
+
+
+_IN_ORDER = ("#3", "_x", "9", "10", "a b", "a-b", "ab", "emile", "Emile", "EMILE", "émile", "Émile", "èmile", "emma", "lot", "Lot 1", "lot 2", "lot 02b", "Lot 10", "lot 10000000000000000000001", "oeuvre", "Oeuvre", "œuvre", "Zoe", "zoé")
+_IN_ORDER_SQL = ", ".join(f"({k}, '{v}')" for k, v in enumerate(_IN_ORDER))
+
+
+@_query("O3_text_order", f"SELECT c_custkey, value, row_number() OVER (ORDER BY k, c_custkey) AS place FROM customer JOIN (VALUES {_IN_ORDER_SQL}) v(k, value) ON c_custkey * 7 % 25 = k")
+def _(t):
+    value = F.element_at(F.array(*map(F.lit, _IN_ORDER)), (F.col("c_custkey") * 7 % 25 + 1).cast("int"))
+    c = t("customer").select("c_custkey", value.alias("value"))
+    return number_rows(c, [sort_key("value"), tie_key("value"), F.col("c_custkey")], "place")
