@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phones, sounds
 from ..functions.text import sort_key, tie_key
-from ..operators import by_example, diagnosis
+from ..operators import by_example, dependencies, diagnosis, schemas
 from ..sources import readers, writers
 from .catalog import ORACLE_SQL, QUERIES, _place, _query  # noqa: F401
 from .durable import number_rows
@@ -188,3 +188,90 @@ def _(t):
     value = F.element_at(F.array(*map(F.lit, _IN_ORDER)), (F.col("c_custkey") * 7 % 25 + 1).cast("int"))
     c = t("customer").select("c_custkey", value.alias("value"))
     return number_rows(c, [sort_key("value"), tie_key("value"), F.col("c_custkey")], "place")
+
+
+_RULED = """
+    SELECT o_orderkey::VARCHAR AS id, lpad((o_orderkey % 7)::VARCHAR, 5, '0') AS code, o_orderkey::VARCHAR || ',' || (o_orderkey % 10)::VARCHAR || '0' AS amount, strftime(o_orderdate, '%d/%m/%Y') AS day,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'non' ELSE 'oui' END AS active, 'c' || o_orderkey || '@x.example' AS mail, o_orderpriority AS priority, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'free ' || o_custkey END AS note,
+           CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || (o_orderkey % 50)::VARCHAR AS change, '06' || lpad((o_custkey % 1000)::VARCHAR, 8, '1') AS phone, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders"""
+
+
+def _ruled(t):
+    o = t("orders")
+    return o.selectExpr(
+        "o_orderkey AS row", "cast(o_orderkey AS string) AS id", "lpad(cast(o_orderkey % 7 AS string), 5, '0') AS code", "concat(o_orderkey, ',', o_orderkey % 10, '0') AS amount", "date_format(o_orderdate, 'dd/MM/yyyy') AS day",
+        "if(o_orderkey % 3 = 0, 'non', 'oui') AS active", "concat('c', o_orderkey, '@x.example') AS mail", "o_orderpriority AS priority", "if(o_orderkey % 4 = 0, '', concat('free ', o_custkey)) AS note",
+        "concat(if(o_orderkey % 2 = 0, '-', ''), o_orderkey % 50) AS change", "concat('06', lpad(cast(o_custkey % 1000 AS string), 8, '1')) AS phone", "date_format(o_orderdate, 'yyyy-MM-dd') AS iso",
+    )
+
+
+_RULED_COLUMNS = ("id", "code", "amount", "day", "active", "mail", "priority", "note", "change", "phone", "iso")
+
+
+@_query("V1_schema", f"""
+    WITH o AS ({_RULED}), c AS (UNPIVOT o ON COLUMNS(*) INTO NAME name VALUE v),
+    s AS (SELECT name, count(*) FILTER (v = '') = 0 AS required, count(DISTINCT v) = count(*) AS different, count(DISTINCT v) FILTER (v <> '') AS n_values, count(*) FILTER (v <> '') AS n, bool_or(starts_with(v, '-')) AS negative, max(length(v)) AS longest, min(length(v)) AS shortest,
+          string_agg(DISTINCT v, '|' ORDER BY v) FILTER (name = 'priority') AS vs FROM c GROUP BY name)
+    SELECT name, CASE name WHEN 'id' THEN 'integer' WHEN 'amount' THEN 'number' WHEN 'day' THEN 'date' WHEN 'active' THEN 'boolean' WHEN 'change' THEN 'integer' WHEN 'iso' THEN 'date' ELSE 'string' END AS type,
+           CASE name WHEN 'day' THEN '%d/%m/%Y' WHEN 'mail' THEN 'email' ELSE '' END AS format, CASE name WHEN 'amount' THEN ',' ELSE '' END AS decimal_char,
+           required, CASE WHEN name IN ('id', 'change', 'mail', 'priority') THEN required AND different ELSE false END AS is_unique,
+           CASE WHEN name IN ('code', 'phone') AND longest = shortest THEN '\\d{{' || longest || '}}' ELSE '' END AS pattern, name IN ('id', 'amount', 'change') AND NOT negative AS not_negative,
+           CASE WHEN name = 'priority' AND n_values <= 15 AND n >= 10 * n_values THEN vs ELSE '' END AS allowed, name = 'id' AND required AND different AS is_key FROM s""")
+def _(t):
+    found = schemas.infer_schema(_ruled(t), _RULED_COLUMNS)
+    rows = []
+    for f in found["fields"]:
+        k = f.get("constraints", {})
+        rows.append((f["name"], f["type"], f.get("format", ""), f.get("decimalChar", ""), k.get("required", False), k.get("unique", False), k.get("pattern", ""), "minimum" in k, "|".join(sorted(k.get("enum", []))), found.get("primaryKey") == f["name"]))
+    return t("orders").sparkSession.createDataFrame(rows, "name string, type string, format string, decimal_char string, required boolean, is_unique boolean, pattern string, not_negative boolean, allowed string, is_key boolean")
+
+
+@_query("V2_check_rows", """
+    WITH o AS (SELECT o_orderkey AS k FROM orders), e AS (
+        SELECT 'id' AS field, 'unique' AS rule, k, (k - 1)::VARCHAR AS v FROM o WHERE k % 50 = 1 AND k - 1 IN (SELECT k FROM o) UNION ALL SELECT 'code', 'pattern', k, '12' FROM o WHERE k % 40 = 2 UNION ALL SELECT 'amount', 'type', k, 'abc' FROM o WHERE k % 30 = 3
+        UNION ALL SELECT 'amount', 'minimum', k, '-3,00' FROM o WHERE k % 30 = 4 UNION ALL SELECT 'day', 'type', k, '31/02/2024' FROM o WHERE k % 20 = 5 UNION ALL SELECT 'active', 'type', k, 'maybe' FROM o WHERE k % 20 = 6 UNION ALL SELECT 'mail', 'type', k, 'no-mail' FROM o WHERE k % 20 = 7
+        UNION ALL SELECT 'priority', 'required', k, '' FROM o WHERE k % 20 = 8 UNION ALL SELECT 'note', 'edges', k, ' ' || k || ' ' FROM o WHERE k % 20 = 9 UNION ALL SELECT '', 'fields', k, 'row ' || k FROM o WHERE k % 20 = 10 UNION ALL SELECT 'mail', 'unique', k, 'no-mail' FROM o WHERE k % 20 = 7 AND k > (SELECT min(k) FROM o WHERE k % 20 = 7)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY field, rule ORDER BY k) AS i FROM e)
+    SELECT field, rule, count(*) AS n, min(k) AS first_row, string_agg(v, ' / ' ORDER BY k) FILTER (i <= 3) AS examples FROM r GROUP BY field, rule
+    UNION ALL SELECT 'gone', 'missing', 1, NULL, '' UNION ALL SELECT 'iso', 'unexpected', 1, NULL, ''""")
+def _(t):
+    k = F.col("row")
+    o = _ruled(t).drop("change", "phone")
+    spoilt = {"id": F.when(k % 50 == 1, (k - 1).cast("string")), "code": F.when(k % 40 == 2, "12"), "amount": F.when(k % 30 == 3, "abc").when(k % 30 == 4, "-3,00"), "day": F.when(k % 20 == 5, "31/02/2024"), "active": F.when(k % 20 == 6, "maybe"), "mail": F.when(k % 20 == 7, "no-mail"), "priority": F.when(k % 20 == 8, ""), "note": F.when(k % 20 == 9, F.concat(F.lit(" "), k.cast("string"), F.lit(" ")))}
+    o = o.withColumns({c: x.otherwise(F.col(c)) for c, x in spoilt.items()})
+    rule = lambda **x: {"constraints": x}
+    fields = [
+        {"name": "id", "type": "integer"} | rule(unique=True), {"name": "code"} | rule(pattern=r"\d{5}"), {"name": "amount", "type": "number", "decimalChar": ","} | rule(minimum=0), {"name": "day", "type": "date", "format": "%d/%m/%Y"},
+        {"name": "active", "type": "boolean", "trueValues": ["oui"], "falseValues": ["non"]}, {"name": "mail", "type": "string", "format": "email"} | rule(unique=True), {"name": "priority"} | rule(required=True), {"name": "note"}, {"name": "gone"},
+    ]
+    found = schemas.check_rows(o, {"fields": fields}, "row", checks={"note": ["edges"]}, width=F.when(k % 20 == 10, 8).otherwise(9))
+    return found.withColumn("examples", F.array_join("examples", " / "))
+
+
+#: Columns of customers and their nations, some values changed: nation decides region, but not in a few rows.
+_PLACES = "SELECT c_custkey, n_name AS nation, CASE WHEN c_custkey % 97 = 0 THEN 'region ' || (n_regionkey + 1) % 5 ELSE 'region ' || n_regionkey END AS region, c_mktsegment AS segment, CASE WHEN c_custkey % 60 = 0 THEN 'X' ELSE c_mktsegment[1:2] END AS short, n_nationkey::VARCHAR AS number FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_PLACE_COLUMNS = ("nation", "region", "segment", "short", "number")
+_PLACE_PAIRS = " UNION ALL ".join(f"SELECT {i * 10 + j} AS k, {i} AS ka, {j} AS kb, '{a}' AS decides, '{b}' AS decided, {a} AS a, {b} AS b FROM p" for i, a in enumerate(_PLACE_COLUMNS) for j, b in enumerate(_PLACE_COLUMNS) if a != b)
+
+
+@_query("I9_decisions", f"""
+    WITH p AS ({_PLACES}), c AS ({_PLACE_PAIRS}),
+    d AS (SELECT decides AS name, count(DISTINCT a) AS d, (SELECT count(*) FROM p) AS n FROM c GROUP BY decides),
+    g AS (SELECT k, ka, kb, decides, decided, a, b, count(*) AS n FROM c GROUP BY ALL), u AS (SELECT k, ka, kb, decides, decided, a, sum(n) AS size, max(n) AS most, arg_min(b, (-n, b)) AS usual FROM g GROUP BY ALL HAVING sum(n) >= 2),
+    s AS (SELECT k, ka, kb, decides, decided, count(*) AS groups, sum(size) AS cover, sum(size - most) AS broken, count(DISTINCT usual) AS modes FROM u GROUP BY ALL),
+    h AS (SELECT s.* FROM s JOIN d da ON da.name = decides JOIN d db ON db.name = decided WHERE da.d BETWEEN 2 AND da.n / 2 AND db.d >= 2 AND db.d < 0.9 * db.n AND db.d <= 1.1 * da.d + 2 AND groups >= 5 AND cover >= 3 * groups AND cover >= 0.3 * da.n AND broken > 0 AND broken <= 0.02 * cover AND broken <= groups AND modes >= 2)
+    SELECT decides, decided, cover::BIGINT AS cover, broken::BIGINT AS broken, groups FROM h WHERE NOT EXISTS (SELECT 1 FROM h r WHERE r.ka = h.kb AND r.kb = h.ka AND r.k < h.k) ORDER BY broken / cover, k LIMIT 3""")
+def _(t):
+    places = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "c_custkey", "n_name AS nation", "if(c_custkey % 97 = 0, concat('region ', (n_regionkey + 1) % 5), concat('region ', n_regionkey)) AS region", "c_mktsegment AS segment", "if(c_custkey % 60 = 0, 'X', substr(c_mktsegment, 1, 2)) AS short", "cast(n_nationkey AS string) AS number"
+    )
+    return dependencies.decisions(places, _PLACE_COLUMNS)
+
+
+@_query("I3_near_keys", """
+    WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 500 = 7 THEN 'K' || (c_custkey - 1) ELSE 'K' || c_custkey END AS code FROM customer), r AS (SELECT code, count(*) AS n FROM c GROUP BY code HAVING count(*) > 1)
+    SELECT 'code' AS column_name, count(*) = 0 AS is_key, count(*) AS repeated_values, coalesce(sum(n), 0)::BIGINT AS repeated_rows, coalesce((SELECT code FROM r ORDER BY -n, (SELECT min(c_custkey) FROM c WHERE c.code = r.code) LIMIT 1), '') AS example FROM r
+    UNION ALL SELECT 'c_custkey', true, 0, 0, ''""")
+def _(t):
+    c = t("customer").selectExpr("c_custkey AS row", "cast(c_custkey AS string) AS c_custkey", "if(c_custkey % 500 = 7, concat('K', c_custkey - 1), concat('K', c_custkey)) AS code", "c_mktsegment", "cast(c_acctbal AS string) AS c_acctbal")
+    return dependencies.near_keys(c, ["c_custkey", "code", "c_mktsegment"], "row")
