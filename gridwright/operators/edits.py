@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,21 +116,43 @@ def merge_columns(df: DataFrame, columns: Sequence[str], name: str, separator: s
 
 
 def fill_down(df: DataFrame, c: str, order: str, by: Sequence[str] = (), name: str = "filled") -> DataFrame:
-    """Empty cells take the nearest filled one above; leading ones stay empty.
+    """Empty cells take the nearest filled one above, of the same ``by``; leading ones stay empty.
 
-    Without ``by`` rows are range-partitioned by ``order``; each partition fills itself, and what is empty at its head
-    takes the last filled cell of the partitions before, of which there is one row for each partition.
+    Rows are range-partitioned by ``by`` and ``order`` and shuffled once, so that a hot group is cut like any rows; each partition fills itself
+    as its rows pass by. What is empty at its head takes the last filled cell of its group in the partitions before: of these there
+    is a row for either end of each partition, and only they are joined.
     """
-    value = F.when(filled(c), text(c))
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit("")))
-    dealt = keep(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    ends = dealt.groupBy("_part").agg(F.max_by(value, F.when(filled(c), F.col(order))).alias("_last"))
-    carried = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    heads = F.broadcast(ends.select("_part", carried.alias("_head")))
-    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("_own", own).join(heads, "_part").select(*df.columns, F.coalesce("_own", "_head", F.lit("")).alias(name))
+    keys = [F.col(f"`{x}`") for x in by]
+    cell, own, part = "__cell", "__own", "__part"
+    ordered = df.withColumn(cell, F.when(filled(c), text(c))).repartitionByRange(*keys, F.col(f"`{order}`")).sortWithinPartitions(*keys, F.col(f"`{order}`"))
+    schema = ordered.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for b in batches:
+            cells = b.column(b.schema.get_field_index(cell)).to_pylist()
+            groups = list(zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in by), strict=True)) if by else [()] * len(cells)
+            out = []
+            for now, value in zip(groups, cells, strict=True):
+                last = value if value is not None or now != group else last
+                group = now
+                out.append(last)
+            at = b.schema.get_field_index(cell)
+            yield b.set_column(at, b.schema.field(at), pa.array(out, pa.string()))
+
+    at = F.monotonically_increasing_id()
+    filled_rows = keep(ordered.mapInArrow(run, schema).withColumnRenamed(cell, own).withColumns({part: F.spark_partition_id(), "__at": at}))
+    ends = filled_rows.select(part, "__at", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(own).alias("own")).alias("row"))
+    ends = ends.groupBy(part).agg(F.min_by("row", "__at").alias("first"), F.max_by("row", "__at").alias("last"))
+    both = ends.select(part, F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("first").alias("row")), F.struct(F.lit(1).alias("end"), F.col("last").alias("row")))).alias("e")).select(part, "e.end", "e.row.*")
+    k = [f"k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*k).orderBy(part, "end").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("end") == 1, F.col("own")), ignorenulls=True).over(before)
+    heads = F.broadcast(both.withColumn("__carried", carried).where("end = 0 and __carried is not null").select(F.col(part).alias("__head"), *k, "__carried"))  # a row for each partition at most
+    same = F.col(part) == F.col("__head")
+    for x, key in zip(k, keys, strict=True):
+        same &= key.eqNullSafe(F.col(x))
+    return filled_rows.join(heads, same, "left").select(*[F.col(f"`{x}`") for x in df.columns], F.coalesce(own, "__carried", F.lit("")).alias(name))
 
 
 def number_series(row: str, start: float, step: float, decimals: int = 0) -> Column:

@@ -19,18 +19,32 @@ def _first_of_key(df: DataFrame, key: str, columns: Sequence[str], rid: str, how
     return df.where(filled(key)).groupBy(match_key(key, how).alias("_key")).agg(F.min_by(row, F.col(rid)).alias("_row"), F.count("*").alias("_n"))
 
 
+def _found(left: DataFrame, first: DataFrame) -> DataFrame:
+    """``left`` (with _key, null where it is empty) with the row of ``first`` for its key.
+
+    Empty keys pass by the join, as they would all meet in one task. Where the optimizer's size of ``first`` is over that of a broadcast,
+    it is kept, so that both sides are plain shuffles, of which adaptive execution splits hot keys.
+    """
+    session = left.sparkSession
+    most = session._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    small = int(str(first._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+    filled_keys = left.where("_key is not null").join(first if small else keep(first), "_key", "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema if f.name != "_key"]
+    return filled_keys.unionByName(left.where("_key is null").select("*", *nothing))
+
+
 def look_up(left: DataFrame, key: str, source: DataFrame, source_key: str, columns: Sequence[str], source_rid: str, how: str = "loose") -> DataFrame:
     """``left`` with ``columns`` of the first source row of an equal key; empty keys find nothing; a title that is taken gets " (source)"."""
     first = _first_of_key(source, source_key, columns, source_rid, how)
     names = {c: c if c not in left.columns else f"{c} (source)" for c in columns}
-    joined = left.withColumn("_key", F.when(filled(key), match_key(key, how))).join(first, "_key", "left")
+    joined = _found(left.withColumn("_key", F.when(filled(key), match_key(key, how))), first)
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_row.`{c}`").alias(n) for c, n in names.items()])
 
 
 def look_up_report(left: DataFrame, key: str, source: DataFrame, source_key: str, source_rid: str, how: str = "loose") -> DataFrame:
     """One row: hits, misses, empty keys, and source rows that repeat a key."""
     first = _first_of_key(source, source_key, [source_key], source_rid, how)
-    joined = left.select(filled(key).alias("_f"), match_key(key, how).alias("_key")).join(first, "_key", "left")
+    joined = _found(left.select(filled(key).alias("_f"), F.when(filled(key), match_key(key, how)).alias("_key")), first)
     hit = F.col("_f") & F.col("_n").isNotNull()
     found = joined.agg(F.count_if(hit).alias("hits"), F.count_if(F.col("_f") & ~hit).alias("misses"), F.count_if(~F.col("_f")).alias("empty_keys"))
     return found.crossJoin(first.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated_keys")))  # one row each
