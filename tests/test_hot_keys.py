@@ -52,7 +52,7 @@ def test_fill_down_within_groups(spark):
     assert edits.fill_down(table.limit(0), "v", "row", by=["g"]).count() == 0
 
 
-def test_fill_down_cuts_hot_groups(spark, monkeypatch):
+def test_fill_down_cuts_hot_groups(spark, tiny_thresholds, monkeypatch):
     n = 100_000
     table = spark.range(n).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("string")).otherwise("hot").alias("g"), F.when(F.col("id") == 5, "x").otherwise("").alias("v"))
     kept = []
