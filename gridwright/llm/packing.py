@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import materialize
 
-from .common import materialize, rank_within
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best-fit decreasing over counts: (length, first rank, documents, documents a sequence, first sequence, offset).
@@ -96,6 +98,18 @@ def _ids(vocabulary: str, text: str) -> list[int]:
         return _loaded[file].encode(text, add_special_tokens=False).ids
 
 
+def _nth(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rank of each size among the equal ones of its task so far, from 0; ``counts`` is what the task has had."""
+    by = np.argsort(sizes, kind="stable")
+    ordered = sizes[by]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    runs = np.diff(np.r_[starts, len(ordered)])
+    rank = np.empty(len(sizes), np.int64)
+    rank[by] = np.arange(len(ordered)) - np.repeat(starts, runs) + counts[ordered]
+    counts[ordered[starts]] += runs
+    return rank
+
+
 def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
@@ -112,23 +126,42 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def _numbered(capacity: int):
+    """Batches with ``nth``, the rank of each row among those of its size in its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            size = b.column(b.schema.get_field_index("size"))
+            whole = size.null_count == 0 and (not b.num_rows or (min(size.to_pylist()) >= 1 and max(size.to_pylist()) <= capacity))
+            if not whole:
+                raise ValueError(f"lengths must be from 1 to {capacity}")
+            nth = _nth(counts, size.to_numpy()) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nth)], names=[*b.schema.names, "nth"])
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset, in as few sequences of ``capacity`` as best-fit decreasing finds.
 
     ``length`` is from 1 to ``capacity``; rows outside raise. Any other columns stay, whatever their names, but sequence_id
-    and offset are replaced. Rows equal in ``order`` take slots in any order. Only the counts of lengths reach the driver, at
-    most ``capacity`` of them. Documents find their slots by their rank within their length, for which rows are
-    range-partitioned: a hot length, and rows that repeat an order, are cut like any others.
+    and offset are replaced. Documents find their slots by their rank within their length, which may follow any order of the rows: they
+    are numbered where they lie while they are written, once, and never shuffled, however hot a length is. Only counts are added up:
+    of lengths in the driver, at most ``capacity`` of them; of lengths by task for the rank at which each task begins, which
+    are joined by their measured size.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     plain = {c: f"c{i}" for i, c in enumerate(columns)}
-    rows = materialize(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], F.col(f"`{length}`").cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
-    counts = {r[0]: r[1] for r in rows.groupBy("size").agg(F.count("*")).collect()}
-    if any(k is None or not 1 <= k <= capacity for k in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
+    sized = pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], F.col(f"`{length}`").cast("long").alias("size"))
+    numbered = sized.mapInArrow(_numbered(capacity), sized.withColumn("nth", F.lit(0).cast("long")).schema)
+    rows = materialize(numbered.withColumn("task", F.spark_partition_id()))
+    held = materialize(rows.groupBy("task", "size").agg(F.count("*").alias("n")))
+    counts = {r[0]: r[1] for r in held.groupBy("size").agg(F.sum("n")).collect()}
     plan = plan_best_fit(counts, capacity)
     slots = F.broadcast(pieces.sparkSession.createDataFrame([(x[0], x[1], x[1] + x[2], *x[3:]) for x in plan], "size long, low long, high long, each long, first long, at long"))
-    ranked = rank_within(rows, "size", [*(plain[c] for c in order), "row"], "rank")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.join(held.select("task", "size", before.alias("before")), ["task", "size"]).withColumn("rank", F.col("nth") + F.col("before"))
     placed = ranked.join(slots, "size").where("rank >= low and rank < high").withColumn("k", F.col("rank") - F.col("low"))
     sequence, offset = F.col("first") + F.expr("k div each"), F.col("at") + F.col("k") % F.col("each") * F.col("size")
     return placed.select(*[F.col(n).alias(c) for c, n in plain.items()], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
