@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # Honorifics by gender, given names by script and gender, syllables of made-up names.
-MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н", "κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Signora", "госпожа", "г-жа", "κυρία")
-EITHER = ("Dr", "Prof", "Professor")
+MALE = ("Mr", "MR", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н", "κύριος")
+FEMALE = ("Mrs", "MRS", "Ms", "MS", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Signora", "госпожа", "г-жа", "κυρία")
+EITHER = ("Dr", "DR", "Prof", "Professor")
 GIVEN = {
     ("latin", "male"): ("Adrian", "Bruno", "Conrad", "Damian", "Edgar", "Felix", "Gregor", "Hugo", "Ivan", "Julian", "Konrad", "Lucas", "Marcel", "Nestor", "Oscar", "Patrick"),
     ("latin", "female"): ("Agatha", "Beatrice", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Katharina", "Livia", "Marta", "Nora", "Olivia", "Paula"),
@@ -40,7 +40,7 @@ PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "du", "da", "di",
 
 _NAME = r"\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+){0,4}"
 _ITEM = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?:\p{{Lu}}\.(?= \p{{Lu}})|{_NAME})"
-_HONORIFIC = "(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True)) + r")\.? "
+_HONORIFIC = "(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True)) + r")\.?[ \u00a0]"
 #: Patterns of what is found. They have no loops over groups without a small bound, for which Java needs stack.
 _EMAIL = r"(?<![._+-])[\p{L}\p{N}._+-]++@(?=[\p{L}\p{N}])[\p{L}\p{N}.-]*\.\p{L}{2,}"
 _SECRET = r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
@@ -52,11 +52,14 @@ _PHONE = (
     r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\p{N})"
     r"|(?<!\+)\+(?=[0-9](?:[ .-]?[0-9]){6,14}(?!\p{N}))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,7}(?!\p{N})"
     r"|(?<![.+-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![\p{N}-])"
+    r"|(?<![.,+-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4}|[0-9]{8})(?![\p{N}-]|[.,][0-9])"
+    r"|(?<![.,+-])0[1-9][0-9]{1,3} [0-9]{3,4} [0-9]{3,4}(?![\p{N}-]|[.,][0-9])"
+    r"|(?<![.,+-])00[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){1,5}[ .-][0-9]{2,7}(?![\p{N}-]|[.,][0-9])"
 )
 _PERSON = rf"(?<!-){_HONORIFIC}{_ITEM}(?: {_ITEM}){{0,3}}"
 _ACCESS_KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])"
 _ASSIGNMENT = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
-_ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.-]{0,64}[0-9])[\p{L}\p{N}_~+/!.-]{5,}[\p{L}\p{N}]"
+_ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.@-]*+[0-9])[\p{L}\p{N}_~+/!.@-]{5,}[\p{L}\p{N}]"
 _START = r"(?<![\p{L}\p{N}])"
 #: Everything that is replaced, in the order of preference at one place; an address may follow a letter.
 PATTERN = rf"{_START}(?:" + "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON)) + rf")|(?<=\p{{L}}){_IP}"
@@ -65,7 +68,7 @@ _MENTION = rf"{_START}(?<!['’-])(?=\p{{Lu}}\p{{L}}){_NAME}"
 
 #: What a match has at least, pattern by pattern: numbers three digits running, addresses their middle, phones also a plus
 #: sign with a digit, bank accounts their start; the others are told by signs and words below.
-_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}"
+_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|0[1-9][ -][0-9]{2}[ -][0-9]{2}"
 _LONG_HEX = "[0-9a-fA-F]{32}"
 
 #: Rounds of drawing again. Surrogates grow with the rounds, so no format runs out of them.
@@ -96,17 +99,18 @@ def _entry(gap: Column, kind: Column, value: Column) -> Column:
 def _entries(gap: Column, m: Column) -> Column:
     """A match as entries (gap before it, kind, value): each name of a person is one, of an assignment the value alone."""
     head = F.regexp_extract(m, f"^{_HONORIFIC}", 0)
-    named = lambda words: F.regexp_extract(head, r"^(?:" + "|".join(words) + r")\.? $", 0) != ""
+    named = lambda words: F.regexp_extract(head, r"^(?:" + "|".join(words) + r")\.?[ \u00a0]$", 0) != ""
     gender = F.when(named(MALE), "male").when(named(FEMALE), "female").otherwise("either")
     words = F.split(m.substr(F.length(head) + 1, F.length(m)), " ")
     person = F.transform(words, lambda w, k: _entry(F.when(k == 0, F.concat(gap, head)).otherwise(" "), F.when(w.isin(*PARTICLES), "same").when(w.rlike(r"^\p{Lu}\.$"), "initial").when(k == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), w))
     name = F.regexp_extract(m, _ASSIGNMENT, 0)
-    assigned = F.array(_entry(F.concat(gap, name), F.lit("assigned"), m.substr(F.length(name) + 1, F.length(m))))
+    given = m.substr(F.length(name) + 1, F.length(m))
+    assigned = F.array(_entry(F.concat(gap, name), F.when(given.rlike(f"^{_EMAIL}$"), "email").otherwise("assigned"), given))
     one = lambda kind: F.array(_entry(gap, F.lit(kind), m))
     out = (
         F.when(m.rlike(rf"^{_PERSON}$"), person).when(m.rlike(rf"^{_ASSIGNED}$"), assigned).when(m.contains("@"), one("email")).when(m.rlike(r"^[0-9a-fA-F]{32,}$"), one("secret"))
         .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), one("ssn")).when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), one("access_key"))
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), one("phone")).when(m.rlike(rf"^{_NAME}$"), one("mention")).otherwise(one("card"))
+        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^0(?:[ .-]?[0-9]){8,14}$"), one("phone")).when(m.rlike(rf"^{_NAME}$"), one("mention")).otherwise(one("card"))
     )
     return out.cast(_ENTRY)
 
@@ -162,7 +166,7 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     byte = lambda k: _byte(stream, F.lit(k))
     script = F.when(value.rlike("[а-яё]"), "cyrillic").when(value.rlike("[α-ωά-ώ]"), "greek").otherwise("latin")
-    start = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(2)).when(kind == "access_key", F.lit(4)).otherwise(F.lit(0))
+    start = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^(?:\+|00)[0-9]{1,3}(?=[ .(-])|^0", 0))).when(kind == "iban", F.lit(2)).when(kind == "access_key", F.lit(4)).otherwise(F.lit(0))
     end = F.when(kind == "email", F.substring_index(value, ".", -1)).otherwise(F.lit(""))
     drawn = df.withColumns({"stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)), "end": end})
     drawn = drawn.withColumn("body", F.concat(_spelled(value.substr(F.lit(1), F.length(value) - F.length("end")), stream, start), F.col("end")))
@@ -240,7 +244,9 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     wherever they stand in their text as words in capitals or with a capital. Equal values get equal surrogates in all
     documents, different values of a kind different ones; names and mail addresses are equal whatever their case, which
     the surrogate keeps, and a name is one person's whatever the honorifics (male or female where all agree). Initials are
-    turned by a keyed step. ``key`` decides the draw: keep it secret. Names without an honorific in their text are not found.
+    turned by a keyed step. ``key`` decides the draw: keep it secret. Names without an honorific in their text are not found. A
+    value that is assigned and is an e-mail address is treated as one. Phones are found in international form, with a plus or 00, as
+    North American ones, and as national ones that begin with a 0, in pairs, in one or in groups of three and four.
 
     Null texts stay null; texts without entities stay as they are and are not shuffled. Rows that repeat a text are treated
     alike. Texts of any length are read whole, in time linear in them. Columns and their order stay, whatever their names;
