@@ -55,12 +55,13 @@ def test_pipeline_stages(spark):
     by_doc: dict = {}
     by_sequence: dict = {}
     for r in out:
-        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)))
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for i, pieces in by_doc.items():
         ids = np.array([*tokens.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
         ends = [0]
-        for _, start, length, crc in sorted(pieces):
+        for _, start, length, crc, own in sorted(pieces):
+            assert own == ids[start : start + length].tobytes()
             assert start == ends[-1] and zlib.crc32(ids[start : start + length].tobytes()) == crc
             ends.append(start + length)
         assert ends[-1] == len(ids)
