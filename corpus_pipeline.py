@@ -31,8 +31,8 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places; ``packing.pack_documents(docs, keep_ids=True)`` gives the same ones with their token ids."""
-    return packing.pack_documents(docs)
+    """Pieces with their token ids and places."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
