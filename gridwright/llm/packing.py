@@ -110,18 +110,35 @@ def _nth(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return rank
 
 
+#: Characters of texts whose pieces a task holds before it hands them on, besides one longer text.
+CHUNK_CHARS = 2 << 20
+
+
 def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
+    """Batches of (doc_id, text) as pieces, numbered: columns c0 to c4 (c5), size and nth, as :func:`pack` keeps them."""
+    schema = pa.schema([("c0", pa.int64()), ("c1", pa.int32()), ("c2", pa.int64()), ("c3", pa.int64()), ("c4", pa.int64()), *[("c5", pa.binary())] * keep_ids, ("size", pa.int64()), ("nth", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(capacity + 1, np.int64)
+
+        def written(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * (len(schema) - 2)
+            sizes = np.array(columns[3], np.int64)
+            columns += [sizes, _nth(counts, sizes) if out else sizes]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        out: list[tuple] = []
+        held = 0
         for b in batches:
-            out: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.array([*_ids(vocabulary, text.as_py() or ""), end_id], "<u4")
+                plain = text.as_py() or ""
+                ids = np.array([*_ids(vocabulary, plain), end_id], "<u4")
                 out += ((doc.as_py(), k, start, n, zlib.crc32(part := ids[start : start + n].tobytes()), *[part] * keep_ids) for k, (start, n) in enumerate(pieces_of(len(ids), capacity)))
-            columns = list(zip(*out, strict=True)) or [[]] * len(schema)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                held += len(plain)
+                if held >= CHUNK_CHARS or len(out) >= 5000:
+                    yield written(out)
+                    out, held = [], 0
+        yield written(out)
 
     return run
 
@@ -152,19 +169,22 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     are joined by their measured size.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    plain = {c: f"c{i}" for i, c in enumerate(columns)}
-    sized = pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], F.col(f"`{length}`").cast("long").alias("size"))
-    numbered = sized.mapInArrow(_numbered(capacity), sized.withColumn("nth", F.lit(0).cast("long")).schema)
+    sized = pieces.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{length}`").cast("long").alias("size"))
+    return _placed(sized.mapInArrow(_numbered(capacity), sized.withColumn("nth", F.lit(0).cast("long")).schema), columns, capacity)
+
+
+def _placed(numbered: DataFrame, columns: list[str], capacity: int) -> DataFrame:
+    """Rows (c0, c1, .. for ``columns``, size, nth) as they are numbered by their tasks, with their slots."""
     rows = materialize(numbered.withColumn("task", F.spark_partition_id()))
     held = materialize(rows.groupBy("task", "size").agg(F.count("*").alias("n")))
     counts = {r[0]: r[1] for r in held.groupBy("size").agg(F.sum("n")).collect()}
     plan = plan_best_fit(counts, capacity)
-    slots = F.broadcast(pieces.sparkSession.createDataFrame([(x[0], x[1], x[1] + x[2], *x[3:]) for x in plan], "size long, low long, high long, each long, first long, at long"))
+    slots = F.broadcast(numbered.sparkSession.createDataFrame([(x[0], x[1], x[1] + x[2], *x[3:]) for x in plan], "size long, low long, high long, each long, first long, at long"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.join(held.select("task", "size", before.alias("before")), ["task", "size"]).withColumn("rank", F.col("nth") + F.col("before"))
     placed = ranked.join(slots, "size").where("rank >= low and rank < high").withColumn("k", F.col("rank") - F.col("low"))
     sequence, offset = F.col("first") + F.expr("k div each"), F.col("at") + F.col("k") % F.col("each") * F.col("size")
-    return placed.select(*[F.col(n).alias(c) for c, n in plain.items()], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -175,5 +195,6 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byt
     doc_id are packed once each, null doc_ids too. An empty table gives no rows. Texts are encoded whole. Other columns are not read. With ``keep_ids`` a
     piece's ids come too, as little-endian 32-bit integers.
     """
-    tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, capacity, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
-    return pack(tokens, capacity)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    form = "c0 long, c1 int, c2 long, c3 long, c4 long" + ", c5 binary" * keep_ids + ", size long, nth long"
+    return _placed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, capacity, keep_ids), form), columns, capacity)
