@@ -15,7 +15,7 @@ from ..functions import formula as fx
 from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
 from ..operators import duplicates, edits, filters, grouping, guesses, joining, matching, quality
 from ..sources import readers, writers
-from .durable import number_rows, shared_dir
+from .durable import number_rows, tables_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -857,7 +857,7 @@ def _(t):
 
 
 def _place(df: DataFrame, ending: str) -> str:
-    return f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}.{ending}"
+    return f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}.{ending}"
 
 
 _AWKWARD = """o_orderpriority || CASE o_orderkey % 5 WHEN 0 THEN ', "' || o_orderstatus || '"' WHEN 1 THEN ' ; |' WHEN 2 THEN ' ' ELSE '' END"""

@@ -22,20 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it again.
 
     This cuts the lineage, survives lost executors, is computed once, and lets a following join read plain shuffles of
     both sides, which adaptive execution can split where a key is hot.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_kept(spark: SparkSession) -> None:
-    """Delete all kept tables of the shared folder: call it when the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    """Delete the tables that this application keeps, not those of others: call it when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
