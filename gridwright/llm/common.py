@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import keep as materialize  # noqa: F401
-from ..plans.durable import rank_within, shared_dir  # noqa: F401
+from ..plans.durable import rank_within, tables_dir  # noqa: F401
 from ..plans.graph import components  # noqa: F401
 
 #: The white space that word and equality rules of these operators know: space, and tab to carriage return.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, free_names, materialize, shared_dir, text_or_empty
+from .common import ASCII_SPACE, free_names, materialize, tables_dir, text_or_empty
 
 #: Bits of a filter block (one cache line), bits set for a hash, blocks of a segment (one segment: 1 MiB of bits).
 BLOCK_BITS, HASH_BITS, SEGMENT_BLOCKS = 512, 4, 16384
@@ -106,7 +106,7 @@ def tested(rows: DataFrame, repeated: DataFrame, segments: int, sha: str, suspec
     slices = math.ceil(repeated.count() * (BLOCK_BITS // 8 + 16) / BROADCAST_FILTER_BYTES)
     if slices <= 1:
         return test(hashed, repeated)
-    hashed, path = materialize(hashed.sortWithinPartitions(block)), f"{shared_dir(rows.sparkSession)}/tables/{uuid.uuid4().hex}"
+    hashed, path = materialize(hashed.sortWithinPartitions(block)), f"{tables_dir(rows.sparkSession)}/{uuid.uuid4().hex}"
     for k in range(slices):
         low, high = blocks * k // slices, blocks * (k + 1) // slices
         own = hashed.where(F.col(block).between(low * FOLD, high * FOLD - 1))
