@@ -43,7 +43,7 @@ TASK_ENTRIES = 20_000
 #: Classes whose shingles are counted for the order of the prefix filter; the count from which a shingle is frequent, and
 #: how many frequent ones are told apart. The order decides the work, not the result.
 COUNTED_CLASSES, FREQUENT, MOST_FREQUENT = 10_000, 16, 500_000
-#: Classes with a shingle in their prefix that one task compares with each other; more are dealt as pairs of blocks.
+#: Classes with a shingle in their prefix that are compared with each other at once; more are cut into bands and blocks, dealt in pairs.
 POSTING = 2048
 #: Bits of a set's bitmap, in which each shingle turns one over.
 BITMAP = 1024
@@ -369,16 +369,12 @@ def _possible(x: np.ndarray, y: np.ndarray, percent: int, own: bool) -> np.ndarr
     return np.unique(np.stack([np.minimum(x[1][i], y[1][j]), np.maximum(x[1][i], y[1][j])]), axis=1)
 
 
-_PAIRS = ["a", "b", "block", "component", "n", "at", "side"]
-
-
 def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(pairs.shape[1], pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * 5], names=_PAIRS)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _postings(percent: int):
-    """Pairs (a, b) that may be links from prefixes in the order of their shingles; of a long posting list its pairs of blocks, b being null."""
+    """Pairs (a, b) that may be links from prefixes in the order of their shingles, whose lists are of at most POSTING rows."""
 
     def run(batches):
         for group in _sorted_groups(batches):
@@ -387,34 +383,58 @@ def _postings(percent: int):
             mixed = np.minimum.reduceat(group[2], first) != np.maximum.reduceat(group[2], first)
             found, held = [np.empty((2, 0), np.int64)], 0
             for lo, hi in zip(first[mixed], end[mixed], strict=True):
-                if hi - lo <= POSTING:
-                    found.append(_possible(group[:, lo:hi], group[:, lo:hi], percent, True))
-                    held += found[-1].shape[1]
-                    if held > 1_000_000:
-                        yield _pair_rows(np.unique(np.concatenate(found, axis=1), axis=1))
-                        found, held = [np.empty((2, 0), np.int64)], 0
-                    continue
-                starts = range(lo, hi, POSTING)
-                for x in range(len(starts)):
-                    for y in range(x, len(starts)):
-                        for side, k in ((0, x), (1, y))[: 1 + (x != y)]:
-                            rows = group[:, starts[k] : min(hi, starts[k] + POSTING)]
-                            block = np.full(rows.shape[1], xxhash.xxh3_64_intdigest(f"{group[0, lo]} {x} {y}") >> 1)
-                            yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(block), pa.int64()), pa.array(block), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4]), pa.array(np.full(len(block), side))], names=_PAIRS)
+                found.append(_possible(group[:, lo:hi], group[:, lo:hi], percent, True))
+                held += found[-1].shape[1]
+                if held > 1_000_000:
+                    yield _pair_rows(np.unique(np.concatenate(found, axis=1), axis=1))
+                    found, held = [np.empty((2, 0), np.int64)], 0
             yield _pair_rows(np.unique(np.concatenate(found, axis=1), axis=1))
 
     return run
 
 
+def _dealt_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, rep, component, n, at) of long lists as (block, rep, component, n, at, side), so that all pairs that may be links meet in a block.
+
+    A list is cut by size into bands, of which linked sets share one or have neighbouring ones, and into wide rows, whose place
+    leaves room for a partner as large as they are, and narrow ones, which can only be linked with smaller sets and so never with
+    each other. What is cut is dealt into blocks of about POSTING rows by a hash, and each block that may hold partners of a row gets
+    a copy of it. Side 0 meets side 1, side 2 itself. No task sees a list: copies are made where the rows lie.
+    """
+    band = F.floor(F.ln("n") / (np.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else F.col("n")
+    rows = rows.select("*", band.alias("band"), ((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")).alias("wide"))
+    blocks = lambda test: F.ceil(F.count_if(test) / POSTING).cast("int")
+    held = rows.groupBy("token", "band").agg(F.struct(blocks(F.col("wide")).alias("wide"), blocks(~F.col("wide")).alias("narrow")).alias("blocks"))
+    held = materialize(held.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("held")))  # an entry for each band of sizes
+    band, at = F.col("band"), lambda d: F.try_element_at("held", F.col("band") + d)
+    there = lambda d, kind: F.coalesce(at(d)[kind], F.lit(0))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("wide"), at(0)["wide"]).otherwise(at(0)["narrow"])).cast("int")
+
+    def meets(n, kind: int, lower: bool):
+        """A copy for each of the ``n`` blocks on the other side; kinds tell apart what meets in a band and its neighbour."""
+        each = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        low = band if lower or kind < 2 else band - 1
+        name = lambda x, y: F.xxhash64("token", low, F.lit(kind), x, y).alias("block")
+        if not kind:
+            side = lambda o: F.when(own == o, 2).when(own < o, 0).otherwise(1)
+            return F.transform(each, lambda o: F.struct(name(F.least(own, o), F.greatest(own, o)), side(o).alias("side")))
+        return F.transform(each, lambda o: F.struct(name(own, o) if lower else name(o, own), F.lit(0 if lower else 1).alias("side")))
+
+    wide = F.concat(meets(there(0, "wide"), 0, True), meets(there(0, "narrow"), 1, True), meets(there(1, "wide"), 2, True), meets(there(1, "narrow"), 3, True), meets(there(-1, "wide"), 2, False))
+    narrow = F.concat(meets(there(0, "wide"), 1, False), meets(there(-1, "wide"), 3, False))
+    dealt = rows.join(held, "token").select("rep", "component", "n", "at", F.explode(F.when(F.col("wide"), wide).otherwise(narrow)).alias("to"))
+    return dealt.select("to.block", "rep", "component", "n", "at", F.col("to.side").cast("long").alias("side"))
+
+
 def _block_pairs(percent: int):
     """Pairs (a, b) that may be links from rows (block, rep, component, n, at, side) sorted by block."""
 
     def run(batches):
         for group in _sorted_groups(batches):
             for part in np.split(group, np.flatnonzero(group[0, 1:] != group[0, :-1]) + 1, axis=1):
-                x, y = part[:, part[5] == 0], part[:, part[5] == 1]
-                pairs = _possible(x, y if y.shape[1] else x, percent, not y.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                x, y, own = (part[:, part[5] == side] for side in (0, 1, 2))
+                yield _pair_rows(_possible(x, y, percent, False))
+                yield _pair_rows(_possible(own, own, percent, True))
 
     return run
 
@@ -459,10 +479,12 @@ def _other_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     frequent, rank = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.argsort(frequent)
-    prefixes = named.mapInArrow(_prefixes(percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long")
-    found = materialize(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_postings(percent), ", ".join(f"{c} long" for c in _PAIRS)))
-    blocks = found.where("b is null").select("block", F.col("a").alias("rep"), "component", "n", "at", "side").repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs(percent), "a long, b long")
-    pairs = found.where("b is not null").select("a", "b").unionByName(blocks).distinct()
+    prefixes = materialize(named.mapInArrow(_prefixes(percent, frequent[by], rank[by]), "token long, rep long, component long, n long, at long"))
+    met = prefixes.groupBy("token").agg(F.count("*").alias("rows"), (F.min("component") < F.max("component")).alias("mixed"))
+    long = materialize(met.where(F.col("rows") > POSTING).select("token", "mixed"))
+    short = prefixes.join(long, "token", "left_anti").repartition("token").sortWithinPartitions("token").mapInArrow(_postings(percent), "a long, b long")
+    blocks = _dealt_lists(prefixes.join(long.where("mixed"), "token", "left_semi"), percent).repartition("block").sortWithinPartitions("block")
+    pairs = short.unionByName(blocks.mapInArrow(_block_pairs(percent), "a long, b long")).distinct()
     small = materialize(sets.select("rep", (F.octet_length("hashes") / 8).cast("long").alias("n"), "bitmap"))
     of = lambda t, key, *names: t.select(F.col("rep").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in names])
     pairs = pairs.join(of(small, "a", "n", "bitmap"), "a").join(of(small, "b", "n", "bitmap"), "b")

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_links_of_a_templated_cluster(spark):
     assert sum(r.component_id != low[r.doc_id] for r in got) == 0
 
 
-@pytest.mark.parametrize("posting, percent", [(2048, 85), (8, 85), (8, 50), (2048, 100)])
+@pytest.mark.parametrize("posting, percent", [(2048, 85), (8, 85), (8, 50), (2048, 100), (8, 100), (1, 85)])
 def test_prefix_filter_alone(spark, monkeypatch, posting, percent):
     """Without any link found before, and with posting lists cut into blocks, links are those of a comparison of all pairs."""
     monkeypatch.setattr(near_dedup, "POSTING", posting)
@@ -63,6 +64,33 @@ def test_prefix_filter_alone(spark, monkeypatch, posting, percent):
     assert got == {(i, j) for i in reps for j in reps if i < j and 100 * (c := common(i, j)) >= percent * (len(sets[i]) + len(sets[j]) - c)}
 
 
+def _list_of(spark, n_rows, percent=85):
+    """A long list of one shingle: sizes from 5 to 900, places anywhere in the prefix."""
+    rng = np.random.default_rng(9)
+    n = rng.integers(5, 900, n_rows)
+    at = (rng.random(n_rows) * (n + percent * n // -100 + 1)).astype(int)
+    rows = np.stack([np.full(n_rows, 77), np.arange(n_rows), np.arange(n_rows) // 2, n, at])
+    return rows, spark.createDataFrame(pd.DataFrame(rows.T, columns=["token", "rep", "component", "n", "at"])).repartition(8)
+
+
+@pytest.mark.parametrize("percent", [30, 85, 100])
+def test_long_lists_lose_no_pair(spark, monkeypatch, percent):
+    monkeypatch.setattr(near_dedup, "POSTING", 64)
+    rows, df = _list_of(spark, 3000, percent)
+    dealt = near_dedup._dealt_lists(df, percent).repartition(4, "block").sortWithinPartitions("block")
+    got = {(r.a, r.b) for r in dealt.mapInArrow(near_dedup._block_pairs(percent), "a long, b long").collect()}
+    assert got == {tuple(x) for x in near_dedup._possible(rows, rows, percent, True).T.tolist()} and got
+
+
+def test_long_list_is_dealt_where_its_rows_lie(spark):
+    """Of 50,000 classes with one shingle no block is large, copies are far from all blocks' and every task makes its share."""
+    rows, df = _list_of(spark, 50_000)
+    dealt = near_dedup._dealt_lists(df, 85).withColumn("task", F.spark_partition_id())
+    sides = dealt.groupBy("block", "side").count().agg(F.max("count")).first()[0]
+    made = [r["count"] for r in dealt.groupBy("task").count().collect()]
+    assert sides < 2 * near_dedup.POSTING and sum(made) < 6 * len(rows[0]) and len(made) > 1 and max(made) < 0.3 * sum(made)
+
+
 @pytest.mark.parametrize("run", [" ", "\n"])
 def test_packing_of_a_very_long_blank_run(run):
     import public_tokenizers
