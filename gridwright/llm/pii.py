@@ -45,7 +45,9 @@ _HONORIFIC = "(?:" + "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse
 _EMAIL = r"(?<![._+-])[\p{L}\p{N}._+-]++@(?=[\p{L}\p{N}])[\p{L}\p{N}.-]*\.\p{L}{2,}"
 _SECRET = r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
 _IP = r"(?<![.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
+#: IPv6 addresses by their allocated starts, so that times and slices of code are none.
+_IP6 = r"(?<![:.])(?=(?i:[23][0-9a-f]{3}|f[cdef][0-9a-f]{2}|(?:00)?64):)(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}|(?:[0-9a-f]{1,4}:){1,7}:)(?![\p{L}\p{N}:]|\.[0-9])"
+_SSN = r"(?<!-)(?<![0-9][ .,])[0-9]{3}(?:-[0-9]{2}-| [0-9]{2} )[0-9]{4}(?![\p{N}-]|[ .,][0-9])"
 _CARD = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?!\p{N})"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![\p{L}\p{N}])"
 _PHONE = (
@@ -62,13 +64,13 @@ _ASSIGNMENT = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)
 _ASSIGNED = _ASSIGNMENT + r"(?=[\p{L}_~+/!.@-]*+[0-9])[\p{L}\p{N}_~+/!.@-]{5,}[\p{L}\p{N}]"
 _START = r"(?<![\p{L}\p{N}])"
 #: Everything that is replaced, in the order of preference at one place; an address may follow a letter.
-PATTERN = rf"{_START}(?:" + "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _PERSON)) + rf")|(?<=\p{{L}}){_IP}"
+PATTERN = rf"{_START}(?:" + "|".join((_EMAIL, _ASSIGNED, _SECRET, _ACCESS_KEY, _IBAN, _PHONE, _SSN, _CARD, _IP, _IP6, _PERSON)) + rf")|(?<=\p{{L}}){_IP}"
 #: A word that may be a name found elsewhere in its text.
 _MENTION = rf"{_START}(?<!['’-])(?=\p{{Lu}}\p{{L}}){_NAME}"
 
 #: What a match has at least, pattern by pattern: numbers three digits running, addresses their middle, phones also a plus
-#: sign with a digit, bank accounts their start; the others are told by signs and words below.
-_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|0[1-9][ -][0-9]{2}[ -][0-9]{2}"
+#: sign with a digit, bank accounts their start, IPv6 addresses a group and more; the others are told by signs and words below.
+_HINT = r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|0[1-9][ -][0-9]{2}[ -][0-9]{2}|[0-9a-fA-F]{2}:[0-9a-fA-F:]"
 _LONG_HEX = "[0-9a-fA-F]{32}"
 
 #: Rounds of drawing again. Surrogates grow with the rounds, so no format runs out of them.
@@ -109,7 +111,7 @@ def _entries(gap: Column, m: Column) -> Column:
     one = lambda kind: F.array(_entry(gap, F.lit(kind), m))
     out = (
         F.when(m.rlike(rf"^{_PERSON}$"), person).when(m.rlike(rf"^{_ASSIGNED}$"), assigned).when(m.contains("@"), one("email")).when(m.rlike(r"^[0-9a-fA-F]{32,}$"), one("secret"))
-        .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), one("ssn")).when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), one("access_key"))
+        .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), one("ip")).when(m.rlike(r"^[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}$"), one("ssn")).when(m.rlike(r"^[0-9a-fA-F]{2,4}:"), one("ip6")).when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), one("access_key"))
         .when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), one("iban")).when(m.rlike(r"^[(+]|^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^0(?:[ .-]?[0-9]){8,14}$"), one("phone")).when(m.rlike(rf"^{_NAME}$"), one("mention")).otherwise(one("card"))
     )
     return out.cast(_ENTRY)
@@ -161,7 +163,8 @@ def _check_sum(number: Column) -> Column:
 def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     """``df`` (kind, form, value, attempt) with the draw of that number as surrogate: same kind, length and signs (IP addresses:
     same form); names, in small letters, keep gender and script, card numbers whether they pass their check, phones their
-    country. From the sixth draw on, mail names get longer, from the twenty-fourth all other numbers and keys."""
+    country. From the sixth draw on, mail names get longer, from the twenty-fourth all other numbers and keys, and
+    IPv6 addresses have all eight groups."""
     kind, form, value, attempt, stream = F.col("kind"), F.col("form"), F.col("value"), F.col("attempt"), F.col("stream")
     seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     byte = lambda k: _byte(stream, F.lit(k))
@@ -174,7 +177,7 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     headless = F.concat(F.col("body").substr(F.lit(1), F.length("body") - 1), F.lit("0"))
     card = F.when(_check_sum(value) == 0, F.concat(F.col("body").substr(F.lit(1), F.length("body") - 1), ((10 - _check_sum(headless)) % 10).cast("string"))).otherwise(F.col("body"))
     ip = F.concat_ws(".", *[(byte(k) % 254 + 1).cast("string") for k in range(4)])
-    hexed = F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(c.rlike("[A-F]"), F.lit("ABCDEF").substr(_byte(stream, k) % 6 + 1, F.lit(1))).otherwise(F.lit("0123456789abcdef").substr(_byte(stream, k) % 16 + 1, F.lit(1)))), "")
+    hexed = F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(c == ":", c).when(c.rlike("[A-F]"), F.lit("ABCDEF").substr(_byte(stream, k) % 6 + 1, F.lit(1))).otherwise(F.lit("0123456789abcdef").substr(_byte(stream, k) % 16 + 1, F.lit(1)))), "")
 
     def family(s: str) -> Column:
         size = 3 + F.least(F.lit(20), F.floor(attempt / 4).cast("int"))
@@ -189,9 +192,11 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     in_hex = (kind == "secret") | ((kind == "assigned") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
     fresh = F.sha2(F.concat(seed, F.lit("\x1e")), 256)
     longer = lambda after, each: fresh.substr(F.lit(1), F.greatest(F.lit(0), F.least(F.lit(40), F.floor((attempt - after) / each).cast("int"))))
+    groups = F.concat_ws(":", F.concat(value.substr(1, 2), fresh.substr(1, 2)), *[fresh.substr(4 * k, 4) for k in range(1, 8)])
+    ip6 = F.when(attempt < 24, F.concat(value.substr(1, 2), hexed.substr(F.lit(3), F.length(value)))).otherwise(groups)
     mail = F.concat(F.translate(longer(4, 2), "0123456789", "ghijklmnop"), F.col("body"))
-    other = F.when(kind == "ip", ip).when(in_hex, hexed).when(kind == "card", card).otherwise(F.col("body"))
-    out = F.when(kind == "name", F.when(form == "surname", by_script(family)).otherwise(by_script(given))).when(kind == "email", mail).otherwise(F.concat(other, F.translate(longer(22, 2), "abcdef", "012345")))
+    other = F.when(kind == "ip", ip).when(kind == "ip6", ip6).when(in_hex, hexed).when(kind == "card", card).otherwise(F.col("body"))
+    out = F.when(kind == "name", F.when(form == "surname", by_script(family)).otherwise(by_script(given))).when(kind == "email", mail).otherwise(F.concat(other, F.when(kind == "ip6", "").otherwise(F.translate(longer(22, 2), "abcdef", "012345"))))
     return drawn.withColumn("surrogate", out).drop("stream", "end", "body")
 
 
@@ -233,13 +238,14 @@ def _in_case_of(value: Column, surrogate: Column, kind: Column) -> Column:
     name = F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(surrogate)).otherwise(F.concat(first, surrogate.substr(F.lit(2), F.length(surrogate))))
     letters = F.zip_with(F.split(value, ""), F.split(surrogate, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(F.coalesce(b, F.lit(""))))
     mail = F.when(F.lower(value) == value, surrogate).otherwise(F.array_join(letters, ""))
-    return F.when(kind == "name", name).when(kind == "email", mail).otherwise(surrogate)
+    address = F.when(F.upper(value) == value, F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind == "name", name).when(kind == "email", mail).when(kind == "ip6", address).otherwise(surrogate)
 
 
 def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with private data in ``text`` replaced, and n_private, the number of entities found (long).
 
-    E-mail addresses, phone numbers, IP addresses, card, social-security and bank account numbers, access keys, long hex
+    E-mail addresses, phone numbers, IP addresses of both versions, card, social-security and bank account numbers, access keys, long hex
     secrets, values assigned to a password, token or key, and the names after an honorific are found, and such names again
     wherever they stand in their text as words in capitals or with a capital. Equal values get equal surrogates in all
     documents, different values of a kind different ones; names and mail addresses are equal whatever their case, which
@@ -267,7 +273,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     known = found.where(name).select("of", F.lower("value").alias("folded"), F.lit(True).alias("known")).distinct()
     again = found.where("kind = 'mention'").withColumn("folded", F.lower("value")).join(known, ["of", "folded"], "left")
     again = again.select("of", "pos", F.when(F.col("known"), "name").otherwise("same").alias("kind"), F.lit(None).cast("string").alias("form"), "value", "folded")
-    folded = F.when(name | (F.col("kind") == "email"), F.lower("value")).otherwise(F.col("value"))
+    folded = F.when(name | F.col("kind").isin("email", "ip6"), F.lower("value")).otherwise(F.col("value"))
     told = found.where("kind <> 'mention'").select("of", "pos", F.when(name, "name").otherwise(F.col("kind")).alias("kind"), F.when(name, F.col("kind")).alias("form"), "value", folded.alias("folded"))
     told = materialize(told.unionByName(again))
 

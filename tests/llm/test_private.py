@@ -129,3 +129,19 @@ def test_formats_that_were_passed_over(spark):
     table = spark.createDataFrame([(k, t) for k, t in enumerate(plain)], "doc_id long, text string")
     left = {r.doc_id: r.text for r in pii.replace_private(table, "key").collect()}
     assert {k: left[k] for k in (0, 3, 4, 5)} == {k: plain[k] for k in (0, 3, 4, 5)}
+
+
+def test_addresses_of_version_six_and_spaced_numbers(spark):
+    """An address is one in either case, keeps its groups and its start; times, slices and words with colons stay."""
+    found = ["from 2001:db8:85a3::8a2e:370:7334 to", "FROM 2001:DB8:85A3::8A2E:370:7334.", "at fe80::1ff:fe23:4567:890a", "2001:0db8:0000:0042:0000:8a2e:0370:7334", "ssn 123 45 6789."]
+    got = _replaced(spark, found)
+    a, b = got[0].split(" ")[1], got[1].split(" ")[1].rstrip(".")
+    assert a == b.lower() and b == b.upper() and a != found[0].split(" ")[1] and [len(x) for x in a.split(":")] == [4, 3, 4, 0, 4, 3, 4] and a.startswith("20")
+    assert re.fullmatch(r"at fe[0-9a-f]{2}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}", got[2]) and got[2] != found[2]
+    assert re.fullmatch(r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", got[3]) and got[3] != found[3]
+    assert re.fullmatch(r"ssn [0-9]{3} [0-9]{2} [0-9]{4}\.", got[4]) and got[4] != found[4]
+    plain = ["at 12:30:45", "x[1::2]", "std::cout", "dead::beef", "2024:01:02", "face: it", "1 123 45 6789", "123 45 6789 1", "a 2001:db8", "64:32"]
+    assert _replaced(spark, plain) == plain
+    draws = spark.createDataFrame([("ip6", "ip6", "2001:db8::1", k) for k in (0, 23, 24, 150)], "kind string, form string, value string, attempt int")
+    drawn = {r.attempt: r.surrogate for r in pii.with_surrogates(draws, "k").collect()}
+    assert all(re.fullmatch(r"20[0-9a-f]{2}:[0-9a-f]{3}::[0-9a-f]", drawn[k]) for k in (0, 23)) and all(re.fullmatch(r"20[0-9a-f]{2}(?::[0-9a-f]{4}){7}", drawn[k]) for k in (24, 150)) and drawn[24] != drawn[150]
