@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import phones, sounds
+from ..functions import methods, phones, sounds
 from ..functions.text import sort_key, tie_key
 from ..operators import by_example, dependencies, diagnosis, schemas
 from ..sources import readers, writers
@@ -275,3 +275,47 @@ def _(t):
 def _(t):
     c = t("customer").selectExpr("c_custkey AS row", "cast(c_custkey AS string) AS c_custkey", "if(c_custkey % 500 = 7, concat('K', c_custkey - 1), concat('K', c_custkey)) AS code", "c_mktsegment", "cast(c_acctbal AS string) AS c_acctbal")
     return dependencies.near_keys(c, ["c_custkey", "code", "c_mktsegment"], "row")
+
+
+# methods of texts, numbers and dates
+
+
+@_query("M1_text_methods", """
+    SELECT p_partkey, p_name[-4:] AS tail, substr(p_name, 3, 4) AS middle, CASE WHEN length(p_name) > 12 THEN substr(p_name, 13, 1) END AS thirteenth, strpos(p_name, 'a') - 1 AS first_a,
+           CASE WHEN contains(p_name, 'a') THEN length(p_name) - strpos(reverse(p_name), 'a') ELSE -1 END AS last_a, CASE WHEN lower(p_type) < lower(p_name) THEN -1 WHEN lower(p_type) > lower(p_name) THEN 1 ELSE 0 END AS compared,
+           starts_with(p_name[6:], 'a') AS starts, len(string_split(p_name, ' ')) AS words, string_split(p_name, ' ')[-1] AS last_word, rpad(p_brand, 12, '.') AS padded, list_contains(string_split(p_type, ' '), 'STANDARD') AS standard
+    FROM part""")
+def _(t):
+    p = t("part")
+    words = methods.split_list("p_name", " ")
+    return p.select("p_partkey", methods.slice_text("p_name", -4).alias("tail"), methods.substring("p_name", 6, 2).alias("middle"), methods.at("p_name", 12).alias("thirteenth"), methods.index_of("p_name", "a").alias("first_a"), methods.last_index_of("p_name", "a").alias("last_a"), methods.compare("p_type", "p_name").alias("compared"), methods.starts_with("p_name", "a", 5).alias("starts"), F.size(words).alias("words"), methods.list_at(words, -1).alias("last_word"), methods.pad_end("p_brand", 12, ".").alias("padded"), (methods.list_index_of(methods.split_list("p_type", " "), "STANDARD") >= 0).alias("standard"))
+
+
+@_query("M2_patterns", """
+    SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '([aeiou])([a-z])', '\\2[\\1]', 'g')) AS swapped, md5(regexp_replace(coalesce(text, ''), '([A-Za-z]+) ([a-z]+)', '\\2 \\1')) AS first_swapped,
+           CASE WHEN regexp_matches(text, '[0-9]+') THEN length(regexp_extract(text, '^[^0-9]*')) ELSE -1 END AS digits_at, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) AS capitals
+    FROM documents""")
+def _(t):
+    return t("documents").select("doc_id", F.md5(methods.replace_pattern("text", "([aeiou])([a-z])", "$2[$1]")).alias("swapped"), F.md5(methods.replace_first("text", "([A-Za-z]+) ([a-z]+)", "$2 $1")).alias("first_swapped"), methods.search("text", "[0-9]+").alias("digits_at"), F.size(methods.match_all("text", "[A-Z][a-z]+")).alias("capitals"))
+
+
+@_query("M3_math", """
+    SELECT l_orderkey, l_linenumber, abs(x) AS absolute, ceil(x) AS up, floor(x) AS down, floor(x + 0.5) AS nearest, trunc(x) AS cut, sign(x)::DOUBLE AS sign, round(cbrt(x), 9) AS cube_root, CASE WHEN x >= 0 THEN round(sqrt(x), 9) END AS root,
+           round(pow(l_quantity, 1.5), 6) AS power, round(ln(l_quantity), 9) AS log, round(log10(l_quantity), 9) AS log10, round(log2(l_quantity), 9) AS log2, round(exp(l_quantity / 10), 6) AS exp, least(x, l_quantity) AS least, greatest(x, l_quantity) AS most,
+           printf('%d', l_orderkey) AS whole, lower(to_hex(l_orderkey)) AS hex
+    FROM (SELECT *, (25 - l_quantity) * 1.25 AS x FROM lineitem)""")
+def _(t):
+    of = methods.math
+    q = F.col("l_quantity").cast("double")
+    rows = t("lineitem").withColumn("x", (25 - q) * 1.25)
+    return rows.select("l_orderkey", "l_linenumber", of("abs", "x").alias("absolute"), of("ceil", "x").alias("up"), of("floor", "x").alias("down"), of("round", "x").alias("nearest"), of("trunc", "x").alias("cut"), of("sign", "x").alias("sign"), F.round(of("cbrt", "x"), 9).alias("cube_root"), F.round(of("sqrt", "x"), 9).alias("root"), F.round(of("pow", q, F.lit(1.5)), 6).alias("power"), F.round(of("log", q), 9).alias("log"), F.round(of("log10", q), 9).alias("log10"), F.round(of("log2", q), 9).alias("log2"), F.round(of("exp", q / 10), 6).alias("exp"), of("min", "x", q).alias("least"), of("max", "x", q).alias("most"), methods.to_fixed("l_orderkey").alias("whole"), methods.to_radix("l_orderkey", 16).alias("hex"))
+
+
+@_query("M4_date_methods", """
+    SELECT event_id, year(ts) AS year, month(ts) - 1 AS month, day(ts) AS date, dayofweek(ts) AS day, hour(ts) AS hours, minute(ts) AS minutes, second(ts) AS seconds, epoch_us(ts) // 1000 AS time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso
+    FROM events""")
+def _(t):
+    """Times without a zone are taken as universal ones, so that the result does not depend on the session's zone."""
+    ts = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))
+    part = lambda p: methods.get(ts, p, utc=True)
+    return t("events").select("event_id", part("FullYear").alias("year"), part("Month").alias("month"), part("Date").alias("date"), part("Day").alias("day"), part("Hours").alias("hours"), part("Minutes").alias("minutes"), part("Seconds").alias("seconds"), methods.get_time(ts).alias("time"), methods.to_iso(ts).alias("iso"))
