@@ -281,9 +281,9 @@ def _(t):
 
 
 @_query("M1_text_methods", """
-    SELECT p_partkey, p_name[-4:] AS tail, substr(p_name, 3, 4) AS middle, CASE WHEN length(p_name) > 12 THEN substr(p_name, 13, 1) END AS thirteenth, strpos(p_name, 'a') - 1 AS first_a,
-           CASE WHEN contains(p_name, 'a') THEN length(p_name) - strpos(reverse(p_name), 'a') ELSE -1 END AS last_a, CASE WHEN lower(p_type) < lower(p_name) THEN -1 WHEN lower(p_type) > lower(p_name) THEN 1 ELSE 0 END AS compared,
-           starts_with(p_name[6:], 'a') AS starts, len(string_split(p_name, ' ')) AS words, string_split(p_name, ' ')[-1] AS last_word, rpad(p_brand, 12, '.') AS padded, list_contains(string_split(p_type, ' '), 'STANDARD') AS standard
+    SELECT p_partkey, p_name[-4:] AS tail, substr(p_name, 3, 4) AS middle, CASE WHEN length(p_name) > 12 THEN substr(p_name, 13, 1) END AS thirteenth, (strpos(p_name, 'a') - 1)::INT AS first_a,
+           (CASE WHEN contains(p_name, 'a') THEN length(p_name) - strpos(reverse(p_name), 'a') ELSE -1 END)::INT AS last_a, CASE WHEN lower(p_type) < lower(p_name) THEN -1 WHEN lower(p_type) > lower(p_name) THEN 1 ELSE 0 END AS compared,
+           starts_with(p_name[6:], 'a') AS starts, len(string_split(p_name, ' '))::INT AS words, string_split(p_name, ' ')[-1] AS last_word, rpad(p_brand, 12, '.') AS padded, list_contains(string_split(p_type, ' '), 'STANDARD') AS standard
     FROM part""")
 def _(t):
     p = t("part")
@@ -293,7 +293,7 @@ def _(t):
 
 @_query("M2_patterns", """
     SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '([aeiou])([a-z])', '\\2[\\1]', 'g')) AS swapped, md5(regexp_replace(coalesce(text, ''), '([A-Za-z]+) ([a-z]+)', '\\2 \\1')) AS first_swapped,
-           CASE WHEN regexp_matches(text, '[0-9]+') THEN length(regexp_extract(text, '^[^0-9]*')) ELSE -1 END AS digits_at, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) AS capitals
+           (CASE WHEN regexp_matches(text, '[0-9]+') THEN length(regexp_extract(text, '^[^0-9]*')) ELSE -1 END)::INT AS digits_at, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'))::INT AS capitals
     FROM documents""")
 def _(t):
     return t("documents").select("doc_id", F.md5(methods.replace_pattern("text", "([aeiou])([a-z])", "$2[$1]")).alias("swapped"), F.md5(methods.replace_first("text", "([A-Za-z]+) ([a-z]+)", "$2 $1")).alias("first_swapped"), methods.search("text", "[0-9]+").alias("digits_at"), F.size(methods.match_all("text", "[A-Z][a-z]+")).alias("capitals"))
@@ -312,7 +312,7 @@ def _(t):
 
 
 @_query("M4_date_methods", """
-    SELECT event_id, year(ts) AS year, month(ts) - 1 AS month, day(ts) AS date, dayofweek(ts) AS day, hour(ts) AS hours, minute(ts) AS minutes, second(ts) AS seconds, epoch_us(ts) // 1000 AS time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso
+    SELECT event_id, year(ts)::INT AS year, (month(ts) - 1)::INT AS month, day(ts)::INT AS date, dayofweek(ts)::INT AS day, hour(ts)::INT AS hours, minute(ts)::INT AS minutes, second(ts)::INT AS seconds, epoch_us(ts) // 1000 AS time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso
     FROM events""")
 def _(t):
     """Times without a zone are taken as universal ones, so that the result does not depend on the session's zone."""
