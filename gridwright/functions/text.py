@@ -278,6 +278,11 @@ def repaired_text(s: str) -> str:
     return s
 
 
+def day_text(d: Column) -> Column:
+    """A date as ISO text; years of five digits and more have no sign, unlike in Spark's own cast."""
+    return F.ltrim(d.cast("string"), F.lit("+"))
+
+
 def half_up(c: Column, decimals: int = 0) -> Column:
     """Rounding with halves towards plus infinity."""
     return F.floor(c * 10.0**decimals + F.lit(0.5)) / 10.0**decimals

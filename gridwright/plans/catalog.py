@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formula as fx
-from ..functions.text import cell_text, date_key, fold, match_key, number, slug, sort_key
+from ..functions.text import cell_text, date_key, day_text, fold, match_key, number, slug, sort_key
 from ..operators import duplicates, edits, filters, grouping, guesses, joining, matching, quality
 from ..sources import readers, writers
 from .durable import number_rows, tables_dir
@@ -587,7 +587,7 @@ def _(t):
 @_query("T13_series", "SELECT c_custkey, cast(cast(DATE '2024-01-31' + to_months(cast(c_custkey AS INT)) AS DATE) AS VARCHAR) AS month_end, cast(DATE '2024-01-31' + cast(7 * c_custkey AS INT) AS VARCHAR) AS weekly, 1.5 + c_custkey * 0.25 AS number FROM customer")
 def _(t):
     c = t("customer").select("c_custkey", (F.col("c_custkey") + 1).alias("row"))
-    return c.select("c_custkey", edits.date_series("row", "2024-01-31", 1, "month").cast("string").alias("month_end"), edits.date_series("row", "2024-01-31", 7).cast("string").alias("weekly"), edits.number_series("row", 1.5, 0.25, 2).alias("number"))
+    return c.select("c_custkey", day_text(edits.date_series("row", "2024-01-31", 1, "month")).alias("month_end"), day_text(edits.date_series("row", "2024-01-31", 7)).alias("weekly"), edits.number_series("row", 1.5, 0.25, 2).alias("number"))
 
 
 @_query("D1_cleanings", """
