@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formula import capitalize, collapse
-from ..functions.text import _MARKED, _PLAIN, filled, repaired, text, trimmed
+from ..functions.text import _MARKED, _PLAIN, day_text, filled, repaired, text, trimmed
 from ..plans.durable import keep
 
 #: Words without meaning, as ready lists. Fixed values.
@@ -302,9 +302,9 @@ def series(row: str, seeds: Sequence[str]) -> Column:
         ends = all((x + timedelta(days=1)).day == 1 for x in days)
         if months and len(set(months)) == 1 and months[0] and (ends or len({x.day for x in days}) == 1):
             moved = F.add_months(F.lit(days[0].isoformat()).cast("date"), (at * months[0]).cast("int"))
-            return (F.last_day(moved) if ends else moved).cast("string")
+            return day_text(F.last_day(moved) if ends else moved)
         step = round((days[-1] - days[0]).days / (n - 1)) if n > 1 else 1
-        return F.date_add(F.lit(days[0].isoformat()).cast("date"), (at * step).cast("int")).cast("string")
+        return day_text(F.date_add(F.lit(days[0].isoformat()).cast("date"), (at * step).cast("int")))
     for names in NAME_CYCLES:
         if all(s.lower() in names for s in seeds):
             places = [names.index(s.lower()) for s in seeds]
@@ -349,7 +349,7 @@ def hidden(c: str, mode: str, key: str = "", spread: float = 0.1, days: int = 30
         "digits": lambda: F.array_join(F.transform(F.split(s, ""), one_digit), ""),
         "scramble": lambda: F.array_join(F.transform(F.split(s, ""), one_sign), ""),
         "noise": lambda: F.coalesce(F.round(s.try_cast("double") * (1 + F.lit(spread) * (2 * part - 1)), 2).cast("string"), F.lit("")),
-        "shift": lambda: F.coalesce(F.date_add(s.try_cast("date"), F.floor(part * (2 * days + 0.999)).cast("int") - days).cast("string"), F.lit("")),
+        "shift": lambda: F.coalesce(day_text(F.date_add(s.try_cast("date"), F.floor(part * (2 * days + 0.999)).cast("int") - days)), F.lit("")),
         "year": lambda: F.coalesce(F.year(s.try_cast("date")).cast("string"), F.lit("")),
         "domain": lambda: F.when(s.contains("@"), F.concat(F.substring(drawn, 1, 10), F.lit("@"), F.substring_index(s, "@", -1))).otherwise(""),
         "code": lambda: F.substring(drawn, 1, 12),

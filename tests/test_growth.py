@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from pyspark.sql import functions as F
 
+from gridwright.operators import edits
 from gridwright.plans.catalog import ORACLE_SQL, QUERIES
 
 from oracle import connect, rows
@@ -32,3 +33,14 @@ def test_date_series_beyond_year_9999(spark, tmp_path):
     got = QUERIES["T13_series"](spark, sf_dir).toPandas()
     assert rows(got) == rows(connect(sf_dir).sql(ORACLE_SQL["T13_series"]).df())
     assert got["month_end"].str.fullmatch(r"\d{5}-\d\d-\d\d").all()
+
+
+def test_series_from_seeds_beyond_year_9999(spark, tmp_path):
+    sf_dir = copied(spark, tmp_path, "customer", "c_custkey", 899_000)
+    got = QUERIES["T13_series_from_seeds"](spark, sf_dir).toPandas()
+    assert rows(got) == rows(connect(sf_dir).sql(ORACLE_SQL["T13_series_from_seeds"]).df())
+    far = spark.createDataFrame([(3_000_000,)], "row long").select(edits.series("row", ["2024-01-31"]).alias("a"), edits.series("row", ["2024-01-05", "2024-02-05"]).alias("b")).first()
+    want = connect(SF).sql("SELECT (DATE '2024-01-31' + 2999999)::VARCHAR, (DATE '2024-01-05' + to_months(2999999))::DATE::VARCHAR").fetchall()[0]
+    assert tuple(far) == want == ("10237-10-20", "252023-12-05")
+    shifted = spark.range(40).select(F.lit("9999-12-31").alias("d"), "id").select(*[edits.hidden("d", "shift", f"k{k}").alias(f"s{k}") for k in range(8)]).first()
+    assert any(len(x) == 11 for x in shifted) and not any(x.startswith("+") for x in shifted)
