@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from pyspark.sql import functions as F
 
+from gridwright.functions.text import repaired, repaired_text
 from gridwright.operators import edits
 from gridwright.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -44,3 +45,12 @@ def test_series_from_seeds_beyond_year_9999(spark, tmp_path):
     assert tuple(far) == want == ("10237-10-20", "252023-12-05")
     shifted = spark.range(40).select(F.lit("9999-12-31").alias("d"), "id").select(*[edits.hidden("d", "shift", f"k{k}").alias(f"s{k}") for k in range(8)]).first()
     assert any(len(x) == 11 for x in shifted) and not any(x.startswith("+") for x in shifted)
+
+
+def test_repair_of_long_runs_reads_its_text_once(spark):
+    texts = ["Ã©" * 20_000, "Ð¶" * 20_001 + "\n" + "Ã\n©", "x\n\nâ€™\n" * 3_000, "", "\n", "Ãƒ©" * 5_000 + "É"]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    mended = table.select("k", repaired("s").alias("r"))
+    assert [r.r for r in mended.orderBy("k").collect()] == [repaired_text(s) for s in texts]
+    wide = spark.range(1).select(repaired(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("r"))
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("id#") <= 4  # the whole expression, not one for each use of each pass
