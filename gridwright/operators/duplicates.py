@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled, match_key, text
 from ..plans import graph
-from ..plans.durable import keep, number_rows
+from ..plans.durable import keep, number_rows, shuffled
 
 
 def whole_rows(df: DataFrame, columns: Sequence[str], rid: str, how: str = "exact") -> DataFrame:
@@ -18,7 +18,7 @@ def whole_rows(df: DataFrame, columns: Sequence[str], rid: str, how: str = "exac
     blank = ~F.greatest(*[filled(c) for c in columns]) if len(columns) > 1 else ~filled(columns[0])
     hashed = df.where(~blank).select(F.col(rid), F.sha2(F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])), 256).alias("_key"))
     groups = keep(hashed.groupBy("_key").agg(F.min(rid).alias("group_id"), F.count("*").alias("n")).where("n > 1"))
-    return hashed.join(groups, "_key").select(rid, "group_id", "n")
+    return hashed.join(shuffled(groups), "_key").select(rid, "group_id", "n")
 
 
 def by_keys(df: DataFrame, keys: Sequence[Sequence[str]], rid: str, how: str = "slug") -> DataFrame:
@@ -34,7 +34,7 @@ def by_keys(df: DataFrame, keys: Sequence[Sequence[str]], rid: str, how: str = "
         name = F.sha2(F.to_json(F.struct(*[match_key(c, how).alias(f"k{i}") for i, c in enumerate(fields)])), 256)
         rows = df.where(full).select(F.col(rid).alias("id"), name.alias("_key"))
         first = keep(rows.groupBy("_key").agg(F.min("id").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        own = rows.join(first, "_key").select("id", "root").where("id <> root")
+        own = rows.join(shuffled(first), "_key").select("id", "root").where("id <> root")
         edges = own if edges is None else edges.union(own)
     return components(edges).select(F.col("id").alias(rid), F.col("label").alias("group_id"))
 
@@ -47,12 +47,12 @@ def components(edges: DataFrame) -> DataFrame:
 def to_delete(groups: DataFrame, rid: str, keep_last: bool = False) -> DataFrame:
     """The rows of each group but its first, or last."""
     kept = keep(groups.groupBy("group_id").agg((F.max if keep_last else F.min)(rid).alias("_kept")))
-    return groups.join(kept, "group_id").where(F.col(rid) != F.col("_kept")).select(rid, "group_id")
+    return groups.join(shuffled(kept), "group_id").where(F.col(rid) != F.col("_kept")).select(rid, "group_id")
 
 
 def merged(df: DataFrame, groups: DataFrame, columns: Sequence[str], rid: str) -> DataFrame:
     """One row for each group: of each column the first filled cell, and which columns differ."""
-    rows = df.join(groups.select(rid, "group_id"), rid)
+    rows = df.join(shuffled(groups.select(rid, "group_id")), rid)
     first = [F.coalesce(F.min_by(text(c), F.when(filled(c), F.col(rid))), F.lit("")).alias(c) for c in columns]
     differ = F.concat_ws(", ", *[F.when(F.count_distinct(F.when(filled(c), text(c))) > 1, F.lit(c)) for c in columns]).alias("differing")
     return rows.groupBy("group_id").agg(*first, differ)
@@ -60,7 +60,7 @@ def merged(df: DataFrame, groups: DataFrame, columns: Sequence[str], rid: str) -
 
 def groups_together(df: DataFrame, groups: DataFrame, order: Sequence, rid: str, name: str = "place") -> DataFrame:
     """``df`` with the place of each row: in ``order``, but a group's rows follow its first row in that order."""
-    placed = keep(number_rows(df.join(groups.select(rid, "group_id"), rid, "left"), [*order, F.col(rid)], "_own"))
+    placed = keep(number_rows(df.join(shuffled(groups.select(rid, "group_id")), rid, "left"), [*order, F.col(rid)], "_own"))
     first = keep(placed.where("group_id is not null").groupBy("group_id").agg(F.min("_own").alias("_first")))
-    together = placed.join(first, "group_id", "left")
+    together = placed.join(shuffled(first), "group_id", "left")
     return number_rows(together, [F.coalesce("_first", "_own"), F.col("_own")], name).select(*df.columns, name)

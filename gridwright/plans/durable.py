@@ -38,6 +38,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that stays a shuffle of both sides (sorted and merged), whatever its size.
+
+    A table that grows with the input is not to be broadcast, as that takes it through the driver: Spark, left alone, does so by the size of
+    files, in which sorted ids or repeated names take a twentieth of the memory that they need.
+    """
+    return df.hint("merge")
+
+
 def remove_kept(spark: SparkSession) -> None:
     """Delete the tables that this application keeps, not those of others: call it when the results that read them are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .durable import keep
+from .durable import keep, shuffled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = keep(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
-        return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        return both.join(shuffled(low), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low = keep(down.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
-        return down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
+        return down.join(shuffled(low), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
 
     plain = lambda e: e.where("src <> dst").distinct()
     e, seen = watched(plain(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))))

@@ -10,7 +10,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 from pyspark.sql import functions as F
 
 from gridwright.functions.text import repaired, repaired_text
-from gridwright.operators import edits
+from gridwright.operators import duplicates, edits, matching
+from gridwright.plans import graph
 from gridwright.plans.catalog import ORACLE_SQL, QUERIES
 
 from oracle import connect, rows
@@ -54,3 +55,14 @@ def test_repair_of_long_runs_reads_its_text_once(spark):
     assert [r.r for r in mended.orderBy("k").collect()] == [repaired_text(s) for s in texts]
     wide = spark.range(1).select(repaired(F.concat(F.lit("é"), F.col("id").cast("string"))).alias("r"))
     assert wide._jdf.queryExecution().optimizedPlan().toString().count("id#") <= 4  # the whole expression, not one for each use of each pass
+
+
+def test_name_flags_broadcast_no_table(spark, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (matching, duplicates, graph):
+        monkeypatch.setattr(module, "keep", lambda df, keep=module.keep: plans.append(plan(df)) or keep(df))
+    got = QUERIES["D8_name_flags"](spark, SF)
+    plans.append(plan(got))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert rows(got.toPandas()) == rows(connect(SF).sql(ORACLE_SQL["D8_name_flags"]).df())
