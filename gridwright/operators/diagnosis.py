@@ -225,7 +225,7 @@ def diagnose(spark: SparkSession, path: str, titles: Sequence[str], delimiter: s
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True
-        for b in batches:
+        for b in encodings.portions(batches):
             out = []
             for now in zip(*(b.column(c).to_pylist() for c in ("file", "block", "at", "raw")), strict=True):
                 if held is not None:
@@ -241,7 +241,7 @@ def diagnose(spark: SparkSession, path: str, titles: Sequence[str], delimiter: s
     found = keep(ordered.mapInArrow(stream, _DDL))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in encodings.portions(batches):
             rows = zip(*(b.column(c).to_pylist() for c in ("file", "block", "at", "raw", "following")), strict=True)
             yield pa.RecordBatch.from_pylist([row(*r, "") for r in rows], _SCHEMA)
 

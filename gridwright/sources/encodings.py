@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import codecs
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 #: Encodings that are read and written, with the codec that does it. ISO-8859-1 is read as windows-1252, of which it is a part. Fixed values.
 CODECS = {
     "UTF-8": "utf-8", "windows-1252": "cp1252", "ISO-8859-1": "cp1252", "ISO-8859-15": "iso8859_15", "Macintosh": "mac_roman",
@@ -49,6 +52,18 @@ def encoding(name: str) -> Encoding:
     return Encoding(found[plain(name)], CODECS[found[plain(name)]])
 
 
+#: Bytes of rows that a worker takes out of Arrow, or gathers for it, at once: as Python objects they take several times that.
+PORTION = 1 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces of about :data:`PORTION` bytes, one row at least: batches are cut by rows, however long these are."""
+    for b in batches:
+        step = max(1, b.num_rows * PORTION // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 #: Letters that texts have most of, by script, and for Latin by code page: what tells pages with the same letters in other places apart.
 #: Then the first bytes of the common characters of each encoding of two bytes. Fixed values.
 COMMON = {"CYRILLIC": "оеаинтсрвлкмдпуяыьг", "GREEK": "αοιετσνηυρπκμλςίόά", "HEBREW": "יוהלאםרבתנש", "ARABIC": "اليمونرتبةعدسفهكحق", "THAI": "านรกเงมยลวดทส่้ตะปบคหแพจชขใไ"}

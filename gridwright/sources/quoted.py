@@ -83,7 +83,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], enc: encodings.Encoding, lazy: b
     What is cut at the bytes of a line break that lie across two characters of a wide encoding is put together again.
     """
     now, before, first = None, b"", True
-    for b in batches:
+    for b in encodings.portions(batches):
         files, blocks, raws = (b.column(c) for c in ("file", "block", "raw"))
         inside = b.column("inside").to_pylist() if "inside" in b.schema.names else [False] * b.num_rows
         for file, block, raw, within in zip(files.to_pylist(), blocks.to_pylist(), raws.to_pylist(), inside, strict=True):
@@ -148,7 +148,7 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     lines = _lines(spark, path, enc).join(F.broadcast(starts), ["file", "block"], "left").select("file", "block", "raw", F.coalesce("inside", F.lit(False)).alias("inside"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, inside, part, at = None, [], False, WHOLE, 0
+        now, held, inside, part, at, size = None, [], False, WHOLE, 0, 0
         out: list[tuple] = []
 
         def end_block() -> None:
@@ -171,10 +171,12 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
                 inside = ends_inside(line, inside, delimiter)
             if not inside:
                 text = "\n".join(held)
+                size += len(text)
                 out.append((*now, part, at, *(cut(text, delimiter) if part == WHOLE else (None, 0)), text if part != WHOLE or keep_raw else None))
                 held, part, at = [], WHOLE, at + 1
-            if len(out) >= 2000:
+            if len(out) >= 2000 or size >= encodings.PORTION:
                 yield written()
+                size = 0
         end_block()
         yield written()
 
@@ -188,7 +190,7 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     text = F.array_join(F.transform("parts", lambda p: p["raw"]), "\n")
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in encodings.portions(batches):
             done = [cut(t, delimiter) for t in b.column("text").to_pylist()]
             cut_batch = pa.record_batch([b.column("file"), b.column("block"), b.column("at"), pa.array([c for c, _ in done], pa.list_(pa.string())), pa.array([w for _, w in done], pa.int32())], names=["file", "block", "at", "cells", "wrong_quotes"])
             if keep_raw:
@@ -215,11 +217,13 @@ def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[str] = []
+        size = 0
         for _, line, _ in _decoded(batches, enc, False):
             out.append(line.removesuffix("\r"))
-            if len(out) >= 5000:
+            size += len(line)
+            if len(out) >= 5000 or size >= encodings.PORTION:
                 yield pa.record_batch([pa.array(out, pa.string())], names=["line"])
-                out = []
+                out, size = [], 0
         yield pa.record_batch([pa.array(out, pa.string())], names=["line"])
 
     return _lines(spark, path, enc).mapInArrow(run, "line string")

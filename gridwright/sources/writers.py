@@ -27,7 +27,7 @@ def write_encoded(df: DataFrame, path: str, encoding: str, delimiter: str = ",",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = header
-        for b in batches:
+        for b in encodings.portions(batches):
             made = [line.encode(enc.codec) for line in b.column(0).to_pylist()]
             if first and made:
                 made.insert(0, delimiter.join(titles).encode(enc.codec))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import sys
+import tracemalloc
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridwright.functions.text import repaired, repaired_text
 from gridwright.operators import duplicates, edits, matching
 from gridwright.plans import graph
 from gridwright.plans.catalog import ORACLE_SQL, QUERIES
+from gridwright.sources import encodings, quoted, readers, writers
 
 from oracle import connect, rows
 
@@ -66,3 +69,19 @@ def test_name_flags_broadcast_no_table(spark, monkeypatch):
     plans.append(plan(got))
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
     assert rows(got.toPandas()) == rows(connect(SF).sql(ORACLE_SQL["D8_name_flags"]).df())
+
+
+def test_long_lines_leave_arrow_in_portions(spark, tmp_path):
+    lines = pa.record_batch({"file": ["f"] * 4000, "block": [0] * 4000, "raw": [b"x" * 10_000] * 4000})
+    tracemalloc.start()
+    n = sum(len(line) for _, line, _ in quoted._decoded(iter([lines]), encodings.encoding("GB18030"), False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_000_000 and peak < 8_000_000
+    table = spark.range(300).select(F.col("id").cast("string").alias("k"), F.concat(F.lit('é "a"\r\n;\n'), F.repeat(F.lit("bç "), 7000), "id").alias("t")).coalesce(1)
+    for name in ("UTF-16LE", "GB18030", "UTF-8"):
+        path = str(tmp_path / name)
+        writers.write_encoded(table, path, name)
+        back = readers.read_quoted(spark, path, ",", True, name)
+        assert back.exceptAll(table).isEmpty() and back.count() == 300
+        assert readers.read_lines(spark, path, name).agg(F.sum(F.length("line"))).first()[0] > 300 * 21_000
