@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES, INDEX_BYTES = 14 << 20, 2 << 20
 #: Unicode white space, which separates words; str.split() also splits at U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-#: The vocabulary's pre-tokenizer: contractions, letters, single digits, other signs. A fixed value of the format.
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The vocabulary's pre-tokenizer: contractions, letters, single digits, other signs. A fixed value of the format. Line feeds end words.
+_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+|\n")
 _BLANKS = regex.compile(rf"[{_SPACE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
 
@@ -31,6 +32,27 @@ def _printable() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+def _values(offsets: np.ndarray, data) -> pa.LargeBinaryArray:
+    """Byte strings that end and begin at ``offsets`` in ``data``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+
+
+def _bytes(values: pa.Array) -> np.ndarray:
+    """The bytes of all values, one after the other."""
+    ends = _offsets(values)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once; at least one is there."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 class Vocabulary:
     """A BPE vocabulary file of words with an end mark, as arrays."""
 
@@ -51,6 +73,10 @@ class Vocabulary:
         keys = self.left << 20 | self.right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        self.marked = pa.array(list(self.special), pa.large_string())
+        self.marked_ids = _values(np.arange(len(self.special) + 1) * 4, np.array(list(self.special.values()), "<u4"))
+        shown = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.shown = pa.array([*shown, *(" " + t for t in shown)], pa.large_string())
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def ranks(self, keys: np.ndarray) -> np.ndarray:
@@ -58,36 +84,30 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word (not empty), all words at once.
+    def encode_words(self, raw: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words (not empty) whose bytes are ``raw`` and that end at ``stop``, one after the other, and how many each has.
 
         The index maps a rank to the positions of its pair. The lowest active rank is applied at all its positions
         (leftmost first where they overlap), and the pairs that this makes are entered at theirs.
         """
-        if not words:
-            return []
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        size = np.array([len(w) for w in words])
-        stop = np.cumsum(size)
-        first = stop - size
+        first = np.r_[0, stop[:-1]]
         symbol = self.inner[raw]
         symbol[stop - 1] = self.last[raw[stop - 1]]
         n = len(raw)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[stop - 1] = -1
         before[first] = -1
-        alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
         def enter(at: np.ndarray) -> None:
             rank = self.ranks(symbol[at] << 20 | symbol[after[at]])
             known = rank >= 0
-            at, rank = at[known], rank[known]
+            at = at[known]
             if not len(at):
                 return
-            by = np.argsort(rank, kind="stable")
-            at, rank = at[by], rank[by]
+            both = _distinct(rank[known] << 40 | at)
+            at, rank = both & (1 << 40) - 1, both >> 40
             cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             for r, part in zip(rank[np.r_[0, cut]].tolist(), np.split(at, cut), strict=True):
                 if r in index:
@@ -100,9 +120,9 @@ class Vocabulary:
         while active:
             r = heapq.heappop(active)
             found = index.pop(r)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = found[0] if len(found) == 1 else _distinct(np.concatenate(found))
             a, b, c = self.left[r], self.right[r], self.made[r]
-            at = at[alive[at] & (symbol[at] == a)]
+            at = at[symbol[at] == a]
             at = at[after[at] >= 0]
             at = at[symbol[after[at]] == b]
             if not len(at):
@@ -113,16 +133,15 @@ class Vocabulary:
                 at = at[(np.arange(len(at)) - start) % 2 == 0]
             gone = after[at]
             symbol[at] = c
-            alive[gone] = False
+            symbol[gone] = -1
             then = after[gone]
             after[at] = then
             more = then >= 0
             before[then[more]] = at[more]
             left = before[at]
-            enter(np.unique(np.concatenate([left[left >= 0], at[more]])))
-        ids = symbol[alive]
-        counts = np.add.reduceat(alive.astype(np.int64), first)
-        return np.split(ids, np.cumsum(counts)[:-1])
+            enter(np.concatenate([left[left >= 0], at[more]]))
+        left = symbol >= 0
+        return symbol[left], np.add.reduceat(left.astype(np.int64), first)
 
 
 @lru_cache(maxsize=2)
@@ -142,38 +161,62 @@ def _parts(text: str, v: Vocabulary) -> list[str]:
     return [w for w in _BLANKS.split(text) if w] if _ODD.search(text) else text.split()
 
 
-def normalise(word: str) -> str:
+def normalise(text: str) -> str:
     """NFC, then each character in lower case by itself (a sigma at the end stays a plain one)."""
-    return unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _encode_pieces(pieces: pa.Array, v: Vocabulary) -> pa.Array:
+    """Ids, as little-endian 32-bit integers, of each of the distinct ``pieces``."""
+    raw, ends = _bytes(pieces), _offsets(pieces) - _offsets(pieces)[0]
+    ids, counts, k = [], [], 0
+    while k < len(pieces):
+        upto = max(k + 1, int(np.searchsorted(ends, ends[k] + INDEX_BYTES, "right")) - 1)
+        found, n = v.encode_words(raw[ends[k] : ends[upto]], ends[k + 1 : upto + 1] - ends[k])
+        ids.append(found.astype("<u4"))
+        counts.append(n)
+        k = upto
+    return _values(np.r_[0, np.cumsum(np.concatenate(counts))] * 4, np.concatenate(ids))
+
+
+def _encode_words(words: pa.Array, v: Vocabulary) -> pa.Array:
+    """Ids, as little-endian 32-bit integers, of each of the distinct ``words``, which hold no white space."""
+    lines = pc.binary_join_element_wise(words, *pa.array(["", "\n"], pa.large_string()))
+    found = pa.array(_PIECES.findall(normalise(str(_bytes(lines), "utf-8"))), pa.large_string()).dictionary_encode()
+    place = found.indices.to_numpy()
+    ends = np.flatnonzero(place == found.dictionary.index("\n").as_py())
+    ids = _encode_pieces(found.dictionary, v).take(pa.array(np.delete(place, ends)))
+    own = _values(_offsets(ids)[np.r_[0, ends - np.arange(len(ends))]], _bytes(ids))
+    return pc.coalesce(v.marked_ids.take(pc.index_in(words, v.marked)), own)
+
+
+def encode_array(texts: list[str | None], v: Vocabulary) -> pa.Array:
+    """Ids, as little-endian 32-bit integers, of each text; null counts as empty. Each distinct word is encoded once."""
+    words, counts = [pa.array([], pa.large_string())], [0]
+    for k in range(0, len(texts), 100):
+        split = [_parts(t or "", v) for t in texts[k : k + 100]]
+        counts += map(len, split)
+        words.append(pa.array([w for part in split for w in part], pa.large_string()))
+    said, ends = pa.concat_arrays(words).dictionary_encode(), np.cumsum(counts)
+    if not len(said):
+        return _values(ends, b"")
+    ids = _encode_words(said.dictionary, v).take(said.indices)
+    return _values(_offsets(ids)[ends], _bytes(ids))
+
+
+def decode_array(ids: pa.Array, v: Vocabulary) -> pa.Array:
+    """The tokens of each row of ``ids``, with blanks between."""
+    ends = (_offsets(ids) - _offsets(ids)[0]) // 4
+    token = _bytes(ids).view("<u4").astype(np.int64) + len(v.shown) // 2
+    token[ends[:-1][ends[1:] > ends[:-1]]] -= len(v.shown) // 2
+    shown = v.shown.take(pa.array(token))
+    return _values(_offsets(shown)[ends], _bytes(shown)).cast(pa.large_string())
 
 
 def encode_texts(texts: Iterable[str | None], v: Vocabulary) -> list[tuple[bytes, str]]:
     """(ids as little-endian 32-bit integers, decoded text) of each text; null counts as empty."""
-    split = [_parts(t or "", v) for t in texts]
-    pieces: dict[str, int] = {}
-    spelled: dict[str, list[int]] = {}
-    for words in split:
-        for w in words:
-            if w not in spelled and w not in v.special:
-                spelled[w] = [pieces.setdefault(p, len(pieces)) for p in _PIECES.findall(normalise(w))]
-    encoded: list[np.ndarray] = []
-    block, size = [], 0
-    for p in pieces:
-        raw_piece = p.encode()
-        if block and size + len(raw_piece) > INDEX_BYTES:
-            encoded += v.encode_words(block)
-            block, size = [], 0
-        block.append(raw_piece)
-        size += len(raw_piece)
-    encoded += v.encode_words(block)
-    tokens = v.tokens
-    raw = [x.astype("<u4").tobytes() for x in encoded]
-    shown = [" ".join([tokens[i] for i in x.tolist()]) for x in encoded]
-    ids = {w: raw[k[0]] if len(k) == 1 else b"".join([raw[i] for i in k]) for w, k in spelled.items()}
-    decoded = {w: shown[k[0]] if len(k) == 1 else " ".join([shown[i] for i in k]) for w, k in spelled.items()}
-    for t, i in v.special.items():
-        ids[t], decoded[t] = int(i).to_bytes(4, "little"), t
-    return [(b"".join([ids[w] for w in words]), " ".join([decoded[w] for w in words if decoded[w]])) for words in split]
+    ids = encode_array(list(texts), v)
+    return list(zip(ids.to_pylist(), decode_array(ids, v).to_pylist(), strict=True))
 
 
 def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
@@ -189,10 +232,11 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFr
         v = vocabulary(name)
 
         def flush(docs: list, texts: list) -> Iterator[pa.RecordBatch]:
-            done = encode_texts(texts, v)
+            encoded = encode_array(texts, v)
             for k in range(0, len(docs), 500):
-                part = done[k : k + 500]
-                yield pa.record_batch([pa.array(docs[k : k + 500], pa.int64()), pa.array([len(i) // 4 for i, _ in part], pa.int64()), pa.array([i for i, _ in part], pa.binary()), pa.array([d for _, d in part], pa.string())], schema=schema)
+                ids = encoded.slice(k, 500)
+                decoded, n = decode_array(ids, v), np.diff(_offsets(ids)) // 4
+                yield pa.record_batch([pa.array(docs[k : k + 500], pa.int64()), pa.array(n, pa.int64()), ids.cast(pa.binary()), decoded.cast(pa.string())], schema=schema)
 
         docs, texts, held = [], [], 0
         for b in batches:

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on hostile rows and on the small tables."""
 
+import cProfile
 import hashlib
 import struct
 import zlib
@@ -286,3 +287,22 @@ def test_bpe_like_tokenizers(spark, docs, none):
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8", max_codepoint=0x24F), st.sampled_from("aeiounrst '<|>  ÉΣ日")), max_size=30), min_size=1, max_size=4))
 def test_bpe_on_any_text(texts):
     _check_bpe(texts)
+
+
+def test_bpe_makes_no_python_call_for_each_word():
+    words = [format(k, "015b").replace("0", "a").replace("1", "b") for k in range(20000)]
+    v, calls = bpe.vocabulary("word_bpe_49k.json"), cProfile.Profile()
+    calls.runcall(bpe.encode_texts, [" ".join(words), None, " ".join(words[:9])], v)
+    assert sum(c.callcount for c in calls.getstats()) < len(words)
+    _check_bpe([" ".join(words)])
+
+
+def test_bpe_keeps_words_apart():
+    _check_bpe(["", " ", None, "e ́a b́ ̣́ ̣", "ᄀ ᅡ 가 ", "' s 's it'sad ''s !'s 'll'l \n", "ΑΣ ΣΑ\t", "́", "﻿\n"])
+
+
+def test_bpe_rows_of_several_batches(spark):
+    texts = [None if k % 7 == 0 else "" if k % 7 == 1 else f"It's row {k} of {k % 5 * 'many '}Zoë" for k in range(1201)]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    want = bpe.encode_texts(texts, bpe.vocabulary("word_bpe_49k.json"))
+    assert [(r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got] == [(k, len(ids) // 4, ids, decoded) for k, (ids, decoded) in enumerate(want)]
