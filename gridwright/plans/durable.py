@@ -47,10 +47,15 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def remove_kept(spark: SparkSession) -> None:
     """Delete the tables that this application keeps, not those of others: call it when the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, tables_dir(spark))
 
 
 #: The parts of monotonically_increasing_id: the partition above, the place in it below. A fixed value of Spark's.

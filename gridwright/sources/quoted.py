@@ -130,6 +130,9 @@ def _states(spark: SparkSession, path: str, enc: encodings.Encoding, delimiter:
     return known.select("file", "block", (F.coalesce(F.col("last.state"), F.lit(False)) != odd).alias("inside"))
 
 
+#: Endings of compressed files that Spark reads from their start only, each as one block. Fixed values.
+UNCUT = (".gz", ".deflate", ".lz4", ".snappy", ".zst")
+
 _RECORD = "file string, block long, part int, at long, cells array<string>, wrong int, raw string"
 _RECORD_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("cells", pa.list_(pa.string())), ("wrong", pa.int32()), ("raw", pa.string())])
 #: Whole records, and the parts of those across blocks: what a block ends with, and what one begins with, up to its end or as a whole.
@@ -142,17 +145,25 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     A cell is quoted only if its first character is a quote; within it quotes are doubled; one that is neither doubled nor before a
     delimiter or line end is text, and counted. Empty lines outside of quotes are no records. A cell that is never closed reaches to the
     end of its file. Lines end in a line feed, also after a carriage return. Of each block one row is broadcast, if it begins inside a cell.
+    Where all files are compressed ones that aren't cut into blocks, no record lies across blocks, and they are read once.
     """
     enc = encodings.encoding(encoding)
-    starts = _states(spark, path, enc, delimiter).where("inside")
-    lines = _lines(spark, path, enc).join(F.broadcast(starts), ["file", "block"], "left").select("file", "block", "raw", F.coalesce("inside", F.lit(False)).alias("inside"))
+    lines = _lines(spark, path, enc)
+    files = lines.inputFiles()
+    uncut = bool(files) and all(f.endswith(UNCUT) for f in files)
+    if not uncut:
+        starts = _states(spark, path, enc, delimiter).where("inside")
+        lines = lines.join(F.broadcast(starts), ["file", "block"], "left").select("file", "block", "raw", F.coalesce("inside", F.lit(False)).alias("inside"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, inside, part, at, size = None, [], False, WHOLE, 0, 0
         out: list[tuple] = []
 
         def end_block() -> None:
-            if held:  # it goes on in the next block, as it may have begun in the one before
+            if held and uncut:  # a cell never closed
+                text = "\n".join(held)
+                out.append((*now, WHOLE, at, *cut(text, delimiter), text if keep_raw else None))
+            elif held:  # it goes on in the next block, as it may have begun in the one before
                 out.append((*now, HEAD if part == HEAD else TAIL, at, None, 0, "\n".join(held)))
 
         def written() -> pa.RecordBatch:
@@ -163,6 +174,8 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
         for block, line, within in _decoded(batches, enc, False):
             if block != now:
                 end_block()
+                if uncut and block[1]:
+                    raise ValueError(f"{block[0]}: a codec that cuts files with this ending is not supported; name them otherwise")
                 now, held, inside, part, at = block, [], within, HEAD if within else WHOLE, 0
             if not inside and line in ("", "\r"):
                 continue
@@ -182,6 +195,8 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding:
 
     pieces = lines.mapInArrow(run, _RECORD)
     whole = pieces.where(F.col("part") == WHOLE).select("file", "block", "at", "cells", F.col("wrong").alias("wrong_quotes"), *["raw"] * keep_raw)
+    if uncut:
+        return whole
 
     # a record across blocks: what one block ends with, and all that blocks after it begin with up to the next such end
     order = Window.partitionBy("file").orderBy("block", "part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import sys
 import tracemalloc
 from pathlib import Path
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.text import repaired, repaired_text
 from gridwright.operators import duplicates, edits, matching
-from gridwright.plans import graph
+from gridwright.plans import catalog_more, graph  # noqa: F401
 from gridwright.plans.catalog import ORACLE_SQL, QUERIES
+from gridwright.plans.durable import tables_dir
 from gridwright.sources import encodings, quoted, readers, writers
 
 from oracle import connect, rows
@@ -85,3 +87,43 @@ def test_long_lines_leave_arrow_in_portions(spark, tmp_path):
         back = readers.read_quoted(spark, path, ",", True, name)
         assert back.exceptAll(table).isEmpty() and back.count() == 300
         assert readers.read_lines(spark, path, name).agg(F.sum(F.length("line"))).first()[0] > 300 * 21_000
+
+
+def test_encodings_take_less_disk_than_twice_their_input(spark, monkeypatch):
+    folder, seen = Path(tables_dir(spark).removeprefix("file://")), []
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+
+    def written(*args, write=writers.write_encoded, **kwargs):
+        write(*args, **kwargs)
+        seen.append(size() - before)
+
+    monkeypatch.setattr(writers, "write_encoded", written)
+    got = QUERIES["S6_encodings"](spark, SF)
+    given = sum(Path(f"{SF}/{t}.parquet").stat().st_size for t in ("documents", "part"))
+    assert len(seen) == 8 and max(seen) < 2 * given
+    assert not [*folder.rglob("part-*.gz")] and size() - before < given / 2
+    assert rows(got.toPandas()) == rows(connect(SF).sql(ORACLE_SQL["S6_encodings"]).df())
+
+
+def test_compressed_files_are_read_once_and_as_others(spark, tmp_path):
+    texts = ['k;t\r\n1;"a;\n""b"\r\n\n2;"x "y" z"\n', 'k;t\n3;é\n4;"never\nclosed', 'k;t\n\n"', "k;t\n" + "".join(f'{k};"ç\n{k}"\n' for k in range(3000)) + '5;"', ""]
+    for name in ("UTF-8", "UTF-16LE", "UTF-32BE", "GB18030"):
+        for kind, packed in (("plain", ()), ("gz", (0, 1, 2, 3, 4)), ("mixed", (1, 3))):
+            (tmp_path / name / kind).mkdir(parents=True)
+            for k, text in enumerate(texts):
+                raw = text.encode(encodings.encoding(name).codec)
+                (tmp_path / name / kind / f"{k}.txt{'.gz' * (k in packed)}").write_bytes(gzip.compress(raw) if k in packed else raw)
+        read = {kind: quoted.read_records(spark, str(tmp_path / name / kind), ";", name, keep_raw=True) for kind in ("plain", "gz", "mixed")}
+        place = F.regexp_extract("file", r"([0-9]+)\.txt", 1).alias("file")
+        plain, gz, mixed = ({tuple(map(str, r)) for r in df.select(place, "block", "at", "cells", "wrong_quotes", "raw").collect()} for df in read.values())
+        assert len(plain) == 3010 and gz == plain == mixed
+        assert read["gz"]._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    table = spark.range(500).select(F.col("id").cast("string").alias("k"), F.concat(F.lit('é "a"\r\n;\n'), F.repeat(F.lit("bç "), 50), "id").alias("t")).repartition(3)
+    for name in ("UTF-16BE", "UTF-32LE", "UTF-8"):
+        path = str(tmp_path / f"{name}.csv")
+        writers.write_encoded(table, path, name, compression="gzip")
+        assert len([*Path(path).glob("part-*.txt.gz")]) == 3
+        back = readers.read_delimited(spark, path, ",", True, name)
+        assert back.exceptAll(table).isEmpty() and back.count() == 500
+        assert readers.read_lines(spark, path, name).count() == 3 + 3 * 500
